@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from orbitframe.llm import piece_tokens
+from orbitframe.llm import decontamination, piece_tokens, quality_rules
 
 QUERIES = {
     "op2_sentencepiece": piece_tokens.op2_sentencepiece,
+    "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 ORACLES: dict[str, str] = {}
