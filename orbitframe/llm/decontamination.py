@@ -9,7 +9,7 @@ are verified by the exact weighted Jaccard similarity of the shingle multisets.
 At a similarity of 0.8 about 19 of the 128 bits differ, with a spread of about 4, so the radius lies five
 spreads out.  A window without a shingle of the item has similarity 0 and is not looked at.
 
-Words are runs of characters other than space and 9 to 13, with A-Z lower-cased; shingles have five words, and an
+Words are runs of characters other than space and 9 to 13, lower-cased; shingles have five words, and an
 item of fewer words is one shingle.  A text shorter than an item is one window.  Null or empty texts and items
 match nothing.  Repeated rows and items are reported each; extra columns are ignored.  The benchmark is read in
 blocks of a bounded number of items and bytes, and each block is broadcast by itself.
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from orbitframe.llm import kernels as K
@@ -52,14 +53,23 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(texts)
+
+
+def text_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes, and where each text's words begin."""
+    starts, ends, first = K.words_of(data, at)
+    return (K.word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
+
+
 class Index:
     """Items of one block: their shingles, and the table of Hamming neighbours of each block value."""
 
     def __init__(self, items: list[tuple[object, str | None]], radius: int = RADIUS):
         self.radius, self.ids, self.size, self.grams = radius, [], [], []
         for key, text in items:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            words = K.word_hashes(data, *K.words_of(data, np.array([0, len(data)]))[:2], lower=True)
+            words = text_words(*next(K.chunks(lowered(pa.array([text], pa.string()))))[2:])[0]
             if len(words):
                 self.ids.append(key)
                 self.size.append(len(words))
@@ -148,9 +158,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo, _, data, at in K.chunks(batch.column(1)):
-                    starts, ends, first = K.words_of(data, at)
-                    rows = index.value.search(K.word_hashes(data, starts, ends, lower=True), first, least) if len(starts) else []
+                for lo, _, data, at in K.chunks(lowered(batch.column(1))):
+                    rows = index.value.search(*text_words(data, at), least)
                     if rows:
                         doc, item, start, size, score = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays(
@@ -170,11 +179,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo, hi, data, offsets in K.chunks(batch.column(at)):
-                    starts, ends, first = K.words_of(data, offsets)
+                for lo, hi, data, offsets in K.chunks(lowered(batch.column(at))):
                     keep = np.ones(hi - lo, bool)
-                    if len(starts):
-                        keep[[r[0] for r in index.value.search(K.word_hashes(data, starts, ends, lower=True), first, least)]] = False
+                    keep[[r[0] for r in index.value.search(*text_words(data, offsets), least)]] = False
                     yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from orbitframe.llm import decontamination, piece_tokens, quality_rules
+from orbitframe.llm import decontamination, piece_tokens, quality_classifier, quality_rules
 
 QUERIES = {
     "op2_sentencepiece": piece_tokens.op2_sentencepiece,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
