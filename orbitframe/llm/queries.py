@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from orbitframe.llm import decontamination, piece_tokens, quality_classifier, quality_rules
+from orbitframe.llm import decontamination, html_text, piece_tokens, quality_classifier, quality_rules, secret_scan, url_filter
 
 QUERIES = {
     "op2_sentencepiece": piece_tokens.op2_sentencepiece,
+    "op3_url_filter": url_filter.op3_url_filter,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_html_extraction": html_text.op5_html_extraction,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
