@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbitframe.llm import decontamination, html_text, piece_tokens, quality_classifier, quality_rules, secret_scan, url_filter
+from orbitframe.llm import decontamination, html_text, piece_tokens, quality_classifier, quality_rules, secret_scan, url_filter, word_repeats
 
 QUERIES = {
     "op2_sentencepiece": piece_tokens.op2_sentencepiece,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_html_extraction": html_text.op5_html_extraction,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_substring_dedup": word_repeats.op9_substring_dedup,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
