@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from orbitframe.llm import decontamination, html_text, piece_tokens, quality_classifier, quality_rules, secret_scan, url_filter, word_repeats
+from orbitframe.llm import byte_repeats, decontamination, html_text, piece_tokens, quality_classifier, quality_rules, secret_scan, url_filter, word_repeats
 
 QUERIES = {
+    "op1_suffix_array_dedup": byte_repeats.op1_suffix_array_dedup,
     "op2_sentencepiece": piece_tokens.op2_sentencepiece,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_secret_scan": secret_scan.op4_secret_scan,
