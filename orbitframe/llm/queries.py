@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbitframe.llm import byte_repeats, decontamination, html_text, piece_tokens, quality_classifier, quality_rules, secret_scan, url_filter, word_repeats
+from orbitframe.llm import byte_repeats, decontamination, html_text, jaccard_join, piece_tokens, quality_classifier, quality_rules, secret_scan, url_filter, word_repeats
 
 QUERIES = {
     "op1_suffix_array_dedup": byte_repeats.op1_suffix_array_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_html_extraction": html_text.op5_html_extraction,
+    "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_substring_dedup": word_repeats.op9_substring_dedup,
