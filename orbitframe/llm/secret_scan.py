@@ -100,7 +100,9 @@ def by_path(versions: DataFrame, ledger: DataFrame, text_col: str = "text", rule
         F.array_sort(F.transform(F.filter("secret_spans", lambda s: s["kind"].isin(kinds)), lambda s: F.struct(s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end"), s["kind"].alias("kind")))),
         lambda s: F.struct(s["no"], s["kind"], s["start"], s["end"]),
     )
-    joined = versions.withColumn("secret_blob", blob_id(F.col(text_col))).join(merged.withColumnRenamed("blob_id", "secret_blob"), "secret_blob", "left")
+    # A key of its own gives the findings an exchange of their own, so that Spark can split the paths of a frequent blob.
+    merged = merged.select(F.concat("blob_id", F.lit("")).alias("secret_blob"), "secret_spans")
+    joined = versions.withColumn("secret_blob", blob_id(F.col(text_col))).join(merged, "secret_blob", "left")
     return joined.withColumn("secret_spans", F.coalesce(order, NONE)).drop("secret_blob")
 
 
