@@ -19,6 +19,7 @@ texts and those under 100 bytes lose nothing.  Extra columns are ignored; an emp
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -197,8 +198,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
         value, count = np.unique(values, return_counts=True)
         return pa.table([pa.array(value[count >= limit] * layout.buckets + table.column("bucket")[0].as_py(), pa.int64())], names=["short"])
 
-    no_string = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
-    short = np.array([r.short for r in send_picks(no_string).groupBy("bucket").applyInArrow(frequent, "short long").collect()], np.int64)
+    def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of rows stand in for chunks here, which saves dealing out the texts for a count."""
+        for batch in batches:
+            for lo, hi, _, _ in K.chunks(batch.column(0), X.CHUNK_TEXT):
+                found = X.HashSet(Picks(batch.column(0).slice(lo, hi - lo), window, PICK, np.zeros(0, np.uint64), layout.bits).hash, layout)
+                out = [(b, X.join_parts(X.pack(v), b"")) for b, _, _, v in found.buckets()]
+                yield from X.binary_table(names, [o[0] for o in out], [0] * len(out), [o[1] for o in out]).to_batches()
+
+    sent = rows.select("text").mapInArrow(send_runs, X.SETS)
+    short = np.array([r.short for r in sent.groupBy("bucket").applyInArrow(frequent, "short long").collect()], np.int64)
     many = spark.sparkContext.broadcast(np.sort(short.astype(np.uint64)))  # MANY_SHARE times a chunk's picks at most
 
     def is_twice(group: np.ndarray, count: np.ndarray, flags: list[np.ndarray]) -> np.ndarray:
@@ -217,10 +226,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
         prefix = K.prefix_hash(K.BYTE_CODE[picks.data])
         keep, copies = fold(context_key(prefix, start, place, end, hashes), place)
         chunk, out = table.column("chunk")[0].as_py(), []
-        bucket = (hashes % np.uint64(layout.buckets)).astype(np.int64)
+        bucket = (hashes % np.uint64(layout.chunks)).astype(np.int64)  # contexts are larger than hashes, so there are more buckets
         keep = keep[np.argsort(bucket[keep], kind="stable")]
         key = X.order_keys(ids)
-        cuts = np.searchsorted(bucket[keep], np.arange(layout.buckets + 1))
+        cuts = np.searchsorted(bucket[keep], np.arange(layout.chunks + 1))
         none = _numbers(*[np.zeros(0)] * 3)
         for b in np.flatnonzero(np.diff(cuts)):
             k = keep[cuts[b] : cuts[b + 1]]
@@ -230,7 +239,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
         if len(copies):  # told through some bucket, so that one exchange brings all spans back
             d = doc[copies]
             empty = [b""] * 7
-            out.append((chunk % layout.buckets, X.join_parts(*empty, *_numbers(d, start[copies] - picks.at[d], end[copies] - picks.at[d]))))
+            out.append((chunk, X.join_parts(*empty, *_numbers(d, start[copies] - picks.at[d], end[copies] - picks.at[d]))))
         return X.binary_table(names, [o[0] for o in out], [chunk] * len(out), [o[1] for o in out])
 
     def sort_contexts(table: pa.Table) -> pa.Table:
