@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbitframe.plans import geodesy
+from orbitframe.plans import geodesy, imagery
 
-QUERIES = dict(geodesy.QUERIES)
-ORACLES = dict(geodesy.ORACLES)
+QUERIES = geodesy.QUERIES | imagery.QUERIES
+ORACLES = geodesy.ORACLES | imagery.ORACLES
