@@ -34,6 +34,7 @@ from orbitframe.llm.components import components
 from orbitframe.llm.shared import checkpointed
 
 SHINGLE, PERCENT = 4, 85
+BITS = 1024  # of the bitmap that filters pairs
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,18 +125,23 @@ def described(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
 
 
 def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
-    """node, n, single, hash of the prefix, and the prefix shingles with the place of the first."""
+    """node, n, single, hash of the prefix, the prefix shingles in order, and a bitmap of the shared shingles.
+
+    Each shingle turns over one bit, so two bitmaps differ in no more bits than the sets differ in shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, names = [], []
+            tokens, names, bitmaps = [], [], []
             for n, single, live in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 part = live[: 8 * max(0, prefix_size(n, percent) - single)]
                 tokens.append(np.frombuffer(part, "<i8"))
                 names.append(hashlib.sha256(part).hexdigest()[:32])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(names), pa.array(tokens, pa.list_(pa.int64()))], ["node", "n", "single", "prefix", "tokens"])
+                places = (np.frombuffer(live, "<u8") % np.uint64(BITS)).astype(np.int64)
+                bitmaps.append(np.packbits(np.bincount(places, minlength=BITS) % 2 == 1).view("<i8"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(names), pa.array(tokens, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64()))], ["node", "n", "single", "prefix", "tokens", "bits"])
 
-    return sets.select("node", "n", "single", "live").mapInArrow(run, "node long, n long, single long, prefix string, tokens array<long>")
+    return sets.select("node", "n", "single", "live").mapInArrow(run, "node long, n long, single long, prefix string, tokens array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,18 +179,22 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     tied = components(first.select(F.col("x").alias("a"), F.col("y").alias("b")))
     # Pairs of groups from different components.  A shingle's rows in its main component need not meet each other.
     placed = rows.join(tied.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    grouped = checkpointed(placed.groupBy("prefix", "n", "component").agg(F.min("node").alias("head"), F.min("single").alias("least"), F.first("tokens").alias("tokens")))
-    each = grouped.select("head", "n", "component", F.col("least").alias("single"), F.posexplode("tokens").alias("at", "token"))
+    grouped = checkpointed(placed.groupBy("prefix", "n", "component").agg(F.min("node").alias("head"), F.min("single").alias("least"), F.first("tokens").alias("tokens"), F.when(F.min("bits") == F.max("bits"), F.min("bits")).alias("bits")))
+    each = grouped.select("head", "n", "component", F.col("least").alias("single"), "bits", F.posexplode("tokens").alias("at", "token"))
     sizes = each.groupBy("token", "component").agg(F.count("*").alias("many"))
     main = sizes.groupBy("token").agg(F.max(F.struct("many", "component"))["component"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     shared = each.join(main, "token")
-    off = shared.where("component != main").select("token", *(F.col(c).alias(f"{c}_x") for c in ("head", "n", "component", "single", "at")))
-    every = shared.select("token", "main", *(F.col(c).alias(f"{c}_y") for c in ("head", "n", "component", "single", "at")))
+    off = shared.where("component != main").select("token", *(F.col(c).alias(f"{c}_x") for c in ("head", "n", "component", "single", "at", "bits")))
+    every = shared.select("token", "main", *(F.col(c).alias(f"{c}_y") for c in ("head", "n", "component", "single", "at", "bits")))
     c = F.col
     most = F.least(c("n_x") - c("single_x") - c("at_x"), c("n_y") - c("single_y") - c("at_y"))  # if this is their first common shingle
     apart = (c("component_x") != c("component_y")) & ((c("component_y") == c("main")) | (c("head_x") < c("head_y")))
     near = _size_fits(c("n_x"), c("n_y"), percent) & (100 * most >= percent * (c("n_x") + c("n_y") - most))
-    pairs = off.join(every, "token").where(apart & near).select("head_x", "head_y").distinct()
+    # A group's members may have several bitmaps; then it has none and this filter lets it pass.
+    turned = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, k: total + k)
+    whole = c("n_x") + c("n_y")
+    same = (whole - c("single_x") - c("single_y") - F.coalesce(turned, F.lit(0))) / 2  # at most
+    pairs = off.join(every, "token").where(apart & near & (100 * same >= percent * (whole - same))).select("head_x", "head_y").distinct()
     who = placed.join(grouped.select("prefix", "n", "component", "head"), ["prefix", "n", "component"]).select("head", "node")
     wide = pairs.join(who.toDF("head_x", "x"), "head_x").join(who.toDF("head_y", "y"), "head_y").select("x", "y")
     return first.unionAll(verified(wide, sets, percent))
