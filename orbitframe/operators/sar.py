@@ -18,31 +18,72 @@ ON_SURFACE, CONTOUR_STEP = 0.001, 10.0
 GROUND_LIMIT, GROUND_STEPS = 1e-2, 10
 
 
+def _geodetic(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longitude, latitude and elevation of rows of ECEF places, as in functions.geodesy."""
+    x, y, z = p.T
+    r = np.hypot(x, y)
+    beta = np.arctan2(G.A * z, G.B * r)
+    for _ in range(3):
+        lat = np.arctan2(z + G.EP2 * G.B * np.sin(beta) ** 3, r - G.E2 * G.A * np.cos(beta) ** 3)
+        beta = np.arctan2((1 - G.FLATTENING) * np.sin(lat), np.cos(lat))
+    n = G.A / np.sqrt(1 - G.E2 * np.sin(lat) ** 2)
+    return np.arctan2(y, x), lat, r * np.cos(lat) + z * np.sin(lat) - G.A * G.A / n
+
+
+def _ecef(lon: np.ndarray, lat: np.ndarray, elev: np.ndarray) -> np.ndarray:
+    n = G.A / np.sqrt(1 - G.E2 * np.sin(lat) ** 2)
+    return np.stack([(n + elev) * np.cos(lat) * np.cos(lon), (n + elev) * np.cos(lat) * np.sin(lon), (n * (1 - G.E2) + elev) * np.sin(lat)], 1)
+
+
+def _up(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1)
+
+
+def _on_plane(r: np.ndarray, rdot: np.ndarray, arp: np.ndarray, varp: np.ndarray, ref: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Where contours meet planes with unit normals z; not a number without a solution."""
+    dots = lambda a, b: np.einsum("ij,ij->i", a, b)
+    height = dots(arp - ref, z)
+    ground = np.sqrt(r * r - height * height)
+    v_z = dots(varp, z)
+    v_x = np.sqrt(dots(varp, varp) - v_z * v_z)
+    x = (varp - v_z[:, None] * z) / v_x[:, None]
+    cos = (v_z * height / r - rdot) / (v_x * ground / r)
+    sin = np.sign(dots(np.cross(arp - ref, varp), z)) * np.sqrt(1 - cos * cos)
+    return arp - height[:, None] * z + (ground * cos)[:, None] * x + (ground * sin)[:, None] * np.cross(z, x)
+
+
+def _height_points(r: pd.Series, rdot: pd.Series, ax: pd.Series, ay: pd.Series, az: pd.Series, vx: pd.Series, vy: pd.Series, vz: pd.Series, sx: pd.Series, sy: pd.Series, sz: pd.Series, look: pd.Series, hae: pd.Series) -> pd.DataFrame:
+    stack = lambda *c: np.stack([x.to_numpy(float) for x in c], 1)
+    arp, varp, scp = stack(ax, ay, az), stack(vx, vy, vz), stack(sx, sy, sz)
+    r, rdot, hae, look = (x.to_numpy(float) for x in (r, rdot, hae, look))
+    with np.errstate(all="ignore"):
+        lon, lat, elev = _geodetic(scp)
+        up = _up(lon, lat)
+        ref, point, done = scp + (hae - elev)[:, None] * up, np.full(arp.shape, np.nan), np.zeros(len(r), bool)
+        normal = up.copy()
+        for _ in range(HEIGHT_STEPS):
+            point = np.where(done[:, None], point, _on_plane(r, rdot, arp, varp, ref, normal))
+            lon, lat, elev = _geodetic(point)
+            up, high = _up(lon, lat), elev - hae
+            done = ~(np.abs(high) > HEIGHT_LIMIT)
+            ref, normal = point - high[:, None] * up, up
+        slant = np.cross(look[:, None] * varp, point - arp)
+        slant /= np.linalg.norm(slant, axis=1)[:, None]
+        lon, lat, _ = _geodetic(point - (high / np.einsum("ij,ij->i", up, slant))[:, None] * slant)
+        return pd.DataFrame(_ecef(lon, lat, hae), columns=["x", "y", "z"])
+
+
 def on_height(df: DataFrame, r: str, rdot: str, arp: str, varp: str, scp: str, side: Column, hae: Column, out: str) -> DataFrame:
-    """Column out: struct x, y, z where the contour meets a constant height above the ellipsoid.
+    """Column out: struct x, y, z where the contour meets a constant height above the ellipsoid, null if nowhere.
 
     arp, varp and scp name struct columns.  Each of at most three steps lays a plane that touches the surface under
-    the last point; a row that is near enough keeps its point, whichever side of the surface it lies on.
+    the last point; a row that is near enough keeps its point, whichever side of the surface it lies on.  The point
+    is then moved along the slant plane's normal onto the surface.
     """
-    keep = df.columns
-    scp_v, arp_v, varp_v = (S.unpacked(F.col(c)) for c in (scp, arp, varp))
-    lon, lat, elev = G.ecef_to_geodetic(*scp_v)
-    df = df.withColumns({"_lon": lon, "_lat": lat, "_elev": elev})
-    up = G.up_vector(F.col("_lon"), F.col("_lat"))
-    df = df.withColumns({"_n": S.packed(up), "_g": S.packed(S.add(scp_v, S.scale(up, hae - F.col("_elev")))), "_done": F.lit(False), "_p": F.lit(None).cast("struct<x:double,y:double,z:double>")})
-    for _ in range(HEIGHT_STEPS):
-        point = S.contour_on_plane(F.col(r), F.col(rdot), arp_v, varp_v, S.unpacked(F.col("_g")), S.unpacked(F.col("_n")))
-        df = df.withColumn("_p", F.when(F.col("_done"), F.col("_p")).otherwise(point))
-        lon, lat, elev = G.ecef_to_geodetic(*S.unpacked(F.col("_p")))
-        df = df.withColumns({"_lon": lon, "_lat": lat, "_elev": elev})
-        up, high = G.up_vector(F.col("_lon"), F.col("_lat")), F.col("_elev") - hae
-        df = df.withColumns({"_done": F.coalesce(F.abs(high) <= HEIGHT_LIMIT, F.lit(True)), "_g": S.packed(S.sub(S.unpacked(F.col("_p")), S.scale(up, high))), "_n": S.packed(up)})
-    p, up, high = S.unpacked(F.col("_p")), S.unpacked(F.col("_n")), F.col("_elev") - hae
-    slant = S.unit(S.cross(S.scale(varp_v, F.when(side == "L", 1.0).otherwise(-1.0)), S.sub(p, arp_v)))
-    df = df.withColumn("_s", S.packed(S.sub(p, S.scale(slant, high / S.dot(up, slant)))))
-    lon, lat, _ = G.ecef_to_geodetic(*S.unpacked(F.col("_s")))
-    df = df.withColumns({"_lon": lon, "_lat": lat})
-    return df.withColumn(out, F.when(F.col("_s").isNotNull() & F.col("_p").isNotNull(), S.packed(G.geodetic_to_ecef(F.col("_lon"), F.col("_lat"), hae)))).select(*keep, out)
+    parts = [c for n in (arp, varp, scp) for c in S.unpacked(F.col(n))]
+    height_points = F.pandas_udf(_height_points, "struct<x:double,y:double,z:double>")
+    point = height_points(F.col(r), F.col(rdot), *parts, F.when(side == "L", 1.0).otherwise(-1.0), hae)
+    return df.withColumn(out, point).withColumn(out, F.when(~F.isnan(F.col(out)["x"]), F.col(out)))
 
 
 def contour_points(df: DataFrame, r: str, rdot: str, arp: str, varp: str, low: str, high: str, side: Column, horizontal: float | None = None) -> DataFrame:

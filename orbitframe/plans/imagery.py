@@ -184,17 +184,17 @@ def _inside_sql() -> str:
 
 def ortho_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen tiles of 32 x 32 pixels over a plate; the source is a mosaic of means."""
-    source = pix(spark, sf_dir).groupBy("image", "x", "y").agg(F.avg("v").alias("v"))
+    source = pix(spark, sf_dir).groupBy("image", (F.col("x") % 48).alias("x"), (F.col("y") % 48).alias("y")).agg(F.avg("v").alias("v"))
     k = F.col("id")
-    tiles = spark.range(16).select(k.alias("tile"), (k % 8).alias("image"), (k * 20.0).alias("west"), (k * 20.0 + 64).alias("east"), F.lit(0.0).alias("south"), F.lit(64.0).alias("north"))
-    got = tiling.orthophoto(tiles, source, "image", ["tile"], lambda lon, lat: (lon * 1.25, lat * 1.5), 32)
-    return got.select("tile", "x", "y", cut(F.col("v"), 4).alias("v"))
+    tiles = spark.range(16).select(k.alias("tile"), (k % 8).alias("image"), (k * 0.25).alias("west"), (k * 0.25 + 40).alias("east"), F.lit(0.0).alias("south"), F.lit(64.0).alias("north"))
+    got = tiling.orthophoto(tiles, source, "image", ["tile"], lambda lon, lat: (lon * 0.9, lat * 0.7), 32)
+    return got.select("tile", "x", "y", cut(F.col("v") + 1.3e-6, 4).alias("v"))
 
 
-_ORTHO = f"""WITH s AS (SELECT image, x, y, avg(v) AS v FROM ({PIX}) GROUP BY 1, 2, 3),
-g AS (SELECT t.tile, t.tile % 8 AS image, a.x, b.y, (t.tile * 20 + (a.x + 0.5::DOUBLE) / 32 * 64) * 1.25::DOUBLE AS sx, (64 - (b.y + 0.5::DOUBLE) / 32 * 64) * 1.5::DOUBLE AS sy FROM (SELECT unnest(range(16)) AS tile) t CROSS JOIN (SELECT unnest(range(32)) AS x) a CROSS JOIN (SELECT unnest(range(32)) AS y) b),
+_ORTHO = f"""WITH s AS (SELECT image, x % 48 AS x, y % 48 AS y, avg(v) AS v FROM ({PIX}) GROUP BY 1, 2, 3),
+g AS (SELECT t.tile, t.tile % 8 AS image, a.x, b.y, (t.tile * 0.25::DOUBLE + (a.x + 0.5::DOUBLE) / 32 * 40) * 0.9::DOUBLE AS sx, (64 - (b.y + 0.5::DOUBLE) / 32 * 64) * 0.7::DOUBLE AS sy FROM (SELECT unnest(range(16)) AS tile) t CROSS JOIN (SELECT unnest(range(32)) AS x) a CROSS JOIN (SELECT unnest(range(32)) AS y) b),
 k AS (SELECT g.*, dx, dy, floor(sx) + dx AS px, floor(sy) + dy AS py, (CASE dx WHEN 1 THEN sx - floor(sx) ELSE 1 - sx + floor(sx) END) * (CASE dy WHEN 1 THEN sy - floor(sy) ELSE 1 - sy + floor(sy) END) AS w FROM g CROSS JOIN (SELECT unnest([0, 1]) AS dx) CROSS JOIN (SELECT unnest([0, 1]) AS dy))
-SELECT k.tile, CAST(k.x AS INTEGER) AS x, CAST(k.y AS INTEGER) AS y, {cut_sql("sum(w * s.v)", 4)} AS v FROM k JOIN s ON s.image = k.image AND s.x = k.px AND s.y = k.py GROUP BY 1, 2, 3 HAVING count(*) = 4"""
+SELECT k.tile, CAST(k.x AS INTEGER) AS x, CAST(k.y AS INTEGER) AS y, {cut_sql("sum(w * s.v) + 1.3e-6::DOUBLE", 4)} AS v FROM k JOIN s ON s.image = k.image AND s.x = k.px AND s.y = k.py GROUP BY 1, 2, 3 HAVING count(*) = 4"""
 
 
 # Metadata.
@@ -311,7 +311,7 @@ def _contour(rows: DataFrame, pair: tuple[Column, Column]) -> DataFrame:
 
 def sar_pfa_rrdot(spark: SparkSession, sf_dir: str) -> DataFrame:
     polar, factor = F.array(F.lit(0.0), F.lit(0.01)), F.array(F.lit(1.0), F.lit(0.002))
-    return _contour(rows := _sar(spark, sf_dir), S.polar_format(F.col("rg"), F.col("az"), F.col("t"), S.unpacked(F.col("arp")), S.unpacked(F.col("varp")), S.literal(SCP), polar, factor))
+    return _contour(_sar(spark, sf_dir), S.polar_format(F.col("rg"), F.col("az"), F.col("t"), S.unpacked(F.col("arp")), S.unpacked(F.col("varp")), S.literal(SCP), polar, factor))
 
 
 def sar_rgazcomp_rrdot(spark: SparkSession, sf_dir: str) -> DataFrame:
