@@ -214,8 +214,8 @@ def linked_documents(docs: DataFrame, width: int = SHINGLE, percent: int = PERCE
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that are the first of their component; a null id always stays."""
-    gone = linked_documents(docs, width, percent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("dropped_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("dropped_id"), "left_anti")
+    gone = linked_documents(docs, width, percent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
