@@ -7,7 +7,8 @@ paths that ever held it.
 
 Spans are in code points, end exclusive.  Matches are leftmost and do not overlap within a kind; a match that
 fails its rule's length test is dropped after matching.  Null texts count as empty.  Repeated rows and keys give
-a row each; null keys are kept; extra columns are ignored; an empty table gives an empty result.
+a row each; null keys are kept; extra columns are carried or ignored, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +45,11 @@ EXTRA = [
 ]
 RULES = BASE + EXTRA
 SPAN = "struct<no:int,kind:string,start:int,end:int>"
-NONE = F.expr(f"cast(array() as array<{SPAN}>)")
+
+
+def no_spans() -> Column:
+    """An empty list; made on call, as a column needs a session."""
+    return F.expr(f"cast(array() as array<{SPAN}>)")
 
 
 def spans_of(text: Column, rule: Rule, no: int) -> Column:
@@ -55,7 +60,7 @@ def spans_of(text: Column, rule: Rule, no: int) -> Column:
         F.regexp_extract_all(text, pattern, 0).alias("whole"),
         F.regexp_extract_all(text, pattern, rule.group).alias("tested"),
     )
-    start = F.struct(F.lit(0).alias("at"), NONE.alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["before"])
@@ -64,7 +69,7 @@ def spans_of(text: Column, rule: Rule, no: int) -> Column:
         good = F.coalesce(F.length(x["tested"]) >= rule.least, F.lit(False))
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(found, start, step)["spans"]).otherwise(NONE)
+    return F.when(text.rlike(rule.pattern), F.aggregate(found, start, step)["spans"]).otherwise(no_spans())
 
 
 def blob_id(text: Column) -> Column:
@@ -81,7 +86,7 @@ def new_findings(versions: DataFrame, ledger: DataFrame | None = None, text_col:
     else:
         seen = ledger.select("blob_id", F.explode("scanned").alias("rule")).groupBy("blob_id").agg(F.collect_set("rule").alias("seen"))
         blobs = blobs.join(seen, "blob_id", "left").withColumn("todo", F.array_except(todo, F.coalesce("seen", F.expr("cast(array() as array<string>)")))).where(F.size("todo") > 0)
-    each = [F.when(F.array_contains("todo", r.key), spans_of(F.col("blob_text"), r, i)).otherwise(NONE) for i, r in enumerate(rules)]
+    each = [F.when(F.array_contains("todo", r.key), spans_of(F.col("blob_text"), r, i)).otherwise(no_spans()) for i, r in enumerate(rules)]
     return blobs.select("blob_id", F.col("todo").alias("scanned"), F.concat(*each).alias("spans"))
 
 
@@ -103,7 +108,7 @@ def by_path(versions: DataFrame, ledger: DataFrame, text_col: str = "text", rule
     # A key of its own gives the findings an exchange of their own, so that Spark can split the paths of a frequent blob.
     merged = merged.select(F.concat("blob_id", F.lit("")).alias("secret_blob"), "secret_spans")
     joined = versions.withColumn("secret_blob", blob_id(F.col(text_col))).join(merged, "secret_blob", "left")
-    return joined.withColumn("secret_spans", F.coalesce(order, NONE)).drop("secret_blob")
+    return joined.withColumn("secret_spans", F.coalesce(order, no_spans())).drop("secret_blob")
 
 
 def span_text(spans: Column) -> Column:
@@ -112,17 +117,19 @@ def span_text(spans: Column) -> Column:
 
 def redact(versions: DataFrame, text_col: str = "text", put: str = "[secret]") -> DataFrame:
     """The rows, with all their columns, with every secret of their text replaced."""
-    names = versions.columns
-    got = by_path(versions, new_findings(versions, None, text_col), text_col)
+    # the row is carried as one value, so that no name of its columns can clash
+    packed = versions.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    got = by_path(packed, new_findings(packed))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        head = F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(put))
+        head = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(put))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, head).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    rebuilt = F.concat(done["out"], F.substring(F.col(text_col), done["at"] + 1, F.length(text_col)))
-    return got.withColumn(text_col, F.when(F.size("secret_spans") > 0, rebuilt).otherwise(F.col(text_col))).select(*names)
+    rebuilt = F.concat(done["out"], F.substring("text", done["at"] + 1, F.length("text")))
+    text = F.when(F.size("secret_spans") > 0, rebuilt).otherwise(F.col("text"))
+    return got.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in versions.columns))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
