@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbitframe.llm import byte_repeats, decontamination, html_text, jaccard_join, piece_tokens, quality_classifier, quality_rules, secret_scan, url_filter, word_repeats
+from orbitframe.llm import byte_repeats, decontamination, html_text, jaccard_join, oracles, piece_tokens, quality_classifier, quality_rules, secret_scan, url_filter, word_repeats
 
 QUERIES = {
     "op1_suffix_array_dedup": byte_repeats.op1_suffix_array_dedup,
@@ -16,4 +16,9 @@ QUERIES = {
     "op9_substring_dedup": word_repeats.op9_substring_dedup,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_secret_scan": oracles.SECRETS,
+    "op6_ngram_jaccard_join": oracles.JACCARD,
+    "op8_quality_rules": oracles.QUALITY,
+    "op9_substring_dedup": oracles.SUBSTRINGS,
+}
