@@ -1,6 +1,6 @@
 """DuckDB SQL for the corpus queries that SQL can express on whole tables.
 
-The others have no SQL: byte windows (1) are too slow in it, and tokens (2), models (3, 5, 10) and window
+The others have no SQL: byte windows (1) are expected to be too slow in it, and tokens (2), models (3, 5, 10) and window
 similarities (7) are no SQL; tests hold these against plain versions.
 """
 
