@@ -3,9 +3,11 @@
 Method: a page becomes a list of text blocks, each with its root-to-leaf tag path.  Text length and punctuation
 are added up per path and divided by the path's blocks; both ratios are smoothed over the blocks in page order,
 fused by their product, and paths whose fused ratio passes a threshold relative to the page's own spread are
-content.  The smallest element that holds nearly all of the content text is the article; its other blocks
-(headings, short paragraphs) belong to it, unless they stand in a menu, header, footer, sidebar, notice, advert,
-form or comment section, which are known by their tags, roles and class words and never give text.
+content.  All content blocks give text, wherever they stand.  The smallest element that holds all of them is the
+home; blocks between them, its headings before them, and its blocks after them that are not mostly links belong to
+the text too.  Where the home, or an element in it that holds nearly all of the content, is an article by its tag
+or class, all blocks of that element do.  Menus, headers, footers, sidebars, notices, adverts, forms and comment
+sections are known by their tags, roles and class words and never give text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 Null, empty and text-free pages give an empty text.  Each row is handled alone: repeated rows, null urls or keys
@@ -39,7 +41,8 @@ BOILER_WORDS = set(
 )
 ARTICLE_WORDS = set("content article post entry story main text body".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-SHARE = 0.8  # of the content text that the article element holds at least
+SHARE = 0.8  # of the content text that an element holds at least to be looked at as the article; no content is left out by it
+LEAVES = {"p", "h1", "h2", "h3", "li", "td", "th", "tr", "pre"}
 
 
 class Block:
@@ -200,15 +203,17 @@ def main_text(page: str | None) -> str:
             for e in b.chain:
                 held[e] += len(b.text)
     total = held[0]
-    home = max(e for e, size in held.items() if size >= SHARE * total and elements[e][0] not in ("p", "h1", "h2", "h3", "li", "td", "th", "tr", "pre"))  # later elements lie deeper
+    deepest = lambda least: max(e for e, size in held.items() if size >= least and elements[e][0] not in LEAVES)  # noqa: E731  later elements lie deeper
+    home, core = deepest(total), deepest(SHARE * total)
     article = [e for e in held if elements[e][0] in ("article", "main") and held[e] >= SHARE * total]
     if article:
-        home = min(article) if len(article) == 1 else max(article)
-    strong = elements[home][0] in ("article", "main") or bool(elements[home][1] & ARTICLE_WORDS)
+        core = max(article)
+    own = {e for e in (home, core) if elements[e][0] in ("article", "main") or elements[e][1] & ARTICLE_WORDS}
     places = [i for i, c in enumerate(chosen) if c]
     keep = []
     for i, b in enumerate(blocks):
-        if home in b.chain and (strong or chosen[i] or (places[0] < i < places[-1] and 2 * b.link < len(b.text)) or (i < places[0] and re.search(r"/h[1-3]$", b.path))):
+        near = i > places[0] and 2 * b.link < len(b.text) or i < places[0] and re.search(r"/h[1-3]$", b.path)
+        if chosen[i] or not own.isdisjoint(b.chain) or (home in b.chain and near):
             keep.append(b.text)
     return " ".join(keep)
 

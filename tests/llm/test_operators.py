@@ -1,6 +1,7 @@
 """The corpus operators against plain versions, with nulls, empty and long texts, ties, repeats and clashing names."""
 
 import random
+import re
 
 import brute as B
 import pytest
@@ -237,6 +238,26 @@ def test_html_extraction(spark):
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+def test_html_extraction_keeps_all_chosen_blocks():
+    """One long and one short section: content outside the element that holds most of it is kept."""
+    long, short = "Long words, many of them, in a row. " * 5, "Short one, with marks, and more of it. " * 4
+    p = lambda text, n=1: f"<p>{text.strip()}</p>" * n
+    pages = {
+        "divs": f"<body><div id=c><div>{p(long, 5)}</div><div>{p(short)}</div></div></body>",
+        "plain divs": f"<body><div><div>{p(short)}</div><div>{p(long, 5)}</div></div></body>",
+        "no wrapper": f"<body><div>{p(long, 5)}</div><div>{p(short)}</div></body>",
+        "quote": f"<body><div>{p(short)}<blockquote>{p(long, 5)}</blockquote>{p(short)}</div></body>",
+        "section": f"<body><main><article>{p(long, 5)}</article><section>{p(short)}</section></main></body>",
+        "outside": f"<body><article>{p(long, 5)}</article><div>{p(short)}</div></body>",
+        "tail": f"<body><div>{p(long, 5)}<ul><li>one</li><li>two</li></ul></div></body>",
+    }
+    for name, page in pages.items():
+        want_words = " ".join(re.sub("<[^>]*>", " ", page).split())
+        assert html_text.main_text(page) == want_words, name
+    menu = '<div><a href="/">Home</a> <a href="/x">Away</a></div>'
+    assert html_text.main_text(f"<body>{menu}<div>{p(long, 5)}</div><div>{p(short)}</div>{menu}</body>") == " ".join([long.strip()] * 5 + [short.strip()])
+
+
 def test_html_extraction_on_pages(spark):
     """Texts of the given pages are the article element's, told by a parser of the standard library."""
     from html.parser import HTMLParser
