@@ -44,6 +44,14 @@ def rsm(coefficients: Column, px: int, py: int, pz: int, x: Column, y: Column, z
     return F.when(fits, _terms(coefficients, powers, x, y, z)).otherwise(F.raise_error(F.lit("wrong number of coefficients")).cast("double"))
 
 
+def rsm_of_powers(coefficients: Column, powers: Column, x: Column, y: Column, z: Column) -> Column:
+    """As rsm, of powers that stand in the row as an array."""
+    p, q = powers[0] + 1, powers[1] + 1
+    term = lambda c, i: c * F.pow(x, i % p) * F.pow(y, F.floor(i / p) % q) * F.pow(z, F.floor(i / (p * q)))
+    total = F.aggregate(F.transform(coefficients, term), F.lit(0.0), lambda acc, v: acc + v)
+    return F.when(F.size(coefficients) == p * q * (powers[2] + 1), total).otherwise(F.raise_error(F.lit("wrong number of coefficients")).cast("double"))
+
+
 def horner(coefficients: Column, t: Column) -> Column:
     """One-variable polynomial, lowest order first."""
     return F.aggregate(F.reverse(coefficients), F.lit(0.0), lambda acc, c: acc * t + c)

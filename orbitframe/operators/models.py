@@ -112,10 +112,10 @@ def domain_box(vertices: Column) -> Column:
     return F.when(F.size(vertices) == 8, F.struct(*(f(part(n)).alias(f"{w}_{n}") for n in "xyz" for f, w in ((F.array_min, "min"), (F.array_max, "max"))), mean.alias("height")))
 
 
-def rsm_forward(x: Column, y: Column, z: Column, powers: dict[str, tuple[int, int, int]], p=F.col) -> tuple[Column, Column]:
-    """(column, row) of a ground-domain place; rn, rd, cn and cd are the row's coefficient arrays."""
+def rsm_forward(x: Column, y: Column, z: Column, powers: dict[str, tuple[int, int, int]] | None = None, p=F.col) -> tuple[Column, Column]:
+    """(column, row) of a ground-domain place; rn, rd, cn and cd are the row's coefficient arrays, whose powers are given or the row's rn_powers and so on."""
     n = [P.normalize(v, p(f"{a}_off"), p(f"{a}_scale")) for v, a in ((x, "x"), (y, "y"), (z, "z"))]
-    value = lambda k: P.rsm(p(k), *powers[k], *n)
+    value = lambda k: P.rsm(p(k), *powers[k], *n) if powers else P.rsm_of_powers(p(k), p(f"{k}_powers"), *n)
     return P.denormalize(value("cn") / value("cd"), p("col_off"), p("col_scale")), P.denormalize(value("rn") / value("rd"), p("row_off"), p("row_scale"))
 
 
@@ -131,11 +131,193 @@ def section_of_place(x: Column, y: Column, z: Column, p=F.col) -> tuple[Column,
 
 
 def missing_sections(sections: DataFrame, models: DataFrame) -> DataFrame:
-    """Sections that a sectioned model announces and that have no model of their own."""
+    """Sections, counted from 0, that a sectioned model announces and that have no model of their own."""
     wanted = sections.select("image_id", "n_rows", "n_cols").withColumn("section_row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1))).withColumn("section_col", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)))
     return wanted.join(models, ["image_id", "section_row", "section_col"], "left_anti").select("image_id", "section_row", "section_col")
 
 
+#: Of the parameters, those of the whole image and those of a section.
+RSM_POLYS = ["rn", "rd", "cn", "cd"]
+RSM_NORMS = [f"{n}_{w}" for n in ("row", "col", "x", "y", "z") for w in ("off", "scale")]
+RSM_IMAGE = ["form", "origin", "axes", "n_rows", "n_cols", "row_size", "col_size", "min_row", "min_col", "row_poly", "col_poly"]
+RSM_SECTION = [*RSM_NORMS, *RSM_POLYS, *(f"{k}_powers" for k in RSM_POLYS)]
+RSM_STEPS, RSM_LIMIT = 25, 1e-9  # of the inverse: rounds, and pixels from which a row is done
+
+
+def rsm_models(parameters: DataFrame, sections: DataFrame, key: str = "image_id") -> DataFrame:
+    """One row per section, counted from 0, of the images with a whole replacement model, from their polynomial and section records.
+
+    A single polynomial record holds for its whole image.  Of several records of a section the last counts, and
+    records outside the announced sections don't.  Images with several records but no section record, with a
+    section without record, or with a record that doesn't parse have no model.  Box and height are geodetic: the
+    bounds of the vertices, and the height of the reference point, or else the vertices' mean.
+    """
+    c = F.col
+    fits = lambda k: F.size(k) == (c(f"{k}_powers")[0] + 1) * (c(f"{k}_powers")[1] + 1) * (c(f"{k}_powers")[2] + 1)
+    good = ~F.exists(F.array(*RSM_NORMS), lambda v: v.isNull()) & ~F.exists("vertices", lambda v: v["x"].isNull() | v["y"].isNull() | v["z"].isNull()) & c("form").isin("G", "H", "R")
+    good &= c("section_row").isNotNull() & c("section_col").isNotNull()
+    good &= (c("form") != "R") | (c("origin.x").isNotNull() & c("origin.y").isNotNull() & c("origin.z").isNotNull() & ~F.exists(F.flatten("axes"), lambda v: v.isNull()))
+    for k in RSM_POLYS:
+        good &= F.coalesce(fits(k), F.lit(False)) & ~F.exists(k, lambda v: v.isNull())
+    several = c("n_records") > 1
+    whole = {"n_rows": F.lit(1), "n_cols": F.lit(1), "row_size": F.lit(1.0), "col_size": F.lit(1.0), "min_row": F.lit(0.0), "min_col": F.lit(0.0), **{n: F.array_repeat(F.lit(0.0), 10) for n in ("row_poly", "col_poly")}}
+    rows = parameters.withColumn("good", F.coalesce(good, F.lit(False))).join(sections, key, "left")
+    rows = rows.withColumns({n: F.when(several, c(n)).otherwise(v) for n, v in whole.items()})
+    rows = rows.withColumns({n: F.when(several, c(n) - 1).otherwise(0) for n in ("section_row", "section_col")})
+    usable = rows.groupBy(key).agg(F.bool_and("good").alias("usable")).where("usable").select(key)
+    rows = rows.where(c("section_row").between(0, c("n_rows") - 1) & c("section_col").between(0, c("n_cols") - 1) & (c("row_size") > 0) & (c("col_size") > 0) & ~F.exists(F.concat("row_poly", "col_poly"), lambda v: v.isNull()) & c("min_row").isNotNull() & c("min_col").isNotNull())
+    last = rows.groupBy(key, "section_row", "section_col").agg(F.max_by(F.struct(*(n for n in rows.columns if n not in (key, "section_row", "section_col"))), "record").alias("m")).select(key, "section_row", "section_col", "m.*")
+    counted = last.groupBy(key).agg(F.count("*").alias("n"), (F.max("n_rows") * F.max("n_cols")).alias("announced")).where("n = announced").select(key)
+    found = last.join(usable, key).join(counted, key)
+    return found.join(_geodetic_domains(found.where("section_row = 0 and section_col = 0"), key), key).select(key, "section_row", "section_col", *RSM_IMAGE, *RSM_SECTION, "box", "start", "height")
+
+
+def _geodetic_domains(images: DataFrame, key: str) -> DataFrame:
+    """Per image, box (least and largest longitude and latitude) and start of the search in radians, and the model's own height."""
+    flat = lambda v: F.array(*(F.col(v)[n] for n in "xyz"))
+    rows = images.select(key, "form", flat("origin").alias("origin"), F.flatten("axes").alias("axes"), F.flatten(F.transform("vertices", lambda v: F.array(v["x"], v["y"], v["z"]))).alias("vertices"), flat("reference_point").alias("reference"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for form, origin, axes, vertices, reference in zip(*(b[n] for n in ("form", "origin", "axes", "vertices", "reference")), strict=True):
+                points = np.append(vertices, reference).astype(float).reshape(9, 3)
+                if form == "R":
+                    points = _geodetic(np.linalg.solve(np.array(axes, float).reshape(3, 3), points.T).T + np.array(origin, float))
+                corners, own = points[:8], points[8, 2]
+                out.append(([*corners[:, :2].min(0), *corners[:, :2].max(0)], list((corners[0, :2] + corners[3, :2]) / 2), own if np.isfinite(own) else corners[:, 2].mean()))
+            yield pd.DataFrame({key: b[key], **{n: pd.Series([o[i] for o in out], index=b.index, dtype=object if i < 2 else float) for i, n in enumerate(("box", "start", "height"))}})
+
+    return rows.mapInPandas(run, f"`{key}` {images.schema[key].dataType.simpleString()}, box array<double>, start array<double>, height double")
+
+
+def rsm_world_to_image(df: DataFrame, models: DataFrame, key: str = "image_id", lon_deg: str = "lon_deg", lat_deg: str = "lat_deg", height: str = "height") -> DataFrame:
+    """Rows with x and y of their places by the model of the section that the low-order polynomials find; rows of images without model are absent."""
+    kept = [n for n in df.columns if n not in ("x", "y")]
+    images = models.where("section_row = 0 and section_col = 0").select(key, F.struct(*RSM_IMAGE).alias("_image"))
+    image, section = F.col("_image").getField, F.col("_section").getField
+    domain = ground_domain(image("form"), F.radians(lon_deg), F.radians(lat_deg), F.col(height), image("origin"), image("axes"))
+    rows = df.join(images, key).withColumns({f"_{n}": v for n, v in zip("xyz", domain, strict=True)})
+    place = F.col("_x"), F.col("_y"), F.col("_z")
+    row, col = section_of_place(*place, image)
+    rows = rows.withColumns({"_row": row, "_col": col})
+    rows = rows.join(models.select(key, F.col("section_row").alias("_row"), F.col("section_col").alias("_col"), F.struct(*RSM_SECTION).alias("_section")), [key, "_row", "_col"])
+    x, y = rsm_forward(*place, p=section)
+    return rows.select(*kept, x.alias("x"), y.alias("y"))
+
+
+def _rsm_rows(arrays: pd.Series) -> np.ndarray:
+    """Arrays of several lengths as rows of one matrix, filled with zeros."""
+    out = np.zeros((len(arrays), max(len(a) for a in arrays)))
+    for i, a in enumerate(arrays):
+        out[i, : len(a)] = a
+    return out
+
+
+def _rsm_value(c: np.ndarray, powers: np.ndarray, q: np.ndarray) -> np.ndarray:
+    i, p, r = np.arange(c.shape[1])[None, :], powers[:, :1] + 1, powers[:, 1:2] + 1
+    used = i < p * r * (powers[:, 2:] + 1)
+    term = q[:, :1] ** (i % p) * q[:, 1:2] ** (i // p % r) * q[:, 2:] ** np.where(used, i // (p * r), 0)
+    return np.where(used, c * term, 0).sum(1)
+
+
+def _ecef(lon: np.ndarray, lat: np.ndarray, h: np.ndarray) -> np.ndarray:
+    n = G.A / np.sqrt(1 - G.E2 * np.sin(lat) ** 2)
+    return np.stack([(n + h) * np.cos(lat) * np.cos(lon), (n + h) * np.cos(lat) * np.sin(lon), (n * (1 - G.E2) + h) * np.sin(lat)], 1)
+
+
+def _geodetic(places: np.ndarray) -> np.ndarray:
+    """Longitude, latitude and elevation of Earth-centred places, as ecef_to_geodetic."""
+    x, y, z = places.T
+    p = np.hypot(x, y)
+    beta = np.arctan2(G.A * z, G.B * p)
+    for _ in range(3):
+        lat = np.arctan2(z + G.EP2 * G.B * np.sin(beta) ** 3, p - G.E2 * G.A * np.cos(beta) ** 3)
+        beta = np.arctan2((1 - G.FLATTENING) * np.sin(lat), np.cos(lat))
+    s, c = np.sin(lat), np.cos(lat)
+    return np.stack([np.arctan2(y, x), lat, p * c + z * s - G.A * np.sqrt(1 - G.E2 * s * s)], 1)
+
+
+def rsm_image_to_world(df: DataFrame, models: DataFrame, key: str = "image_id", x: str = "x", y: str = "y", height: str | None = "height") -> DataFrame:
+    """Rows with lon_deg, lat_deg, height and the residual in pixels, by the model of the pixel's section; rows of images without model are absent.
+
+    Where a row has no height, the model's own is taken.  Newton steps with a difference quotient from the middle of
+    V1 and V4 stay within the box of the vertices: a step that leaves it is replaced by the best one along the bound.
+    """
+    names = ["lon_deg", "lat_deg", "height", "residual"]
+    kept = [n for n in df.columns if n not in names]
+    images = models.where("section_row = 0 and section_col = 0").select(key, F.struct(*RSM_IMAGE).alias("_image"))
+    row, col = section_index(F.col(y), F.col(x), F.col("_image").getField)
+    rows = df.join(images, key).withColumns({"_row": row, "_col": col})
+    model = models.select(key, F.col("section_row").alias("_row"), F.col("section_col").alias("_col"), F.struct(*RSM_SECTION, "form", F.array("origin.x", "origin.y", "origin.z").alias("origin"), F.flatten("axes").alias("axes"), "box", "start", "height").alias("_m"))
+    m = F.col("_m").getField
+    given = F.lit(None).cast("double") if height is None else F.col(height).cast("double")
+    rows = rows.join(model, [key, "_row", "_col"]).select(
+        *kept, F.col(x).cast("double").alias("_samp"), F.col(y).cast("double").alias("_line"), defaulted_elevation(given, m("height")).alias("_h"), *(m(n).alias(f"_{n}") for n in (*RSM_SECTION, "form", "origin", "axes", "box", "start"))
+    )
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.select(*kept).schema.fields)}, {', '.join(f'{n} double' for n in names)}"
+
+    def solve(b: pd.DataFrame) -> np.ndarray:
+        v = {n: b[f"_{n}"].to_numpy(float) for n in RSM_NORMS}
+        c, powers = {n: _rsm_rows(b[f"_{n}"]) for n in RSM_POLYS}, {n: np.stack(b[f"_{n}_powers"].to_numpy()).astype(int) for n in RSM_POLYS}
+        form, h, box = b["_form"].to_numpy(), b["_h"].to_numpy(float), np.stack(b["_box"].to_numpy()).astype(float)
+        want = b[["_samp", "_line"]].to_numpy(float)
+        flat = form == "R"
+        origin, axes = np.zeros((len(b), 3)), np.zeros((len(b), 9))
+        if flat.any():
+            origin[flat], axes[flat] = np.stack(b["_origin"].to_numpy()[flat]).astype(float), np.stack(b["_axes"].to_numpy()[flat]).astype(float)
+        axes = axes.reshape(-1, 3, 3)
+        off, scale = np.stack([v[f"{n}_off"] for n in "xyz"], 1), np.stack([v[f"{n}_scale"] for n in "xyz"], 1)
+
+        def image(q: np.ndarray) -> np.ndarray:
+            d = np.stack([np.where(form == "H", np.mod(q[:, 0], 2 * np.pi), q[:, 0]), q[:, 1], h], 1)
+            if flat.any():
+                d[flat] = np.einsum("nij,nj->ni", axes[flat], _ecef(q[flat, 0], q[flat, 1], h[flat]) - origin[flat])
+            d = (d - off) / scale
+            value = {n: _rsm_value(c[n], powers[n], d) for n in RSM_POLYS}
+            return np.stack([value["cn"] / value["cd"] * v["col_scale"] + v["col_off"], value["rn"] / value["rd"] * v["row_scale"] + v["row_off"]], 1)
+
+        low, high = box[:, :2], box[:, 2:]
+        size = np.maximum(high - low, 1e-12)
+        q = np.clip(np.stack(b["_start"].to_numpy()).astype(float), low, high)
+        best, miss = q, image(q) - want
+        least = np.hypot(*miss.T)
+        for _ in range(RSM_STEPS):
+            if not (least > RSM_LIMIT).any():
+                break
+            e = 1e-5 * size
+            jac = np.stack([(image(q + e * u) - image(q - e * u)) / (2 * e * u).sum(1)[:, None] for u in (np.array([1.0, 0]), np.array([0, 1.0]))], 2)
+            a, d = jac[:, :, 0], jac[:, :, 1]
+            det = a[:, 0] * d[:, 1] - a[:, 1] * d[:, 0]
+            step = -np.stack([(miss[:, 0] * d[:, 1] - miss[:, 1] * d[:, 0]) / det, (a[:, 0] * miss[:, 1] - a[:, 1] * miss[:, 0]) / det], 1)
+            inside = ((q + step >= low) & (q + step <= high)).all(1)
+            bounded, left = np.clip(q + step, low, high) - q, np.full(len(q), np.inf)
+            for k in (0, 1):  # one coordinate on the bound that the step passes, the other where it is best then
+                trial = bounded.copy()
+                rest = miss + jac[:, :, k] * trial[:, k : k + 1]
+                o = 1 - k
+                trial[:, o] = np.clip(q[:, o] - (jac[:, :, o] * rest).sum(1) / (jac[:, :, o] ** 2).sum(1), low[:, o], high[:, o]) - q[:, o]
+                size_left = np.hypot(*(rest + jac[:, :, o] * trial[:, o : o + 1]).T)
+                take = ~inside & (size_left < left)
+                left = np.where(take, size_left, left)
+                step = np.where(take[:, None], trial, step)
+            q = np.clip(q + np.where(np.isfinite(step), step, 0), low, high)
+            miss = image(q) - want
+            now = np.hypot(*miss.T)
+            better = now < least
+            best, least = np.where(better[:, None], q, best), np.where(better, now, least)
+        lon, lat = best.T
+        return np.stack([np.degrees(np.mod(lon + np.pi, 2 * np.pi) - np.pi), np.degrees(lat), h, least], 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            with np.errstate(all="ignore"):
+                found = solve(b) if len(b) else np.zeros((0, 4))
+            yield b[kept].assign(**dict(zip(names, found.T, strict=True)))
+
+    return rows.mapInPandas(run, schema)
+
+
 # Combinations.
 
 

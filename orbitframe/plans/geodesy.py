@@ -12,6 +12,7 @@ from orbitframe.functions import web_tiles as W
 from orbitframe.operators import elevation as E
 from orbitframe.operators import models, statistics
 from orbitframe.plans.relations import PTS, cut, cut_sql, pts
+from orbitframe.sources import tre
 
 WGS = {"a": "6378137.0::DOUBLE", "e2": "0.006694379990141317::DOUBLE"}
 R = "6378137.0::DOUBLE"
@@ -186,6 +187,65 @@ def rsm_section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("section_row", "section_col").agg(F.count("*").alias("n"), F.sum(F.col("elev") + F.col("shift")).alias("total"))
 
 
+#: A replacement model of two by two sections, whose polynomials meet at the equator and the prime meridian: powers and coefficients by section.
+RSM_POWERS = {"rn": (1, 1, 1), "rd": (0, 0, 1), "cn": (1, 2, 0), "cd": (0, 1, 1)}
+RSM_SCALES = {"x": 3.2, "y": 1.4, "z": 9000.0}
+
+
+def _rsm_polys(row: int, col: int) -> dict[str, list[float]]:
+    s = 2 * row + col
+    return {"rn": [0.0, 0.0, -1.0, 0.01 * (s + 1), 0.0, 0.0, 0.02 * (s + 1), 0.0], "rd": [1.0, 0.03 * (s + 1)], "cn": [0.0, 1.0, 0.0, 0.02 * (s + 1), 0.0, 0.01 * (s + 1)], "cd": [1.0, 0.01 * (s + 1), 0.02, 0.0]}
+
+
+def _rsm_xml() -> str:
+    f = lambda name, value: f'<field name="{name}" value="{value!r}"/>'.replace("'", "")
+    corners = [(x, y, z) for z in (0.0, 9000.0) for y in (-1.4, 1.4) for x in (-3.2, 3.2)]
+    ida = "".join(f(f"V{i + 1}{a}", v) for i, corner in enumerate(corners) for a, v in zip("XYZ", corner, strict=True)) + "".join(f(n, v) for n, v in (("GRNDD", "G"), ("MINR", 0), ("MAXR", 9999), ("MINC", 0), ("MAXC", 11999)))
+    low = {"R": {"0": 5000.0, "Y": -5000.0 / 1.4}, "C": {"0": 6000.0, "X": 6000.0 / 3.2}}
+    pia = "".join(f(k + t, low[k].get(t, 0.0)) for k in "RC" for t in ("0", "X", "Y", "Z", "XX", "XY", "XZ", "YY", "YZ", "ZZ")) + "".join(f(n, v) for n, v in (("RNIS", 2), ("CNIS", 2), ("RSSIZ", 5000.0), ("CSSIZ", 6000.0)))
+    text = f'<tre name="RSMIDA">{ida}</tre><tre name="RSMPIA">{pia}</tre>'
+    for row in range(2):
+        for col in range(2):
+            norms = {"RNRMO": 5000.0, "RNRMSF": 5000.0, "CNRMO": 6000.0, "CNRMSF": 6000.0, **{f"{a.upper()}NRMO": 0.0 for a in "xyz"}, **{f"{a.upper()}NRMSF": v for a, v in RSM_SCALES.items()}}
+            body = f("RSN", row + 1) + f("CSN", col + 1) + "".join(f(n, v) for n, v in norms.items())
+            for k, c in _rsm_polys(row, col).items():
+                body += "".join(f(f"{k.upper()}PWR{a}", v) for a, v in zip("XYZ", RSM_POWERS[k], strict=True))
+                body += f'<repeated name="{k.upper()}PCF" number="{len(c)}">' + "".join(f'<group index="{i}">{f(k.upper() + "PCF", v)}</group>' for i, v in enumerate(c)) + "</repeated>"
+            text += f'<tre name="RSMPCA">{body}</tre>'
+    return f"<tres>{text}</tres>"
+
+
+def _rsm_places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Places in the image by the model of their section, and the models, read from the image's records."""
+    images = spark.createDataFrame([(0, _rsm_xml())], "image_id int, xml string")
+    models_ = models.rsm_models(tre.rsm_parameters(images), tre.rsm_sections(images)).cache()  # a row per section, used by every join
+    return models.rsm_world_to_image(pts(spark, sf_dir).withColumns({"image_id": F.lit(0), "height": F.col("elev")}), models_), models_
+
+
+def rsm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _rsm_places(spark, sf_dir)
+    return rows.select("o_orderkey", cut(F.col("x"), 4).alias("samp"), cut(F.col("y"), 4).alias("line"))
+
+
+def rsm_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, models_ = _rsm_places(spark, sf_dir)
+    got = models.rsm_image_to_world(rows.drop("lon_deg", "lat_deg"), models_)
+    lon = cut(F.col("lon_deg"), 5)
+    return got.select("o_orderkey", F.when(lon == 180, F.lit(-180.0)).otherwise(lon).alias("lon"), cut(F.col("lat_deg"), 5).alias("lat"), (F.col("residual") < 1e-3).alias("close"))
+
+
+def _rsm_forward_sql() -> str:
+    n = (f"({LON} / 3.2::DOUBLE)", f"({LAT} / 1.4::DOUBLE)", "(elev / 9000.0::DOUBLE)")
+
+    def poly(k: str, row: int, col: int) -> str:
+        a, b, c = RSM_POWERS[k]
+        powers = [(i, j, m) for m in range(c + 1) for j in range(b + 1) for i in range(a + 1)]
+        return "(" + " + ".join(f"({v!r}::DOUBLE)" + "".join(f" * {x}" for x, p in zip(n, t, strict=True) for _ in range(p)) for v, t in zip(_rsm_polys(row, col)[k], powers, strict=True)) + ")"
+
+    at = lambda num, den, off: "CASE " + " ".join(f"WHEN lat_deg {'>' if not row else '<='} 0 AND lon_deg {'<' if not col else '>='} 0 THEN {poly(num, row, col)} / {poly(den, row, col)} * {off} + {off}" for row in range(2) for col in range(2)) + " END"
+    return f"SELECT o_orderkey, {cut_sql(at('cn', 'cd', '6000.0::DOUBLE'), 4)} AS samp, {cut_sql(at('rn', 'rd', '5000.0::DOUBLE'), 4)} AS line FROM ({PTS})"
+
+
 def model_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*(F.lit(k) for k in ("AFFINE", "GCP", "CSCRNA", "RPC", "RSM", "SICD", "SIDD")))
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("image_id"), kinds[((F.col("l_partkey") + F.col("l_suppkey")) % 7).cast("int")].alias("kind"))
@@ -218,7 +278,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         wmq_tile_counts, wmq_tile_bounds, wmq_area_limits, lla_to_ecef, ecef_to_lla, normalize_lonlat, range_adjust, dms_format, srtm_tile_id, generic_tile_id, affine_roundtrip, homography_forward,
-        homography_inverse, homography_fit, chip_to_full, rpc_forward, rpc_inverse_newton, rsm_poly_eval, rsm_section_lookup, model_precedence,
+        homography_inverse, homography_fit, chip_to_full, rpc_forward, rpc_inverse_newton, rsm_poly_eval, rsm_section_lookup, rsm_forward, rsm_inverse, model_precedence,
     )
 }
 
@@ -247,5 +307,7 @@ FROM (SELECT *, -180.0::DOUBLE AS g0, 0.01::DOUBLE AS g1, 0.001::DOUBLE AS g2, 8
     "rpc_inverse_newton": f"SELECT o_orderkey, {cut_sql('lon_deg', 5)} AS lon, {cut_sql('lat_deg', 5)} AS lat, true AS close FROM ({PTS})",
     "rsm_poly_eval": _rsm_sql(),
     "rsm_section_lookup": f"SELECT section_row, section_col, count(*) AS n, sum(elev + (section_row * 5 + section_col) * 10.0::DOUBLE) AS total FROM (SELECT CAST(greatest(0, least(floor((lat_deg + 80) / 40.0), 3)) AS INTEGER) AS section_row, CAST(greatest(0, least(floor((lon_deg + 180) / 60.0), 4)) AS INTEGER) AS section_col, elev FROM ({PTS})) GROUP BY 1, 2",
+    "rsm_forward": _rsm_forward_sql(),
+    "rsm_inverse": f"SELECT o_orderkey, {cut_sql('lon_deg', 5)} AS lon, {cut_sql('lat_deg', 5)} AS lat, true AS close FROM ({PTS})",
     "model_precedence": _precedence_sql(),
 }

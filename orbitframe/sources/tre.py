@@ -57,21 +57,30 @@ def chip_corners(images: DataFrame, xml: str = "xml", key: str = "image_id") ->
 
 
 def rsm_parameters(images: DataFrame, xml: str = "xml", key: str = "image_id") -> DataFrame:
-    """Replacement model parameters, one row per polynomial record of an image, with its ground domain."""
+    """Replacement model parameters, one row per polynomial record of an image, with its ground domain; section numbers are the record's, from 1."""
     x = F.col(xml)
-    n = F.size(F.xpath(x, F.lit("//tre[@name='RSMPCA']/@name")))
-    rows = images.where(has(x, "RSMIDA") & (n > 0)).withColumn("record", F.explode(F.sequence(F.lit(1), n)))
-
-    def pca(name: str, kind: str = "double") -> Column:
-        # a path that depends on the row: taken from the list of all records' values
-        all_ = F.xpath(x, F.lit(f"//tre[@name='RSMPCA']/field[@name='{name}']/@value"))
-        return F.trim(F.try_element_at(all_, F.col("record"))).try_cast(kind)
-
+    records = F.regexp_extract_all(x, F.lit(r"(?s)<tre\s(?=[^>]*name=[\"']RSMPCA[\"'])[^>]*(?<!/)>.*?</tre>"), 0)  # fields of a record are read from its own text
+    rows = images.where(has(x, "RSMIDA")).withColumn("records", records).select("*", F.size("records").alias("n_records"), F.posexplode("records").alias("record", "record_xml"))
+    pca = lambda name, kind="double": field(F.col("record_xml"), "RSMPCA", name, kind)
     ida = lambda name, kind="double": field(x, "RSMIDA", name, kind)
-    vertex = lambda i: F.struct(*(ida(f"V{i}{a}").alias(a.lower()) for a in "XYZ"))
+    point = lambda *names: F.struct(*(ida(n).alias(a) for n, a in zip(names, "xyz", strict=True)))
     norms = {"row": "R", "col": "C", "x": "X", "y": "Y", "z": "Z"}
+    polys = ("rn", "rd", "cn", "cd")
     return rows.select(
-        key, pca("RSN", "int").alias("section_row"), pca("CSN", "int").alias("section_col"), ida("GRNDD", "string").alias("form"), F.array(*(vertex(i) for i in range(1, 9))).alias("vertices"),
-        F.struct(*(ida(f"{a}UOR").alias(a.lower()) for a in "XYZ")).alias("origin"), F.array(*(F.array(*(ida(f"{a}U{b}R") for b in "XYZ")) for a in "XYZ")).alias("axes"),
+        key, "record", "n_records", pca("RSN", "int").alias("section_row"), pca("CSN", "int").alias("section_col"), F.trim(ida("GRNDD", "string")).alias("form"), F.array(*(point(*(f"V{i}{a}" for a in "XYZ")) for i in range(1, 9))).alias("vertices"),
+        point("XUOR", "YUOR", "ZUOR").alias("origin"), F.array(*(F.array(*(ida(f"{b}U{a}R") for b in "XYZ")) for a in "XYZ")).alias("axes"), point("GRPX", "GRPY", "GRPZ").alias("reference_point"),
         *(pca(f"{t}NRMO").alias(f"{n}_off") for n, t in norms.items()), *(pca(f"{t}NRMSF").alias(f"{n}_scale") for n, t in norms.items()), *(ida(f).alias(f.lower()) for f in ("MINR", "MAXR", "MINC", "MAXC")),
+        *(F.array(*(pca(f"{k.upper()}PWR{a}", "int") for a in "XYZ")).alias(f"{k}_powers") for k in polys), *(coefficients(F.col("record_xml"), "RSMPCA", f"{k.upper()}PCF").alias(k) for k in polys),
+    )
+
+
+def rsm_sections(images: DataFrame, xml: str = "xml", key: str = "image_id") -> DataFrame:
+    """Numbers and sizes of an image's sections and the low-order polynomials that find a place's section, of the images with a section record."""
+    x = F.col(xml)
+    get = lambda name, kind="double": field(x, "RSMPIA", name, kind)
+    poly = lambda a: F.array(*(get(a + t) for t in ("0", "X", "Y", "Z", "XX", "XY", "XZ", "YY", "YZ", "ZZ")))
+    rows = images.where(has(x, "RSMIDA") & has(x, "RSMPIA"))
+    return rows.select(
+        key, get("RNIS", "int").alias("n_rows"), get("CNIS", "int").alias("n_cols"), get("RSSIZ").alias("row_size"), get("CSSIZ").alias("col_size"),
+        field(x, "RSMIDA", "MINR", "double").alias("min_row"), field(x, "RSMIDA", "MINC", "double").alias("min_col"), poly("R").alias("row_poly"), poly("C").alias("col_poly"),
     )

@@ -6,6 +6,7 @@ import struct
 from pyspark.sql import functions as F
 
 from orbitframe import sql, streaming
+from orbitframe.operators import models
 from orbitframe.sources import des, geojson, products, rasters, tre
 
 
@@ -54,6 +55,38 @@ def test_rsm_records(spark):
     assert [(r.section_row, r.row_off) for r in got] == [(1, 1.5), (2, 2.5)] and got[0].vertices[7].x == 8.0 and got[0].form == "G"
 
 
+def test_rsm_models(spark):
+    """Polynomials, axes and sections are read; images with a gap in their records have no model."""
+    f = lambda name, value: f'<field name="{name}" value="{value}"/>'
+    # x points east, y north, z up at longitude 90 degrees on the equator
+    form = "".join(f(f"{a}U{b}R", v) for b, axis in zip("XYZ", ((-1, 0, 0), (0, 0, 1), (0, 1, 0)), strict=True) for a, v in zip("XYZ", axis, strict=True)) + f("XUOR", 0) + f("YUOR", 6378137) + f("ZUOR", 0)
+    corners = "".join(f(f"V{i + 1}{a}", v) for i in range(8) for a, v in zip("XYZ", ((i % 2 - 0.5) * 4000, (i // 2 % 2 - 0.5) * 4000, i // 4 * 200), strict=True))
+    ida = f'<tre name="RSMIDA">{corners}{form}{f("GRNDD", "R")}{f("MINR", 0)}{f("MINC", 0)}</tre>'
+    poly = lambda k, powers, c: "".join(f(f"{k}PWR{a}", p) for a, p in zip("XYZ", powers, strict=True)) + f'<repeated name="{k}PCF" number="{len(c)}">' + "".join(f'<group index="{i}">{f(k + "PCF", v)}</group>' for i, v in enumerate(c)) + "</repeated>"
+
+    def pca(row, tilt, short=False):
+        norms = "".join(f(f"{a}NRMO", 0) + f(f"{a}NRMSF", 1000) for a in "RCXYZ")
+        body = f("RSN", row) + f("CSN", 1) + norms + poly("RN", (0, 1, 0), [0] if short else [2, -1]) + poly("RD", (0, 0, 0), [1]) + poly("CN", (1, 0, 1), [2, 1, tilt, 0]) + poly("CD", (0, 0, 0), [1])
+        return f'<tre name="RSMPCA">{body}</tre>'
+
+    pia = f'<tre name="RSMPIA">{"".join(f(k + t, v) for k, t, v in (("R", "0", 2000), ("R", "Y", -1), ("C", "0", 2000), ("C", "X", 1)))}{"".join(f(k + t, 0) for k in "RC" for t in ("X", "Y", "Z", "XX", "XY", "XZ", "YY", "YZ", "ZZ") if k + t not in ("RY", "CX"))}{f("RNIS", 2)}{f("CNIS", 1)}{f("RSSIZ", 2000)}{f("CSSIZ", 4000)}</tre>'
+    records = {"one": pca(1, 0.5), "two": pia + pca(2, 0.5) + pca(1, 0.25), "gap": pia + pca(2, 0.5) + pca(2, 0.5), "loose": pca(1, 0.5) + pca(2, 0.5), "bad": pca(1, 0.5, True)}
+    images = spark.createDataFrame([(n, f"<tres>{ida}{r}</tres>") for n, r in records.items()], "image_id string, xml string")
+    found = models.rsm_models(tre.rsm_parameters(images), tre.rsm_sections(images)).cache()
+    assert sorted((r.image_id, r.section_row, r.cn) for r in found.collect()) == [("one", 0, [2, 1, 0.5, 0]), ("two", 0, [2, 1, 0.25, 0]), ("two", 1, [2, 1, 0.5, 0])]
+    deg = 180 / 3.141592653589793 / 6378137
+    places = spark.createDataFrame([(n, 90 + 500 * deg, lat * deg, h) for n in records for lat, h in ((900, 100.0), (-900, 100.0))], "image_id string, lon_deg double, lat_deg double, height double")
+    image = models.rsm_world_to_image(places, found).cache()
+    got = sorted((r.image_id, round(r.y, -2), round(r.x)) for r in image.collect())
+    assert got == [("one", 1100, 2550), ("one", 2900, 2550), ("two", 1100, 2525), ("two", 2900, 2550)]
+    for r in models.rsm_image_to_world(image.withColumnsRenamed({"lon_deg": "lon", "lat_deg": "lat"}), found).collect():
+        assert abs(r.lon_deg - r.lon) < 1e-9 and abs(r.lat_deg - r.lat) < 1e-9 and r.residual < 1e-6
+    far = models.rsm_image_to_world(spark.createDataFrame([("one", -9e5, 2000.0), ("one", 2000.0, 2000.0)], "image_id string, x double, y double"), found, height=None).orderBy("x").collect()
+    west, middle = found.where("image_id = 'one'").first().box[0], far[1]
+    assert abs(far[0].lon_deg * 3.141592653589793 / 180 - west) < 1e-12 and far[0].residual > 8e5
+    assert middle.residual < 1e-6 and abs(middle.height - 100) < 1
+
+
 def test_des_segments(spark):
     xml = '<?xml version="1.0"?><l><des name="A"><field name="X" value="1"/></des><des name="B"><xml_content><q>z</q></xml_content></des></l>'
     rows = des.segments(spark.createDataFrame([("i", xml)], "image_id string, xml string"))
