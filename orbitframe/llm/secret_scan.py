@@ -44,7 +44,7 @@ EXTRA = [
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 ]
 RULES = BASE + EXTRA
-SPAN = "struct<no:int,kind:string,start:int,end:int>"
+SPAN = "struct<no:int,kind:string,key:string,start:int,end:int>"  # key: kind and version of the rule that found it
 
 
 def no_spans() -> Column:
@@ -65,7 +65,7 @@ def spans_of(text: Column, rule: Rule, no: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["before"])
         end = begin + F.length(F.coalesce(x["whole"], F.lit("")))
-        span = F.struct(F.lit(no).alias("no"), F.lit(rule.kind).alias("kind"), begin.alias("start"), end.alias("end"))
+        span = F.struct(F.lit(no).alias("no"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("key"), begin.alias("start"), end.alias("end"))
         good = F.coalesce(F.length(x["tested"]) >= rule.least, F.lit(False))
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
@@ -100,10 +100,10 @@ def by_path(versions: DataFrame, ledger: DataFrame, text_col: str = "text", rule
     """Every version's row with the spans, by start, that current rule versions found in its blob."""
     found = ledger.where(F.size("spans") > 0).select("blob_id", "spans")
     merged = found.groupBy("blob_id").agg(F.flatten(F.collect_list("spans")).alias("secret_spans"))
-    kinds = [r.kind for r in rules]
+    keys = [r.key for r in rules]
     order = F.transform(
-        F.array_sort(F.transform(F.filter("secret_spans", lambda s: s["kind"].isin(kinds)), lambda s: F.struct(s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end"), s["kind"].alias("kind")))),
-        lambda s: F.struct(s["no"], s["kind"], s["start"], s["end"]),
+        F.array_sort(F.transform(F.filter("secret_spans", lambda s: s["key"].isin(keys)), lambda s: F.struct(s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end"), s["kind"].alias("kind"), s["key"].alias("key")))),
+        lambda s: F.struct(s["no"], s["kind"], s["key"], s["start"], s["end"]),
     )
     # A key of its own gives the findings an exchange of their own, so that Spark can split the paths of a frequent blob.
     merged = merged.select(F.concat("blob_id", F.lit("")).alias("secret_blob"), "secret_spans")
