@@ -2,10 +2,11 @@
 
 Method: two smoothed variable-order Markov models of characters, one fitted to the URLs that rules accept and
 one to those that rules reject.  A URL that no rule fits is judged by the difference of its log-likelihoods per
-character against a threshold calibrated on a fifth of the ruled URLs that the models did not see.
+character against a threshold calibrated on a fifth of the ruled URLs that the models did not see: the first of
+five folds that has both classes and leaves both.  Without such a fold all ruled URLs are counted and it is 0.
 
 Each context of up to three characters keeps its counts of following characters; the longest context is
-interpolated with shorter ones (Witten-Bell), down to a uniform distribution.  Counts cover all ruled URLs.
+interpolated with shorter ones (Witten-Bell), down to a uniform distribution.  Counts cover all ruled URLs but the held-out ones.
 Each distinct URL is scored once and joined back to its rows.  Scores are whole millionths, so sums don't
 depend on their order.
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 CONTEXT = 3
 BINS = 200  # of the calibration's scores, from -BINS/20 to BINS/20 nats per character
 UNIFORM = 1 / 256
+FOLDS = 5
 
 
 class UrlRule(NamedTuple):
@@ -107,6 +109,15 @@ def threshold(held: DataFrame) -> float | None:
     return 1e5 * min(good, key=abs)
 
 
+def held_fold(present: list) -> int | None:
+    """The first fold that has both classes, as have the others together; FOLDS, so that none is held out, if there is none; None without both classes."""
+    of = lambda kind: {r["fold"] for r in present if r["class"] == kind}
+    a, b = of("allow"), of("block")
+    if not a or not b:
+        return None
+    return min((k for k in a & b if a - {k} and b - {k}), default=FOLDS)
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[UrlRule] = RULES) -> DataFrame:
     """id, host, path, rule and verdict of every row."""
     url = F.col(url_col)
@@ -115,12 +126,14 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rows = rows.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "ruled": rule_of(F.col("host"), F.col("path"), rules, "action")})
     rows = rows.withColumn("tail", F.concat("host", F.regexp_extract("rest", r"(?s)^[^/?#]*(.*)$", 1)))
     tails = rows.groupBy("tail", F.col("ruled").alias("class")).agg(F.count("*").alias("n"))
-    last = F.pmod(F.xxhash64("tail"), F.lit(5)) == 0
+    fold = F.pmod(F.xxhash64("tail"), F.lit(FOLDS))
+    held = held_fold(tails.where(F.col("class").isNotNull()).select(fold.alias("fold"), "class").distinct().collect())
+    if held is None:
+        return rows.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
+    last = fold == held
     train, rest = tails.where(F.col("class").isNotNull() & ~last), tails.where(F.col("class").isNull() | last)
     got = rest.join(scored(rest.select("tail"), train), "tail")
-    limit = threshold(got.where(F.col("class").isNotNull()))
-    if limit is None:
-        return rows.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
+    limit = threshold(got.where(F.col("class").isNotNull())) if held < FOLDS else 0.0
     found = got.where(F.col("class").isNull()).select("tail", F.when(F.col("score") >= limit, "allow").otherwise("block").alias("guess"))
     return rows.join(found, "tail", "left").select(id_col, "host", "path", "rule", F.coalesce("ruled", "guess", F.lit("allow")).alias("verdict"))
 
