@@ -5,7 +5,8 @@ hashes and a binary search.  To make the array sparse and split it over a cluste
 assigned to the smallest hash among its 32-byte strings (the leftmost of equals): equal windows pick the same
 string at the same place.  Windows with the same pick form a group; within it the suffixes from the picked
 string on are sorted, the longest-common-prefix array gives for every offset the windows whose right parts
-agree, and the hash of the left part decides the rest.  Windows found equal are compared byte by byte.
+agree, and the hash of the left part decides the rest.  Collisions are told by comparing bytes: of the sorted
+neighbours, of contexts folded as copies, and of the first and last window found equal.
 
 Only picks that occur twice in the corpus go on, told by packed hash sets per chunk (see exchange.py).  Strings
 found in very many chunks are picked last, so the neighbourhood of a frequent passage does not gather in one
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbitframe.llm import exchange as X
 from orbitframe.llm import kernels as K
-from orbitframe.llm.suffixes import common_prefix, sort_groups
+from orbitframe.llm.suffixes import sorted_groups
 
 WINDOW, PICK = 100, 32
 #: A string is picked last if it is in so many chunks; there are at most MANY_SHARE times a chunk's picks of these.
@@ -94,21 +95,14 @@ class Picks:
         return [place + base, hashes[place], first + base, last + base, np.searchsorted(at, place, side="right") - 1 + row]
 
 
-def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The spans' bytes, one after the other."""
-    size = end - start
-    total = int(size.sum())
-    if not total:
-        return np.zeros(0, np.uint8)
-    shift = np.repeat(start - (np.cumsum(size) - size), size)
-    return data[shift + np.arange(total)]
-
-
-def fold(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(earliest of each key, the others)."""
+def fold(key: np.ndarray, rank: np.ndarray, codes: np.ndarray, start: np.ndarray, place: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(earliest of each context, its copies); a context that differs from the earliest with its key is no copy."""
     order = np.lexsort((rank, key))
     lead = np.append(True, key[order][1:] != key[order][:-1]) if len(key) else np.zeros(0, bool)
-    return order[lead], order[~lead]
+    owner = order[lead][np.cumsum(lead) - 1]
+    same = (place - start)[order] == (place - start)[owner]
+    same &= K.spans_equal(codes, start[order], end[order], start[owner], end[owner])
+    return order[lead | ~same], order[~lead & same]
 
 
 def context_key(prefix: np.ndarray, start: np.ndarray, place: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -129,10 +123,8 @@ def group_repeats(codes: np.ndarray, start: np.ndarray, place: np.ndarray, end:
         return none, none, none
     first = np.append(0, np.cumsum(sizes))
     a, e = place[order], end[order]
-    sort = sort_groups(prefix, codes, a, e, first)
+    sort, lcp = sorted_groups(prefix, codes, a, e, first)
     order, a, e = order[sort], a[sort], e[sort]
-    lcp = common_prefix(prefix, a[:-1], a[1:], np.minimum(e[:-1] - a[:-1], e[1:] - a[1:]))
-    lcp[first[1:-1] - 1] = 0
     left, low = a - start[order], window - (e - a)
     rank, n = rank[order], len(order)
     smallest, largest = np.full(n, -1), np.full(n, -1)
@@ -177,7 +169,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     if not PICK * 2 <= window < 2048:
         raise ValueError("window must be 64 bytes at least and under 2048")
     layout = X.layout_of(docs, text_col)
-    rows = X.chunked(docs, layout, id_col, text_col)
+    rows = X.chunked(docs, layout, id_col, text_col, spread_nulls=False)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["bucket", "chunk", "payload"]
     spark = docs.sparkSession
@@ -224,7 +216,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
         place, hashes, doc = picks.place[live], picks.hash[live], picks.doc[live]
         start, end = picks.first[live], picks.last[live] + window
         prefix = K.prefix_hash(K.BYTE_CODE[picks.data])
-        keep, copies = fold(context_key(prefix, start, place, end, hashes), place)
+        keep, copies = fold(context_key(prefix, start, place, end, hashes), place, picks.data, start, place, end)
         chunk, out = table.column("chunk")[0].as_py(), []
         bucket = (hashes % np.uint64(layout.chunks)).astype(np.int64)  # contexts are larger than hashes, so there are more buckets
         keep = keep[np.argsort(bucket[keep], kind="stable")]
@@ -234,7 +226,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
         for b in np.flatnonzero(np.diff(cuts)):
             k = keep[cuts[b] : cuts[b + 1]]
             d = doc[k]
-            parts = [hashes[k].tobytes(), *_numbers(key[d], d, place[k] - picks.at[d]), (place[k] - start[k]).astype("<i2").tobytes(), (end[k] - place[k]).astype("<i2").tobytes(), gather(picks.data, start[k], end[k]).tobytes()]
+            parts = [hashes[k].tobytes(), *_numbers(key[d], d, place[k] - picks.at[d]), (place[k] - start[k]).astype("<i2").tobytes(), (end[k] - place[k]).astype("<i2").tobytes(), K.gather(picks.data, start[k], end[k]).tobytes()]
             out.append((int(b), X.join_parts(*parts, *none)))
         if len(copies):  # told through some bucket, so that one exchange brings all spans back
             d = doc[copies]
@@ -263,7 +255,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
             place, end = start + left, start + size
             rank = np.empty(len(key), np.int64)
             rank[np.lexsort((offset, doc, key))] = np.arange(len(key))
-            keep, copies = fold(context_key(K.prefix_hash(K.BYTE_CODE[codes]), start, place, end, hashes), rank)
+            keep, copies = fold(context_key(K.prefix_hash(K.BYTE_CODE[codes]), start, place, end, hashes), rank, codes, start, place, end)
             at, smallest, largest = group_repeats(codes, start[keep], place[keep], end[keep], hashes[keep], rank[keep], window)
             who = np.concatenate([copies, keep[at]])
             lo = np.concatenate([offset[copies] - left[copies], offset[keep[at]] - largest])

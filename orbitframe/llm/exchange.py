@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_TEXT, BUCKET_TEXT, LEAST_PARTS = 4 << 20, 16 << 20, 64
+#: From so much text on, chunks and buckets grow with its square root, so that sets sent grow in proportion to it; an
+#: executor's memory ends that at MOST_GROWTH times the size, beyond which there are more sets of fewer hashes each.
+GROWTH_TEXT, MOST_GROWTH = 64 << 30, 8
 SETS = "bucket int, chunk int, payload binary"
 REPLIES = "chunk int, bucket int, payload binary"
 
@@ -31,12 +34,14 @@ class Layout(NamedTuple):
 
 def layout_of(docs: DataFrame, text_col: str) -> Layout:
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
-    return Layout(max(LEAST_PARTS, -(-size // CHUNK_TEXT)), max(LEAST_PARTS, -(-size // BUCKET_TEXT)), min(60, 40 + max(0, (int(size) >> 32).bit_length())))
+    grown = min(MOST_GROWTH, max(1.0, (size / GROWTH_TEXT) ** 0.5))
+    return Layout(max(LEAST_PARTS, -(-size // int(CHUNK_TEXT * grown))), max(LEAST_PARTS, -(-size // int(BUCKET_TEXT * grown))), min(60, 40 + max(0, (int(size) >> 32).bit_length())))
 
 
-def chunked(docs: DataFrame, layout: Layout, id_col: str, text_col: str) -> DataFrame:
-    """chunk, doc_id and text; every row of an id is in the same chunk."""
-    return docs.select(F.pmod(F.xxhash64(id_col), F.lit(layout.chunks)).cast("int").alias("chunk"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def chunked(docs: DataFrame, layout: Layout, id_col: str, text_col: str, spread_nulls: bool = True) -> DataFrame:
+    """chunk, doc_id and text; every row of an id is in the same chunk, but for null ids if they are spread by text."""
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col)) if spread_nulls else F.xxhash64(id_col)
+    return docs.select(F.pmod(key, F.lit(layout.chunks)).cast("int").alias("chunk"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def sorted_docs(table: pa.Table) -> tuple[pa.Array, pa.Array]:
@@ -56,7 +61,7 @@ def order_keys(ids: pa.Array) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted distinct values below 2**63, as differences; the all-ones difference only carries on."""
+    """Sorted values below 2**63, as differences; the all-ones difference only carries on."""
     if not len(values):
         return b""
     gaps = np.diff(values.astype(np.int64), prepend=0)
@@ -82,6 +87,13 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(gaps)[gaps != (1 << (8 * width)) - 1]
 
 
+def paired_groups(values: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by value, then check; which places in it begin a new pair)."""
+    order = np.lexsort((checks, values))
+    v, c = values[order], checks[order]
+    return order, np.append(True, (v[1:] != v[:-1]) | (c[1:] != c[:-1])) if len(v) else np.zeros(0, bool)
+
+
 def join_parts(*parts: bytes) -> bytes:
     return struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts)
 
@@ -96,14 +108,20 @@ def split_parts(data: bytes, n: int) -> list[bytes]:
 
 
 class HashSet:
-    """The distinct hashes of a chunk, cut by bucket."""
+    """The distinct hashes of a chunk, cut by bucket; with checks, the distinct pairs of a hash and its check."""
 
-    def __init__(self, hashes: np.ndarray, layout: Layout):
+    def __init__(self, hashes: np.ndarray, layout: Layout, checks: np.ndarray | None = None):
         short = hashes >> np.uint64(64 - layout.bits)
         n = np.uint64(layout.buckets)
         #: Sorting by bucket, then value: the bucket is the remainder, so neighbours spread evenly.
         key = (short % n) * np.uint64((1 << layout.bits) // layout.buckets + 1) + short // n
-        self.distinct, self.inverse, self.count = np.unique(key, return_inverse=True, return_counts=True)
+        if checks is None:
+            self.distinct, self.inverse, self.count = np.unique(key, return_inverse=True, return_counts=True)
+        else:
+            order, new = paired_groups(key, checks)
+            self.distinct, self.checks = key[order][new], checks[order][new]
+            self.inverse = np.empty(len(key), np.int64)
+            self.inverse[order] = np.cumsum(new) - 1
         edges = np.arange(layout.buckets + 1, dtype=np.uint64) * np.uint64((1 << layout.bits) // layout.buckets + 1)
         self.cuts = np.searchsorted(self.distinct, edges)
         self.base = edges

@@ -47,11 +47,10 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
         grams = K.gram_hashes(words, width)[place] if len(place) else np.zeros(0, np.uint64)
         doc = np.searchsorted(first, place, side="right") - 1
         n = np.diff(first)
-        short = np.flatnonzero((n > 0) & (n < width))
-        if len(short):
-            prefix = K.prefix_hash(words)
-            whole = K.mix(K.span_hash(prefix, first[short], first[short + 1]) + n[short].astype(np.uint64))
-            grams, doc = np.concatenate([grams, whole]), np.concatenate([doc, short])
+        for k in range(1, width):  # the whole text is one shingle
+            short = np.flatnonzero(n == k)
+            if len(short):
+                grams, doc = np.concatenate([grams, K.gram_hashes(words, k)[first[short]]]), np.concatenate([doc, short])
         order = np.lexsort((grams, doc))
         grams, doc = grams[order], doc[order]
         new = np.append(True, (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])) if len(grams) else np.zeros(0, bool)

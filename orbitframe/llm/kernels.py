@@ -1,14 +1,19 @@
 """Array kernels over the UTF-8 buffers of Arrow string columns.
 
 An Arrow string column is one byte buffer plus offsets, so a batch of documents can be cut into words and
-hashed with a handful of array operations, without a Python object per word.  Polynomial hashes are kept
-modulo 2**64 as a running sum ``H[i] = sum(T[b_j] * R**j)``: the hash of any span is one subtraction and one
-multiplication by an inverse power.
+hashed with a handful of array operations, without a Python object per word.
+
+Two kinds of hashes are used.  Those that stand for a word or a run of words where the text is not at hand mix
+eight bytes, or two runs, at a time by a function that is not linear.  Polynomial prefix hashes modulo 2**64, kept
+as a running sum ``H[i] = sum(T[b_j] * R**j)``, give the hash of any span by one subtraction and one
+multiplication by an inverse power; some texts collide whatever the base, so they only guide comparisons
+within a buffer, and what they find equal is compared in full (``spans_equal``, ``suffixes.py``).
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +24,10 @@ BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Documents are worked on in runs of about this many bytes, which bounds the arrays of a task.
 CHUNK_BYTES = 1 << 20
+SEED = 0x2545F4914F6CDD1D
+#: A word of up to so many times eight bytes is hashed together with the others.
+LANES = 8
+LANE_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
 
 BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 IS_SPACE = np.zeros(256, bool)
@@ -117,15 +126,79 @@ def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, first
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash for each word."""
-    prefix = prefix_hash(BYTE_CODE[LOWER[data] if lower else data])
-    return mix(span_hash(prefix, starts, ends) + (ends - starts).astype(U64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = SEED) -> np.ndarray:
+    """A 64-bit hash for each word, of eight bytes at a time; words of over LANES of these are hashed one by one."""
+    data = LOWER[data] if lower else data
+    size = ends - starts
+    out = mix(size.astype(U64) + U64(seed))
+    lanes = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    at = np.flatnonzero(size <= 8 * LANES)
+    for k in range(LANES):
+        at = at[size[at] > 8 * k] if k else at
+        if not len(at):
+            break
+        lane = lanes[starts[at] + 8 * k] & LANE_MASK[np.minimum(size[at] - 8 * k, 8)]
+        out[at] = mix((out[at] ^ lane) * U64(BASE) + U64(k))
+    long = np.flatnonzero(size > 8 * LANES)
+    for i, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+        out[i] = int.from_bytes(hashlib.blake2b(data[a:b].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of a followed by b."""
+    return mix(mix(a + U64(SEED)) * U64(BASE) + b)
 
 
 def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash for each run of width words, not heeding document edges."""
-    return rolling_hash(prefix_hash(words), width)
+    """A hash for each run of width words, not heeding document edges; runs are put together from runs of 1, 2, 4 and so on."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    power, size, out, done = words, 1, None, 0
+    while True:
+        if width & size:
+            out = power if out is None else paired(out[: len(power) - done], power[done:])
+            done += size
+        size *= 2
+        if size > width:
+            return mix(out[:n] + U64(width))
+        power = paired(power[: len(power) - size // 2], power[size // 2 :])
+
+
+def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The spans' values, one after the other."""
+    size = end - start
+    total = int(size.sum())
+    if not total:
+        return data[:0]
+    shift = np.repeat(start - (np.cumsum(size) - size), size)
+    return data[shift + np.arange(total)]
+
+
+def spans_equal(data: np.ndarray, start: np.ndarray, end: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether each span start:end equals start2:end2, value by value."""
+    size = end - start
+    same = size == end2 - start2
+    rows = np.flatnonzero(same & (size > 0) & (start != start2))
+    cuts = np.searchsorted(np.cumsum(size[rows]), np.arange(0, int(size[rows].sum()) + 1, 1 << 22)) if len(rows) else np.zeros(1, np.int64)
+    cuts = np.unique(np.append(cuts, [0, len(rows)]))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # bounds the arrays
+        r = rows[lo:hi]
+        differ = gather(data, start[r], end[r]) != gather(data, start2[r], end2[r])
+        first = np.cumsum(size[r]) - size[r]
+        same[r] = np.add.reduceat(differ, first, dtype=np.int64) == 0
+    return same
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word of a buffer, the same for words equal byte by byte and no others."""
+    _, first, number = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    lead = first[number]
+    if spans_equal(data, starts, ends, starts[lead], ends[lead]).all():
+        return number
+    names: dict[bytes, int] = {}  # hashes collided
+    return np.array([names.setdefault(data[a:b].tobytes(), len(names)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
 
 
 def inside(first: np.ndarray, width: int, n: int) -> np.ndarray:

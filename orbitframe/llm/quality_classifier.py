@@ -51,7 +51,8 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     starts, ends, first = K.words_of(data, at)
     solid = ~K.IS_SPACE[data]
     prefix = K.prefix_hash(K.BYTE_CODE[data])
-    words = K.mix(K.span_hash(prefix, starts, ends) + (ends - starts).astype(np.uint64))
+    number = K.word_numbers(data, starts, ends)
+    words = K.mix(number.astype(np.uint64))
     n = np.diff(first)
     some, many = np.maximum(n, 1), np.maximum(K.segment_sum(solid, at), 1)
     per_byte = lambda table: K.segment_sum(table[data], at) / many
@@ -64,7 +65,7 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     np.add.at(distinct, owner, 1)
     np.maximum.at(top, owner, np.diff(np.append(runs, len(key))))
     twice = np.append(False, (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])) if len(words) else np.zeros(0, bool)
-    mask, longest = repetition(words, first)
+    mask, longest = repetition(number, first)
     columns = [
         np.log1p(n), many / some, per_byte(UPPER), per_byte(DIGIT), per_byte(SYMBOL), per_byte(BANG), per_byte(STOP), per_byte(COMMA), per_byte(QUOTE), per_byte(np.arange(256) > 127),
         K.segment_sum(data == 10, at) / some, distinct / some, K.segment_sum(twice, first) / some, duplicate_lines(data, at, prefix, np.append(0, np.cumsum(solid))) / some, K.segment_sum(mask, first) / some, np.log1p(longest),

@@ -1,7 +1,7 @@
 """Quality rules (operator 8): plain counts and repetition within a text.
 
 Method: a suffix array over a text's words.  Suffixes that share their first eight words are sorted by hash
-comparison; runs of neighbours whose common prefix is long enough (the intervals of the longest-common-prefix
+comparison, with collisions told and undone (suffixes.py); runs of neighbours whose common prefix is long enough (the intervals of the longest-common-prefix
 array) are the maximal repeated word strings.  The union of their spans gives the covered fraction, and their
 longest common prefix the longest repeat.  A text is rejected when too much of it is covered or when one repeat
 is too long.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitframe.llm import kernels as K
-from orbitframe.llm.suffixes import common_prefix, sort_groups
+from orbitframe.llm.suffixes import sorted_groups
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -51,22 +51,28 @@ def duplicate_lines(data: np.ndarray, at: np.ndarray, prefix: np.ndarray, solid_
     full = solid_sum[np.minimum(end, n)] > solid_sum[np.minimum(start, n)]
     start, end, doc = start[full], end[full], doc[full]
     key = K.mix(K.span_hash(prefix, start, end) + (end - start).astype(np.uint64)) + K.mix(doc.astype(np.uint64))
-    _, once = np.unique(key, return_index=True)
+    _, once, line = np.unique(key, return_index=True, return_inverse=True)
+    lead = once[line]
+    if not (K.spans_equal(data, start, end, start[lead], end[lead]) & (doc == doc[lead])).all():  # hashes collided
+        seen: dict[tuple[int, bytes], int] = {}
+        for i, line_key in enumerate((int(d), data[a:b].tobytes()) for d, a, b in zip(doc, start, end, strict=True)):
+            seen.setdefault(line_key, i)
+        once = np.array(list(seen.values()), np.int64)
     out = np.bincount(doc, minlength=len(at) - 1)
     return out - np.bincount(doc[once], minlength=len(at) - 1)
 
 
 def repetition(words: np.ndarray, first: np.ndarray, least: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(which words lie in a repeat of least words or more, longest repeat of each text)."""
+    """(which words lie in a repeat of least words or more, longest repeat of each text); words are numbers."""
     n, docs = len(words), len(first) - 1
     longest = np.zeros(docs, np.int64)
     mask = np.zeros(n, bool)
     if n < least:
         return mask, longest
-    prefix = K.prefix_hash(words)
+    codes = K.mix(words.astype(np.uint64))  # still one code per word
     begin = np.flatnonzero(K.inside(first, least, n))
     doc = np.searchsorted(first, begin, side="right") - 1
-    key = K.mix(K.span_hash(prefix, begin, begin + least)) + K.mix(doc.astype(np.uint64))
+    key = K.gram_hashes(codes, least)[begin] + K.mix(doc.astype(np.uint64))
     order = np.argsort(key, kind="stable")
     key = key[order]
     same = np.append(False, key[1:] == key[:-1])
@@ -76,10 +82,9 @@ def repetition(words: np.ndarray, first: np.ndarray, least: int = WINDOW) -> tup
         return mask, longest
     groups = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
     end = first[doc + 1]
-    order = sort_groups(prefix, words, begin, end, groups)
-    begin, end = begin[order], end[order]
-    lcp = common_prefix(prefix, begin[:-1], begin[1:], np.minimum(end[:-1] - begin[:-1], end[1:] - begin[1:]))
-    lcp[key[1:] != key[:-1]] = 0
+    order, lcp = sorted_groups(K.prefix_hash(codes), codes, begin, end, groups)
+    begin, doc = begin[order], doc[order]
+    lcp[(lcp < least) | (doc[1:] != doc[:-1])] = 0  # only if hashes collided
     reach = np.maximum(np.append(0, lcp), np.append(lcp, 0))
     step = np.zeros(n + 1, np.int64)
     np.add.at(step, begin, 1)
@@ -95,7 +100,7 @@ def counts_of(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     starts, ends, first = K.words_of(data, at)
     solid = ~K.IS_SPACE[data]
     prefix = K.prefix_hash(K.BYTE_CODE[data])
-    words = K.mix(K.span_hash(prefix, starts, ends) + (ends - starts).astype(np.uint64))
+    words = K.word_numbers(data, starts, ends)
     solid_sum = np.append(0, np.cumsum(solid))
     lines = duplicate_lines(data, at, prefix, solid_sum)
     mask, longest = repetition(words, first)
