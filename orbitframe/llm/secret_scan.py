@@ -44,6 +44,7 @@ EXTRA = [
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 ]
 RULES = BASE + EXTRA
+BLOCK = 256  # matches walked at a time
 SPAN = "struct<no:int,kind:string,key:string,start:int,end:int>"  # key: kind and version of the rule that found it
 
 
@@ -53,23 +54,38 @@ def no_spans() -> Column:
 
 
 def spans_of(text: Column, rule: Rule, no: int) -> Column:
-    """Spans of one rule.  Splitting by the pattern gives the texts between the matches, hence their places."""
+    """Spans of one rule.  Splitting by the pattern gives the texts between the matches, hence their places.
+
+    Matches are walked in blocks of BLOCK, since a list that grows by one is copied each time: a fold over the
+    blocks' lengths gives where each begins, and a fold within each block its spans.
+    """
     pattern = F.lit(rule.pattern)
     found = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("before"),
-        F.regexp_extract_all(text, pattern, 0).alias("whole"),
-        F.regexp_extract_all(text, pattern, rule.group).alias("tested"),
+        F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
+        F.transform(F.regexp_extract_all(text, pattern, 0), F.length).alias("size"),
+        F.transform(F.regexp_extract_all(text, pattern, rule.group), F.length).alias("tested"),
     )
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
+    whole = lambda x: x["gap"] + F.coalesce(x["size"], F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["before"])
-        end = begin + F.length(F.coalesce(x["whole"], F.lit("")))
+        begin = acc["at"] + x["gap"]
+        end = begin + F.coalesce(x["size"], F.lit(0))
         span = F.struct(F.lit(no).alias("no"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("key"), begin.alias("start"), end.alias("end"))
-        good = F.coalesce(F.length(x["tested"]) >= rule.least, F.lit(False))
+        good = F.coalesce(x["tested"] >= rule.least, F.lit(False))
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(found, start, step)["spans"]).otherwise(no_spans())
+    def blocks(matches: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")), lambda i: F.slice(matches, i * BLOCK + 1, BLOCK))
+        return F.transform(cut, lambda part: F.struct(part.alias("part"), F.aggregate(part, F.lit(0), lambda n, x: n + whole(x)).alias("length")))
+
+    def places(cut: Column) -> Column:
+        """Where each block begins, itself in blocks for texts of very many matches."""
+        starts = F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")), lambda acc, c: F.struct((acc["at"] + c["length"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
+        return F.zip_with(cut, starts, lambda c, at: F.aggregate(c["part"], F.struct(at.alias("at"), no_spans().alias("spans")), step)["spans"])
+
+    # each step is bound to a variable of its own, so that none is worked out twice
+    bound = lambda value, then: F.transform(F.array(value), then)[0]
+    return F.when(text.rlike(rule.pattern), bound(found, lambda m: bound(blocks(m), lambda c: F.flatten(places(c))))).otherwise(no_spans())
 
 
 def blob_id(text: Column) -> Column:
@@ -97,7 +113,10 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, text_col
 
 
 def by_path(versions: DataFrame, ledger: DataFrame, text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """Every version's row with the spans, by start, that current rule versions found in its blob."""
+    """Every version's row with the spans, by start, that current rule versions found in its blob, as secret_spans.
+
+    A column secret_spans of the rows is replaced; all others are carried, whatever their names.
+    """
     found = ledger.where(F.size("spans") > 0).select("blob_id", "spans")
     merged = found.groupBy("blob_id").agg(F.flatten(F.collect_list("spans")).alias("secret_spans"))
     keys = [r.key for r in rules]
@@ -106,9 +125,11 @@ def by_path(versions: DataFrame, ledger: DataFrame, text_col: str = "text", rule
         lambda s: F.struct(s["no"], s["kind"], s["key"], s["start"], s["end"]),
     )
     # A key of its own gives the findings an exchange of their own, so that Spark can split the paths of a frequent blob.
-    merged = merged.select(F.concat("blob_id", F.lit("")).alias("secret_blob"), "secret_spans")
-    joined = versions.withColumn("secret_blob", blob_id(F.col(text_col))).join(merged, "secret_blob", "left")
-    return joined.withColumn("secret_spans", F.coalesce(order, no_spans())).drop("secret_blob")
+    merged = merged.select(F.concat("blob_id", F.lit("")).alias("blob_key"), order.alias("spans"))
+    # the row is carried as one value, so that no name of its columns can clash
+    packed = versions.select(F.struct("*").alias("row"), blob_id(F.col(text_col)).alias("blob_key"))
+    joined = packed.join(merged, "blob_key", "left").select("row", F.coalesce("spans", no_spans()).alias("secret_spans"))
+    return joined.select(*(F.col("row")[c].alias(c) for c in versions.columns if c != "secret_spans"), "secret_spans")
 
 
 def span_text(spans: Column) -> Column:
