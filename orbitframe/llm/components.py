@@ -15,7 +15,8 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     else:
         arcs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = arcs.join(least, "u")
+    # a key of its own gives the aggregate an exchange of its own, so that Spark can split the arcs of a frequent vertex
+    joined = arcs.join(least.select(F.col("u").bitwiseXOR(F.lit(0)).alias("u"), "m"), "u")
     if small:
         tied = joined.select(F.col("v").alias("x"), "m").unionAll(least.select(F.col("u").alias("x"), "m"))
     else:
@@ -27,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex of the edges a-b, the component being its smallest id.
 
     Each round ties larger neighbours, then smaller ones, to the smallest; the number of rounds grows with the
-    logarithm of the longest path.  A vertex with very many edges is handled by aggregation and a join.
+    logarithm of the longest path.  The arcs of a vertex with very many are summed up before they are
+    dealt out, and split by Spark where they are joined to the sum.
     """
     edges = checkpointed(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct())
     state = None

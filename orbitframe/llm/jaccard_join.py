@@ -15,7 +15,13 @@ checks as they have members.  Then only pairs from different components are look
 verified, so no link between components is lost, and copies never become all pairs.
 
 Documents with equal shingle sets are linked and stand for one another.  A null or empty text has no shingles
-and is alone, as is each row with a null id.  Rows that share an id get the same component if their texts link.
+and is alone.  Shingles are told by 64-bit hashes, so two texts of 200 words each take a wrong shingle for a common
+one with a chance of 2**-49.
+
+In linked_documents a row with a null id is alone, and rows that share an id are one vertex, so their texts' links
+are joined.  keep_one goes by rows, whatever their ids: of each component one row stays, the one with the smallest
+id (null last) and then the smallest digest of its text; of rows equal in id and text one stays.  Extra columns are
+carried or ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +41,7 @@ from orbitframe.llm.shared import checkpointed
 
 SHINGLE, PERCENT = 4, 85
 BITS = 1024  # of the bitmap that filters pairs
+TEXT_KEY = 32  # hexadecimal digits of a text's digest
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +72,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def described(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n and, of documents that may have a link: set_id, number of single shingles, and (once per chunk and set) the others in global order."""
+    """doc_id, n, number of single shingles and, of documents that may have a link: set_id, digest of the text, and (once per chunk and set) the other shingles in global order."""
     layout = X.layout_of(docs, text_col)
     layout = layout._replace(bits=layout.bits - 8)  # two shingles taken for one only make the filter weaker
     rows = X.chunked(docs, layout, id_col, text_col)
@@ -96,7 +103,7 @@ def described(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
         out = [kinds[e - len(v) : e].tobytes() for v, e in zip(values, ends, strict=True)]
         return X.binary_table(["chunk", "bucket", "payload"], table.column("chunk").to_pylist(), [table.column("bucket")[0].as_py()] * len(out), out)
 
-    names = ["doc_id", "n", "single", "set_id", "live"]
+    names = ["doc_id", "n", "single", "set_id", "text_key", "live"]
 
     def describe(table: pa.Table, replies: pa.Table) -> pa.Table:
         ids, texts = X.sorted_docs(table) if table.num_rows else (pa.array([], table.column("doc_id").type), pa.array([], pa.string()))
@@ -108,19 +115,21 @@ def described(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
         kinds = kinds[found.inverse] if len(grams) else kinds
         size = np.diff(first)
         single = K.segment_sum(kinds == 1, first)
-        may = (size > 0) & (100 * (size - single) >= percent * size) & np.asarray(ids.is_valid())
-        set_ids, live, seen = [None] * len(size), [None] * len(size), set()
+        may = (size > 0) & (100 * (size - single) >= percent * size)
+        set_ids, text_keys, live, seen = [None] * len(size), [None] * len(size), [None] * len(size), set()
+        data, at = K.string_parts(texts)
         for d in np.flatnonzero(may):
+            text_keys[d] = hashlib.sha256(data[at[d] : at[d + 1]]).hexdigest()[:TEXT_KEY]
             mine, k = grams[first[d] : first[d + 1]], kinds[first[d] : first[d + 1]]
             set_ids[d] = hashlib.sha256(mine.tobytes()).hexdigest()[:32]
             if set_ids[d] not in seen:
                 seen.add(set_ids[d])
                 mine, k = mine[k > 1], k[k > 1]
                 live[d] = mine[np.lexsort((mine, k))].tobytes()
-        return pa.table([ids, pa.array(size), pa.array(single), pa.array(set_ids, pa.string()), pa.array(live, pa.binary())], names=names)
+        return pa.table([ids, pa.array(size), pa.array(single), pa.array(set_ids, pa.string()), pa.array(text_keys, pa.string()), pa.array(live, pa.binary())], names=names)
 
     replies = rows.groupBy("chunk").applyInArrow(send, X.SETS).groupBy("bucket").applyInArrow(classes, X.REPLIES)
-    return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(describe, f"doc_id {kind}, n long, single long, set_id string, live binary")
+    return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(describe, f"doc_id {kind}, n long, single long, set_id string, text_key string, live binary")
 
 
 def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
@@ -159,6 +168,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.select("x", "y", "nx", "ny", "lx", "ly").mapInArrow(run, "x long, y long")
 
 
+def _own(name: str) -> Column:
+    """The column as a key of its own: an aggregate gets an exchange of its own before a join, so that Spark can split the other side's frequent keys."""
+    return F.concat(F.col(name), F.lit("")).alias(name)
+
+
 def _size_fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
@@ -173,7 +187,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     hubs = tokens.groupBy("token", "band").agg(F.min(F.struct("single", "head"))["head"].alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many")
     votes = tokens.join(hubs, ["token", "band"]).where("head != hub").groupBy("head", "hub").agg(F.count("*").alias("votes"))
     chosen = votes.groupBy("head").agg(F.max(F.struct("votes", "hub"))["hub"].alias("y")).select(F.col("head").alias("x"), "y")
-    members = rows.join(groups.select("prefix", "n", "head"), ["prefix", "n"]).where("node != head").select(F.col("node").alias("x"), F.col("head").alias("y"))
+    members = rows.join(groups.select(_own("prefix"), "n", "head"), ["prefix", "n"]).where("node != head").select(F.col("node").alias("x"), F.col("head").alias("y"))
     first = checkpointed(verified(chosen.unionAll(members).distinct(), sets, percent))
     tied = components(first.select(F.col("x").alias("a"), F.col("y").alias("b")))
     # Pairs of groups from different components.  A shingle's rows in its main component need not meet each other.
@@ -194,27 +208,59 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     whole = c("n_x") + c("n_y")
     same = (whole - c("single_x") - c("single_y") - F.coalesce(turned, F.lit(0))) / 2  # at most
     pairs = off.join(every, "token").where(apart & near & (100 * same >= percent * (whole - same))).select("head_x", "head_y").distinct()
-    who = placed.join(grouped.select("prefix", "n", "component", "head"), ["prefix", "n", "component"]).select("head", "node")
+    who = placed.join(grouped.select(_own("prefix"), "n", "component", "head"), ["prefix", "n", "component"]).select("head", "node")
     wide = pairs.join(who.toDF("head_x", "x"), "head_x").join(who.toDF("head_y", "y"), "head_y").select("x", "y")
     return first.unionAll(verified(wide, sets, percent))
 
 
+def tied_sets(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links a-b of the distinct sets of described rows, set_id and node of each set)."""
+    grouped = rows.groupBy("set_id").agg(F.first("n").alias("n"), F.first("single").alias("single"), F.first("live", ignorenulls=True).alias("live"))
+    sets = checkpointed(grouped.withColumn("node", F.monotonically_increasing_id()))
+    edges = checkpointed(links(sets, percent))
+    return edges.select(F.col("x").alias("a"), F.col("y").alias("b")), sets.select("set_id", "node")
+
+
 def linked_documents(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids, sizes of shingle sets, and the smallest id that each row reaches by links."""
     rows = checkpointed(described(docs, width, percent, id_col, text_col))
-    some = rows.where(F.col("set_id").isNotNull())
-    sets = checkpointed(some.groupBy("set_id").agg(F.min("doc_id").cast("long").alias("node"), F.first("n").alias("n"), F.first("single").alias("single"), F.first("live", ignorenulls=True).alias("live")))
-    edges = checkpointed(links(sets, percent))
-    tied = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = sets.select("set_id", "node").join(tied.withColumnRenamed("id", "node"), "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    out = some.join(named, "set_id").select("doc_id", "n", "component").unionAll(rows.where(F.col("set_id").isNull()).select("doc_id", "n", F.col("doc_id").cast("long").alias("component")))
+    linkable = F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()
+    some = rows.where(linkable)
+    edges, sets = tied_sets(some, percent)
+    # the sets of an id with several texts are one vertex
+    owned = some.groupBy("doc_id").agg(F.min("set_id").alias("one"), F.max("set_id").alias("other")).where("one != other").select("doc_id")
+    shared = some.join(owned, "doc_id", "left_semi").select("doc_id", "set_id").distinct().join(sets, "set_id")
+    shared = shared.join(shared.groupBy("doc_id").agg(F.min("node").alias("least")), "doc_id").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    tied = components(edges.unionAll(shared))
+    placed = sets.join(tied.withColumnRenamed("id", "node"), "node", "left").select("set_id", F.coalesce("component", "node").alias("tie"))
+    named = some.select("doc_id", "n", "set_id").join(placed, "set_id")
+    least = named.groupBy("tie").agg(F.min("doc_id").cast("long").alias("component"))
+    out = named.join(least.select(F.col("tie").bitwiseXOR(F.lit(0)).alias("tie"), "component"), "tie").select("doc_id", "n", "component")
+    out = out.unionAll(rows.where(~linkable).select("doc_id", "n", F.col("doc_id").cast("long").alias("component")))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that are the first of their component; a null id always stays."""
-    gone = linked_documents(docs, width, percent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows, with all their columns, of which one of each component is left."""
+    rows = checkpointed(described(docs, width, percent, id_col, text_col)).where(F.col("set_id").isNotNull())
+    edges, sets = tied_sets(rows, percent)
+    tied = components(edges)
+    placed = sets.join(tied.withColumnRenamed("id", "node"), "node", "left").select("set_id", F.coalesce("component", "node").alias("tie"))
+    named = rows.select("doc_id", "text_key", "set_id").join(placed, "set_id").groupBy("tie", "doc_id", "text_key").agg(F.count("*").alias("many"))
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
+    named = checkpointed(named.withColumn("rank", rank))
+    first = named.groupBy("tie").agg(F.min("rank").alias("first"))
+    judged = named.join(first.select(F.col("tie").bitwiseXOR(F.lit(0)).alias("tie"), "first"), "tie")
+    # what goes: rows after the first of their component, and the first as well where it is repeated, to be put back once
+    gone = judged.where((F.col("rank") != F.col("first")) | (F.col("many") > 1)).select("doc_id", "text_key")
+    again = judged.where((F.col("rank") == F.col("first")) & (F.col("many") > 1)).select("doc_id", "text_key")
+    # the row is carried as one value, so that no name of its columns can clash
+    key = F.left(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.lit(TEXT_KEY))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), key.alias("row_key"))
+    met = lambda keys: F.col("row_id").eqNullSafe(keys["doc_id"]) & (F.col("row_key") == keys["text_key"])
+    kept = packed.join(gone, met(gone), "left_anti").select("row")
+    back = packed.join(again, met(again), "left_semi").groupBy("row_id", "row_key").agg(F.first("row").alias("row")).select("row")
+    return kept.unionAll(back).select("row.*")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,17 @@ def jaccard_groups(rows, width=4, percent=85):
     return [(i, len(s), None if i is None else root(i)) for i, s in sets]
 
 
+def kept_rows(rows, width=5, percent=80):
+    """The rows of which one of each group of linked texts is left, whatever their ids."""
+    numbered = [(k, t) for k, (_, t) in enumerate(rows)]
+    groups = {k: c for k, _, c in jaccard_groups(numbered, width, percent)}
+    first = {}
+    for k, (i, t) in enumerate(rows):
+        key = (i is None, i or 0, sha(t or "")[:32], k)
+        first[groups[k]] = min(first.get(groups[k], key), key)
+    return [rows[key[-1]] for key in first.values()]
+
+
 def leaks(rows, items, least=0.8, width=5):
     """doc_id, item_id and the best similarity of a window of the item's size, where it reaches least."""
     def grams(w, k):

@@ -100,8 +100,19 @@ def test_jaccard_join_near_the_limit(spark):
 def test_keep_one_keeps_columns(docs):
     got = jaccard_join.keep_one(docs)
     assert got.columns == docs.columns
-    groups = {i: c for i, _, c in B.jaccard_groups(ROWS, 5, 80)}
-    assert listed(got, "doc_id", "text") == want([(i, t) for i, t in ROWS if i is None or groups[i] == i])
+    assert listed(got, "doc_id", "text") == want(B.kept_rows(ROWS))
+
+
+def test_keep_one_goes_by_rows(spark):
+    """Repeated ids, null ids and equal rows: no last copy of a text is lost, and equal rows leave one."""
+    r = random.Random(8)
+    text = lambda: " ".join(f"t{r.randrange(500)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (2, a), (2, b), (7, b + " more"), (9, c), (9, c), (None, d), (None, d), (None, a), (8, d + " x"), (11, ""), (11, ""), (None, None), (12, "alone one two three four five six")]
+    got = jaccard_join.keep_one(spark.createDataFrame([(*x, "r", "k") for x in rows], "doc_id long, text string, row string, row_key string"))
+    left = listed(got, "doc_id", "text")
+    assert left == want(B.kept_rows(rows))
+    assert [t for _, t in left].count(c) == 1 and (2, b) in left and not any(i is None and t for i, t in left)
 
 
 def test_components_of_paths(spark):
