@@ -11,7 +11,7 @@ bounded table holds it.  Runs of two or more word marks have entries with tied s
 last token is not unique; those pieces are encoded by merging.
 
 Nulls count as empty texts; an empty text has the end id only.  Rows are handled one by one: repeated rows,
-null keys and extra columns have no influence.
+null keys and extra columns have no influence, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ MARK = "▁"
 #: Entries a worker keeps of distinct words and of tested pairs; past that a table is emptied.
 WORDS_KEPT = 400_000
 PAIRS_KEPT = 1_000_000
-_built: dict[int, "PieceCodec"] = {}
+_built: dict[str, "PieceCodec"] = {}
 
 
 def load_vocabulary(path: str) -> dict:
@@ -44,7 +44,8 @@ def load_vocabulary(path: str) -> dict:
     if any(MARK in p.lstrip(MARK) for p in pieces):
         raise ValueError("a piece reaches over a word border")
     plain = [not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i)) for i in range(n)]
-    return {"pieces": pieces, "scores": [model.get_score(i) for i in range(n)], "plain": plain, "bytes": [i for i in range(n) if model.is_byte(i)], "end": model.eos_id()}
+    digest = hashlib.sha256(repr((pieces, [model.get_score(i) for i in range(n)], plain)).encode()).hexdigest()
+    return {"digest": digest, "pieces": pieces, "scores": [model.get_score(i) for i in range(n)], "plain": plain, "bytes": [i for i in range(n) if model.is_byte(i)], "end": model.eos_id()}
 
 
 class PieceCodec:
@@ -252,12 +253,12 @@ class PieceCodec:
         return ids.count(" ") + 1, ids, back[1:] if back.startswith(" ") else back
 
 
-def codec_of(vocabulary) -> PieceCodec:
-    """The codec of a broadcast vocabulary, built once per worker."""
-    key = vocabulary.id if hasattr(vocabulary, "id") else id(vocabulary)
+def codec_of(vocabulary: dict) -> PieceCodec:
+    """The codec of a vocabulary, built once per worker."""
+    key = vocabulary["digest"]
     if key not in _built:
         _built.clear()
-        _built[key] = PieceCodec(getattr(vocabulary, "value", vocabulary))
+        _built[key] = PieceCodec(vocabulary)
     return _built[key]
 
 
@@ -279,7 +280,7 @@ def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))  # its size is the model's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(vocabulary)
+        codec = codec_of(vocabulary.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
