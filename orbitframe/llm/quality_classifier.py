@@ -7,7 +7,9 @@ model did not see, gathered in a fixed number of score bins.
 
 All labelled rows outside the held-out third train the model; there is no sample.  Only the text's statistics
 enter a score.  Null texts count as empty and get a score like any other.  Several labels of one id are
-averaged and null labels ignored; repeated documents are scored each; without labels every score is 0.5.
+averaged and null labels ignored; repeated documents are scored each; without labels every score is 0.5.  Null
+ids are scored and not held out.  Extra columns are ignored, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
