@@ -6,12 +6,19 @@ fused by their product, and paths whose fused ratio passes a threshold relative
 content.  All content blocks give text, wherever they stand.  The smallest element that holds all of them is the
 home; blocks between them, its headings before them, and its blocks after them that are not mostly links belong to
 the text too.  Where the home, or an element in it that holds nearly all of the content, is an article by its tag
-or class, all blocks of that element do.  Menus, headers, footers, sidebars, notices, adverts, forms and comment
-sections are known by their tags, roles and class words and never give text.
+or class, all blocks of that element do, but for links that stand alone outside of paragraphs, lists and tables.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and comment sections never give text.  They are known by
+their tags, roles and class words.  A class word or a form is no proof, as page wrappers have them too: an element
+known by these alone counts as a wrapper, and is judged by what is in it, where next to nothing of the page's text
+stands outside of all such elements and it holds most of what stands in them.  Words that say what an element has
+or lacks (has-sidebar, no-comments) are not heeded.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 Null, empty and text-free pages give an empty text.  Each row is handled alone: repeated rows, null urls or keys
-and extra columns have no influence.
+and extra columns have no influence, and an empty table gives an empty result.  Malformed pages are read in time
+proportional to their length: a tag that never closes is text, quotes are no longer heeded in a page where they
+were misread for several times its length, and elements more than DEPTH deep count as their ancestor.
 """
 
 from __future__ import annotations
@@ -20,12 +27,19 @@ import html as html_lib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+MARKUP = re.compile(r"<(?:!--|[!?/a-zA-Z])")
+NAME = re.compile(r"/?[a-zA-Z][^\s/<>]*+")
+#: The rest of a tag: quoted strings may hold any character; without quotes it ends at the first bracket.
+QUOTED = re.compile(r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+PLAIN = re.compile(r"[^<>]*+")
+MISREAD = 4  # times a page's length that may be read in vain
+DEPTH = 512
+ATTRIBUTE = re.compile(r"([a-zA-Z-]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 RAW = {"script", "style", "textarea", "title", "template", "noscript", "svg", "iframe", "object", "math", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr acronym nobr".split())
@@ -39,6 +53,11 @@ BOILER_WORDS = set(
     "topbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay comment comments commentlist disqus respond reply replies discussion share sharing social related recommended "
     "recommendations breadcrumb breadcrumbs pagination pager newsletter subscribe subscription signup login search form widget widgets toolbar copyright disclaimer skip hidden".split()
 )
+#: Classes that begin so say what an element has or lacks.
+STATE_WORDS = {"no", "has", "with", "without", "is", "not"}
+COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "discussion"}
+WRAPPER_CHARS = 140  # of unlinked text that a wrapper holds at least
+OUTSIDE = 0.05  # of a page's unlinked text: with less outside, boilerplate by class words holds the page
 ARTICLE_WORDS = set("content article post entry story main text body".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SHARE = 0.8  # of the content text that an element holds at least to be looked at as the article; no content is left out by it
@@ -52,101 +71,174 @@ class Block:
         self.chain, self.path, self.parts, self.link, self.text = chain, path, [], 0, ""
 
 
+class Element(NamedTuple):
+    tag: str
+    words: set[str]
+    #: 0 for content, 1 if a class word or a form says boilerplate, 2 if the tag, role or hiding does.
+    boiler: int
+
+
 def _words(attributes: str) -> tuple[set[str], bool]:
     """Words of class and id, and whether role or hiding marks the element as no content."""
     words: set[str] = set()
-    bad = bool(re.search(r"(?:^|\s)hidden(?:[\s=/]|$)", attributes))
+    bad = False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name in ("class", "id"):
-            words.update(re.split(r"[\s_-]+", value))
+            for token in value.split():
+                parts = [x for x in re.split(r"[_-]+", token) if x]
+                if parts and parts[0] not in STATE_WORDS:
+                    words.update(parts)
         elif name == "role":
             bad |= value in BOILER_ROLES
         elif name == "aria-hidden":
             bad |= value == "true"
+        elif name == "hidden":
+            bad = True
         elif name == "style":
             bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
     return words, bad
 
 
-def blocks_of(page: str) -> tuple[list[Block], dict[int, tuple[str, set[str]]]]:
-    """Text blocks outside boilerplate in page order; tag and class words of each element."""
-    stack: list[tuple[str, int, str, bool]] = [("#", 0, "", False)]  # tag, element, path, boilerplate
-    elements: dict[int, tuple[str, set[str]]] = {0: ("#", set())}
-    blocks: list[Block] = []
-    state = {"block": None, "links": 0}
-
-    def put(text: str) -> None:
-        if not stack[-1][3] and text:
-            if state["block"] is None:
-                if text.isspace():
-                    return
-                state["block"] = Block(tuple(s[1] for s in stack), stack[-1][2])
-                blocks.append(state["block"])
-            state["block"].parts.append(text)
-            if state["links"]:
-                state["block"].link += len(text)
-
-    def pop_to(depth: int) -> None:
-        del stack[depth:]
-        state["block"] = None
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            put(page[at:])
-            break
-        if m.start() > at:
-            put(page[at : m.start()])
-        at = m.end()
-        closing, name, attributes, empty = m.groups()
-        if name is None:
-            continue
-        name = name.lower()
+class Reader:
+    """Text blocks in page order, and the elements they stand in."""
+
+    def __init__(self, page: str):
+        self.page, self.vain = page, 0
+        self.stack: list[tuple[str, int, str]] = [("#", 0, "")]  # tag, element, path
+        self.open: dict[str, int] = defaultdict(int)  # elements of a tag on the stack
+        self.over = 0  # open elements beyond DEPTH
+        self.elements = [Element("#", set(), 0)]
+        self.blocks: list[Block] = []
+        self.block: Block | None = None
+        self.links = 0
+        self._read()
+        for b in self.blocks:
+            b.text = " ".join(html_lib.unescape("".join(b.parts)).split())
+        self.blocks = [b for b in self.blocks if b.text]
+
+    def _put(self, text: str) -> None:
+        if self.block is None:
+            if not text or text.isspace():
+                return
+            self.block = Block(tuple(s[1] for s in self.stack), self.stack[-1][2])
+            self.blocks.append(self.block)
+        self.block.parts.append(text)
+        if self.links:
+            self.block.link += len(text)
+
+    def _pop_to(self, depth: int) -> None:
+        for tag, _, _ in self.stack[depth:]:
+            self.open[tag] -= 1
+        del self.stack[depth:]
+        self.block = None
+
+    def _tag_end(self, at: int) -> int:
+        """Where the > of a tag stands whose name ends at at; -1 if it never closes."""
+        page = self.page
+        if self.vain <= MISREAD * len(page):
+            end = QUOTED.match(page, at).end()
+            if page.startswith(">", end):
+                return end
+            self.vain += end - at
+        end = PLAIN.match(page, at).end()
+        return end if page.startswith(">", end) else -1
+
+    def _read(self) -> None:
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            m = MARKUP.search(page, at)
+            if m is None:
+                self._put(page[at:])
+                break
+            start = m.start()
+            if start > at:
+                self._put(page[at:start])
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = end + 3 if end >= 0 else n
+                continue
+            name = NAME.match(page, start + 1)
+            if name is None:  # a declaration, or a bracket that begins no tag
+                end = PLAIN.match(page, start + 1).end()
+                if page[start + 1] in "!?/" and page.startswith(">", end):
+                    at = end + 1
+                else:
+                    self._put("<")
+                    at = start + 1
+                continue
+            end = self._tag_end(name.end())
+            if end < 0:
+                self._put("<")
+                at = start + 1
+                continue
+            at = self._tag(name[0].lower(), page[name.end() : end], end + 1)
+
+    def _tag(self, name: str, attributes: str, at: int) -> int:
+        """Handles a tag and says where to read on."""
+        closing, empty = name.startswith("/"), attributes.endswith("/")
+        name = name.removeprefix("/")
         if name in RAW and not closing and not empty:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
-            continue
+            close = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(self.page, at)
+            return close.end() if close else len(self.page)
         if name == "br":
-            put(" ")
-            continue
-        if name in INLINE:
+            self._put(" ")
+        elif name in INLINE:
             if name == "a":
-                state["links"] = max(0, state["links"] + (-1 if closing else 1))
+                self.links = max(0, self.links + (-1 if closing else 1))
             elif not closing and attributes and _hides(attributes):
-                at = _skip(page, at, name)
-            continue
-        if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    pop_to(depth)
-                    break
-            else:
-                state["block"] = None
-            continue
-        state["block"] = None
+                return self._skip(at, name)
+        elif closing:
+            self._close(name)
+        else:
+            self._open(name, attributes, empty)
+        return at
+
+    def _close(self, name: str) -> None:
+        self.block = None
+        if self.over:
+            self.over -= 1
+        elif self.open[name] > 0:
+            self._pop_to(next(d for d in range(len(self.stack) - 1, 0, -1) if self.stack[d][0] == name))
+
+    def _open(self, name: str, attributes: str, empty: bool) -> None:
+        self.block = None
         if name in VOID:
-            continue
+            return
         ends = SELF_CLOSING.get(name, set()) | ({"p"} if name in CLOSES_P else set())
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] in ends:
-                pop_to(depth)
-                break
-            if stack[depth][0] in SCOPE:
-                break
-        state["links"] = 0
+        if not self.over and any(self.open[e] > 0 for e in ends):
+            for depth in range(len(self.stack) - 1, 0, -1):
+                if self.stack[depth][0] in ends:
+                    self._pop_to(depth)
+                    break
+                if self.stack[depth][0] in SCOPE:
+                    break
+        self.links = 0
+        if empty:
+            return
+        if self.over or len(self.stack) > DEPTH:
+            self.over += 1
+            return
         words, bad = _words(attributes) if attributes else (set(), False)
-        parent = stack[-1]
-        sturdy = name in ("html", "body", "main", "article")
-        bad = parent[3] or name in BOILER_TAGS or (not sturdy and (bad or bool(words & BOILER_WORDS)))
-        key = len(elements)
-        elements[key] = (name, words)
-        if not empty:
-            stack.append((name, key, f"{parent[2]}/{name}", bad))
-    for b in blocks:
-        b.text = " ".join(html_lib.unescape("".join(b.parts)).split())
-    return [b for b in blocks if b.text], elements
+        boiler = 0
+        if name in BOILER_TAGS:
+            boiler = 1 if name == "form" else 2
+        elif name not in ("html", "body", "main", "article"):
+            boiler = 2 if bad or words & COMMENT_WORDS else 1 if words & BOILER_WORDS else 0
+        self.stack.append((name, len(self.elements), f"{self.stack[-1][2]}/{name}"))
+        self.open[name] += 1
+        self.elements.append(Element(name, words, boiler))
+
+    def _skip(self, at: int, name: str) -> int:
+        """Past the end tag of a hidden inline element; where it has none, or too much was read in vain, nothing is skipped."""
+        depth = 1
+        if self.vain <= MISREAD * len(self.page):
+            for m in re.compile(rf"<(/?){re.escape(name)}\b[^<>]*+>", re.I).finditer(self.page, at):
+                depth += -1 if m[1] else 1
+                if not depth:
+                    return m.end()
+            self.vain += len(self.page) - at
+        return at
 
 
 def _hides(attributes: str) -> bool:
@@ -154,14 +246,22 @@ def _hides(attributes: str) -> bool:
     return bad or bool(words & BOILER_WORDS)
 
 
-def _skip(page: str, at: int, name: str) -> int:
-    """Past the end tag of a hidden inline element."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}\b[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return at
+def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
+    """Text blocks outside boilerplate in page order, and all elements."""
+    read = Reader(page)
+    elements, blocks = read.elements, [b for b in read.blocks if not any(read.elements[e].boiler == 2 for e in b.chain)]
+    wrappers: set[int] = set()
+    while True:
+        # of each block, the outermost element that class words or a form mark, if any
+        outer = [next((e for e in b.chain if elements[e].boiler and e not in wrappers), 0) for b in blocks]
+        plain: dict[int, int] = defaultdict(int)
+        for b, e in zip(blocks, outer, strict=True):
+            plain[e] += max(0, len(b.text) - b.link)
+        whole, outside = sum(plain.values()), plain.pop(0, 0)
+        largest = max(plain, key=plain.get, default=0)
+        if not largest or outside >= OUTSIDE * whole or plain[largest] < WRAPPER_CHARS or 2 * plain[largest] < whole:
+            return [b for b, e in zip(blocks, outer, strict=True) if not e], elements
+        wrappers.add(largest)
 
 
 def smooth(values: list[float]) -> list[float]:
@@ -203,17 +303,18 @@ def main_text(page: str | None) -> str:
             for e in b.chain:
                 held[e] += len(b.text)
     total = held[0]
-    deepest = lambda least: max(e for e, size in held.items() if size >= least and elements[e][0] not in LEAVES)  # noqa: E731  later elements lie deeper
+    deepest = lambda least: max(e for e, size in held.items() if size >= least and elements[e].tag not in LEAVES)  # noqa: E731  later elements lie deeper
     home, core = deepest(total), deepest(SHARE * total)
-    article = [e for e in held if elements[e][0] in ("article", "main") and held[e] >= SHARE * total]
+    article = [e for e in held if elements[e].tag in ("article", "main") and held[e] >= SHARE * total]
     if article:
         core = max(article)
-    own = {e for e in (home, core) if elements[e][0] in ("article", "main") or elements[e][1] & ARTICLE_WORDS}
+    own = {e for e in (home, core) if elements[e].tag in ("article", "main") or elements[e].words & ARTICLE_WORDS}
     places = [i for i, c in enumerate(chosen) if c]
     keep = []
     for i, b in enumerate(blocks):
+        teaser = 5 * b.link >= 4 * len(b.text) and b.path.rsplit("/", 1)[1] not in LEAVES
         near = i > places[0] and 2 * b.link < len(b.text) or i < places[0] and re.search(r"/h[1-3]$", b.path)
-        if chosen[i] or not own.isdisjoint(b.chain) or (home in b.chain and near):
+        if chosen[i] or (not own.isdisjoint(b.chain) and not teaser) or (home in b.chain and near):
             keep.append(b.text)
     return " ".join(keep)
 

@@ -237,3 +237,23 @@ def url_scores(train, tails, context=3, uniform=1 / 256):
             total += round(1e6 * (math.log(p["allow"]) - math.log(p["block"])))
         out[tail] = total / (len(tail) + 1)
     return out
+
+
+def content_paths(blocks):
+    """Paths of (path, text, linked characters) that pass the threshold on smoothed and fused ratios."""
+    by = defaultdict(list)
+    for path, text, link in blocks:
+        by[path].append((len(text), len(re.findall("[.,;:!?…。，、；：！？]", text)), min(link, len(text))))
+    mean = lambda path, k: sum(x[k] for x in by[path]) / len(by[path])
+    fused = defaultdict(list)
+    for i, (path, _, _) in enumerate(blocks):
+        near = [blocks[max(i - 1, 0)][0], path, path, blocks[min(i + 1, len(blocks) - 1)][0]]
+        size, marks = (sum(mean(p, k) for p in near) / 4 for k in (0, 1))
+        fused[path].append(size * (marks + 0.1) * (1 - sum(x[2] for x in by[path]) / sum(x[0] for x in by[path])))
+    score = {p: sum(v) / len(v) for p, v in fused.items()}
+    weight = {p: sum(x[0] for x in by[p]) for p in score}
+    whole = sum(weight.values())
+    middle = sum(score[p] * weight[p] for p in score) / whole
+    spread = math.sqrt(sum(weight[p] * (score[p] - middle) ** 2 for p in score) / whole)
+    passed = {p for p in score if score[p] > 0 and score[p] >= min(middle - spread, middle / 2)}
+    return passed or {max(score, key=score.get)}
