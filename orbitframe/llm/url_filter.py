@@ -7,7 +7,8 @@ five folds that has both classes and leaves both.  Without such a fold all ruled
 
 Each context of up to three characters keeps its counts of following characters; the longest context is
 interpolated with shorter ones (Witten-Bell), down to a uniform distribution.  Counts cover all ruled URLs but the held-out ones.
-Each distinct URL is scored once and joined back to its rows.  Scores are whole millionths, so sums don't
+Each distinct URL is scored once and joined back to its rows; the ratios of what follows each context are broadcast
+if they are few, else joined.  Scores are whole millionths, so sums don't
 depend on their order.
 
 Null URLs and those without "://" have an empty host and path and fit no rule; they are scored as empty texts,
@@ -22,10 +23,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbitframe.llm.shared import checkpointed
+
 CONTEXT = 3
 BINS = 200  # of the calibration's scores, from -BINS/20 to BINS/20 nats per character
 UNIFORM = 1 / 256
 FOLDS = 5
+RATIO_ROWS = 500_000  # pairs of a context and a character that are broadcast at most, some 30 MB
 
 
 class UrlRule(NamedTuple):
@@ -92,7 +96,9 @@ def scored(urls: DataFrame, train: DataFrame) -> DataFrame:
         table = table.withColumns({f"p{x}{k}": p[x] for x in "ab"})
         p = {x: F.col(f"p{x}{k}") for x in "ab"}
     ratio = table.select("context", "next", F.round(1e6 * (F.ln(p["a"]) - F.ln(p["b"]))).cast("long").alias("ratio"))
-    each = grams(urls).select("tail", "context", "next").join(ratio, ["context", "next"])
+    ratio = checkpointed(ratio)
+    small = ratio.count() <= RATIO_ROWS  # a frequent context has many characters, which a join by context would gather
+    each = grams(urls).select("tail", "context", "next").join(F.broadcast(ratio) if small else ratio, ["context", "next"])
     return each.groupBy("tail").agg((F.sum("ratio") / F.count("*")).alias("score"))
 
 
@@ -125,14 +131,14 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)://(.*)$", 1), F.lit("")).alias("rest"))
     rows = rows.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "ruled": rule_of(F.col("host"), F.col("path"), rules, "action")})
     rows = rows.withColumn("tail", F.concat("host", F.regexp_extract("rest", r"(?s)^[^/?#]*(.*)$", 1)))
-    tails = rows.groupBy("tail", F.col("ruled").alias("class")).agg(F.count("*").alias("n"))
+    tails = checkpointed(rows.groupBy("tail", F.col("ruled").alias("class")).agg(F.count("*").alias("n")))
     fold = F.pmod(F.xxhash64("tail"), F.lit(FOLDS))
     held = held_fold(tails.where(F.col("class").isNotNull()).select(fold.alias("fold"), "class").distinct().collect())
     if held is None:
         return rows.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
     last = fold == held
     train, rest = tails.where(F.col("class").isNotNull() & ~last), tails.where(F.col("class").isNull() | last)
-    got = rest.join(scored(rest.select("tail"), train), "tail")
+    got = checkpointed(rest.join(scored(rest.select("tail"), train), "tail"))
     limit = threshold(got.where(F.col("class").isNotNull())) if held < FOLDS else 0.0
     found = got.where(F.col("class").isNull()).select("tail", F.when(F.col("score") >= limit, "allow").otherwise("block").alias("guess"))
     return rows.join(found, "tail", "left").select(id_col, "host", "path", "rule", F.coalesce("ruled", "guess", F.lit("allow")).alias("verdict"))
