@@ -6,7 +6,7 @@ columns; a place without a solution is null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitframe.functions import polynomials as P
@@ -55,6 +55,15 @@ def literal(values) -> Vector:
     return tuple(F.lit(float(v)) for v in values)
 
 
+def spread(df: DataFrame, **vectors: Vector) -> tuple[DataFrame, dict[str, Vector]]:
+    """Vectors as columns of one number each, so that what is built on them works each out once.
+
+    A column that packs them would be taken apart by the optimizer, which repeats each number wherever it is used.
+    """
+    df = df.withColumns({f"_{n}_{a}": v for n, vector in vectors.items() for a, v in zip("xyz", vector, strict=True)})
+    return df, {n: tuple(F.col(f"_{n}_{a}") for a in "xyz") for n in vectors}
+
+
 # Image plane.
 
 

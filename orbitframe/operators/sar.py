@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geodesy as G
+from orbitframe.functions import polynomials as P
 from orbitframe.functions import sar_geometry as S
+from orbitframe.functions.projective import homography, homography_inverse
 
 #: Fixed tolerances: height test and steps for a constant height; on-surface test of terrain; inverse projection.
 HEIGHT_STEPS, HEIGHT_LIMIT = 3, 1.0
@@ -91,29 +93,29 @@ def contour_points(df: DataFrame, r: str, rdot: str, arp: str, varp: str, low: s
 
     low and high name struct columns from on_height.  Points are evenly spaced in the cosine of the contour angle.
     """
-    a, v, rr, rd = S.unpacked(F.col(arp)), S.unpacked(F.col(varp)), F.col(r), F.col(rdot)
-    speed = S.norm(v)
-    uv = S.unit(v)
-    cos_dca = -rd / speed
-    df = df.withColumns({"_ctr": S.packed(S.add(a, S.scale(uv, rr * cos_dca))), "_rad": rr * F.sqrt(1 - cos_dca * cos_dca)})
-    ry = S.unit(S.cross(S.unit(a), uv))
-    df = df.withColumns({"_ry": S.packed(ry), "_rx": S.packed(S.cross(ry, uv))})
-    ctr, rx, ry, rad = S.unpacked(F.col("_ctr")), S.unpacked(F.col("_rx")), S.unpacked(F.col("_ry")), F.col("_rad")
-    angle = lambda c: S.dot(S.sub(S.unpacked(F.col(c)), ctr), rx) / rad
-    df = df.withColumns({"_ca": angle(high), "_cb": angle(low)})
-    sin_b = F.sqrt(1 - F.col("_cb") * F.col("_cb"))
+    rr, c = F.col(r), F.col
+    df, at = S.spread(df, a=S.unpacked(c(arp)), v=S.unpacked(c(varp)), low=S.unpacked(c(low)), high=S.unpacked(c(high)))
+    df = df.withColumn("_speed", S.norm(at["v"])).withColumn("_dca", -c(rdot) / c("_speed"))
+    df, made = S.spread(df, uv=S.scale(at["v"], 1 / c("_speed")), ua=S.unit(at["a"]))
+    df, more = S.spread(df.withColumn("_rad", rr * F.sqrt(1 - c("_dca") * c("_dca"))), ctr=S.add(at["a"], S.scale(made["uv"], rr * c("_dca"))), ry=S.unit(S.cross(made["ua"], made["uv"])))
+    df, last = S.spread(df, rx=S.cross(more["ry"], made["uv"]))
+    rad = c("_rad")
+    angle = lambda n: S.dot(S.sub(at[n], more["ctr"]), last["rx"]) / rad
+    df = df.withColumns({"_ca": angle("high"), "_cb": angle("low")})
+    sin_b = F.sqrt(1 - c("_cb") * c("_cb"))
     step = F.lit(CONTOUR_STEP) * sin_b / rad
     if horizontal is not None:
-        step = F.least(step, F.lit(horizontal) * sin_b / F.col("_cb") / rad)
+        step = F.least(step, F.lit(horizontal) * sin_b / c("_cb") / rad)
     df = df.withColumn("_step", -step)
-    df = df.withColumn("_n", F.floor((F.col("_ca") - F.col("_cb")) / F.col("_step")).cast("int") + 1).where(F.col("_n") >= 0)
-    df = df.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("_n"))))
-    return _on_contour(df.withColumn("cos_angle", F.col("_cb") + F.col("step") * F.col("_step")), side)
+    df = df.withColumn("_n", F.floor((c("_ca") - c("_cb")) / c("_step")).cast("int") + 1)
+    # a filter on the number of steps would be moved to the start of the plan, with all that it is made of
+    df = df.withColumn("step", F.explode_outer(F.when(c("_n") >= 0, F.sequence(F.lit(0), c("_n"))))).where("step is not null")
+    return _on_contour(df.withColumn("cos_angle", c("_cb") + c("step") * c("_step")), side)
 
 
 def _on_contour(df: DataFrame, side: Column) -> DataFrame:
     sin = F.when(side == "L", 1.0).otherwise(-1.0) * F.sqrt(1 - F.col("cos_angle") * F.col("cos_angle"))
-    ctr, rx, ry = (S.unpacked(F.col(c)) for c in ("_ctr", "_rx", "_ry"))
+    ctr, rx, ry = (tuple(F.col(f"_{n}_{a}") for a in "xyz") for n in ("ctr", "rx", "ry"))
     return df.withColumn("point", S.packed(S.add(ctr, S.scale(S.add(S.scale(rx, F.col("cos_angle")), S.scale(ry, sin)), F.col("_rad")))))
 
 
@@ -137,55 +139,257 @@ def first_terrain_point(points: DataFrame, key: str, side: Column, delta: str =
     return terrain_points(points, key, side, delta).groupBy(key).agg(F.min_by("point", "step").alias("point"))
 
 
-def plane_inverse(df: DataFrame, scene: str, model: dict, steps: int = GROUND_STEPS, limit: float = GROUND_LIMIT) -> DataFrame:
-    """Row and column, in the full image, of ECEF places by a uniform plane model given as plain numbers.
+# From pixels to the ground and back, by models in rows.
 
-    model: scp, u_row, u_col, row_ss, col_ss, scp_row, scp_col, arp (three coefficient lists), time (matrix), side.
-    All rows of a batch step together until each is within the limit.
+#: What a model's row holds, as sources.products reads it.
+SAR_MODEL = ["projection", "scp", "scp_row", "scp_col", "first_row", "first_col", "u_row", "u_col", "row_ss", "col_ss", "time_coa", "arp", "r_ca_scp", "time_ca", "rate", "polar", "factor", "az_factor", "scp_arp", "scp_varp", "side", "normal"]
+KINDS = ["PFA", "RGAZCOMP", "INCA", "PLANE"]
+
+
+def on_plane(df: DataFrame, r: str, rdot: str, arp: str, varp: str, ref: Column, normal: Column, out: str) -> DataFrame:
+    """Column out: struct x, y, z where the contour meets a plane, as contour_on_plane, with each intermediate worked out once."""
+    c, names = F.col, df.columns
+    df, at = S.spread(df, a=S.unpacked(c(arp)), v=S.unpacked(c(varp)), f=S.unpacked(ref), n=S.unpacked(normal))
+    df, made = S.spread(df, z=S.unit(at["n"]), d=S.sub(at["a"], at["f"]))
+    a, v, z, d = at["a"], at["v"], made["z"], made["d"]
+    df = df.withColumns({"_h": S.dot(d, z), "_vz": S.dot(v, z), "_look": F.signum(S.dot(S.cross(d, v), z))})
+    df = df.withColumns({"_g": F.sqrt(F.greatest(c(r) * c(r) - c("_h") * c("_h"), F.lit(0.0))), "_vx": F.sqrt(S.dot(v, v) - c("_vz") * c("_vz"))})
+    df = df.withColumn("_cos", F.try_divide(c("_vz") * c("_h") / c(r) - c(rdot), c("_vx") * c("_g") / c(r)))
+    df = df.withColumn("_sin", c("_look") * F.sqrt(F.greatest(1 - c("_cos") * c("_cos"), F.lit(0.0))))
+    df, x = S.spread(df, x=S.scale(S.sub(v, S.scale(z, c("_vz"))), 1 / c("_vx")))
+    point = S.add(S.sub(a, S.scale(z, c("_h"))), S.add(S.scale(x["x"], c("_g") * c("_cos")), S.scale(S.cross(z, x["x"]), c("_g") * c("_sin"))))
+    return df.withColumn("_point", F.when((c("_h") <= c(r)) & (F.abs(c("_cos")) <= 1), S.packed(point))).select(*(n for n in names if n != out), c("_point").alias(out))
+
+
+def contours(df: DataFrame, params: DataFrame, key: str = "image_id", x: str = "x", y: str = "y", offsets: bool = False) -> DataFrame:
+    """Rows with r, rdot and the structs arp, varp and sar (the model) of their pixels.  Images without model are absent.
+
+    Pixels of chips are those of the chip; chip_h of products.with_chips maps them to the full image.  With offsets,
+    the parameters' columns range_bias, delta_arp and delta_varp (structs) adjust the result.
+    """
+    chip = "chip_h" in params.columns
+    model = params.select(key, F.struct(*SAR_MODEL, *(["chip_h"] if chip else []), *(["range_bias", "delta_arp", "delta_varp"] if offsets else [])).alias("sar"))
+    kept = [n for n in df.columns if n not in ("sar", "r", "rdot", "arp", "varp")]
+    m = F.col("sar").getField
+    px, py = F.col(x), F.col(y)
+    if chip:
+        h = [m("chip_h")[i] for i in range(8)]
+        full = homography_inverse(h, px, py)
+        px, py = (F.when(m("chip_h").isNull(), v).otherwise(f) for v, f in ((px, full[0]), (py, full[1])))
+    xr, yc = S.row_col_to_plane(py + m("first_row"), px + m("first_col"), m("scp_row"), m("scp_col"), m("row_ss"), m("col_ss"))
+    rows = df.select(*kept).join(model, key).withColumns({"_xr": xr, "_yc": yc})
+    rows = rows.withColumn("_t", P.surface(m("time_coa"), F.col("_xr"), F.col("_yc")))
+    track = S.unpacked(m("arp"))
+    arp, varp = S.state(track, F.col("_t"))
+    rows, at = S.spread(rows, arp=arp, varp=varp, scp=S.unpacked(m("scp")))
+    arp, varp, scp, rg, az, t = at["arp"], at["varp"], at["scp"], F.col("_xr"), F.col("_yc"), F.col("_t")
+    made = {
+        "PFA": S.polar_format(rg, az, t, arp, varp, scp, m("polar"), m("factor")), "RGAZCOMP": S.range_azimuth_compressed(rg, az, arp, varp, scp, m("az_factor")),
+        "INCA": S.imaging_near_closest_approach(rg, az, t, track, m("r_ca_scp"), m("time_ca"), m("rate")), "PLANE": S.uniform_plane(rg, az, arp, varp, scp, S.unpacked(m("u_row")), S.unpacked(m("u_col"))),
+    }
+    pair = F.coalesce(*(F.when(m("projection") == k, F.struct(v[0].alias("r"), v[1].alias("rdot"))) for k, v in made.items()))
+    rows = rows.withColumn("_pair", pair).withColumns({"r": F.col("_pair.r"), "rdot": F.col("_pair.rdot"), "arp": S.packed(arp), "varp": S.packed(varp)})
+    if offsets:
+        r, a, v = S.adjusted(F.col("r"), arp, varp, m("range_bias"), S.unpacked(m("delta_arp")), S.unpacked(m("delta_varp")))
+        rows = rows.withColumns({"r": r, "arp": S.packed(a), "varp": S.packed(v)})
+    return rows.select(*kept, "r", "rdot", "arp", "varp", "sar")
+
+
+def with_geodetic(df: DataFrame, point: Column, names: tuple[str, str, str] = ("lon_deg", "lat_deg", "height")) -> DataFrame:
+    """Columns of longitude and latitude in degrees and height of an ECEF struct, as G.ecef_to_geodetic with each step worked out once."""
+    c = F.col
+    kept = [n for n in df.columns if n not in names]
+    df, at = S.spread(df, g=S.unpacked(point))
+    x, y, z = at["g"]
+    df = df.withColumn("_p", F.sqrt(x * x + y * y))
+    df = df.withColumn("_beta", F.atan2(F.lit(G.A) * z, F.lit(G.B) * c("_p")))
+    for last in (False, False, True):
+        df = df.withColumns({"_s": F.sin("_beta"), "_c": F.cos("_beta")})
+        df = df.withColumn("_lat", F.atan2(z + F.lit(G.EP2 * G.B) * c("_s") * c("_s") * c("_s"), c("_p") - F.lit(G.E2 * G.A) * c("_c") * c("_c") * c("_c")))
+        df = df.withColumns({"_s": F.sin("_lat"), "_c": F.cos("_lat")})
+        if not last:
+            df = df.withColumn("_beta", F.atan2(F.lit(1 - G.FLATTENING) * c("_s"), c("_c")))
+    height = c("_p") * c("_c") + z * c("_s") - F.lit(G.A) * F.sqrt(1 - F.lit(G.E2) * c("_s") * c("_s"))
+    lon, lat, elev = names
+    return df.select(*kept, F.degrees(F.atan2(y, x)).alias(lon), F.degrees("_lat").alias(lat), height.alias(elev))
+
+
+def _located(rows: DataFrame, kept: list[str], point: str) -> DataFrame:
+    return with_geodetic(rows, F.col(point)).select(*kept, F.col(point).alias("place"), "lon_deg", "lat_deg", "height")
+
+
+def image_to_world(df: DataFrame, params: DataFrame, key: str = "image_id", x: str = "x", y: str = "y", offsets: bool = False) -> DataFrame:
+    """Rows with place (ECEF), lon_deg, lat_deg and height of their pixels on the ground plane through the centre point.
+
+    The plane has the model's normal, or else that of constant height; pixels whose contour misses it have nulls.
+    """
+    rows = contours(df, params, key, x, y, offsets)
+    m = F.col("sar").getField
+    kept = [n for n in df.columns if n not in ("sar", "r", "rdot", "arp", "varp", "place", "lon_deg", "lat_deg", "height")]
+    rows = with_geodetic(rows, m("scp"), ("_lon", "_lat_deg", "_elev"))
+    rows = rows.withColumn("_up", F.coalesce(m("normal"), S.packed(G.up_vector(F.radians("_lon"), F.radians("_lat_deg")))))
+    return _located(on_plane(rows, "r", "rdot", "arp", "varp", m("scp"), F.col("_up"), "_place"), kept, "_place")
+
+
+def image_to_terrain(df: DataFrame, params: DataFrame, row_key: str, sample, low: Column, high: Column, horizontal: float | None = None, key: str = "image_id", x: str = "x", y: str = "y") -> DataFrame:
+    """row_key, place, lon_deg, lat_deg and height of where each pixel's contour first meets the terrain between two heights, from below.
+
+    sample(df) adds the column terrain, the elevation at lon_deg and lat_deg; pixels that meet nothing are absent.
+    """
+    rows = contours(df, params, key, x, y).withColumn("_scp", F.col("sar.scp"))
+    side = F.col("sar.side")
+    rows = on_height(on_height(rows, "r", "rdot", "arp", "varp", "_scp", side, low, "_low"), "r", "rdot", "arp", "varp", "_scp", side, high, "_high")
+    along = contour_points(rows, "r", "rdot", "arp", "varp", "_low", "_high", side, horizontal)
+    along = with_geodetic(along, F.col("point"), ("lon_deg", "lat_deg", "_elev"))
+    met = first_terrain_point(sample(along).withColumn("delta", F.col("_elev") - F.col("terrain")), row_key, F.col("sar.side"))
+    return _located(met, [row_key], "point")
+
+
+class _Models(NamedTuple):
+    """Models of the rows of a batch as arrays of one row each."""
+
+    kind: np.ndarray
+    scp: np.ndarray
+    u_row: np.ndarray
+    u_col: np.ndarray
+    time: np.ndarray
+    arp: np.ndarray
+    r_ca: np.ndarray
+    time_ca: np.ndarray
+    rate: np.ndarray
+    polar: np.ndarray
+    factor: np.ndarray
+    az: np.ndarray
+
+
+def _filled(values: pd.Series) -> np.ndarray:
+    """Arrays of any lengths, or null, as rows of one matrix filled with zeros."""
+    arrays = [np.zeros(0) if v is None else np.asarray(v, float) for v in values]
+    out = np.zeros((len(arrays), max(1, max(map(len, arrays), default=1))))
+    for i, a in enumerate(arrays):
+        out[i, : len(a)] = a
+    return out
+
+
+def _surfaces(values: pd.Series) -> np.ndarray:
+    """Arrays of arrays as n x rows x columns."""
+    rows = [[np.zeros(1)] if v is None else list(v) for v in values]
+    out = np.zeros((len(rows), max(len(v) for v in rows), max(len(r) for v in rows for r in v)))
+    for i, v in enumerate(rows):
+        for j, r in enumerate(v):
+            out[i, j, : len(r)] = r
+    return out
+
+
+def _horner(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Polynomials c[row, power] at t[row]; further axes of c are kept."""
+    total = np.zeros(c[:, 0].shape)
+    at = t.reshape(t.shape + (1,) * (total.ndim - 1))
+    for k in range(c.shape[1] - 1, -1, -1):
+        total = total * at + c[:, k]
+    return total
+
+
+def _surface(c: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return _horner(_horner(np.moveaxis(c, 2, 1), y), x)
+
+
+def _slope(c: np.ndarray) -> np.ndarray:
+    """Derivative of polynomials c[row, power]."""
+    if c.shape[1] == 1:
+        return np.zeros_like(c)
+    return c[:, 1:] * np.arange(1, c.shape[1]).reshape((1, -1) + (1,) * (c.ndim - 2))
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
+
+
+def _contour(m: _Models, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Range, range rate, position and velocity of places of the image plane; the formulas are those of functions.sar_geometry."""
+    t = _surface(m.time, x, y)
+    p, v = _horner(m.arp, t), _horner(_slope(m.arp), t)
+    to_scp = p - m.scp
+    r0 = np.linalg.norm(to_scp, axis=1)
+    d0 = _dot(v, to_scp) / r0
+    los = p - (m.scp + x[:, None] * m.u_row + y[:, None] * m.u_col)
+    r = np.linalg.norm(los, axis=1)
+    rdot = _dot(v, los) / r
+    for k in set(KINDS[:3]) & set(m.kind):
+        i = m.kind == k
+        if k == "PFA":
+            theta, turn = _horner(m.polar[i], t[i]), _horner(_slope(m.polar[i]), t[i])
+            f, f1 = _horner(m.factor[i], theta), _horner(_slope(m.factor[i]), theta)
+            along, across = x[i] * np.cos(theta) + y[i] * np.sin(theta), y[i] * np.cos(theta) - x[i] * np.sin(theta)
+            r[i], rdot[i] = r0[i] + f * along, d0[i] + (f1 * along + f * across) * turn
+        elif k == "RGAZCOMP":
+            r[i], rdot[i] = r0[i] + x[i], d0[i] - np.linalg.norm(v[i], axis=1) * m.az[i] * y[i]
+        else:
+            t_ca = _horner(m.time_ca[i], y[i])
+            speed = _horner(_slope(m.arp[i]), t_ca)
+            v2, dt, f = _dot(speed, speed), t[i] - t_ca, _surface(m.rate[i], x[i], y[i])
+            r[i] = np.sqrt((m.r_ca[i] + x[i]) ** 2 + f * v2 * dt * dt)
+            rdot[i] = f / r[i] * v2 * dt
+    return r, rdot, p, v
+
+
+def _to_image(m: pd.DataFrame, place: pd.DataFrame) -> pd.DataFrame:
+    vector = lambda n: np.stack([[q["x"], q["y"], q["z"]] for q in m[n]]).astype(float)
+    number = lambda n: m[n].to_numpy(float)
+    model = _Models(
+        m["projection"].to_numpy(), vector("scp"), vector("u_row"), vector("u_col"), _surfaces(m["time_coa"]), np.moveaxis(_aligned([_filled(pd.Series([q[a] for q in m["arp"]])) for a in "xyz"]), 0, 2),
+        number("r_ca_scp"), _filled(m["time_ca"]), _surfaces(m["rate"]), _filled(m["polar"]), _filled(m["factor"]), number("az_factor"),
+    )
+    s = place[["x", "y", "z"]].to_numpy(float)
+    with np.errstate(all="ignore"):
+        plane = np.cross(model.u_row, model.u_col)
+        plane /= np.linalg.norm(plane, axis=1)[:, None]
+        slant = np.cross(vector("scp_varp"), model.scp - vector("scp_arp"))
+        slant *= np.where(m["side"].to_numpy() == "R", -1, 1)[:, None] / np.linalg.norm(slant, axis=1)[:, None]
+        lon, lat, _ = _geodetic(s)
+        up = np.stack([u if n is None else [n["x"], n["y"], n["z"]] for n, u in zip(m["normal"], _up(lon, lat), strict=True)]).astype(float)
+        up /= np.linalg.norm(up, axis=1)[:, None]
+        g, x, y, miss = s.copy(), np.full(len(s), np.nan), np.full(len(s), np.nan), np.full(len(s), np.inf)
+        cos = _dot(model.u_row, model.u_col)
+        for _ in range(GROUND_STEPS):
+            go = np.flatnonzero(miss > GROUND_LIMIT)
+            if not len(go):
+                break
+            part = _Models(*(v[go] for v in model))
+            i = g[go] + (_dot(part.scp - g[go], plane[go]) / _dot(slant[go], plane[go]))[:, None] * slant[go]
+            a, e, c = _dot(i - part.scp, part.u_row), _dot(i - part.scp, part.u_col), cos[go]
+            x[go], y[go] = (a - c * e) / (1 - c * c), (e - c * a) / (1 - c * c)
+            r, rdot, p, v = _contour(part, x[go], y[go])
+            diff = s[go] - _on_plane(r, rdot, p, v, s[go], up[go])
+            g[go] += diff
+            miss[go] = np.linalg.norm(diff, axis=1)
+        row, col = x / number("row_ss") + number("scp_row") - number("first_row"), y / number("col_ss") + number("scp_col") - number("first_col")
+    good = np.isfinite(miss)
+    return pd.DataFrame({"x": np.where(good, col, np.nan), "y": np.where(good, row, np.nan), "miss": miss})
+
+
+def _aligned(parts: list[np.ndarray]) -> np.ndarray:
+    """Matrices of the same rows filled to the same width, stacked."""
+    width = max(p.shape[1] for p in parts)
+    return np.stack([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
+
+
+def world_to_image(df: DataFrame, params: DataFrame, key: str = "image_id", lon_deg: str = "lon_deg", lat_deg: str = "lat_deg", height: str = "height") -> DataFrame:
+    """Rows with x and y of their places' pixels, and miss, how far in metres the pixel's contour passes the place.
+
+    Every step projects along the slant plane's normal to the image plane and back to the plane through the place;
+    ten at most are taken, until it is within a centimetre.  The rows of a batch step together, whatever their
+    models, which come in rows.  Places without solution have nulls.
     """
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, row double, col double, miss double"
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = {k: np.array(v, float) if not isinstance(v, str) else v for k, v in shared.value.items()}
-        u_row, u_col, scp = m["u_row"], m["u_col"], m["scp"]
-        normal = np.cross(u_row, u_col)
-        normal /= np.linalg.norm(normal)
-        up = normal if normal @ scp >= 0 else -normal
-        poly = lambda c, t: np.stack([np.polynomial.polynomial.polyval(t, x) for x in c], -1)
-        speed = [np.polynomial.polynomial.polyder(x) for x in m["arp"]]
-        t0 = float(m["time"].reshape(-1)[0])
-        slant = np.cross(poly(speed, t0), scp - poly(m["arp"], t0))
-        slant /= np.linalg.norm(slant) * (-1 if m["side"] == "R" else 1)
-        for b in batches:
-            s = np.array([[p["x"], p["y"], p["z"]] for p in b[scene]], float).reshape(-1, 3)
-            g, x, y, miss = s.copy(), np.zeros(len(s)), np.zeros(len(s)), np.full(len(s), np.inf)
-            for _ in range(steps):
-                go = miss > limit
-                if not go.any():
-                    break
-                i = g[go] + ((scp - g[go]) @ normal / (slant @ normal))[:, None] * slant
-                d = i - scp
-                c, a, e = u_row @ u_col, d @ u_row, d @ u_col
-                xr, yc = (a - c * e) / (1 - c * c), (e - c * a) / (1 - c * c)
-                t = np.polynomial.polynomial.polyval2d(xr, yc, np.atleast_2d(m["time"]))
-                p, v = poly(m["arp"], t), poly(speed, t)
-                los = p - (scp + xr[:, None] * u_row + yc[:, None] * u_col)
-                r = np.linalg.norm(los, axis=1)
-                rdot = (v * los).sum(1) / r
-                z = ((p - s[go]) * up).sum(1)
-                ground = np.sqrt(np.maximum(r * r - z * z, 0))
-                vz = v @ up
-                vx = np.sqrt((v * v).sum(1) - vz * vz)
-                ex = (v - vz[:, None] * up) / vx[:, None]
-                ey = np.cross(up, ex)
-                cos = (vz * z / r - rdot) / (vx * ground / r)
-                look = np.sign((np.cross(p - s[go], v) * up).sum(1))
-                sin = look * np.sqrt(np.maximum(1 - cos * cos, 0))
-                hit = p - z[:, None] * up + (ground * cos)[:, None] * ex + (ground * sin)[:, None] * ey
-                diff = s[go] - hit
-                g[go] += diff
-                x[go], y[go], miss[go] = xr, yc, np.linalg.norm(diff, axis=1)
-            yield b.assign(row=x / m["row_ss"] + m["scp_row"], col=y / m["col_ss"] + m["scp_col"], miss=miss)
-
-    return df.mapInPandas(run, schema)
+    chip = "chip_h" in params.columns
+    model = params.select(key, F.struct(*SAR_MODEL).alias("_m"), *([F.col("chip_h").alias("_chip")] if chip else []))
+    kept = [n for n in df.columns if n not in ("x", "y", "miss")]
+    place = S.packed(G.geodetic_to_ecef(F.radians(lon_deg), F.radians(lat_deg), F.col(height)))
+    found = F.pandas_udf(_to_image, "struct<x:double,y:double,miss:double>")
+    rows = df.join(model, key).withColumn("_at", place).withColumn("_found", found("_m", "_at"))
+    rows = rows.withColumns({n: F.when(~F.isnan(F.col("_found")[n]), F.col("_found")[n]) for n in "xy"} | {"miss": F.col("_found")["miss"]})
+    if chip:
+        h = [F.col("_chip")[i] for i in range(8)]
+        x, y = homography(h, F.col("x"), F.col("y"))
+        rows = rows.withColumns({"x": F.when(F.col("_chip").isNull(), F.col("x")).otherwise(x), "y": F.when(F.col("_chip").isNull(), F.col("y")).otherwise(y)})
+    return rows.select(*kept, "x", "y", "miss")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbitframe.plans import geodesy, imagery
+from orbitframe.plans import geodesy, imagery, sar_images
 
-QUERIES = geodesy.QUERIES | imagery.QUERIES
-ORACLES = geodesy.ORACLES | imagery.ORACLES
+QUERIES = geodesy.QUERIES | imagery.QUERIES | sar_images.QUERIES
+ORACLES = geodesy.ORACLES | imagery.ORACLES | sar_images.ORACLES

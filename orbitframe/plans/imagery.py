@@ -298,7 +298,8 @@ def _sar(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") * 7919 % 2000 - 1000).cast("double").alias("rg"), (F.col("o_custkey") * 3571 % 1600 - 800).cast("double").alias("az"))
     rows = rows.withColumn("t", 0.01 + F.col("az") * 1e-5)
     arp, varp = S.state(_arp(), F.col("t"))
-    return rows.withColumns({"arp": S.packed(arp), "varp": S.packed(varp)})
+    rows, at = S.spread(rows, arp=arp, varp=varp)
+    return rows.withColumns({n: S.packed(v) for n, v in at.items()})
 
 
 _SAR = "(SELECT o_orderkey, rg, az, t, 6878137.0::DOUBLE AS px, -100 + 7000 * t AS py, 490000 + 20 * t AS pz, 0.0::DOUBLE AS vx, 7000.0::DOUBLE AS vy, 20.0::DOUBLE AS vz FROM (SELECT *, 0.01::DOUBLE + az * 1e-5 AS t FROM (SELECT o_orderkey, ((o_orderkey * 7919) % 2000 - 1000)::DOUBLE AS rg, ((o_custkey * 3571) % 1600 - 800)::DOUBLE AS az FROM orders)))"
@@ -329,12 +330,12 @@ def sar_plane_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     arp, varp, scp = S.unpacked(F.col("arp")), S.unpacked(F.col("varp")), S.literal(SCP)
     r, rdot = S.uniform_plane(F.col("rg"), F.col("az"), arp, varp, scp, S.literal(U_ROW), S.literal(U_COL))
     rows = rows.withColumns({"r": r, "rdot": rdot})
-    p = S.contour_on_plane(F.col("r"), F.col("rdot"), arp, varp, scp, S.literal((1.0, 0.0, 0.0)))
-    return rows.withColumn("p", p).select("o_orderkey", cut(F.col("r"), 3).alias("r"), cut(F.col("rdot"), 5).alias("rdot"), cut(F.col("p")["y"], 2).alias("y"), cut(F.col("p")["z"], 2).alias("z"))
+    rows = sar.on_plane(rows, "r", "rdot", "arp", "varp", S.packed(scp), S.packed(S.literal((1.0, 0.0, 0.0))), "p")
+    return rows.select("o_orderkey", cut(F.col("r"), 3).alias("r"), cut(F.col("rdot"), 5).alias("rdot"), cut(F.col("p")["y"], 2).alias("y"), cut(F.col("p")["z"], 2).alias("z"))
 
 
 def sar_height_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contours on a constant height: all results lie on that height and on their contour."""
+    """Contours on a constant height: all results lie on that height, at their range, range rate and side of the track."""
     from orbitframe.functions import geodesy as G
 
     rows = _sar(spark, sf_dir).withColumn("scp", S.packed(S.literal(SCP)))
@@ -342,7 +343,8 @@ def sar_height_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, rdot = S.uniform_plane(F.col("rg"), F.col("az"), arp, varp, scp, S.literal(U_ROW), S.literal(U_COL))
     rows = sar.on_height(rows.withColumns({"r": r, "rdot": rdot}), "r", "rdot", "arp", "varp", "scp", F.lit("R"), F.lit(100.0), "p")
     p = S.unpacked(F.col("p"))
-    return rows.select("o_orderkey", cut(G.ecef_to_geodetic(*p)[2], 3).alias("hae"), (F.abs(S.norm(S.sub(p, arp)) - F.col("r")) < 1.0).alias("on_contour"))
+    d = S.sub(arp, p)
+    return rows.select("o_orderkey", cut(G.ecef_to_geodetic(*p)[2], 3).alias("hae"), (F.abs(S.norm(d) - F.col("r")) < 0.5).alias("in_range"), (F.abs(S.dot(varp, d) / S.norm(d) - F.col("rdot")) < 0.05).alias("in_rate"), S.side_of_track(p, arp, varp).alias("side"))
 
 
 def contour_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,7 +429,7 @@ FROM (SELECT p_partkey, ['NITF', 'GTiff', 'PNG', 'JPEG'][p_partkey % 4 + 1] AS f
     "sar_rgazcomp_rrdot": f"SELECT o_orderkey, {cut_sql('r0 + rg', 3)} AS r, {cut_sql('d0 - sqrt(vy * vy + vz * vz) * 1e-6 * az', 5)} AS rdot FROM {_TO_SCP}",
     "sar_inca_rrdot": f"SELECT o_orderkey, {cut_sql('r', 3)} AS r, {cut_sql(f'f / r * {_V2} * dt', 5)} AS rdot FROM {_INCA}",
     "sar_plane_project": _PLANE,
-    "sar_height_project": "SELECT o_orderkey, 100.0::DOUBLE AS hae, true AS on_contour FROM orders",
+    "sar_height_project": "SELECT o_orderkey, 100.0::DOUBLE AS hae, true AS in_range, true AS in_rate, 'R' AS side FROM orders",
     "contour_crossings": f"SELECT user_id, step, {cut_sql('CASE WHEN s = 0 THEN 0 ELSE d / (d - nd) END')} AS fraction FROM (SELECT *, lead(d) OVER w AS nd, lead(s) OVER w AS ns FROM (SELECT user_id, event_id AS step, value - 50.0::DOUBLE AS d, CASE WHEN abs(value - 50.0::DOUBLE) < 0.001 THEN 0 WHEN value - 50.0::DOUBLE > 0.001 THEN 1 ELSE -1 END AS s FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY step)) WHERE s = 0 OR s * ns = -1",
     "sidd_bilinear_chip": _sidd_sql(),
 }

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from orbitframe.functions import web_tiles as W
 from orbitframe.operators import elevation as E
 from orbitframe.operators import features as FE
 from orbitframe.operators import models, sar, spatial, statistics, tiling
+from orbitframe.plans import sar_images
+from orbitframe.sources import products
 
 
 def one(spark, *columns):
@@ -175,20 +178,74 @@ def test_defaults(spark):
     assert one(spark, models.options(given, base), models.defaulted_elevation(F.lit(float("nan")), F.lit(3.0))) == ({"a": "1", "b": "2"}, 3.0)
 
 
-MODEL = {"scp": [6378137.0, 0.0, 0.0], "u_row": [-0.6, 0.0, 0.8], "u_col": [0.0, 1.0, 0.0], "row_ss": 1.0, "col_ss": 2.0, "scp_row": 100.0, "scp_col": 50.0, "arp": [[6878137.0, 0.0], [-100.0, 7000.0], [490000.0, 20.0]], "time": [[0.01]], "side": "R"}
-
-
-def test_sar_round_trip(spark):
-    """Pixels to the ground plane and back."""
-    rows = spark.createDataFrame([(float(r), float(c)) for r in (0, 100, 180) for c in (10, 50, 90)], "r0 double, c0 double")
-    x, y = S.row_col_to_plane(F.col("r0"), F.col("c0"), F.lit(100.0), F.lit(50.0), F.lit(1.0), F.lit(2.0))
-    arp, varp = S.state(tuple(F.array(*(F.lit(v) for v in c)) for c in MODEL["arp"]), F.lit(0.01))
-    scp, u_row, u_col = (S.literal(MODEL[n]) for n in ("scp", "u_row", "u_col"))
-    normal = S.image_normal(scp, u_row, u_col)
-    r, rdot = S.uniform_plane(x, y, arp, varp, scp, u_row, u_col)
-    rows = rows.withColumn("scene", S.contour_on_plane(r, rdot, arp, varp, scp, normal))
-    for g in sar.plane_inverse(rows, "scene", MODEL).collect():
-        assert (g.row, g.col) == pytest.approx((g.r0, g.c0), abs=0.05)
+@pytest.mark.parametrize("kind", ["PLANE", "PFA", "RGAZCOMP", "INCA"])
+def test_sar_round_trip(spark, kind):
+    """Pixels of a chip to the ground and back; the place lies on the contour, at the range and rate that numpy gives."""
+    docs = spark.createDataFrame([(1, sar_images.sicd_xml(kind, (100, 50)))], "image_id int, xml string")
+    params = products.sicd(docs)
+    pixels = spark.createDataFrame([(1, float(c), float(r)) for r in (0, 900, 1700) for c in (10, 750, 1400)], "image_id int, c0 double, r0 double")
+    ground = sar.image_to_world(pixels, params, x="c0", y="r0")
+    for g in sar.world_to_image(ground, params).collect():
+        assert (g.x, g.y) == pytest.approx((g.c0, g.r0), abs=0.1) and g.miss < 0.01
+        rg, az = g.r0 + 100 - 1000, g.c0 + 50 - 800
+        t = 0.01 + 1e-5 * az
+        arp, varp, place = np.array([6878137.0, -100 + 7000 * t, 490000 + 20 * t]), np.array([0, 7000.0, 20]), np.array([g.place.x, g.place.y, g.place.z])
+        scp, plane = np.array([6378137.0, 0, 0]), np.array([6378137.0, 0, 0]) + rg * np.array([-0.6, 0, 0.8]) + az * np.array([0, 1.0, 0])
+        r0 = np.linalg.norm(arp - scp)
+        dt, f = t - (0.005 + 1.43e-4 * az), 1 + 1e-7 * az + 2e-7 * rg
+        r_inca = math.sqrt((700071.0 + rg) ** 2 + f * (varp @ varp) * dt**2)
+        theta = -0.01 * t
+        k, along, across = 1 + 0.002 * theta, rg * math.cos(theta) + az * math.sin(theta), az * math.cos(theta) - rg * math.sin(theta)
+        r, rdot = {
+            "PLANE": (np.linalg.norm(arp - plane), varp @ (arp - plane) / np.linalg.norm(arp - plane)), "RGAZCOMP": (r0 + rg, varp @ (arp - scp) / r0 - np.linalg.norm(varp) * 1.4e-6 * az),
+            "INCA": (r_inca, f / r_inca * (varp @ varp) * dt), "PFA": (r0 + k * along, varp @ (arp - scp) / r0 + (0.002 * along + k * across) * -0.01),
+        }[kind]
+        assert np.linalg.norm(arp - place) == pytest.approx(r, abs=1e-4) and varp @ (arp - place) / np.linalg.norm(arp - place) == pytest.approx(rdot, abs=1e-6)
+        assert place[0] == pytest.approx(6378137.0, abs=1e-6)
+
+
+def test_sar_models_in_one_batch(spark):
+    """Images of all kinds in one table, one without model, and adjustable offsets."""
+    docs = spark.createDataFrame([(k, sar_images.sicd_xml(k)) for k in ("PLANE", "PFA", "RGAZCOMP", "INCA")] + [("none", "<SICD/>")], "image_id string, xml string")
+    params = products.sicd(docs).where("scp.x is not null")
+    rows = spark.createDataFrame([(k, 700.0 + i, 1100.0 - i) for i in range(5) for k in ("PLANE", "PFA", "RGAZCOMP", "INCA", "none")], "image_id string, x0 double, y0 double")
+    ground = sar.image_to_world(rows, params, x="x0", y="y0").coalesce(1)
+    back = sar.world_to_image(ground, params).collect()
+    assert len(back) == 20 and all((b.x, b.y) == pytest.approx((b.x0, b.y0), abs=0.1) for b in back)
+    none = S.packed(S.literal((0, 0, 0)))
+    moved = sar.image_to_world(rows, params.withColumns({"range_bias": F.lit(10.0), "delta_arp": none, "delta_varp": none}), x="x0", y="y0", offsets=True)
+    apart = ground.alias("a").join(moved.alias("b"), ["image_id", "x0"]).select((F.col("a.place.z") - F.col("b.place.z")).alias("d")).collect()
+    assert len(apart) == 20 and all(10 < abs(r.d) < 20 for r in apart)
+
+
+def test_sidd_products(spark):
+    """A chip's corner and centre are where the full image has them, there and back, and chips of chips are written."""
+    docs = spark.createDataFrame([(1, sar_images.sidd_xml()), (2, sar_images.sidd_xml(chip=False)), (3, "<SIDD/>"), (4, "broken")], "image_id int, xml string")
+    params = products.with_chips(products.sidd(docs)).cache()
+    assert sorted(r.image_id for r in params.collect()) == [1, 2]
+    pixels = spark.createDataFrame([(1, 0.0, 0.0), (2, 300.0, 300.0), (1, 250.0, 350.0), (2, 800.0, 1000.0)], "image_id int, x0 double, y0 double")
+    got = {(r.image_id, r.x0): r for r in sar.world_to_image(sar.image_to_world(pixels, params, x="x0", y="y0"), params).collect()}
+    assert all((r.x, r.y) == pytest.approx((r.x0, r.y0), abs=0.1) for r in got.values())
+    near = lambda a, b: [a.place.x, a.place.y, a.place.z] == pytest.approx([b.place.x, b.place.y, b.place.z], abs=1e-3)
+    assert near(got[1, 0.0], got[2, 300.0]) and near(got[1, 250.0], got[2, 800.0])
+    centre = got[2, 800.0].place
+    assert (centre.x, centre.y, centre.z) == pytest.approx((6378137.0, 0, 0), abs=1e-3)
+    chip = tiling.sidd_chip(F.lit(10), F.lit(20), F.lit(64), F.lit(32), F.col("chip"))
+    written = docs.join(params.select("image_id", "chip"), "image_id").select("image_id", products.chipped_sidd_xml(F.col("xml"), chip).alias("xml"))
+    again = {r.image_id: r.chip for r in products.sidd(written).collect()}
+    assert (again[1].rows, again[1].cols) == (32, 64) and (again[2].corners[0].col, again[2].corners[0].row) == (10, 20)
+    assert again[1].corners[0].col == pytest.approx(300 + 10 / 511 * 1024) and again[1].corners[2].row == pytest.approx(300 + 51 / 511 * 1024)
+
+
+def test_sicd_chip_documents(spark):
+    """A chip's document places its pixels where the full image's does."""
+    docs = spark.createDataFrame([(1, sar_images.sicd_xml("INCA"))], "image_id int, xml string")
+    cut = docs.select("image_id", products.chipped_sicd_xml(F.col("xml"), F.lit(64), F.lit(32), F.lit(200), F.lit(100)).alias("xml"))
+    row = products.sicd(cut).first()
+    assert (row.first_row, row.first_col, row.num_rows, row.num_cols) == (32, 64, 100, 200)
+    at = lambda x, y: spark.createDataFrame([(1, x, y)], "image_id int, x double, y double")
+    a, b = sar.image_to_world(at(5.0, 6.0), products.sicd(cut)).first(), sar.image_to_world(at(69.0, 38.0), products.sicd(docs)).first()
+    assert a.place == b.place
 
 
 def test_no_contour(spark):
@@ -207,7 +264,7 @@ def test_terrain_contour(spark):
     hit = sar.first_terrain_point(along.withColumn("delta", height - 120.0), "id", side)
     got = hit.select(G.ecef_to_geodetic(*S.unpacked(F.col("point")))[2]).collect()
     assert len(got) == 1 and got[0][0] == pytest.approx(120, abs=0.1)
-    assert one(spark, S.side_of_track(S.literal((6378137.0, 0, 0)), S.literal((6878137.0, 0, 490000.0)), S.literal((0, 7000.0, 0))))[0] in "LR"
+    assert one(spark, S.side_of_track(S.literal((6378137.0, 0, 0)), S.literal((6878137.0, 0, 490000.0)), S.literal((0, 7000.0, 0))))[0] == "R"
 
 
 def test_feature_update(spark):
