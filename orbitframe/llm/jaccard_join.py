@@ -259,6 +259,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), key.alias("row_key"))
     met = lambda keys: F.col("row_id").eqNullSafe(keys["doc_id"]) & (F.col("row_key") == keys["text_key"])
     kept = packed.join(gone, met(gone), "left_anti").select("row")
+    if again.isEmpty():  # saves dealing out the rows a second time
+        return kept.select("row.*")
     back = packed.join(again, met(again), "left_semi").groupBy("row_id", "row_key").agg(F.first("row").alias("row")).select("row")
     return kept.unionAll(back).select("row.*")
 
