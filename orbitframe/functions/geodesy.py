@@ -127,9 +127,3 @@ def geolocation_corners(corners: list[tuple[Column, Column]]) -> Column:
 def up_vector(lon: Column, lat: Column) -> Triple:
     """Unit vector of increasing height."""
     return F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)
-
-
-def triangle(x: Column, y: Column, size: float) -> list[tuple[Column, Column]]:
-    """Corners of an equilateral triangle about a centre, the start of a simplex search."""
-    high = size * math.sqrt(3) / 2
-    return [(x - size / 2, y - high / 3), (x + size / 2, y - high / 3), (x, y + 2 * high / 3)]

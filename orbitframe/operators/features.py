@@ -78,12 +78,18 @@ def control_grid(boxes: DataFrame, key: str, n: int = GRID, margin: float = MARG
     return cells.withColumns({"x": F.col("x0") + F.col("i") * F.col("dx"), "y": F.col("y0") + F.col("j") * F.col("dy")})
 
 
+def packed_grid(grid: DataFrame, key: str, values: list[str], n: int = GRID) -> DataFrame:
+    """One row per group: its origin, its steps, and a map of the n * n nodes' values."""
+    nodes = F.map_from_entries(F.collect_list(F.struct((F.col("i") * n + F.col("j")).alias("k"), F.struct(*values).alias("v"))))
+    return grid.groupBy(key).agg(*(F.first(c).alias(f"_{c}") for c in ("x0", "y0", "dx", "dy")), nodes.alias("_g"))
+
+
 def interpolate(points: DataFrame, grid: DataFrame, key: str, values: list[str], x: str = "x", y: str = "y", n: int = GRID) -> DataFrame:
     """Points with grid values interpolated between their four neighbours.
 
     A group's grid is one row of n * n structs, so a point needs one equality join.
     """
-    packed = grid.groupBy(key).agg(F.first("x0").alias("_x0"), F.first("y0").alias("_y0"), F.first("dx").alias("_dx"), F.first("dy").alias("_dy"), F.map_from_entries(F.collect_list(F.struct((F.col("i") * n + F.col("j")).alias("k"), F.struct(*values).alias("v")))).alias("_g"))  # n * n entries
+    packed = packed_grid(grid, key, values, n)
     joined = points.join(packed, key)
     at = lambda v, o, d: F.greatest(F.lit(0.0), F.least(F.coalesce(F.try_divide(F.col(v) - F.col(o), F.col(d)), F.lit(0.0)), F.lit(float(n - 1))))
     joined = joined.withColumns({"_u": at(x, "_x0", "_dx"), "_v": at(y, "_y0", "_dy")})
@@ -94,6 +100,32 @@ def interpolate(points: DataFrame, grid: DataFrame, key: str, values: list[str],
     return joined.select(*points.columns, *(c.alias(v) for v, c in made.items()))
 
 
+def geolocated_geometries(features: DataFrame, grid: DataFrame, image: str, values: list[str] | None = None, coordinates: str = "coordinates", out: str = "world_coordinates", n: int = GRID) -> DataFrame:
+    """Features with the coordinates (JSON text, of any geometry's nesting) of their image geometry in the world.
+
+    Each place becomes [longitude, latitude, and further values of the grid]; the grid has lon and lat in radians.
+    A feature needs its image's grid once, whatever the number of its vertices.  Null stays null.
+    """
+    values = values or ["lon", "lat"]
+    number = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+    place = rf"\[\s*{number}(?:\s*,\s*{number})+\s*\]"
+    kept = [c for c in features.columns if c != out]
+    rows = features.join(packed_grid(grid, image, values, n), image)
+    inside = lambda v, o, d: F.greatest(F.lit(0.0), F.least(F.coalesce(F.try_divide(v - F.col(o), F.col(d)), F.lit(0.0)), F.lit(float(n - 1))))
+    spots = F.transform(vertices(F.struct(F.col(coordinates).alias("coordinates"))), lambda p: F.struct(inside(p[0], "_x0", "_dx").alias("u"), inside(p[1], "_y0", "_dy").alias("v")))
+    cells = F.transform(spots, lambda p: F.struct(p["u"].alias("u"), p["v"].alias("v"), F.least(F.floor(p["u"]), F.lit(n - 2)).alias("i"), F.least(F.floor(p["v"]), F.lit(n - 2)).alias("j")))
+    node = lambda p, a, b: F.element_at("_g", ((p["i"] + a) * n + p["j"] + b).cast("int"))
+    around = F.transform(cells, lambda p: F.struct((p["u"] - p["i"]).alias("fu"), (p["v"] - p["j"]).alias("fv"), *(node(p, a, b).alias(f"z{a}{b}") for a in (0, 1) for b in (0, 1))))
+
+    def text(p: Column) -> Column:
+        made = [p["z00"][v] * (1 - p["fu"]) * (1 - p["fv"]) + p["z10"][v] * p["fu"] * (1 - p["fv"]) + p["z01"][v] * (1 - p["fu"]) * p["fv"] + p["z11"][v] * p["fu"] * p["fv"] for v in values]
+        return F.concat(F.lit("["), F.concat_ws(",", *((F.degrees(c) if v in ("lon", "lat") else c).cast("string") for v, c in zip(values, made, strict=True))), F.lit("]"))
+
+    between = F.split(F.col(coordinates), place, -1)
+    pieces = F.zip_with(between, F.transform(around, text), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return rows.withColumn(out, F.when(F.col(coordinates).isNotNull(), F.concat_ws("", pieces))).select(*kept, out)
+
+
 def geolocated_boxes(boxes: DataFrame, grid: DataFrame, image: str, key: str, n: int = GRID) -> DataFrame:
     """Geographic bounds of each box's corners and the place of its centre, in degrees; the grid has lon and lat in radians."""
     c = F.col

@@ -34,42 +34,74 @@ def rpc_forward(lon_deg: Column, lat_deg: Column, height: Column, p=F.col) -> tu
     return P.denormalize(ratio("samp"), p("samp_off"), p("samp_scale")), P.denormalize(ratio("line"), p("line_off"), p("line_scale"))
 
 
-def _rpc_matrix(lon: np.ndarray, lat: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return np.stack([lon**a * lat**b * h**c for a, b, c in P.RPC_TERMS], axis=1)
+RPC_STEPS = 6
+
+
+def _rpc_terms(l: np.ndarray, p: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The twenty terms, a row each, and their derivatives by the first two variables."""
+    power = lambda v: [np.ones_like(v), v, v * v, v * v * v]
+    lp, pp, hp = power(l), power(p), power(h)
+    value, by_l, by_p = np.empty((3, len(P.RPC_TERMS), len(l)))
+    for k, (a, b, c) in enumerate(P.RPC_TERMS):
+        value[k] = lp[a] * pp[b] * hp[c]
+        by_l[k] = a * lp[a - 1] * pp[b] * hp[c] if a else 0
+        by_p[k] = b * lp[a] * pp[b - 1] * hp[c] if b else 0
+    return value, by_l, by_p
+
+
+def _rpc_solved(x: pd.Series, y: pd.Series, height: pd.Series, model: pd.Series, lon0: pd.Series, lat0: pd.Series) -> pd.DataFrame:
+    n = len(x)
+    m = np.full((n, len(RPC_NORMS) + 80), np.nan)
+    for i, v in enumerate(model):
+        if v is not None and len(v) == m.shape[1]:
+            m[i] = v
+    m = np.ascontiguousarray(m.T)
+    v = dict(zip(RPC_NORMS, m, strict=False))
+    c = {name: m[10 + 20 * k : 30 + 20 * k] for k, name in enumerate(RPC_POLYS)}
+    number = lambda s: s.to_numpy(float, na_value=np.nan)
+    with np.errstate(all="ignore"):
+        want = (number(x) - v["samp_off"]) / v["samp_scale"], (number(y) - v["line_off"]) / v["line_scale"]
+        h = (number(height) - v["height_off"]) / v["height_scale"]
+        l, p = (np.nan_to_num((number(s) - v[f"{k}_off"]) / v[f"{k}_scale"], nan=0.0) for s, k in ((lon0, "long"), (lat0, "lat")))
+        dot = lambda name, t: np.einsum("ij,ij->j", c[name], t)
+        for step in range(RPC_STEPS + 1):
+            t, tl, tp = _rpc_terms(l, p, h)
+            at = []
+            for k in ("samp", "line"):
+                num, den = dot(f"{k}_num", t), dot(f"{k}_den", t)
+                slope = lambda d: (dot(f"{k}_num", d) * den - num * dot(f"{k}_den", d)) / (den * den)  # noqa: B023, E731
+                at.append((num / den, slope(tl), slope(tp)))
+            (s, sl, sp), (r, rl, rp) = at
+            ds, dr = s - want[0], r - want[1]
+            if step == RPC_STEPS or not (np.hypot(ds, dr) > 1e-14).any():
+                break
+            det = sl * rp - sp * rl
+            l, p = l - (ds * rp - dr * sp) / det, p - (dr * sl - ds * rl) / det
+        residual = np.hypot(ds * v["samp_scale"], dr * v["line_scale"])
+        return pd.DataFrame({"lon_deg": l * v["long_scale"] + v["long_off"], "lat_deg": p * v["lat_scale"] + v["lat_off"], "residual": residual})
 
 
-def rpc_inverse(df: DataFrame, samp: str = "x", line: str = "y", height: str = "height", steps: int = 5) -> DataFrame:
+def rpc_inverse(df: DataFrame, samp: str = "x", line: str = "y", height: str = "height", seed: tuple[str, str] | None = None) -> DataFrame:
     """Rows, which carry their model's parameters, with lon_deg and lat_deg at a known height, and the residual in pixels.
 
-    Newton steps with a difference quotient from the model's centre; two steps are enough in practice.
+    Newton steps from the model's centre, or from the places (longitude and latitude in degrees) that the seed names;
+    only pixel, height, seed and parameters cross to Python.  Rows without a model or a solution get nulls.
     """
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, lon_deg double, lat_deg double, residual double"
+    names = ["lon_deg", "lat_deg", "residual"]
+    kept = [n for n in df.columns if n not in names]
+    model = F.concat(F.array(*(F.col(n).cast("double") for n in RPC_NORMS)), *RPC_POLYS)
+    start = [F.col(n).cast("double") for n in seed] if seed else [F.lit(None).cast("double")] * 2
+    solved = F.pandas_udf(_rpc_solved, "struct<lon_deg:double,lat_deg:double,residual:double>")
+    rows = df.withColumn("_found", solved(*(F.col(n).cast("double") for n in (samp, line, height)), model, *start))
+    found = F.col("_found")
+    return rows.select(*kept, *(F.when(~F.isnan(found["residual"]), found[n]).alias(n) for n in names))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                yield b.assign(lon_deg=pd.Series(dtype=float), lat_deg=pd.Series(dtype=float), residual=pd.Series(dtype=float))
-                continue
-            v = {n: b[n].to_numpy(float) for n in RPC_NORMS}
-            c = {n: np.stack(b[n].to_numpy()) for n in RPC_POLYS}
-            want = np.stack([(b[samp].to_numpy(float) - v["samp_off"]) / v["samp_scale"], (b[line].to_numpy(float) - v["line_off"]) / v["line_scale"]], 1)
-            h = (b[height].to_numpy(float) - v["height_off"]) / v["height_scale"]
-
-            def image(q: np.ndarray) -> np.ndarray:
-                t = _rpc_matrix(q[:, 0], q[:, 1], h)
-                dots = {n: np.einsum("ij,ij->i", c[n], t) for n in RPC_POLYS}
-                return np.stack([dots["samp_num"] / dots["samp_den"], dots["line_num"] / dots["line_den"]], 1)
-
-            q, e = np.zeros((len(b), 2)), 1e-6
-            for _ in range(steps):
-                miss = image(q) - want
-                dx, dy = (image(q + [e, 0]) - image(q - [e, 0])) / (2 * e), (image(q + [0, e]) - image(q - [0, e])) / (2 * e)
-                det = dx[:, 0] * dy[:, 1] - dx[:, 1] * dy[:, 0]
-                q = q - np.stack([(miss[:, 0] * dy[:, 1] - miss[:, 1] * dy[:, 0]) / det, (miss[:, 1] * dx[:, 0] - miss[:, 0] * dx[:, 1]) / det], 1)
-            off = (image(q) - want) * np.stack([v["samp_scale"], v["line_scale"]], 1)
-            yield b.assign(lon_deg=q[:, 0] * v["long_scale"] + v["long_off"], lat_deg=q[:, 1] * v["lat_scale"] + v["lat_off"], residual=np.hypot(*off.T))
-
-    return df.mapInPandas(run, schema)
+
+def rpc_composite(df: DataFrame, approximate: tuple[Column, Column], samp: str = "x", line: str = "y", height: str = "height") -> DataFrame:
+    """Places by the rational model, whose search starts at the approximate model's place (in degrees); that place where the rational model has none."""
+    lon, lat = approximate
+    rows = rpc_inverse(df.withColumns({"_lon": lon, "_lat": lat}), samp, line, height, ("_lon", "_lat"))
+    return rows.withColumns({"lon_deg": F.coalesce("lon_deg", "_lon"), "lat_deg": F.coalesce("lat_deg", "_lat")}).drop("_lon", "_lat")
 
 
 def rpc_inverse_on_terrain(df: DataFrame, sample, rounds: int = 3, samp: str = "x", line: str = "y") -> DataFrame:
@@ -330,11 +362,6 @@ def to_chip(chip: list[Column], x: Column, y: Column) -> tuple[Column, Column]:
     return M.homography(chip, x, y)
 
 
-def composite(precise: Column, approximate: Column) -> Column:
-    """The precise model's result, else the approximate one's."""
-    return F.coalesce(precise, approximate)
-
-
 def defaulted_elevation(elev: Column, default: Column) -> Column:
     """A place's own elevation unless it is missing or not a number."""
     return F.when(elev.isNull() | F.isnan(elev), default).otherwise(elev)

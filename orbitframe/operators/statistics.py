@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions import radiometry as R
@@ -14,13 +14,22 @@ def value_bounds(pixels: DataFrame, keys: list[str], value: str = "v") -> DataFr
     return pixels.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
 
 
-def histogram(pixels: DataFrame, keys: list[str], bounds: DataFrame, buckets: int, value: str = "v") -> DataFrame:
-    """keys, bin, n for equal buckets between each group's bounds; values at the top go to the last bucket."""
-    at = F.least(F.floor(F.coalesce(F.try_divide((F.col(value) - F.col("lo")) * buckets, F.col("hi") - F.col("lo")), F.lit(0.0))), F.lit(buckets - 1)).cast("int")
-    return pixels.join(bounds, keys).where(F.col(value).between(F.col("lo"), F.col("hi"))).groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
+def _number(buckets: int | str) -> Column:
+    return F.col(buckets) if isinstance(buckets, str) else F.lit(buckets)
 
 
-def dra_parameters(counts: DataFrame, keys: list[str], buckets: int, min_share: float = 0.02, max_share: float = 0.98, a: float = 0.2, b: float = 0.4) -> DataFrame:
+def histogram(pixels: DataFrame, keys: list[str], bounds: DataFrame, buckets: int | str, value: str = "v") -> DataFrame:
+    """keys, bin, n for equal buckets between each group's bounds; values at the top go to the last bucket.
+
+    Where each group has its own number of buckets, the name of the bounds' column with it is given, and kept.
+    """
+    many = _number(buckets)
+    at = F.least(F.floor(F.coalesce(F.try_divide((F.col(value) - F.col("lo")) * many, F.col("hi") - F.col("lo")), F.lit(0.0))), many - 1).cast("int")
+    own = [buckets] if isinstance(buckets, str) else []
+    return pixels.join(bounds, keys).where(F.col(value).between(F.col("lo"), F.col("hi"))).groupBy(*keys, *own, at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def dra_parameters(counts: DataFrame, keys: list[str], buckets: int | str, min_share: float = 0.02, max_share: float = 0.98, a: float = 0.2, b: float = 0.4) -> DataFrame:
     """keys, lo, hi (suggested) and actual_lo, actual_hi in bins, from rows keys, bin, n of a histogram.
 
     Bins without rows are empty.  A window runs over one group's bins, of which there are buckets at most.
@@ -30,7 +39,7 @@ def dra_parameters(counts: DataFrame, keys: list[str], buckets: int, min_share:
     c = F.col
     low_at = F.min(F.when(c("upto") >= min_share * c("whole"), c("bin")))
     # the last bin whose running sum is within the share: an empty bin has the sum of the full one before it
-    high_at = F.max(F.when(c("upto") <= max_share * c("whole"), F.coalesce(c("after"), F.lit(buckets)) - 1))
+    high_at = F.max(F.when(c("upto") <= max_share * c("whole"), F.coalesce(c("after"), _number(buckets)) - 1))
     first_bin = F.min("bin")
     rows = summed.groupBy(*keys).agg(low_at.alias("e_min"), F.coalesce(high_at, F.greatest(first_bin - 1, F.lit(0))).alias("e_max"), first_bin.alias("actual_lo"), F.max("bin").alias("actual_hi"))
     rows = rows.withColumn("e_min", F.when(F.lit(min_share) == 0, F.lit(0)).otherwise(c("e_min")))
@@ -38,11 +47,13 @@ def dra_parameters(counts: DataFrame, keys: list[str], buckets: int, min_share:
     return rows.select(*keys, F.greatest(c("actual_lo").cast("double"), c("e_min") - a * spread).alias("lo"), F.least(c("actual_hi").cast("double"), c("e_max") + b * spread).alias("hi"), "actual_lo", "actual_hi")
 
 
-def in_values(parameters: DataFrame, bounds: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+def in_values(parameters: DataFrame, bounds: DataFrame, keys: list[str], buckets: int | str) -> DataFrame:
     """Bins of dra_parameters as pixel values; a top bound of 0 counts as not given."""
     c = F.col
-    step = (F.when(c("last") == 0, F.lit(float(buckets))).otherwise(c("last")) - c("first")) / buckets
-    rows = parameters.join(bounds.select(*keys, F.col("lo").alias("first"), F.col("hi").alias("last")), keys)
+    many = _number(buckets).cast("double")
+    step = (F.when(c("last") == 0, many).otherwise(c("last")) - c("first")) / many
+    own = [buckets] if isinstance(buckets, str) else []
+    rows = parameters.join(bounds.select(*keys, *own, F.col("lo").alias("first"), F.col("hi").alias("last")), keys)
     return rows.select(*keys, *((c(n) * step + c("first")).alias(n) for n in ("lo", "hi", "actual_lo", "actual_hi")))
 
 
@@ -79,6 +90,34 @@ def sar_precomputed_mean(bands: DataFrame, keys: list[str], value: str = "v") ->
     return each.groupBy(*keys).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("mean"))
 
 
+def displayed(pixels: DataFrame, image: str = "image", adjustment: str = "MINMAX") -> DataFrame:
+    """image, x, y and bands (array of bytes) ready to be encoded, from rows image, band, x, y, v.
+
+    An image of one band is gray, of three or more shows its first three, each adjusted (MINMAX or DRA) by itself; one
+    of two is a complex product, shown by its quarter power.  NONE casts all bands to bytes, which wrap around.
+    """
+    c = F.col
+    if adjustment == "NONE":
+        rows = pixels.withColumn("display", F.pmod(F.floor("v"), F.lit(256)).cast("int"))
+    else:
+        counts = pixels.groupBy(image).agg(F.max("band").alias("_bands"))
+        rows = pixels.join(counts, image)
+        plain = rows.where("_bands = 1 or (_bands >= 3 and band <= 3)")
+        if adjustment == "DRA":
+            keys = [image, "band"]
+            bounds = value_bounds(plain, keys).withColumn("buckets", F.greatest(F.lit(256), F.floor(c("hi") - c("lo")).cast("int")))
+            found = in_values(dra_parameters(histogram(plain, keys, bounds, "buckets"), keys, "buckets", max_share=0.97), bounds, keys, "buckets")
+            plain = plain.join(found, keys).withColumn("display", R.dra_byte(c("v"), c("lo"), c("hi")))
+        else:
+            plain = plain.join(value_bounds(plain, [image, "band"]), [image, "band"]).withColumn("display", R.minmax_byte(c("v"), c("lo"), c("hi")))
+        pair = rows.where("_bands = 2")
+        power = pair.groupBy(image, "x", "y").agg(F.sum(c("v") * c("v")).alias("_power"), F.count("*").alias("_n")).where("_n = 2")
+        shown = power.join(sar_precomputed_mean(pair, [image]), image).select(image, F.lit(1).alias("band"), "x", "y", F.floor(R.quarter_power(c("_power"), c("mean"))).cast("int").alias("display"))
+        rows = plain.select(image, "band", "x", "y", "display").unionByName(shown)
+    entries = F.array_sort(F.collect_list(F.struct("band", "display")))
+    return rows.groupBy(image, "x", "y").agg(F.transform(entries, lambda e: e["display"]).alias("bands"))
+
+
 def fit_homography(points: DataFrame, key: str, source: tuple[str, str], target: tuple[str, str], least: int = 4) -> DataFrame:
     """key and h, the eight coefficients fitted by least squares to each group's point pairs; groups with fewer points drop out.
 

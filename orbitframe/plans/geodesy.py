@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geodesy as G
@@ -157,6 +157,31 @@ def rpc_inverse_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_orderkey", cut(F.col("lon_deg"), 5).alias("lon"), cut(F.col("lat_deg"), 5).alias("lat"), (F.col("residual") < 1e-3).alias("close"))
 
 
+def _terrain(lon: Column, lat: Column) -> Column:
+    """A smooth terrain: a plane that rises to the north-east."""
+    return 3000.0002 + 2.0 * lon + 5.0 * lat
+
+
+def rpc_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of places on a terrain, back to these places without knowing their height."""
+    samp, line = models.rpc_forward(F.col("lon_deg"), F.col("lat_deg"), F.col("ground"))
+    rows = with_rpc(pts(spark, sf_dir).withColumn("ground", _terrain(F.col("lon_deg"), F.col("lat_deg")))).withColumns({"x": samp, "y": line}).drop("lon_deg", "lat_deg", "ground")
+    got = models.rpc_inverse_on_terrain(rows, lambda df: df.withColumn("terrain", _terrain(F.col("lon_deg"), F.col("lat_deg"))), rounds=6)
+    return got.select("o_orderkey", cut(F.col("lon_deg"), 4).alias("lon"), cut(F.col("lat_deg"), 4).alias("lat"), cut(F.col("height"), 2).alias("height"))
+
+
+def composite_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plate's places start the rational model's search; images without one keep the plate's place."""
+    samp, line = models.rpc_forward(F.col("lon_deg"), F.col("lat_deg"), F.col("elev"))
+    rows = with_rpc(pts(spark, sf_dir)).withColumns({"x": samp, "y": line, "height": F.col("elev")}).drop("lon_deg", "lat_deg")
+    rows = rows.withColumn("line_den", F.when(F.col("o_orderkey") % 4 > 0, F.col("line_den")))
+    gt = F.array(*(F.lit(v) for v in (-180.0, 0.03, 0.0, 80.0, 0.0, -0.016)))
+    got = models.rpc_composite(rows, M.affine(gt, F.col("x"), F.col("y")))
+    near = (F.abs(F.col("lon_deg") - (0.03 * F.col("x") - 180)) < 1e-9) & (F.abs(F.col("lat_deg") - (80 - 0.016 * F.col("y"))) < 1e-9)
+    exact = F.col("o_orderkey") % 4 > 0
+    return got.select("o_orderkey", F.when(exact, cut(F.col("lon_deg"), 5)).alias("lon"), F.when(exact, cut(F.col("lat_deg"), 5)).alias("lat"), F.when(~exact, near).alias("plate"))
+
+
 def _rpc_sql() -> str:
     l, p, h = "(lon_deg / 180.0::DOUBLE)", "(lat_deg / 80.0::DOUBLE)", "((elev - 4500.0::DOUBLE) / 4500.0::DOUBLE)"
     poly = lambda c: " + ".join(f"({v!r}::DOUBLE)" + "".join(f" * {x}" for x, k in zip((l, p, h), t, strict=True) for _ in range(k)) for v, t in zip(c, P.RPC_TERMS, strict=True))
@@ -278,7 +303,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         wmq_tile_counts, wmq_tile_bounds, wmq_area_limits, lla_to_ecef, ecef_to_lla, normalize_lonlat, range_adjust, dms_format, srtm_tile_id, generic_tile_id, affine_roundtrip, homography_forward,
-        homography_inverse, homography_fit, chip_to_full, rpc_forward, rpc_inverse_newton, rsm_poly_eval, rsm_section_lookup, rsm_forward, rsm_inverse, model_precedence,
+        homography_inverse, homography_fit, chip_to_full, rpc_forward, rpc_inverse_newton, rpc_terrain, composite_locate, rsm_poly_eval, rsm_section_lookup, rsm_forward, rsm_inverse, model_precedence,
     )
 }
 
@@ -305,6 +330,8 @@ FROM (SELECT *, -180.0::DOUBLE AS g0, 0.01::DOUBLE AS g1, 0.001::DOUBLE AS g2, 8
     "chip_to_full": f"SELECT o_orderkey, {cut_sql(_chip('100.0::DOUBLE', '1123.0::DOUBLE', '1100.0::DOUBLE', '90.0::DOUBLE'), 5)} AS full_x, {cut_sql(_chip('50.0::DOUBLE', '60.0::DOUBLE', '1080.0::DOUBLE', '1070.0::DOUBLE'), 5)} AS full_y FROM (SELECT o_orderkey, (o_custkey % 512) / 511.0::DOUBLE AS u, (o_orderkey % 512) / 511.0::DOUBLE AS v FROM orders)",
     "rpc_forward": _rpc_sql(),
     "rpc_inverse_newton": f"SELECT o_orderkey, {cut_sql('lon_deg', 5)} AS lon, {cut_sql('lat_deg', 5)} AS lat, true AS close FROM ({PTS})",
+    "rpc_terrain": f"SELECT o_orderkey, {cut_sql('lon_deg', 4)} AS lon, {cut_sql('lat_deg', 4)} AS lat, {cut_sql('3000.0002::DOUBLE + 2.0::DOUBLE * lon_deg + 5.0::DOUBLE * lat_deg', 2)} AS height FROM ({PTS})",
+    "composite_locate": f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN {cut_sql('lon_deg', 5)} END AS lon, CASE WHEN o_orderkey % 4 > 0 THEN {cut_sql('lat_deg', 5)} END AS lat, CASE WHEN o_orderkey % 4 = 0 THEN true END AS plate FROM ({PTS})",
     "rsm_poly_eval": _rsm_sql(),
     "rsm_section_lookup": f"SELECT section_row, section_col, count(*) AS n, sum(elev + (section_row * 5 + section_col) * 10.0::DOUBLE) AS total FROM (SELECT CAST(greatest(0, least(floor((lat_deg + 80) / 40.0), 3)) AS INTEGER) AS section_row, CAST(greatest(0, least(floor((lon_deg + 180) / 60.0), 4)) AS INTEGER) AS section_col, elev FROM ({PTS})) GROUP BY 1, 2",
     "rsm_forward": _rsm_forward_sql(),

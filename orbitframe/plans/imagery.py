@@ -209,8 +209,11 @@ def _tre_xml() -> Column:
 
 def tre_field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", _tre_xml().alias("xml"))
-    x = F.col("xml")
-    return rows.where(tre.field(x, "RPC00B", "SUCCESS", "int") == 1).select("p_partkey", tre.field(x, "RPC00B", "LAT_OFF", "double").alias("lat_off"), tre.field(x, "RPC00B", "LINE_OFF", "long").alias("line_off"), tre.field(x, "RPC00B", "NONE", "double").alias("missing"))
+    f = F.col("f")
+    rows = rows.withColumn("f", tre.record(F.col("xml"), "RPC00B"))
+    # the values are read before rows are left out, so that the record is parsed once
+    rows = rows.select("p_partkey", tre.value_of(f, "SUCCESS", "int").alias("good"), tre.value_of(f, "LAT_OFF", "double").alias("lat_off"), tre.value_of(f, "LINE_OFF", "long").alias("line_off"), tre.value_of(f, "NONE", "double").alias("missing"))
+    return rows.select("p_partkey", F.inline_outer(F.when(F.col("good") == 1, F.array(F.struct("lat_off", "line_off", "missing"))))).where("line_off is not null")
 
 
 def rpc_coeff_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,6 +284,29 @@ def geolocate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("c_custkey", *(cut(F.col(n)).alias(n) for n in ("min_lon", "max_lon", "min_lat", "max_lat", "center_longitude", "center_latitude")))
 
 
+def geolocate_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points, lines and polygons with a hole, of 40 images, located by the grids of a plane model."""
+    e = F.col("event_id")
+    x, y = (e * 13 % 900).cast("double"), (e * 29 % 700).cast("double")
+    at = lambda dx, dy: F.concat(F.lit("["), (x + dx).cast("string"), F.lit(", "), (y + dy).cast("string"), F.lit("]"))
+    ring = lambda *p: F.concat(F.lit("["), F.concat_ws(",", *(at(*q) for q in p)), F.lit("]"))
+    shape = F.when(e % 3 == 0, at(0, 0)).when(e % 3 == 1, ring((0, 0), (9, 4), (20, 1))).otherwise(F.concat(F.lit("["), ring((0, 0), (20, 0), (20, 10), (0, 0)), F.lit(","), ring((15, 2), (17, 2), (17, 3), (15, 2)), F.lit("]")))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (e % 40).alias("image"), shape.alias("coordinates"), x.alias("xmin"), y.alias("ymin"), (x + 20).alias("xmax"), (y + 10).alias("ymax"))
+    grid = FE.control_grid(rows, "image").withColumns({"lon": F.radians(F.col("x") * 0.01 - 20), "lat": F.radians(30 - F.col("y") * 0.005)})
+    got = FE.geolocated_geometries(rows.select("event_id", "image", "coordinates"), grid, "image")
+    shell = F.regexp_replace("world_coordinates", "[^\\[\\]]", "")
+    got = got.select("event_id", shell.alias("shape"), FE.vertices(F.struct(F.col("world_coordinates").alias("coordinates"))).alias("p"))
+    return got.select("event_id", "shape", F.size("p").alias("n"), *(cut(F.element_at("p", i)[k], 5).alias(f"{a}_{w}") for i, w in ((1, "first"), (-1, "last")) for k, a in ((0, "lon"), (1, "lat"))))
+
+
+def display_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of seven bands show three, and those of two their quarter power."""
+    rows = pix(spark, sf_dir).where("image % 2 = 0 or band <= 2")
+    rows = rows.groupBy("image", "band", (F.col("x") % 32).alias("x"), (F.col("y") % 32).alias("y")).agg(F.max("v").alias("v"))
+    got = statistics.displayed(rows)
+    return got.select("image", F.size("bands").alias("n"), F.col("bands")[0].alias("one"), F.get("bands", F.lit(2)).alias("three")).groupBy("image", "n").agg(F.count("*").alias("pixels"), F.sum("one").alias("one"), F.sum("three").alias("three"))
+
+
 # SAR.
 
 #: A fixed straight pass at 7 km/s, seen from 700 km.
@@ -388,7 +414,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         power_db, amp_phase_lut, minmax_stretch, dra_params, dra_stretch, band_stats_scales, sar_band_mean, pixel_window, dem_bilinear, dem_provider_chain, region_summary, offset_grid, find_intersects, find_nearest_ties,
-        point_in_polygon, semi_intersects, anti_intersects, ortho_resample, tre_field_extract, rpc_coeff_dense, des_header, extension_normalize, compression_matrix, geojson_precedence, geometry_bounds, geolocate_grid,
+        point_in_polygon, semi_intersects, anti_intersects, ortho_resample, tre_field_extract, rpc_coeff_dense, des_header, extension_normalize, compression_matrix, geojson_precedence, geometry_bounds, geolocate_grid, geolocate_geometries, display_bands,
         sar_pfa_rrdot, sar_rgazcomp_rrdot, sar_inca_rrdot, sar_plane_project, sar_height_project, contour_crossings, sidd_bilinear_chip,
     )
 }
@@ -425,6 +451,13 @@ FROM (SELECT p_partkey, ['NITF', 'GTiff', 'PNG', 'JPEG'][p_partkey % 4 + 1] AS f
     "geojson_precedence": f"SELECT event_id, {_GEO.format(chr(39) + 'imageGeometry' + chr(39), chr(39) + 'imageBBox' + chr(39), chr(39) + 'detection' + chr(39), chr(39) + 'bounds_imcoords' + chr(39))} AS source, {_GEO.format(*(chr(39) + t + chr(39) for t in ('Point', 'Polygon', 'Point', 'Polygon')))} AS type FROM events",
     "geometry_bounds": "SELECT event_id, x AS xmin, y AS ymin, x + CASE WHEN event_id % 5 IN (1, 3) THEN 10 ELSE 0 END AS xmax, y + CASE WHEN event_id % 5 IN (1, 3) THEN 20 ELSE 0 END AS ymax FROM (SELECT event_id, (event_id * 13 % 900)::DOUBLE AS x, (event_id * 29 % 700)::DOUBLE AS y FROM events WHERE event_id % 5 < 4)",
     "geolocate_grid": f"SELECT c_custkey, {cut_sql('xmin * 0.01 - 20')} AS min_lon, {cut_sql('xmax * 0.01 - 20')} AS max_lon, {cut_sql('30 - ymax * 0.005')} AS min_lat, {cut_sql('30 - ymin * 0.005')} AS max_lat, {cut_sql('(xmin + xmax) / 2 * 0.01 - 20')} AS center_longitude, {cut_sql('30 - (ymin + ymax) / 2 * 0.005')} AS center_latitude FROM ({BOXES})",
+    "geolocate_geometries": f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN '[[][][]]' ELSE '[[[][][][]][[][][][]]]' END AS shape, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 8 END AS n, {cut_sql('x * 0.01::DOUBLE - 20', 5)} AS lon_first, {cut_sql('30 - y * 0.005::DOUBLE', 5)} AS lat_first, {cut_sql('(x + CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 20 ELSE 15 END) * 0.01::DOUBLE - 20', 5)} AS lon_last, {cut_sql('30 - (y + CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END) * 0.005::DOUBLE', 5)} AS lat_last FROM (SELECT event_id, (event_id * 13 % 900)::DOUBLE AS x, (event_id * 29 % 700)::DOUBLE AS y FROM events)",
+    "display_bands": f"""WITH p AS (SELECT image, band, x % 32 AS x, y % 32 AS y, max(v) AS v FROM ({PIX}) WHERE image % 2 = 0 OR band <= 2 GROUP BY 1, 2, 3, 4), k AS (SELECT *, max(band) OVER (PARTITION BY image) AS bands FROM p),
+a AS (SELECT image, band, x, y, floor(greatest(0, least(255, (v - lo) * (255.0::DOUBLE / greatest(hi, 1))))) AS display FROM (SELECT *, min(v) OVER (PARTITION BY image, band) AS lo, max(v) OVER (PARTITION BY image, band) AS hi FROM k WHERE bands = 1 OR (bands >= 3 AND band <= 3))),
+m AS (SELECT image, sqrt(sum(m * m)) AS mean FROM (SELECT image, band, avg(v) + stddev_pop(v) * (50.0::DOUBLE / 68) AS m FROM k WHERE bands = 2 GROUP BY 1, 2) GROUP BY image),
+b AS (SELECT s.image, 1 AS band, x, y, floor(greatest(0, least(255, 255 * sqrt(power) / (3 * mean)))) AS display FROM (SELECT image, x, y, sum(v * v) AS power FROM k WHERE bands = 2 GROUP BY 1, 2, 3 HAVING count(*) = 2) s JOIN m USING (image)),
+d AS (SELECT image, x, y, list(display ORDER BY band) AS l FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2, 3)
+SELECT image, CAST(len(l) AS INTEGER) AS n, count(*) AS pixels, CAST(sum(l[1]) AS BIGINT) AS one, CAST(sum(l[3]) AS BIGINT) AS three FROM d GROUP BY 1, 2""",
     "sar_pfa_rrdot": f"SELECT o_orderkey, {cut_sql('r0 + k * al', 3)} AS r, {cut_sql('d0 + (0.002::DOUBLE * al + k * ac) * 0.01::DOUBLE', 5)} AS rdot FROM (SELECT *, 1 + 0.002::DOUBLE * th AS k, rg * cos(th) + az * sin(th) AS al, az * cos(th) - rg * sin(th) AS ac FROM (SELECT *, 0.01::DOUBLE * t AS th FROM {_TO_SCP}))",
     "sar_rgazcomp_rrdot": f"SELECT o_orderkey, {cut_sql('r0 + rg', 3)} AS r, {cut_sql('d0 - sqrt(vy * vy + vz * vz) * 1e-6 * az', 5)} AS rdot FROM {_TO_SCP}",
     "sar_inca_rrdot": f"SELECT o_orderkey, {cut_sql('r', 3)} AS r, {cut_sql(f'f / r * {_V2} * dt', 5)} AS rdot FROM {_INCA}",

@@ -16,6 +16,22 @@ def field(xml: Column, tre: str, name: str, kind: str = "string", strict: bool =
     return F.coalesce(value, F.raise_error(F.lit(f"no field {name}")).cast(kind)) if strict else value
 
 
+def record(xml: Column, tre: str) -> Column:
+    """Map of the fields of the first record of a name, read at once; with it a field costs no further parse."""
+    path = f"(//tre[@name='{tre}'])[1]/field[@name and @value]"
+    pairs = F.arrays_zip(F.xpath(xml, F.lit(f"{path}/@name")).alias("k"), F.xpath(xml, F.lit(f"{path}/@value")).alias("v"))
+    first = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.when(F.map_contains_key(m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))))
+    names = F.transform(pairs, lambda p: p["k"])
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_entries(pairs)).otherwise(first)
+
+
+def value_of(fields: Column, name: str, kind: str = "string", strict: bool = False) -> Column:
+    """Typed value of a field of record's map, as field gives it."""
+    text = F.try_element_at(fields, F.lit(name))
+    value = F.trim(text).try_cast(kind) if kind != "string" else text
+    return F.coalesce(value, F.raise_error(F.lit(f"no field {name}")).cast(kind)) if strict else value
+
+
 def coefficients(xml: Column, tre: str, name: str) -> Column:
     """Dense array of a repeated field: placed by the groups' index, of the size announced, zero where absent."""
     base = f"(//tre[@name='{tre}'])[1]/repeated[@name='{name}']"
@@ -32,11 +48,12 @@ def has(xml: Column, tre: str) -> Column:
 
 def rpc_parameters(images: DataFrame, xml: str = "xml", key: str = "image_id") -> DataFrame:
     """Rational model parameters of the images with a successful RPC00B record."""
-    x = F.col(xml)
+    x, fields = F.col(xml), F.col("_fields")
     names = {n: n.upper() for n in ["err_bias", "err_rand", *RPC_NORMS]}
     polys = {"line_num": "LINE_NUM_COEFF", "line_den": "LINE_DEN_COEFF", "samp_num": "SAMP_NUM_COEFF", "samp_den": "SAMP_DEN_COEFF"}
-    rows = images.where(has(x, "RPC00B") & (field(x, "RPC00B", "SUCCESS", "int") == 1))
-    return rows.select(key, *(field(x, "RPC00B", t, "double").alias(n) for n, t in names.items()), *(coefficients(x, "RPC00B", t).alias(n) for n, t in polys.items()))
+    rows = images.withColumn("_fields", record(x, "RPC00B")).withColumn("_good", value_of(fields, "SUCCESS", "int") == 1)
+    found = F.when(F.col("_good"), F.array(F.struct(*(value_of(fields, t, "double").alias(n) for n, t in names.items()), *(coefficients(x, "RPC00B", t).alias(n) for n, t in polys.items()))))
+    return rows.select(key, F.inline_outer(found)).where("line_num is not null")
 
 
 def corner_points(images: DataFrame, width: Column, height: Column, xml: str = "xml", key: str = "image_id") -> DataFrame:

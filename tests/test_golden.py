@@ -1,5 +1,6 @@
 """Known values of single operators."""
 
+import json
 import math
 
 import numpy as np
@@ -16,7 +17,7 @@ from orbitframe.functions import web_tiles as W
 from orbitframe.operators import elevation as E
 from orbitframe.operators import features as FE
 from orbitframe.operators import models, sar, spatial, statistics, tiling
-from orbitframe.plans import sar_images
+from orbitframe.plans import geodesy, sar_images
 from orbitframe.sources import products
 
 
@@ -143,7 +144,7 @@ def test_clip(spark):
 
 def test_extensions(spark):
     names = F.array(F.lit("tif"), F.lit("tiff"))
-    assert one(spark, T.image_extension(F.lit("some/tricky_tif.tiff"), names), T.select_extension(F.lit("a"), F.array().cast("array<string>"))) == ("TIFF", "UNKNOWN")
+    assert one(spark, T.image_extension(F.lit("scenes/tif_of_may.tiff"), names), T.select_extension(F.lit("a"), F.array().cast("array<string>"))) == ("TIFF", "UNKNOWN")
 
 
 def test_polynomials(spark):
@@ -274,6 +275,51 @@ def test_feature_update(spark):
     assert one(spark, FE.find_image_geometry(F.lit('{"bounds_imcoords":[0,0,1,1]}'), deprecated=False))[0] is None
 
 
+def test_geolocated_geometries(spark):
+    """Any nesting and any number of values a place; a third value of the grid becomes the height."""
+    shapes = ["[1, 2]", "[[0,0],[10.5,-3e0,7]]", "[[[[0,0],[10,0],[10,10],[0,0]]],[[[1,1],[2,1],[2,2],[1,1]]]]", None]
+    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(shapes)], "image int, id int, coordinates string")
+    box = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0)], "image int, xmin double, ymin double, xmax double, ymax double")
+    grid = FE.control_grid(box, "image").withColumns({"lon": F.radians(F.col("x") / 100), "lat": F.radians(-F.col("y") / 100), "height": F.col("x") + F.col("y")})
+    got = {r.id: r.world_coordinates for r in FE.geolocated_geometries(rows, grid, "image", ["lon", "lat", "height"]).collect()}
+    assert got[3] is None and json.loads(got[0]) == pytest.approx([0.01, -0.02, 3.0])
+    assert [len(p) for p in json.loads(got[1])] == [3, 3] and json.loads(got[1])[1] == pytest.approx([0.105, 0.03, 7.5])
+    nested = json.loads(got[2])
+    assert [len(ring) for part in nested for ring in part] == [4, 4] and nested[1][0][2] == pytest.approx([0.02, -0.02, 4.0])
+
+
+@pytest.mark.parametrize("adjustment, want", [("NONE", {1: [44], 2: [3, 4], 3: [1, 2, 3, 4]}), ("MINMAX", {1: [0], 3: [0, 0, 0]}), ("DRA", {1: [0], 3: [0, 0, 0]})])
+def test_display(spark, adjustment, want):
+    """One band, two and four; values of 300 wrap around where nothing is adjusted."""
+    bands = {1: [300.0], 2: [3.0, 4.0], 3: [1.0, 2.0, 3.0, 4.0]}
+    rows = spark.createDataFrame([(i, b + 1, 0, 0, v) for i, vs in bands.items() for b, v in enumerate(vs)], "image int, band int, x int, y int, v double")
+    got = {r.image: r.bands for r in statistics.displayed(rows, adjustment=adjustment).collect()}
+    assert {i: got[i] for i in want} == want
+    if adjustment != "NONE":  # sqrt of 5, the power 25, times 51 over three times the mean magnitude 5
+        assert got[2] == [int(255 * 5 / 15)]
+
+
+def test_rpc_seed(spark):
+    """The search starts at the seed; rows without model get nulls, or the approximate place."""
+    rows = geodesy.with_rpc(spark.createDataFrame([(1, 20.0, 10.0, 100.0), (2, -120.0, -40.0, 3000.0)], "id int, lon double, lat double, height double"))
+    samp, line = models.rpc_forward(F.col("lon"), F.col("lat"), F.col("height"))
+    rows = rows.withColumns({"x": samp, "y": line}).withColumn("samp_den", F.when(F.col("id") == 1, F.col("samp_den")))
+    got = {r.id: r for r in models.rpc_inverse(rows, seed=("lon", "lat")).collect()}
+    assert (got[1].lon_deg, got[1].lat_deg) == pytest.approx((20, 10), abs=1e-9) and got[1].residual < 1e-6 and got[2].lon_deg is None
+    both = {r.id: (r.lon_deg, r.lat_deg) for r in models.rpc_composite(rows, (F.col("lon") + 1, F.col("lat") - 1)).collect()}
+    assert both[1] == pytest.approx((20, 10), abs=1e-9) and both[2] == (-119.0, -41.0)
+
+
+def test_chips_and_corners(spark):
+    h = [F.lit(v) for v in (10.0, 2.0, 0.0, 20.0, 0.0, 2.0, 0.0, 0.0)]
+    assert one(spark, *models.to_chip(h, F.lit(3.0), F.lit(4.0))) == (16.0, 28.0)
+    assert one(spark, G.geolocation_corners([deg(-121.5, -10.5)] * 4))[0] == "103000S1213000W" * 4
+    row = one(spark, E.constant_summary(12.0))[0]
+    assert (row.min_z, row.max_z, row.post_spacing) == (12.0, 12.0, 30.0)
+    parts = spark.createDataFrame([(1, [[[(0.0, 0.0)]], [[(1.0, 1.0)]]])], "geom_id int, parts array<array<array<struct<x:double,y:double>>>>")
+    assert [(r.part, r.rings[0][0].x) for r in spatial.explode_parts(parts).orderBy("part").collect()] == [(0, 0.0), (1, 1.0)]
+
+
 def test_png(spark):
     rows = spark.createDataFrame([(7, x, y, [x + y + 1]) for x in range(4) for y in range(4)], "tile int, x int, y int, bands array<int>")
     row = tiling.encode_png(rows, ["tile"], 4).first()

@@ -47,6 +47,23 @@ def test_tre(spark):
     assert tre.rpc_parameters(rows).count() == 0
 
 
+def test_rpc_records(spark):
+    """A whole record is read once; the first of repeated fields counts, and failed records are left out."""
+    names = ["ERR_BIAS", "ERR_RAND", "LINE_OFF", "SAMP_OFF", "LAT_OFF", "LONG_OFF", "HEIGHT_OFF", "LINE_SCALE", "SAMP_SCALE", "LAT_SCALE", "LONG_SCALE", "HEIGHT_SCALE"]
+
+    def made(success):
+        fields = "".join(f'<field name="{n}" value="+{i}.5"/>' for i, n in enumerate(names)) + '<field name="LINE_OFF" value="99"/>'
+        polys = "".join(f'<repeated name="{n}_COEFF" number="20"><group index="1"><field name="C" value="{k}"/></group></repeated>' for k, n in enumerate(("LINE_NUM", "LINE_DEN", "SAMP_NUM", "SAMP_DEN")))
+        return f'<tres><tre name="RPC00B"><field name="SUCCESS" value="{success}"/>{fields}{polys}</tre><tre name="RPC00B"><field name="LINE_OFF" value="7"/></tre></tres>'
+
+    rows = spark.createDataFrame([("a", made(1)), ("b", made(0)), ("c", "<tres/>")], "image_id string, xml string")
+    got = tre.rpc_parameters(rows).collect()
+    assert len(got) == 1 and (got[0].image_id, got[0].err_bias, got[0].line_off, got[0].height_scale) == ("a", 0.5, 2.5, 11.5)
+    assert got[0].samp_num == [0.0, 2.0] + [0.0] * 18
+    one = rows.where("image_id = 'a'").select(tre.value_of(tre.record(F.col("xml"), "RPC00B"), "LINE_OFF", "double"), tre.field(F.col("xml"), "RPC00B", "LINE_OFF", "double")).first()
+    assert one[0] == one[1] == 2.5
+
+
 def test_rsm_records(spark):
     ida = "".join(f'<field name="V{i}{a}" value="{i}"/>' for i in range(1, 9) for a in "XYZ") + '<field name="GRNDD" value="G"/>'
     pca = lambda s: f'<tre name="RSMPCA"><field name="RSN" value="00{s}"/><field name="CSN" value="001"/><field name="RNRMO" value="+{s}.5E+00"/></tre>'
