@@ -69,6 +69,26 @@ def sample(points: DataFrame, blocks: DataFrame, headers: DataFrame, lon: str =
     return joined.withColumn(out, value).select(*points.columns, out)
 
 
+def offset_tiles(tiles: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Offset rasters for cut_blocks and sample: values in metres by a scale factor, posts at the pixels' centres.
+
+    Axes may run either way; a rotated raster is an error.
+    """
+    gt = F.col("gt")
+    moved = F.array(gt[0] + gt[1] / 2, gt[1], F.lit(0.0), gt[3] + gt[5] / 2, F.lit(0.0), gt[5])
+    checked_gt = F.when((gt[2] == 0) & (gt[4] == 0), moved).otherwise(F.raise_error(F.lit("an offset grid must not be rotated")).cast("array<double>"))
+    return tiles.withColumns({"gt": checked_gt, "z": F.transform("z", lambda v: F.when(v.eqNullSafe(F.col("no_data")), v).otherwise(v * scale))})
+
+
+def at_normalized(points: DataFrame, look_up, lon: str = "lon_deg", lat: str = "lat_deg") -> DataFrame:
+    """What look_up finds for the places' longitudes and latitudes brought into their usual ranges; the places stay as they are.
+
+    look_up(df) reads the columns norm_lon_deg and norm_lat_deg and adds its own.
+    """
+    x, y = G.normalized(F.radians(lon), F.radians(lat))
+    return look_up(points.withColumns({"norm_lon_deg": F.degrees(x), "norm_lat_deg": F.degrees(y)})).drop("norm_lon_deg", "norm_lat_deg")
+
+
 def set_elevation(points: DataFrame, value: Column, elev: str = "elev", found: str = "found") -> DataFrame:
     """Elevation replaced where there is a value, else kept; found says which."""
     return points.withColumns({elev: F.coalesce(value, F.col(elev)), found: value.isNotNull()})

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from orbitframe.functions import projective as M
 from orbitframe.functions import web_tiles as W
 
+BLOCK = 16  # pixels of a source block, which has one more row and column
+
 
 def png(array: np.ndarray) -> bytes:
     """PNG of bytes, rows x columns (x 1 to 4 channels: gray, gray and alpha, colour, colour and alpha)."""
@@ -57,7 +59,8 @@ def orthophoto(tiles: DataFrame, pixels: DataFrame, image: str, keys: list[str],
     """Bilinear samples of an image over geographic tiles: keys, x, y, v.
 
     tiles has keys, image and west, south, east, north in degrees; to_image(lon_deg, lat_deg) gives (x, y) columns of
-    the source.  Each output pixel asks for four source pixels by an equality join; output pixels without all four
+    the source, whose pixels (image, x, y, v) stand once each.  The source is cut into blocks that share their last
+    row and column with the next, so an output pixel asks for one block; output pixels without all four neighbours
     are absent.
     """
     steps = F.sequence(F.lit(0), F.lit(size - 1))
@@ -66,12 +69,16 @@ def orthophoto(tiles: DataFrame, pixels: DataFrame, image: str, keys: list[str],
     lat = F.col("north") - (F.col("y") + 0.5) / size * (F.col("north") - F.col("south"))
     sx, sy = to_image(lon, lat)
     grid = grid.withColumns({"_sx": sx, "_sy": sy}).withColumns({"_x0": F.floor("_sx"), "_y0": F.floor("_sy")})
+    asked = grid.select(*keys, image, "x", "y", "_sx", "_sy", "_x0", "_y0", *(F.floor(F.col(f"_{a}0") / BLOCK).alias(f"_b{a}") for a in "xy"))
+    homes = lambda a: F.explode(F.array_distinct(F.array(F.floor(F.col(a) / BLOCK), F.floor((F.col(a) - 1) / BLOCK))))  # noqa: E731  a first row or column is the block before's last as well
+    place = lambda x, y: (y - F.col("_by") * BLOCK) * (BLOCK + 1) + x - F.col("_bx") * BLOCK
+    source = pixels.select(image, F.col("x").alias("_px"), F.col("y").alias("_py"), "v").withColumn("_bx", homes("_px")).withColumn("_by", homes("_py"))
+    blocks = source.groupBy(image, "_bx", "_by").agg(F.map_from_entries(F.collect_list(F.struct(place(F.col("_px"), F.col("_py")).cast("int").alias("k"), "v"))).alias("_posts"))  # a block's pixels at most
+    joined = asked.join(blocks, [image, "_bx", "_by"])
+    post = lambda dx, dy: F.try_element_at("_posts", place(F.col("_x0") + dx, F.col("_y0") + dy).cast("int"))
     fx, fy = F.col("_sx") - F.col("_x0"), F.col("_sy") - F.col("_y0")
-    corners = F.array(*(F.struct((F.col("_x0") + dx).alias("px"), (F.col("_y0") + dy).alias("py"), ((fx if dx else 1 - fx) * (fy if dy else 1 - fy)).alias("w")) for dx in (0, 1) for dy in (0, 1)))
-    asked = grid.select(*keys, image, "x", "y", F.inline(corners))
-    source = pixels.select(image, F.col("x").alias("px"), F.col("y").alias("py"), "v")
-    got = asked.join(source, [image, "px", "py"]).groupBy(*keys, "x", "y").agg(F.sum(F.col("w") * F.col("v")).alias("v"), F.count("*").alias("_n"))
-    return got.where("_n = 4").drop("_n")
+    value = post(0, 0) * (1 - fx) * (1 - fy) + post(1, 0) * fx * (1 - fy) + post(0, 1) * (1 - fx) * fy + post(1, 1) * fx * fy
+    return joined.select(*keys, "x", "y", value.alias("v")).where("v is not null")
 
 
 def chip_corner_places(left: Column, top: Column, width: Column, height: Column) -> list[tuple[Column, Column]]:

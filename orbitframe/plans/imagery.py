@@ -137,6 +137,20 @@ def offset_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_orderkey", cut(E.plus(F.col("elev"), E.checked(F.col("lon_deg"), F.col("lat_deg"), F.col("sampled"))), 4).alias("elev"))
 
 
+def offset_grid_flipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets in half metres, with both axes running backwards, at places a whole turn further east."""
+    z = F.transform(F.sequence(F.lit(0), F.lit(36 * 18 - 1)), lambda p: ((p * 17) % 101).cast("double"))
+    grid = spark.range(1).select(F.lit("w").alias("tile_id"), F.lit(36).alias("width"), F.lit(18).alias("height"), F.array(*(F.lit(v) for v in (180.0, -10.0, 0.0, -90.0, 0.0, 10.0))).alias("gt"), z.alias("z"), F.lit(-9999.0).alias("no_data"))
+    grid = E.offset_tiles(grid, 0.5)
+    rows = pts(spark, sf_dir).withColumns({"tile_id": F.lit("w"), "lon_deg": F.col("lon_deg") + 360})
+    got = E.at_normalized(rows, lambda df: E.sample(df, E.cut_blocks(grid), grid, "norm_lon_deg", "norm_lat_deg"))
+    return got.select("o_orderkey", cut(F.col("lon_deg"), 3).alias("lon"), cut(E.plus(F.col("elev"), F.col("sampled")) + 1.3e-6, 4).alias("elev"))
+
+
+_FLIPPED_POST = "(((({r}) * 36 + ({c})) * 17) % 101) * 0.5::DOUBLE"
+_FLIPPED = f"""SELECT o_orderkey, {cut_sql('lon_deg + 360', 3)} AS lon, {cut_sql(f"elev + ({_FLIPPED_POST.format(r='r', c='c')} * (1 - x + c) + {_FLIPPED_POST.format(r='r', c='c + 1')} * (x - c)) * (1 - y + r) + ({_FLIPPED_POST.format(r='r + 1', c='c')} * (1 - x + c) + {_FLIPPED_POST.format(r='r + 1', c='c + 1')} * (x - c)) * (y - r) + 1.3e-6::DOUBLE", 4)} AS elev FROM (
+SELECT *, CAST(least(floor(x), 34) AS BIGINT) AS c, CAST(least(floor(y), 16) AS BIGINT) AS r FROM (SELECT o_orderkey, elev, lon_deg, greatest(0, least((lon_deg - 175) / -10, 35)) AS x, greatest(0, least((lat_deg + 85) / 10, 17)) AS y FROM ({PTS})))"""
+
 _OFF = "(((({r}) * 37 + ({c})) * 17) % 101)::DOUBLE"
 _OFFSET = f"""SELECT o_orderkey, {cut_sql(f"elev + ({_OFF.format(r='r', c='c')} * (1 - x + c) + {_OFF.format(r='r', c='c + 1')} * (x - c)) * (1 - y + r) + ({_OFF.format(r='r + 1', c='c')} * (1 - x + c) + {_OFF.format(r='r + 1', c='c + 1')} * (x - c)) * (y - r)", 4)} AS elev FROM (
 SELECT *, CAST(least(floor(x), 35) AS BIGINT) AS c, CAST(least(floor(y), 17) AS BIGINT) AS r FROM (SELECT o_orderkey, elev, (lon_deg + 180) / 10 AS x, (lat_deg - 90) / -10 AS y FROM ({PTS})))"""
@@ -413,7 +427,7 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (
-        power_db, amp_phase_lut, minmax_stretch, dra_params, dra_stretch, band_stats_scales, sar_band_mean, pixel_window, dem_bilinear, dem_provider_chain, region_summary, offset_grid, find_intersects, find_nearest_ties,
+        power_db, amp_phase_lut, minmax_stretch, dra_params, dra_stretch, band_stats_scales, sar_band_mean, pixel_window, dem_bilinear, dem_provider_chain, region_summary, offset_grid, offset_grid_flipped, find_intersects, find_nearest_ties,
         point_in_polygon, semi_intersects, anti_intersects, ortho_resample, tre_field_extract, rpc_coeff_dense, des_header, extension_normalize, compression_matrix, geojson_precedence, geometry_bounds, geolocate_grid, geolocate_geometries, display_bands,
         sar_pfa_rrdot, sar_rgazcomp_rrdot, sar_inca_rrdot, sar_plane_project, sar_height_project, contour_crossings, sidd_bilinear_chip,
     )
@@ -435,6 +449,7 @@ ORACLES = {
     "dem_provider_chain": f"SELECT o_orderkey, {cut_sql('coalesce(CASE WHEN lat_deg > 0 THEN sampled + 100 END, sampled, -1)', 4)} AS elev FROM {_DEM}",
     "region_summary": "SELECT 't' || t AS tile_id, min(z) AS min_z, max(z) AS max_z, -9999.0::DOUBLE AS no_data, true AS spaced FROM (SELECT n_nationkey AS t, CASE WHEN (p * 7 + n_nationkey) % 97 = 0 THEN NULL ELSE ((p * 13 + n_nationkey * 29) % 500)::DOUBLE END AS z FROM nation, (SELECT unnest(range(1681)) AS p)) GROUP BY t",
     "offset_grid": _OFFSET,
+    "offset_grid_flipped": _FLIPPED,
     "find_intersects": f"SELECT q.s_suppkey AS q_s_suppkey, f.c_custkey AS f_c_custkey FROM ({PROBES}) q JOIN ({BOXES}) f ON q.xmin <= f.xmax AND f.xmin <= q.xmax AND q.ymin <= f.ymax AND f.ymin <= q.ymax",
     "find_nearest_ties": f"SELECT q_s_suppkey, f_c_custkey, {cut_sql('d')} AS distance FROM (SELECT *, min(d) OVER (PARTITION BY q_s_suppkey) AS best FROM (SELECT q.s_suppkey AS q_s_suppkey, f.c_custkey AS f_c_custkey, sqrt(power(greatest(0, q.xmin - f.xmax, f.xmin - q.xmax), 2) + power(greatest(0, q.ymin - f.ymax, f.ymin - q.ymax), 2)) AS d FROM ({PROBES}) q CROSS JOIN ({BOXES}) f) WHERE d <= 80) WHERE d = best",
     "point_in_polygon": f"SELECT p.o_orderkey, g.geom_id FROM orders p LEFT JOIN (SELECT o_orderkey, min(geom_id) AS geom_id FROM ({_inside_sql()}) GROUP BY 1) g USING (o_orderkey)",

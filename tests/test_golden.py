@@ -310,6 +310,17 @@ def test_rpc_seed(spark):
     assert both[1] == pytest.approx((20, 10), abs=1e-9) and both[2] == (-119.0, -41.0)
 
 
+@pytest.mark.parametrize("gt, at", [((0.0, 2.0, 0.0, 4.0, 0.0, -2.0), (1.0, 3.0)), ((0.0, 2.0, 0.0, 0.0, 0.0, 2.0), (1.0, 1.0)), ((4.0, -2.0, 0.0, 4.0, 0.0, -2.0), (3.0, 3.0)), ((4.0, -2.0, 0.0, 0.0, 0.0, 2.0), (3.0, 1.0))])
+def test_offset_orientations(spark, gt, at):
+    """The first post is the centre of the first pixel, whichever way the axes run; a rotated grid is an error."""
+    tiles = lambda gt: spark.createDataFrame([("t", 2, 2, list(gt), [0.0, 1.0, 2.0, 3.0], -1.0)], "tile_id string, width int, height int, gt array<double>, z array<double>, no_data double")
+    places = spark.createDataFrame([("t", *at), ("t", 2.0, 2.0)], "tile_id string, lon_deg double, lat_deg double")
+    grid = E.offset_tiles(tiles(gt), 10.0)
+    assert sorted(r.sampled for r in E.sample(places, E.cut_blocks(grid), grid).collect()) == [0.0, 15.0]
+    with pytest.raises(Exception, match="rotated"):
+        E.offset_tiles(tiles((0.0, 2.0, 0.1, 0.0, 0.0, 2.0))).select("gt").collect()
+
+
 def test_chips_and_corners(spark):
     h = [F.lit(v) for v in (10.0, 2.0, 0.0, 20.0, 0.0, 2.0, 0.0, 0.0)]
     assert one(spark, *models.to_chip(h, F.lit(3.0), F.lit(4.0))) == (16.0, 28.0)
