@@ -101,24 +101,58 @@ def explode_parts(features: DataFrame, parts: str = "parts", key: str = "geom_id
     return features.select("*", F.posexplode(parts).alias("part", "rings")).drop(parts).withColumn("part", F.col("part").cast("int"))
 
 
-def clip_box(ring: Column, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
+POLYGON = "array<array<array<double>>>"
+
+
+def polygon_parts(geometry: Column, depth: int = 4) -> Column:
+    """Polygons of a GeoJSON geometry (JSON text), each an array of rings of structs x, y.
+
+    Collections are flattened down to the given depth; geometries without area give nothing, as does null.
+    """
+    kind, text = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
+    none = F.expr("cast(array() as array<array<array<struct<x:double,y:double>>>>)")
+    rings = lambda p: F.transform(p, lambda ring: F.transform(ring, lambda v: F.struct(v[0].alias("x"), v[1].alias("y"))))
+    found = F.when(kind == "Polygon", F.array(rings(F.from_json(text, POLYGON)))).when(kind == "MultiPolygon", F.transform(F.from_json(text, f"array<{POLYGON}>"), rings))
+    if depth:
+        members = F.from_json(F.get_json_object(geometry, "$.geometries"), "array<string>")
+        found = found.when(kind == "GeometryCollection", F.flatten(F.transform(members, lambda g: polygon_parts(g, depth - 1))))
+    return F.coalesce(found, none)
+
+
+def cell_geometries(features: DataFrame, geometry: str = "geometry", key: str = "id", size: float = 1.0, tol: float = 0.0) -> DataFrame:
+    """cell_x, cell_y, key, part and rings of features' polygons, cut to each cell that they touch, which is grown by tol.
+
+    Written with partitionBy("cell_x", "cell_y"), a place reads its cell alone.
+    """
+    parts = explode_parts(features.select(F.col(key), polygon_parts(F.col(geometry)).alias("parts")), key=key)
+    points = F.flatten("rings")
+    axis = lambda n: F.transform(points, lambda p: p[n])
+    boxed = parts.withColumns({f"{n}{w}": f(axis(n)) for n in "xy" for w, f in (("min", F.array_min), ("max", F.array_max))})
+    placed = cells(boxed, size, tol).drop(*BOX)
+    x0, y0 = F.col("cell_x") * size - tol, F.col("cell_y") * size - tol
+    cut = F.filter(F.transform("rings", lambda r: clip_box(r, x0, y0, x0 + size + 2 * tol, y0 + size + 2 * tol)), lambda r: F.size(r) > 0)
+    return placed.select("cell_x", "cell_y", key, "part", cut.alias("rings")).where(F.size("rings") > 0)
+
+
+def clip_box(ring: Column, xmin: float | Column, ymin: float | Column, xmax: float | Column, ymax: float | Column) -> Column:
     """Ring of structs x, y cut to a box, one side after the other; the result is closed, or empty."""
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
 
-    def side(points: Column, axis: str, limit: float, above: bool) -> Column:
+    def side(points: Column, axis: str, limit: float | Column, above: bool) -> Column:
         other = "y" if axis == "x" else "x"
         inside = lambda p: p[axis] >= limit if above else p[axis] <= limit
 
         def cut(a: Column, b: Column) -> Column:
-            f = F.try_divide(F.lit(limit) - a[axis], b[axis] - a[axis])
+            f = F.try_divide(limit - a[axis], b[axis] - a[axis])
             o = a[other] + f * (b[other] - a[other])
-            return point(F.lit(limit), o) if axis == "x" else point(o, F.lit(limit))
+            return point(limit, o) if axis == "x" else point(o, limit)
 
         nexts = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, F.least(F.size(points), F.lit(1))))
         steps = F.zip_with(points, nexts, lambda a, b: F.when(inside(a) & inside(b), F.array(b)).when(inside(a), F.array(cut(a, b))).when(inside(b), F.array(cut(a, b), b)).otherwise(F.slice(F.array(b), 1, 0)))
         return F.flatten(steps)
 
     open_ring = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))
+    xmin, ymin, xmax, ymax = (v if isinstance(v, Column) else F.lit(float(v)) for v in (xmin, ymin, xmax, ymax))
     for axis, limit, above in (("x", xmin, True), ("x", xmax, False), ("y", ymin, True), ("y", ymax, False)):
         open_ring = side(open_ring, axis, limit, above)
     return F.when(F.size(open_ring) > 0, F.concat(open_ring, F.slice(open_ring, 1, 1))).otherwise(open_ring)

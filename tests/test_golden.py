@@ -142,6 +142,17 @@ def test_clip(spark):
     assert one(spark, spatial.clip_box(ring, 5.0, 5.0, 6.0, 6.0))[0] == []
 
 
+def test_geometries_by_cell(spark):
+    """Collections of any depth are flattened, and each part is cut to the cells that it touches."""
+    square = lambda x, y, w: [[x, y], [x + w, y], [x + w, y + w], [x, y + w], [x, y]]
+    polygon = {"type": "Polygon", "coordinates": [square(0.25, 0.25, 1.5)]}
+    several = {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [0, 0]}, {"type": "GeometryCollection", "geometries": [{"type": "MultiPolygon", "coordinates": [[square(5.25, 5.25, 0.5)], [square(7.25, -3.75, 0.5)]]}]}]}
+    rows = spark.createDataFrame([("a", json.dumps(polygon)), ("b", json.dumps(several)), ("c", '{"type":"Point","coordinates":[1,2]}'), ("d", None)], "id string, geometry string")
+    got = {(r.id, r.part, r.cell_x, r.cell_y): r.rings for r in spatial.cell_geometries(rows).collect()}
+    assert set(got) == {("a", 0, x, y) for x in (0, 1) for y in (0, 1)} | {("b", 0, 5, 5), ("b", 1, 7, -4)}
+    assert {(p.x, p.y) for p in got["a", 0, 1, 0][0]} == {(1.0, 0.25), (1.75, 0.25), (1.75, 1.0), (1.0, 1.0)}
+
+
 def test_extensions(spark):
     names = F.array(F.lit("tif"), F.lit("tiff"))
     assert one(spark, T.image_extension(F.lit("scenes/tif_of_may.tiff"), names), T.select_extension(F.lit("a"), F.array().cast("array<string>"))) == ("TIFF", "UNKNOWN")
