@@ -2,6 +2,11 @@
 
 Every stage works on all rows that the one before it kept and keeps the columns of documents, but for the last,
 which returns token counts and digests.  Stages are cut by checkpoints in the cluster's shared folder.
+
+Null and empty texts are rejected by the first stage, which asks for 20 words.  Rows with null ids go through like
+others; of rows that are equal or nearly so one stays, the one with the smallest id (null last) and then the smallest
+digest of its text.  Extra columns are carried up to the last stage, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
