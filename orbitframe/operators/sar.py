@@ -18,6 +18,7 @@ from orbitframe.functions.projective import homography, homography_inverse
 HEIGHT_STEPS, HEIGHT_LIMIT = 3, 1.0
 ON_SURFACE, CONTOUR_STEP = 0.001, 10.0
 GROUND_LIMIT, GROUND_STEPS = 1e-2, 10
+RANGE = 4096  # steps of a contour that are compared in one task
 
 
 def _geodetic(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,12 +121,21 @@ def _on_contour(df: DataFrame, side: Column) -> DataFrame:
 
 
 def crossings(points: DataFrame, key: str, delta: str, order: str = "step") -> DataFrame:
-    """Where a contour's height above the terrain changes sign: step before, fraction to the next; touching points have fraction 0."""
-    w = Window.partitionBy(key).orderBy(order)  # one contour has few points
-    sign = F.when(F.abs(F.col(delta)) < ON_SURFACE, 0).when(F.col(delta) > ON_SURFACE, 1).otherwise(-1)
-    rows = points.withColumn("_sign", sign).withColumns({"_next": F.lead(delta).over(w), "_next_sign": F.lead("_sign").over(w)})
-    hit = (F.col("_sign") == 0) | (F.col("_sign") * F.col("_next_sign") == -1)
-    return rows.where(hit).withColumn("fraction", F.when(F.col("_sign") == 0, 0.0).otherwise(F.col(delta) / (F.col(delta) - F.col("_next")))).drop("_sign", "_next", "_next_sign")
+    """Where a contour's height above the terrain changes sign: step before, fraction to the next; touching points have fraction 0.
+
+    A key's steps are compared in ranges of RANGE steps, each in a task of its own; the first step of the next range
+    comes from an aggregate, so a key with very many steps is spread.
+    """
+    c = F.col
+    sign = F.when(F.abs(c(delta)) < ON_SURFACE, 0).when(c(delta) > ON_SURFACE, 1).otherwise(-1)
+    rows = points.withColumns({"_sign": sign, "_range": F.floor(c(order) / RANGE)}).withColumn("_at", F.struct(c(delta).alias("d"), c("_sign").alias("s")))
+    heads = rows.groupBy(key, "_range").agg(F.min_by("_at", order).alias("_head"))
+    heads = heads.select(c(key).alias("_key"), c("_range").alias("_of"), F.lead("_head").over(Window.partitionBy(key).orderBy("_range")).alias("_head"))
+    inside = F.lead("_at").over(Window.partitionBy(key, "_range").orderBy(order))
+    rows = rows.withColumn("_inside", inside).join(heads, c(key).eqNullSafe(c("_key")) & (c("_range") == c("_of"))).withColumn("_next", F.coalesce("_inside", "_head"))
+    hit = (c("_sign") == 0) | (c("_sign") * c("_next.s") == -1)
+    rows = rows.where(hit).withColumn("fraction", F.when(c("_sign") == 0, 0.0).otherwise(c(delta) / (c(delta) - c("_next.d"))))
+    return rows.drop("_sign", "_range", "_at", "_inside", "_key", "_of", "_head", "_next")
 
 
 def terrain_points(points: DataFrame, key: str, side: Column, delta: str = "delta") -> DataFrame:

@@ -279,6 +279,14 @@ def test_terrain_contour(spark):
     assert one(spark, S.side_of_track(S.literal((6378137.0, 0, 0)), S.literal((6878137.0, 0, 490000.0)), S.literal((0, 7000.0, 0))))[0] == "R"
 
 
+def test_crossings_between_ranges(spark):
+    """The next step may lie in a later range, or nowhere; a step without height is no crossing."""
+    rows = [(1, 0, 2.0), (1, 9000, -2.0), (1, 9001, -1.0), (1, 50000, 3.0), (2, 4095, 1.0), (2, 4096, -3.0), (3, 7, 0.0), (3, 8, None), (3, 9, -1.0), (None, 1, 1.0), (None, 2, -1.0)]
+    got = sar.crossings(spark.createDataFrame(rows, "id int, step int, delta double"), "id", "delta")
+    assert got.columns == ["id", "step", "delta", "fraction"]
+    assert sorted(((r.id, r.step, r.fraction) for r in got.collect()), key=repr) == sorted([(1, 0, 0.5), (1, 9001, 0.25), (2, 4095, 0.25), (3, 7, 0.0), (None, 1, 0.5)], key=repr)
+
+
 def test_feature_update(spark):
     props = F.lit('{"imageGeometry":{"type":"Point","coordinates":[1,2]},"bounds_imcoords":[0,0,1,1]}')
     new = one(spark, FE.updated_properties(props, F.lit("Polygon"), F.lit("[[[0,0],[4,0],[4,3],[0,0]]]")))[0]
