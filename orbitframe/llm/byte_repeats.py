@@ -15,6 +15,7 @@ group, and equal contexts are folded in their chunk, so copies don't either.
 A byte is removed if a string of 100 bytes that covers it also starts earlier: in a smaller id, or in the same
 document further left.  Rows that share an id are ordered by text; a null id is the smallest.  Null and empty
 texts and those under 100 bytes lose nothing.  Extra columns are ignored; an empty table gives an empty result.
+Rows that share an id, or have none, meet in one task, as they have to be ordered; ids are taken for keys.
 """
 
 from __future__ import annotations
