@@ -64,3 +64,13 @@ def test_odd_rows_and_extra_columns(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SMALL)
     assert empty.collect() == []
+
+
+def test_repeated_and_null_ids(spark):
+    """Whatever the ids, the near-duplicate stage loses no text's last copy, and equal rows leave one."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (7, text("b") + " more"), (9, text("c")), (9, text("c")), (None, text("d")), (None, text("d")), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, SMALL)
+    assert sorted(((r.doc_id, r.text[0]) for r in docs.collect()), key=repr) == sorted([(1, "a"), (2, "b"), (9, "c"), (None, "d")], key=repr)
