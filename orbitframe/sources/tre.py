@@ -20,9 +20,13 @@ def record(xml: Column, tre: str) -> Column:
     """Map of the fields of the first record of a name, read at once; with it a field costs no further parse."""
     path = f"(//tre[@name='{tre}'])[1]/field[@name and @value]"
     pairs = F.arrays_zip(F.xpath(xml, F.lit(f"{path}/@name")).alias("k"), F.xpath(xml, F.lit(f"{path}/@value")).alias("v"))
-    first = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.when(F.map_contains_key(m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))))
-    names = F.transform(pairs, lambda p: p["k"])
-    return F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_entries(pairs)).otherwise(first)
+
+    def mapped(found: Column) -> Column:
+        names = F.transform(found, lambda p: p["k"])
+        first = F.aggregate(found, F.create_map().cast("map<string,string>"), lambda m, p: F.when(F.map_contains_key(m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))))
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_entries(found)).otherwise(first)
+
+    return F.transform(F.array(pairs), mapped)[0]  # bound to a variable, so that the text is read once for names and once for values
 
 
 def value_of(fields: Column, name: str, kind: str = "string", strict: bool = False) -> Column:
