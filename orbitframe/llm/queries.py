@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbitframe.llm import alignment, byte_repeats, decontamination, html_text, jaccard_join, oracles, packing, piece_tokens, quality_classifier, quality_rules, secret_scan, url_filter, word_repeats
+from orbitframe.llm import alignment, byte_repeats, collocations, decontamination, html_text, jaccard_join, oracles, packing, piece_tokens, quality_classifier, quality_rules, secret_scan, url_filter, word_repeats
 
 QUERIES = {
     "op1_suffix_array_dedup": byte_repeats.op1_suffix_array_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": word_repeats.op9_substring_dedup,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op11_best_fit_packing": packing.op11_best_fit_packing,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
     "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
 ORACLES: dict[str, str] = {
