@@ -8,7 +8,7 @@ into a number among all of its length, and the table of fillings names the seque
 No group of pieces, such as those of one length or one source, meets in a task.
 
 Texts are cut at spaces, where no token can reach over, and each worker encodes a word once while a bounded table
-holds it.  Null texts count as empty, and an empty text has the closing id only.  Rows are packed one by one:
+holds it; words that differ in the case of ASCII letters or in one mark at the end share what can be shared.  Null texts count as empty, and an empty text has the closing id only.  Rows are packed one by one:
 repeated rows and null ids are packed as often as they come, extra columns are ignored, whatever their names, and an
 empty table gives an empty result.  Equal input may be numbered otherwise in another run; the number of sequences is
 the same.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ from orbitframe.llm.shared import checkpointed
 
 CAPACITY = 4096
 CLOSING_ID = 1
-#: Distinct words a worker keeps encoded; past that the table is emptied.
-WORDS_KEPT = 500_000
+#: Distinct words a worker keeps encoded; past that the later half, in which rare words prevail, is dropped.
+WORDS_KEPT = 1_000_000
+#: Marks after a word that are encoded apart from it.
+ENDS = frozenset(".,;:!?")
 #: Longer words are encoded each time, so that the table's memory is bounded.
 WORD_KEPT = 64
 #: More pieces of one length than this would need a wider key.
@@ -50,16 +53,24 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         #: No token reaches over a space if the space is dropped; a tokenizer that keeps it gets whole texts.
+        self.by_letters = self._ids("Word,") == self._ids("word") + self._ids(",")  # letters end where a mark begins, in either case
         self.by_word = self._ids("a b") == self._ids("a") + self._ids("b") and not self._ids(" ")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._ids(word)
+        head, last = word[:-1], word[-1:]
+        if self.by_letters and last in ENDS and head.isascii() and head.isalpha():
+            ids = self[head] + self[last]
+        elif self.by_letters and word.isascii() and word.isalpha() and not word.islower():
+            ids = self[word.lower()]
+        else:
+            ids = self._ids(word)
         if len(word) <= WORD_KEPT:
             if len(self) >= WORDS_KEPT:
-                self.clear()
+                for late in list(islice(reversed(self), WORDS_KEPT // 2)):
+                    del self[late]
             self[word] = ids
         return ids
 

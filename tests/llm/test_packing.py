@@ -63,11 +63,20 @@ def test_words_are_encoded_as_whole_texts_are(spark):
     path = P.default_tokenizer()
     tokenizer, encoder = Tokenizer.from_file(path), P.encoder_of(path)
     rng = random.Random(5)
-    texts = ODD + ["".join(rng.choice(["a", "B", "'s", " ", "  ", "\n", "1", ".", "é", "́", "<|endoftext|>", " ", "漢", "\t"]) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    texts = ODD + ["".join(rng.choice(["a", "B", "'s", "Word", ".", ",", "!", " ", "  ", "\n", "1", ".", "é", "́", "<|endoftext|>", " ", "漢", "\t"]) for _ in range(rng.randint(1, 40))) for _ in range(400)]
     for text in texts:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_full_table_of_words_keeps_the_early_half(monkeypatch):
+    monkeypatch.setattr(P, "WORDS_KEPT", 10)
+    encoder = P.WordEncoder(P.default_tokenizer())
+    tokenizer = Tokenizer.from_file(P.default_tokenizer())
+    text = " ".join(f"W{chr(97 + i % 26)}ord{chr(97 + i // 26)}, ABC." for i in range(100))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder) <= 10 and "abc" in encoder
+
+
 @pytest.mark.parametrize("capacity", [8, 4096])
 def test_packing(spark, capacity):
     rng = random.Random(7)
