@@ -41,7 +41,7 @@ MARK = "▁"
 RUN = re.compile(r"\s ")
 BORDER = re.compile(r"(?<=\S)(?= )")
 #: Distinct words a task keeps counts of before it sends them on, text of a chunk of documents, and least number of chunks.
-WORDS_KEPT, CHUNK_TEXT, LEAST_PARTS = 1_000_000, 16 << 20, 64
+WORDS_KEPT, CHUNK_TEXT, LEAST_PARTS = 300_000, 16 << 20, 64
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 _loaded: dict[tuple[str, str], "Tokenizers"] = {}
 
@@ -205,11 +205,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     chunked = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("int").alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def keys_of(table: pa.Table) -> set[bytes]:
-        return {w.encode() for w in {w for text in table.column("text") for w in words_of(text.as_py())}}
+        found: set[str] = set()
+        for text in table.column("text"):
+            found.update(words_of(text.as_py()))
+        return {w.encode() for w in found}
 
     def answer(rows: pa.Table, places: np.ndarray) -> bytes:
-        found = rows.take(pa.array(places))
-        return join_parts(*(L.number_block(found.column(c).to_numpy()) for c in NUMBERS), L.key_block([g.encode() for g in found.column("groups").to_pylist()]))
+        found = rows.take(pa.array(places)).combine_chunks()
+        return join_parts(*(L.number_block(found.column(c).to_numpy()) for c in NUMBERS), L.binary_block(found.column("groups").combine_chunks()))
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         names = [id_col, *NUMBERS, "groups_sha256"]
@@ -218,14 +221,16 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         keys, blocks = L.in_order(replies, keys_of(table), parts)
         place = {k.decode(): i for i, k in enumerate(keys)}
         split = [split_parts(b, len(NUMBERS) + 1) for b in blocks]
-        numbers = [np.concatenate([L.numbers_in(s[c]) for s in split]) if split else np.zeros(0, np.int64) for c in range(len(NUMBERS))]
-        groups = [g.decode() for s in split for g in L.keys_in(s[-1]).to_pylist()]
-        sums, digests = [], []
-        for text in table.column("text"):
-            at = [place[w] for w in words_of(text.as_py())]
-            sums.append([int(column[at].sum()) for column in numbers] if at else [0] * len(NUMBERS))
-            digests.append(hashlib.sha256(";".join([groups[i] for i in at]).encode()).hexdigest() if at else "")
-        return pa.table([table.column("id"), *(pa.array(c, pa.int64()) for c in zip(*sums, strict=True)), pa.array(digests, pa.string())], names=names)
+        numbers = np.stack([np.concatenate([L.numbers_in(s[c]) for s in split]) for c in range(len(NUMBERS))], 1) if split else np.zeros((0, len(NUMBERS)), np.int64)
+        groups = [g for s in split for g in L.keys_in(s[-1]).to_pylist()]
+        sums, digests = np.zeros((table.num_rows, len(NUMBERS)), np.int64), []
+        for row, text in enumerate(table.column("text")):
+            words = words_of(text.as_py())
+            at = [place[w] for w in words]
+            for lo in range(0, len(at), 1 << 16):  # bounds the arrays
+                sums[row] += numbers[np.array(at[lo : lo + (1 << 16)])].sum(0)
+            digests.append(hashlib.sha256(b";".join([groups[i] for i in at])).hexdigest() if at else "")
+        return pa.table([table.column("id"), *(pa.array(c) for c in sums.T.copy()), pa.array(digests, pa.string())], names=names)
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {', '.join(f'{c} long' for c in NUMBERS)}, groups_sha256 string"
     rows = judged.withColumn("bucket", L.bucket_of(F.col("key"), parts))

@@ -35,6 +35,14 @@ def key_block(keys: Sequence[bytes]) -> bytes:
     return join_parts(number_block(np.fromiter(map(len, keys), np.int64, len(keys))), b"".join(keys))
 
 
+def binary_block(values: pa.Array) -> bytes:
+    """As key_block, of an Arrow array without nulls, from its buffers."""
+    values = values.cast(pa.large_binary())
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    return join_parts(number_block(np.diff(at)), data[int(at[0]) : int(at[-1])].to_pybytes() if data is not None and len(values) else b"")
+
+
 def keys_in(block: bytes) -> pa.Array:
     sizes, data = split_parts(block, 2)
     ends = np.append(0, np.cumsum(numbers_in(sizes)))
