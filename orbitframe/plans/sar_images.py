@@ -122,10 +122,19 @@ _KIND_SQL = {
     3: f"SELECT o_orderkey, py, pz, vy, vz, r, f / r * {I._V2} * dt AS rdot FROM (SELECT *, sqrt((700071.0::DOUBLE + rg) * (700071.0::DOUBLE + rg) + f * {I._V2} * dt * dt) AS r FROM (SELECT *, t - (0.005::DOUBLE + 1.43e-4::DOUBLE * az) AS dt, 1 + 1e-7 * az + 2e-7 * rg AS f FROM {I._SAR}))",
 }
 _CONTOURS = " UNION ALL ".join(f"(SELECT * FROM ({q}) WHERE o_orderkey % 4 = {k})" for k, q in _KIND_SQL.items())
-_GROUND = (
-    f"SELECT o_orderkey, {cut_sql('6378137.0::DOUBLE', 2)} AS x, {cut_sql('py + g * (c * uy - s * uz)', 2)} AS y, {cut_sql('pz + g * (c * uz + s * uy)', 2)} AS z FROM (SELECT *, -rdot / (v * g / r) AS c, sign(py * vz - pz * vy) * sqrt(1 - (rdot / (v * g / r)) * (rdot / (v * g / r))) AS s FROM ("
-    f"SELECT *, sqrt(r * r - 250000000000.0::DOUBLE) AS g, sqrt(vy * vy + vz * vz) AS v, vy / sqrt(vy * vy + vz * vz) AS uy, vz / sqrt(vy * vy + vz * vz) AS uz FROM ({_CONTOURS})))"
-)
+def ground_sql(contours: str) -> str:
+    """x, y and z where contours meet the ground plane."""
+    return (
+        "SELECT o_orderkey, 6378137.0::DOUBLE AS x, py + g * (c * uy - s * uz) AS y, pz + g * (c * uz + s * uy) AS z FROM (SELECT *, -rdot / (v * g / r) AS c, sign(py * vz - pz * vy) * sqrt(1 - (rdot / (v * g / r)) * (rdot / (v * g / r))) AS s FROM ("
+        f"SELECT *, sqrt(r * r - 250000000000.0::DOUBLE) AS g, sqrt(vy * vy + vz * vz) AS v, vy / sqrt(vy * vy + vz * vz) AS uy, vz / sqrt(vy * vy + vz * vz) AS uz FROM ({contours})))"
+    )
+
+
+def cut_places(places: str) -> str:
+    return f"SELECT o_orderkey, {', '.join(f'{cut_sql(a, 2)} AS {a}' for a in 'xyz')} FROM ({places})"
+
+
+_GROUND = cut_places(ground_sql(_CONTOURS))
 # The chip is scaled by two; the product plane has the normal n = (0.8, 0, 0.6).
 _CHIP = f"(SELECT o_orderkey, {CHIP_AT}::DOUBLE + 2 * (o_orderkey * 7919 % 512) - {SCP_ROW}::DOUBLE AS rg, {CHIP_AT}::DOUBLE + 2 * (o_custkey * 3571 % 512) - {SCP_COL}::DOUBLE AS az FROM orders)"
 _CHIP = f"(SELECT *, 500000.0::DOUBLE AS dx, -100 + 7000 * t AS dy, 490000 + 20 * t AS dz, 7000.0::DOUBLE AS vy, 20.0::DOUBLE AS vz FROM (SELECT *, 0.01::DOUBLE + az * 1e-5 AS t FROM {_CHIP}))"
@@ -133,7 +142,8 @@ _CHIP = f"(SELECT *, sqrt(lx * lx + ly * ly + lz * lz) AS r, (vy * ly + vz * lz)
 _CHIP = f"(SELECT *, sqrt(r * r - h * h) AS g, -0.8::DOUBLE * wz / wx AS ex, vy / wx AS ey, (vz - 0.6::DOUBLE * wz) / wx AS ez, 0.8::DOUBLE * (dy * vz - dz * vy) + 0.6::DOUBLE * (dx * vy) AS look FROM {_CHIP})"
 _CHIP = f"(SELECT *, (wz * h / r - rdot) / (wx * g / r) AS c FROM {_CHIP})"
 _CHIP = f"(SELECT *, sign(look) * sqrt(1 - c * c) AS s FROM {_CHIP})"
-_CHIP = f"SELECT o_orderkey, {cut_sql('6378137.0::DOUBLE + dx - 0.8::DOUBLE * h + g * (c * ex + s * (0 - 0.6::DOUBLE * ey))', 2)} AS x, {cut_sql('dy + g * (c * ey + s * (0.6::DOUBLE * ex - 0.8::DOUBLE * ez))', 2)} AS y, {cut_sql('dz - 0.6::DOUBLE * h + g * (c * ez + s * (0.8::DOUBLE * ey))', 2)} AS z FROM {_CHIP}"
+CHIP_PLACES = f"SELECT o_orderkey, 6378137.0::DOUBLE + dx - 0.8::DOUBLE * h + g * (c * ex + s * (0 - 0.6::DOUBLE * ey)) AS x, dy + g * (c * ey + s * (0.6::DOUBLE * ex - 0.8::DOUBLE * ez)) AS y, dz - 0.6::DOUBLE * h + g * (c * ez + s * (0.8::DOUBLE * ey)) AS z FROM {_CHIP}"
+_CHIP = cut_places(CHIP_PLACES)
 
 QUERIES = {f.__name__: f for f in (sicd_image_to_world, sicd_world_to_image, sidd_chip_locate, sar_terrain_project)}
 ORACLES = {
