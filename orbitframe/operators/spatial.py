@@ -6,9 +6,13 @@ distinct afterwards.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.operators import geometries as N
+
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
@@ -57,43 +61,36 @@ def find_nearest(features: DataFrame, queries: DataFrame, query_key: str, max_di
     return pairs.join(best, (F.col(f"q_{query_key}") == F.col("_q")) & (F.col("distance") == F.col("_least"))).drop("_q", "_least")
 
 
-def in_ring(ring: Column, x: Column, y: Column) -> Column:
-    """Even-odd test of a place against a closed ring of structs x, y."""
-    edges = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def crosses(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        return ((a["y"] > y) != (b["y"] > y)) & (x < a["x"] + F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]))
+def polygon_covering(polygons: DataFrame, size: float = 1.0) -> DataFrame:
+    """Cells of several sizes of polygons with rings, with columns g_level, g_cell_x, g_cell_y, g_inside, g_edges and g_key."""
+    parts = polygons.select("geom_id", F.array(F.struct(F.lit(2).alias("dim"), "rings")).alias("parts"))
+    return _prefixed(N.covering(parts, "geom_id", size=size), "g_")
 
-    return F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
 
-
-def in_polygon(rings: Column, x: Column, y: Column) -> Column:
-    """Inside the first ring and outside the others."""
-    return F.aggregate(rings, F.lit(0), lambda acc, r: acc + F.when(in_ring(r, x, y), 1).otherwise(0)) % 2 == 1
-
-
-def polygon_cells(polygons: DataFrame, size: float = 1.0) -> DataFrame:
-    """geom_id and rings by every cell of the polygons' boxes."""
-    points = F.flatten("rings")
-    boxed = polygons.withColumns({"xmin": F.array_min(F.transform(points, lambda p: p["x"])), "xmax": F.array_max(F.transform(points, lambda p: p["x"])), "ymin": F.array_min(F.transform(points, lambda p: p["y"])), "ymax": F.array_max(F.transform(points, lambda p: p["y"]))})
-    return cells(boxed, size).drop(*BOX)
+def _meets_cell(x: str, y: str) -> Column:
+    return (F.col("p_cell_x") == F.col("g_cell_x")) & (F.col("p_cell_y") == F.col("g_cell_y")) & N.held(F.col(x), F.col(y), "g_edges", "g_inside")
 
 
 def find_polygon(points: DataFrame, polygons: DataFrame, x: str, y: str, key: str, size: float = 1.0) -> DataFrame:
     """Points with the smallest id of a polygon that holds them, or null."""
-    placed = points.withColumns({"cell_x": F.floor(F.col(x) / size), "cell_y": F.floor(F.col(y) / size)})
-    held = placed.join(polygon_cells(polygons, size), ["cell_x", "cell_y"]).where(in_polygon(F.col("rings"), F.col(x), F.col(y)))
-    best = held.groupBy(key).agg(F.min("geom_id").alias("geom_id"))
-    return points.join(best, key, "left")
+    cells, found = polygon_covering(polygons, size), []
+    for level in N.levels(cells.select(F.col("g_level").alias("level"))):
+        placed, here = N.at_level(points.select(key, x, y), x, y, level, "p_"), cells.where(F.col("g_level") == level)
+        found.append(placed.join(here, _meets_cell(x, y)).select(F.col(key), F.col("g_key").alias("geom_id")))
+    if not found:
+        return points.withColumn("geom_id", F.lit(None).cast(polygons.schema["geom_id"].dataType))
+    return points.join(reduce(DataFrame.unionByName, found).groupBy(key).agg(F.min("geom_id").alias("geom_id")), key, "left")
 
 
 def covered(points: DataFrame, polygons: DataFrame, x: str, y: str, size: float = 1.0, invert: bool = False) -> DataFrame:
     """The points inside some polygon, or those inside none."""
-    placed = points.withColumns({"cell_x": F.floor(F.col(x) / size), "cell_y": F.floor(F.col(y) / size)}).alias("p")
-    cut = polygon_cells(polygons, size).alias("g")
-    on = (F.col("p.cell_x") == F.col("g.cell_x")) & (F.col("p.cell_y") == F.col("g.cell_y")) & in_polygon(F.col("g.rings"), F.col(f"p.{x}"), F.col(f"p.{y}"))
-    return placed.join(cut, on, "left_anti" if invert else "left_semi").drop("cell_x", "cell_y")
+    found, rest, names = [], points, points.columns
+    cells = polygon_covering(polygons, size)
+    for level in N.levels(cells.select(F.col("g_level").alias("level"))):
+        placed, here = N.at_level(rest, x, y, level, "p_"), cells.where(F.col("g_level") == level)
+        found.append(placed.join(here, _meets_cell(x, y), "left_semi").select(*names))
+        rest = placed.join(here, _meets_cell(x, y), "left_anti").select(*names)
+    return rest if invert else reduce(DataFrame.unionByName, found) if found else points.limit(0)
 
 
 def explode_parts(features: DataFrame, parts: str = "parts", key: str = "geom_id") -> DataFrame:
@@ -101,22 +98,12 @@ def explode_parts(features: DataFrame, parts: str = "parts", key: str = "geom_id
     return features.select("*", F.posexplode(parts).alias("part", "rings")).drop(parts).withColumn("part", F.col("part").cast("int"))
 
 
-POLYGON = "array<array<array<double>>>"
-
-
-def polygon_parts(geometry: Column, depth: int = 4) -> Column:
-    """Polygons of a GeoJSON geometry (JSON text), each an array of rings of structs x, y.
+def polygon_parts(geometry: Column) -> Column:
+    """Polygons of a GeoJSON geometry (JSON text), each an array of rings of structs x, y; collections may be nested to any depth.
 
-    Collections are flattened down to the given depth; geometries without area give nothing, as does null.
+    Geometries without area give nothing, as does null.
     """
-    kind, text = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
-    none = F.expr("cast(array() as array<array<array<struct<x:double,y:double>>>>)")
-    rings = lambda p: F.transform(p, lambda ring: F.transform(ring, lambda v: F.struct(v[0].alias("x"), v[1].alias("y"))))
-    found = F.when(kind == "Polygon", F.array(rings(F.from_json(text, POLYGON)))).when(kind == "MultiPolygon", F.transform(F.from_json(text, f"array<{POLYGON}>"), rings))
-    if depth:
-        members = F.from_json(F.get_json_object(geometry, "$.geometries"), "array<string>")
-        found = found.when(kind == "GeometryCollection", F.flatten(F.transform(members, lambda g: polygon_parts(g, depth - 1))))
-    return F.coalesce(found, none)
+    return F.transform(F.filter(N.parts_of(geometry), lambda p: p["dim"] == 2), lambda p: p["rings"])
 
 
 def cell_geometries(features: DataFrame, geometry: str = "geometry", key: str = "id", size: float = 1.0, tol: float = 0.0) -> DataFrame:

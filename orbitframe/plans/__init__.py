@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbitframe.plans import geodesy, imagery, mixed, sar_images
+from orbitframe.plans import geodesy, imagery, mixed, sar_images, shapes
 
-QUERIES = geodesy.QUERIES | imagery.QUERIES | sar_images.QUERIES | mixed.QUERIES
-ORACLES = geodesy.ORACLES | imagery.ORACLES | sar_images.ORACLES | mixed.ORACLES
+QUERIES = geodesy.QUERIES | imagery.QUERIES | sar_images.QUERIES | mixed.QUERIES | shapes.QUERIES
+ORACLES = geodesy.ORACLES | imagery.ORACLES | sar_images.ORACLES | mixed.ORACLES | shapes.ORACLES
