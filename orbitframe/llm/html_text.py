@@ -8,17 +8,22 @@ home; blocks between them, its headings before them, and its blocks after them t
 the text too.  Where the home, or an element in it that holds nearly all of the content, is an article by its tag
 or class, all blocks of that element do, but for links that stand alone outside of paragraphs, lists and tables.
 
-Menus, headers, footers, sidebars, notices, adverts, forms and comment sections never give text.  They are known by
-their tags, roles and class words.  A class word or a form is no proof, as page wrappers have them too: an element
-known by these alone counts as a wrapper, and is judged by what is in it, where next to nothing of the page's text
-stands outside of all such elements and it holds most of what stands in them.  Words that say what an element has
-or lacks (has-sidebar, no-comments) are not heeded.
-
-Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
+Menus, headers, footers, sidebars, notices, adverts, forms and comment sections never give text.  Tags and roles tell
+them; a header inside an article or main element is part of it.  A class or an id only makes an element suspect, and
+only if all of its parts are words of boilerplate or of layout (site-footer, nav-menu, but not search-results-explained);
+headings, paragraphs, list items, cells and inline elements are never suspect, and inside an article or main element ids
+are not heeded, but for those of reader comments, since ids are often made from headings.  Suspects go if their own
+ratios are poor or they stand outside of what is content: inside an article or main element one goes unless its blocks
+have as good a fused ratio as the article's other blocks, or it holds an h1 and nothing else; elsewhere one stays if it
+is a page's wrapper, that is, where next to nothing of the page's text stands outside of all suspects and it holds most
+of what stands in them.  Words that say what an element has or lacks (has-sidebar, no-comments) are not heeded.
+
+Character references are decoded within each stretch of text between tags, white space inside a block becomes one space, blocks are joined by one space.
 Null, empty and text-free pages give an empty text.  Each row is handled alone: repeated rows, null urls or keys
 and extra columns have no influence, and an empty table gives an empty result.  Malformed pages are read in time
 proportional to their length: a tag that never closes is text, quotes are no longer heeded in a page where they
-were misread for several times its length, and elements more than DEPTH deep count as their ancestor.
+were misread for several times its length, and elements more than DEPTH deep count as their ancestor, but for
+boilerplate by tag or role, which is left out however deep it stands.
 """
 
 from __future__ import annotations
@@ -49,19 +54,23 @@ SCOPE = {"table", "ul", "ol", "dl", "body", "article", "section", "div", "main",
 BOILER_TAGS = set("nav header footer aside form button select menu dialog noscript figcaption head datalist fieldset".split()) - {"figcaption", "fieldset"}
 BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOILER_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus sidebar sidebars aside footer footers header masthead "
-    "topbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay comment comments commentlist disqus respond reply replies discussion share sharing social related recommended "
-    "recommendations breadcrumb breadcrumbs pagination pager newsletter subscribe subscription signup login search form widget widgets toolbar copyright disclaimer skip hidden".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus sidebar sidebars aside footer footers masthead "
+    "topbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay share sharing social related recommended "
+    "recommendations breadcrumb breadcrumbs pagination pager newsletter subscribe subscription signup login search form widget widgets toolbar copyright disclaimer skip hidden header".split()
 )
+COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "respond"}
+#: Words of layout that may stand beside a word of boilerplate in one name.
+LAYOUT_WORDS = set("site page main top bottom left right upper lower list area box bar wrap wrapper container content inner outer section block item items primary secondary global link links post user reader row col column group panel module header footer slot unit thread form".split())
 #: Classes that begin so say what an element has or lacks.
 STATE_WORDS = {"no", "has", "with", "without", "is", "not"}
-COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "discussion"}
 WRAPPER_CHARS = 140  # of unlinked text that a wrapper holds at least
 OUTSIDE = 0.05  # of a page's unlinked text: with less outside, boilerplate by class words holds the page
 ARTICLE_WORDS = set("content article post entry story main text body".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SHARE = 0.8  # of the content text that an element holds at least to be looked at as the article; no content is left out by it
 LEAVES = {"p", "h1", "h2", "h3", "li", "td", "th", "tr", "pre"}
+#: Elements that are never suspect.
+TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead table pre blockquote figure html body main article".split())
 
 
 class Block:
@@ -74,21 +83,35 @@ class Block:
 class Element(NamedTuple):
     tag: str
     words: set[str]
-    #: 0 for content, 1 if a class word or a form says boilerplate, 2 if the tag, role or hiding does.
+    #: 0 for content, 1 if a name or a form makes it suspect, 2 if the tag, role or hiding tells, or the name of reader comments.
     boiler: int
+    #: Whether it is an article or main element, or stands in one.
+    inside: bool = False
+
+
+class Names(NamedTuple):
+    """What the attributes of a tag say: words of class and id, boilerplate and reader comments by class and by id, hiding and role."""
+
+    words: set[str]
+    by_class: bool
+    by_id: bool
+    talk: bool
+    bad: bool
 
 
-def _words(attributes: str) -> tuple[set[str], bool]:
-    """Words of class and id, and whether role or hiding marks the element as no content."""
+def _names(attributes: str) -> Names:
     words: set[str] = set()
-    bad = False
+    bad, talk, told = False, False, {"class": False, "id": False}
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name in ("class", "id"):
             for token in value.split():
-                parts = [x for x in re.split(r"[_-]+", token) if x]
+                parts = [x for x in re.split(r"[_-]+|\d+$", token) if x]
                 if parts and parts[0] not in STATE_WORDS:
                     words.update(parts)
+                    whole = set(parts) <= BOILER_WORDS | COMMENT_WORDS | LAYOUT_WORDS
+                    talk |= whole and not COMMENT_WORDS.isdisjoint(parts)
+                    told[name] |= whole and not BOILER_WORDS.isdisjoint(parts)
         elif name == "role":
             bad |= value in BOILER_ROLES
         elif name == "aria-hidden":
@@ -97,7 +120,10 @@ def _words(attributes: str) -> tuple[set[str], bool]:
             bad = True
         elif name == "style":
             bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-    return words, bad
+    return Names(words, told["class"], told["id"], talk, bad)
+
+
+NO_NAMES = Names(set(), False, False, False, False)
 
 
 class Reader:
@@ -107,17 +133,22 @@ class Reader:
         self.page, self.vain = page, 0
         self.stack: list[tuple[str, int, str]] = [("#", 0, "")]  # tag, element, path
         self.open: dict[str, int] = defaultdict(int)  # elements of a tag on the stack
-        self.over = 0  # open elements beyond DEPTH
+        self.deep: list[tuple[str, bool]] = []  # open elements beyond DEPTH, and whether they are boilerplate
+        self.deep_open: dict[str, int] = defaultdict(int)
+        self.boiled = 0  # open boilerplate beyond DEPTH
         self.elements = [Element("#", set(), 0)]
         self.blocks: list[Block] = []
         self.block: Block | None = None
         self.links = 0
         self._read()
         for b in self.blocks:
-            b.text = " ".join(html_lib.unescape("".join(b.parts)).split())
+            b.text = " ".join("".join(b.parts).split())
         self.blocks = [b for b in self.blocks if b.text]
 
     def _put(self, text: str) -> None:
+        if self.boiled:
+            return
+        text = html_lib.unescape(text)
         if self.block is None:
             if not text or text.isspace():
                 return
@@ -196,9 +227,20 @@ class Reader:
 
     def _close(self, name: str) -> None:
         self.block = None
-        if self.over:
-            self.over -= 1
-        elif self.open[name] > 0:
+        if self.deep:
+            if self.deep_open[name] > 0:
+                while True:
+                    tag, bad = self.deep.pop()
+                    self.deep_open[tag] -= 1
+                    self.boiled -= bad
+                    if tag == name:
+                        return
+            if not self.open[name]:
+                return
+            self.deep.clear()
+            self.deep_open.clear()
+            self.boiled = 0
+        if self.open[name] > 0:
             self._pop_to(next(d for d in range(len(self.stack) - 1, 0, -1) if self.stack[d][0] == name))
 
     def _open(self, name: str, attributes: str, empty: bool) -> None:
@@ -206,7 +248,7 @@ class Reader:
         if name in VOID:
             return
         ends = SELF_CLOSING.get(name, set()) | ({"p"} if name in CLOSES_P else set())
-        if not self.over and any(self.open[e] > 0 for e in ends):
+        if not self.deep and any(self.open[e] > 0 for e in ends):
             for depth in range(len(self.stack) - 1, 0, -1):
                 if self.stack[depth][0] in ends:
                     self._pop_to(depth)
@@ -216,18 +258,23 @@ class Reader:
         self.links = 0
         if empty:
             return
-        if self.over or len(self.stack) > DEPTH:
-            self.over += 1
-            return
-        words, bad = _words(attributes) if attributes else (set(), False)
+        names = _names(attributes) if attributes else NO_NAMES
+        inside = self.elements[self.stack[-1][1]].inside
         boiler = 0
         if name in BOILER_TAGS:
-            boiler = 1 if name == "form" else 2
-        elif name not in ("html", "body", "main", "article"):
-            boiler = 2 if bad or words & COMMENT_WORDS else 1 if words & BOILER_WORDS else 0
+            boiler = 1 if name == "form" else 0 if name == "header" and inside else 2
+        elif names.bad and name not in ("html", "body", "main", "article"):
+            boiler = 2
+        if not boiler and name not in TEXT_TAGS:
+            boiler = 2 if names.talk else 1 if names.by_class or (names.by_id and not inside) else 0
+        if self.deep or len(self.stack) > DEPTH:
+            self.deep.append((name, boiler == 2))
+            self.deep_open[name] += 1
+            self.boiled += boiler == 2
+            return
         self.stack.append((name, len(self.elements), f"{self.stack[-1][2]}/{name}"))
         self.open[name] += 1
-        self.elements.append(Element(name, words, boiler))
+        self.elements.append(Element(name, names.words, boiler, inside or name in ("article", "main")))
 
     def _skip(self, at: int, name: str) -> int:
         """Past the end tag of a hidden inline element; where it has none, or too much was read in vain, nothing is skipped."""
@@ -242,17 +289,42 @@ class Reader:
 
 
 def _hides(attributes: str) -> bool:
-    words, bad = _words(attributes)
-    return bad or bool(words & BOILER_WORDS)
+    return _names(attributes).bad
+
+
+def _ratio(blocks: list[Block]) -> float:
+    """Fused text, punctuation and link ratio of some blocks."""
+    length = sum(len(b.text) for b in blocks)
+    if not length:
+        return 0.0
+    marks, links = sum(len(PUNCTUATION.findall(b.text)) for b in blocks), sum(min(b.link, len(b.text)) for b in blocks)
+    return length / len(blocks) * (marks / len(blocks) + 0.1) * (1 - links / length)
+
+
+def _cleared(elements: list[Element], blocks: list[Block]) -> set[int]:
+    """Suspects inside of an article or main element that are content by their own ratios."""
+    members: dict[int, list[Block]] = defaultdict(list)
+    rest: list[Block] = []
+    for b in blocks:
+        outer = next((e for e in b.chain if elements[e].boiler == 1), 0)
+        if not outer and any(elements[e].inside for e in b.chain):
+            rest.append(b)
+        elif elements[outer].inside:
+            for e in b.chain:
+                if elements[e].boiler == 1:
+                    members[e].append(b)
+    # an article that is in suspects alone has nothing to be compared with, and is content
+    limit = _ratio(rest)
+    return {e for e, mine in members.items() if _ratio(mine) >= limit or all(b.path.endswith("/h1") for b in mine)}
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
     """Text blocks outside boilerplate in page order, and all elements."""
     read = Reader(page)
     elements, blocks = read.elements, [b for b in read.blocks if not any(read.elements[e].boiler == 2 for e in b.chain)]
-    wrappers: set[int] = set()
+    wrappers = _cleared(elements, blocks)
     while True:
-        # of each block, the outermost element that class words or a form mark, if any
+        # of each block, the outermost suspect element, if any
         outer = [next((e for e in b.chain if elements[e].boiler and e not in wrappers), 0) for b in blocks]
         plain: dict[int, int] = defaultdict(int)
         for b, e in zip(blocks, outer, strict=True):

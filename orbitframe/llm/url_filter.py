@@ -2,22 +2,24 @@
 
 Method: two smoothed variable-order Markov models of characters, one fitted to the URLs that rules accept and
 one to those that rules reject.  A URL that no rule fits is judged by the difference of its log-likelihoods per
-character against a threshold calibrated on a fifth of the ruled URLs that the models did not see: the first of
-five folds that has both classes and leaves both.  Without such a fold all ruled URLs are counted and it is 0.
+character against a calibrated threshold.  For that each of five folds of the ruled URLs is scored by models of the
+other four, and the threshold keeps most of both classes of these scores; open URLs are scored by models of all ruled
+URLs.  A fold without which a class is missing is not scored, and without any scores the threshold is 0.
 
 Each context of up to three characters keeps its counts of following characters; the longest context is
-interpolated with shorter ones (Witten-Bell), down to a uniform distribution.  Counts cover all ruled URLs but the held-out ones.
+interpolated with shorter ones (Witten-Bell), down to a uniform distribution.
 Each distinct URL is scored once and joined back to its rows; the ratios of what follows each context are broadcast
 if they are few, else joined.  Scores are whole millionths, so sums don't
 depend on their order.
 
-Null URLs and those without "://" have an empty host and path and fit no rule; they are scored as empty texts,
-which the threshold decides as a score of 0.  Repeated rows and null ids are kept; an empty table gives an empty
+Null URLs and those without "://" have an empty host and path and fit no rule; they are scored as empty texts, that
+is by the ratio of ending where a URL begins.  Repeated rows and null ids are kept; an empty table gives an empty
 result; without URLs of both classes every open URL is allowed.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,13 +117,11 @@ def threshold(held: DataFrame) -> float | None:
     return 1e5 * min(good, key=abs)
 
 
-def held_fold(present: list) -> int | None:
-    """The first fold that has both classes, as have the others together; FOLDS, so that none is held out, if there is none; None without both classes."""
+def usable_folds(present: list) -> list[int]:
+    """The folds of ruled URLs without which both classes are still there."""
     of = lambda kind: {r["fold"] for r in present if r["class"] == kind}
     a, b = of("allow"), of("block")
-    if not a or not b:
-        return None
-    return min((k for k in a & b if a - {k} and b - {k}), default=FOLDS)
+    return sorted(k for k in a | b if a - {k} and b - {k})
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[UrlRule] = RULES) -> DataFrame:
@@ -133,14 +133,14 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rows = rows.withColumn("tail", F.concat("host", F.regexp_extract("rest", r"(?s)^[^/?#]*(.*)$", 1)))
     tails = checkpointed(rows.groupBy("tail", F.col("ruled").alias("class")).agg(F.count("*").alias("n")))
     fold = F.pmod(F.xxhash64("tail"), F.lit(FOLDS))
-    held = held_fold(tails.where(F.col("class").isNotNull()).select(fold.alias("fold"), "class").distinct().collect())
-    if held is None:
+    ruled, open_ = tails.where(F.col("class").isNotNull()), tails.where(F.col("class").isNull())
+    present = ruled.select(fold.alias("fold"), "class").distinct().collect()
+    if {r["class"] for r in present} != {"allow", "block"}:
         return rows.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
-    last = fold == held
-    train, rest = tails.where(F.col("class").isNotNull() & ~last), tails.where(F.col("class").isNull() | last)
-    got = checkpointed(rest.join(scored(rest.select("tail"), train), "tail"))
-    limit = threshold(got.where(F.col("class").isNotNull())) if held < FOLDS else 0.0
-    found = got.where(F.col("class").isNull()).select("tail", F.when(F.col("score") >= limit, "allow").otherwise("block").alias("guess"))
+    seen = [ruled.where(fold == k).join(scored(ruled.where(fold == k).select("tail"), ruled.where(fold != k)), "tail") for k in usable_folds(present)]
+    limit = threshold(reduce(DataFrame.unionByName, seen)) if seen else None
+    got = scored(open_.select("tail"), ruled)
+    found = got.select("tail", F.when(F.col("score") >= (limit or 0.0), "allow").otherwise("block").alias("guess"))
     return rows.join(found, "tail", "left").select(id_col, "host", "path", "rule", F.coalesce("ruled", "guess", F.lit("allow")).alias("verdict"))
 
 

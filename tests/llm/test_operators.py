@@ -219,9 +219,12 @@ def test_url_filter(spark):
     times = {}
     for u in urls:
         times[(u[3], u[5])] = times.get((u[3], u[5]), 0) + 1
-    train = [(t, k, n) for (t, k), n in times.items() if k and fold[t]]
-    held = [(t, k, n) for (t, k), n in times.items() if k and not fold[t]]
-    scores = B.url_scores(train, {u[3] for u in urls if not u[5]} | {t for t, _, _ in held})
+    ruled = [(t, k, n) for (t, k), n in times.items() if k]
+    held, scores = [], B.url_scores(ruled, {u[3] for u in urls if not u[5]})
+    for f in range(5):
+        mine = [(t, k, n) for t, k, n in ruled if fold[t] == f]
+        scores |= B.url_scores([x for x in ruled if fold[x[0]] != f], {t for t, _, _ in mine})
+        held += mine
     limit, best = None, -1
     for b in sorted(range(-200, 202), key=abs):
         share = lambda kind, good: sum(n for t, k, n in held if k == kind and good(max(-200, min(200, scores[t] // 1e5)))) / sum(n for _, k, n in held if k == kind)
