@@ -41,7 +41,7 @@ MARK = "▁"
 RUN = re.compile(r"\s ")
 BORDER = re.compile(r"(?<=\S)(?= )")
 #: Distinct words a task keeps counts of before it sends them on, text of a chunk of documents, and least number of chunks.
-WORDS_KEPT, CHUNK_TEXT, LEAST_PARTS = 300_000, 16 << 20, 64
+WORDS_KEPT, CHUNK_TEXT, LEAST_PARTS = 300_000, 8 << 20, 64
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 _loaded: dict[tuple[str, str], "Tokenizers"] = {}
 
@@ -223,6 +223,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         split = [split_parts(b, len(NUMBERS) + 1) for b in blocks]
         numbers = np.stack([np.concatenate([L.numbers_in(s[c]) for s in split]) for c in range(len(NUMBERS))], 1) if split else np.zeros((0, len(NUMBERS)), np.int64)
         groups = [g for s in split for g in L.keys_in(s[-1]).to_pylist()]
+        del keys, blocks, split  # the worker's memory is bounded by a chunk's words
         sums, digests = np.zeros((table.num_rows, len(NUMBERS)), np.int64), []
         for row, text in enumerate(table.column("text")):
             words = words_of(text.as_py())
