@@ -29,7 +29,7 @@ from orbitframe.llm.shared import dropped, written
 
 LEAST, TOP, COVER, UNKNOWN = 10, 2000, 50, "und"
 #: Distinct words a task keeps counts of before it sends them on, text of a chunk and of a range, least number of both.
-WORDS_KEPT, CHUNK_TEXT, RANGE_TEXT, LEAST_PARTS = 1_000_000, 16 << 20, 8 << 20, 64
+WORDS_KEPT, CHUNK_TEXT, RANGE_TEXT, LEAST_PARTS = 300_000, 8 << 20, 8 << 20, 64
 #: Ids have 31 bits, so that two make a positive 64-bit number.
 MOST_WORDS = 1 << 31
 #: Lower case for A-Z, a line end for each character that ends a piece, and a space for the tabulator.
