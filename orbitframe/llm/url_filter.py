@@ -3,7 +3,7 @@
 Method: two smoothed variable-order Markov models of characters, one fitted to the URLs that rules accept and
 one to those that rules reject.  A URL that no rule fits is judged by the difference of its log-likelihoods per
 character against a calibrated threshold.  For that each of five folds of the ruled URLs is scored by models of the
-other four, and the threshold keeps most of both classes of these scores; open URLs are scored by models of all ruled
+other four (all counts less its own), and the threshold keeps most of both classes of these scores; open URLs are scored by models of all ruled
 URLs.  A fold without which a class is missing is not scored, and without any scores the threshold is 0.
 
 Each context of up to three characters keeps its counts of following characters; the longest context is
@@ -19,7 +19,6 @@ result; without URLs of both classes every open URL is allowed.  Extra columns a
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +30,7 @@ CONTEXT = 3
 BINS = 200  # of the calibration's scores, from -BINS/20 to BINS/20 nats per character
 UNIFORM = 1 / 256
 FOLDS = 5
-RATIO_ROWS = 500_000  # pairs of a context and a character that are broadcast at most, some 30 MB
+RATIO_ROWS = 200_000  # pairs of a context and a character that are broadcast at most, some 30 MB
 
 
 class UrlRule(NamedTuple):
@@ -70,38 +69,46 @@ def grams(urls: DataFrame) -> DataFrame:
 
 
 def models(train: DataFrame) -> list[DataFrame]:
-    """For each context length, a row per context with counts of what follows, by class."""
-    counts = grams(train).groupBy("context", "next").agg(F.sum(F.when(F.col("class") == "allow", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("class") == "block", F.col("n")).otherwise(0)).alias("b"))
+    """For each context length, a row per context with counts of what follows, by class.
+
+    train has tail, class, n and fold.  Counts are arrays: at a fold's place those of all other folds, at the last place
+    those of all.
+    """
+    c = F.col
+    counts = grams(train).groupBy("context", "next").agg(*(F.sum(F.when((c("class") == kind) & (c("fold") == f), c("n")).otherwise(0)).alias(f"{x}{f}") for x, kind in (("a", "allow"), ("b", "block")) for f in range(FOLDS)))
     out = []
     for k in range(CONTEXT + 1):
-        part = counts.groupBy(F.right("context", F.lit(k)).alias(f"c{k}"), "next").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        part = counts.groupBy(F.right("context", F.lit(k)).alias(f"c{k}"), "next").agg(*(F.sum(f"{x}{f}").alias(f"{x}{f}") for x in "ab" for f in range(FOLDS)))
+        whole = {x: sum((c(f"{x}{f}") for f in range(FOLDS)), F.lit(0)) for x in "ab"}
+        part = part.select(f"c{k}", "next", *(F.array(*(whole[x] - c(f"{x}{f}") for f in range(FOLDS)), whole[x]).alias(x) for x in "ab"))
         row = part.groupBy(f"c{k}").agg(
             F.map_from_entries(F.collect_list(F.struct("next", F.struct("a", "b")))).alias(f"m{k}"),  # as many entries as there are characters at most
-            *(F.sum(x).alias(f"{x}n{k}") for x in "ab"),
-            *(F.sum((F.col(x) > 0).cast("long")).alias(f"{x}t{k}") for x in "ab"),
+            *(F.array(*(F.sum(c(x)[v]) for v in range(FOLDS + 1))).alias(f"{x}n{k}") for x in "ab"),
+            *(F.array(*(F.sum((c(x)[v] > 0).cast("long")) for v in range(FOLDS + 1))).alias(f"{x}t{k}") for x in "ab"),
         )
         out.append(row)
     return out
 
 
 def scored(urls: DataFrame, train: DataFrame) -> DataFrame:
-    """tail and score (millionths of nats per character) of distinct tails."""
+    """tail and score (millionths of nats per character) of distinct tails, each by the counts that its column counts_of names."""
     table = grams(urls.select("tail")).select("context", "next").distinct()
     for k, model in enumerate(models(train)):
         table = table.withColumn(f"c{k}", F.right("context", F.lit(k)))
         table = table.join(F.broadcast(model), f"c{k}", "left") if k == 0 else table.join(model, f"c{k}", "left")  # the empty context is one row
-    p = {"a": F.lit(UNIFORM), "b": F.lit(UNIFORM)}
+    variants = range(FOLDS + 1)
+    p = {(x, v): F.lit(UNIFORM) for x in "ab" for v in variants}
     for k in range(CONTEXT + 1):
-        for x in "ab":
-            seen, n, kinds = F.coalesce(F.try_element_at(F.col(f"m{k}"), F.col("next"))[x], F.lit(0)), F.coalesce(f"{x}n{k}", F.lit(0)), F.coalesce(f"{x}t{k}", F.lit(0))
-            p[x] = F.when(n > 0, (seen + kinds * p[x]) / (n + kinds)).otherwise(p[x])
-        table = table.withColumns({f"p{x}{k}": p[x] for x in "ab"})
-        p = {x: F.col(f"p{x}{k}") for x in "ab"}
-    ratio = table.select("context", "next", F.round(1e6 * (F.ln(p["a"]) - F.ln(p["b"]))).cast("long").alias("ratio"))
+        for x, v in p:
+            seen, n, kinds = F.coalesce(F.try_element_at(F.col(f"m{k}"), F.col("next"))[x][v], F.lit(0)), F.coalesce(F.col(f"{x}n{k}")[v], F.lit(0)), F.coalesce(F.col(f"{x}t{k}")[v], F.lit(0))
+            p[x, v] = F.when(n > 0, (seen + kinds * p[x, v]) / (n + kinds)).otherwise(p[x, v])
+        table = table.withColumns({f"p{x}{v}_{k}": p[x, v] for x, v in p})
+        p = {(x, v): F.col(f"p{x}{v}_{k}") for x, v in p}
+    ratio = table.select("context", "next", F.array(*(F.round(1e6 * (F.ln(p["a", v]) - F.ln(p["b", v]))).cast("long") for v in variants)).alias("ratio"))
     ratio = checkpointed(ratio)
     small = ratio.count() <= RATIO_ROWS  # a frequent context has many characters, which a join by context would gather
-    each = grams(urls).select("tail", "context", "next").join(F.broadcast(ratio) if small else ratio, ["context", "next"])
-    return each.groupBy("tail").agg((F.sum("ratio") / F.count("*")).alias("score"))
+    each = grams(urls.select("tail", "counts_of")).select("tail", "counts_of", "context", "next").join(F.broadcast(ratio) if small else ratio, ["context", "next"])
+    return each.groupBy("tail").agg((F.sum(F.col("ratio")[F.col("counts_of")]) / F.count("*")).alias("score"))
 
 
 def threshold(held: DataFrame) -> float | None:
@@ -133,14 +140,14 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rows = rows.withColumn("tail", F.concat("host", F.regexp_extract("rest", r"(?s)^[^/?#]*(.*)$", 1)))
     tails = checkpointed(rows.groupBy("tail", F.col("ruled").alias("class")).agg(F.count("*").alias("n")))
     fold = F.pmod(F.xxhash64("tail"), F.lit(FOLDS))
-    ruled, open_ = tails.where(F.col("class").isNotNull()), tails.where(F.col("class").isNull())
-    present = ruled.select(fold.alias("fold"), "class").distinct().collect()
+    ruled = F.col("class").isNotNull()
+    tails = tails.withColumn("fold", fold).withColumn("counts_of", F.when(ruled, F.col("fold")).otherwise(FOLDS).cast("int"))
+    present = tails.where(ruled).select("fold", "class").distinct().collect()
     if {r["class"] for r in present} != {"allow", "block"}:
         return rows.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
-    seen = [ruled.where(fold == k).join(scored(ruled.where(fold == k).select("tail"), ruled.where(fold != k)), "tail") for k in usable_folds(present)]
-    limit = threshold(reduce(DataFrame.unionByName, seen)) if seen else None
-    got = scored(open_.select("tail"), ruled)
-    found = got.select("tail", F.when(F.col("score") >= (limit or 0.0), "allow").otherwise("block").alias("guess"))
+    got = checkpointed(tails.select("tail", "class", "n", "fold").join(scored(tails, tails.where(ruled)), "tail"))
+    limit = threshold(got.where(ruled & F.col("fold").isin(usable_folds(present))))
+    found = got.where(~ruled).select("tail", F.when(F.col("score") >= (limit or 0.0), "allow").otherwise("block").alias("guess"))
     return rows.join(found, "tail", "left").select(id_col, "host", "path", "rule", F.coalesce("ruled", "guess", F.lit("allow")).alias("verdict"))
 
 
