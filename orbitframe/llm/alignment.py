@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 
 from orbitframe.llm import lookups as L
 from orbitframe.llm.exchange import join_parts, split_parts
-from orbitframe.llm.shared import dropped, written
+from orbitframe.llm.shared import dropped, released, written
 
 MARK = "▁"
 #: White space before a space: there the words are cut by the rule, otherwise at every space.
 RUN = re.compile(r"\s ")
 BORDER = re.compile(r"(?<=\S)(?= )")
 #: Distinct words a task keeps counts of before it sends them on, text of a chunk of documents, and least number of chunks.
-WORDS_KEPT, CHUNK_TEXT, LEAST_PARTS = 300_000, 8 << 20, 64
+WORDS_KEPT, CHUNK_TEXT, LEAST_PARTS = 200_000, 16 << 20, 64
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 _loaded: dict[tuple[str, str], "Tokenizers"] = {}
 
@@ -109,6 +109,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 if len(counts) >= WORDS_KEPT:
                     yield sent()
         yield sent()
+        released()
 
     return docs.select(text_col).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -131,6 +132,9 @@ def tokens_of(counts: DataFrame, a_path: str, b_path: str) -> DataFrame:
             numbers = pa.array(np.arange(number, number + batch.num_rows))
             number += batch.num_rows
             yield pa.RecordBatch.from_arrays([numbers, *batch.columns, *_lists(a, a_size), *_lists(b, b_size)], ["word", "key", "n", "a", "a_size", "b", "b_size"])
+        del both
+        _loaded.clear()  # later stages have no use for the tokenizers
+        released()
 
     return counts.mapInArrow(run, "word long, key binary, n long, a array<int>, a_size array<int>, b array<int>, b_size array<int>")
 
@@ -231,6 +235,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
             for lo in range(0, len(at), 1 << 16):  # bounds the arrays
                 sums[row] += numbers[np.array(at[lo : lo + (1 << 16)])].sum(0)
             digests.append(hashlib.sha256(b";".join([groups[i] for i in at])).hexdigest() if at else "")
+        del place, groups, numbers
+        released()
         return pa.table([table.column("id"), *(pa.array(c) for c in sums.T.copy()), pa.array(digests, pa.string())], names=names)
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {', '.join(f'{c} long' for c in NUMBERS)}, groups_sha256 string"

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.llm import exchange as X
 from orbitframe.llm import lookups as L
-from orbitframe.llm.shared import dropped, written
+from orbitframe.llm.shared import dropped, released, written
 
 LEAST, TOP, COVER, UNKNOWN = 10, 2000, 50, "und"
 #: Distinct words a task keeps counts of before it sends them on, text of a chunk and of a range, least number of both.
@@ -62,6 +62,7 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 if sum(map(len, counts.values())) >= WORDS_KEPT:
                     yield from sent()
         yield from sent()
+        released()
 
     return docs.select(lang_col, text_col).mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -185,6 +186,7 @@ def phrases(docs: DataFrame, words: DataFrame, parts: int, least: int, size: int
                 out[int(where[lo])].append(X.join_parts(bytes([width]), X.pack(high[lo:hi].astype(np.int64)), L.number_block(low[lo:hi]), L.number_block(n[lo:hi])))
         blocks_out = [(r, block) for r, some in sorted(out.items()) for block in some]
         chunk = table.column("chunk")[0].as_py()
+        released()
         return X.binary_table(names, [r for r, _ in blocks_out], [chunk] * len(blocks_out), [b for _, b in blocks_out])
 
     def gather(table: pa.Table) -> pa.Table:

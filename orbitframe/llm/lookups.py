@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitframe.llm.exchange import REPLIES, SETS, binary_table, join_parts, split_parts
+from orbitframe.llm.shared import released
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -25,10 +26,10 @@ def bucket_of(key: Column, buckets: int) -> Column:
 
 def distinct_keys(keys: Iterable[bytes], buckets: int) -> dict[int, list[bytes]]:
     """Sorted distinct keys by bucket, buckets in order."""
-    out: dict[int, list[bytes]] = {}
-    for key in sorted(set(keys)):
-        out.setdefault(zlib.crc32(key) % buckets, []).append(key)
-    return dict(sorted(out.items()))
+    out: list[list[bytes]] = [[] for _ in range(buckets)]
+    for key in set(keys):
+        out[zlib.crc32(key) % buckets].append(key)
+    return {bucket: sorted(found) for bucket, found in enumerate(out) if found}
 
 
 def key_block(keys: Sequence[bytes]) -> bytes:
@@ -65,7 +66,10 @@ def requests(chunked: DataFrame, keys_of: Callable[[pa.Table], Iterable[bytes]],
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
         found = distinct_keys(keys_of(table), buckets)
-        return binary_table(["bucket", "chunk", "payload"], list(found), [chunk] * len(found), [key_block(keys) for keys in found.values()])
+        out = binary_table(["bucket", "chunk", "payload"], list(found), [chunk] * len(found), [key_block(keys) for keys in found.values()])
+        del found
+        released()
+        return out
 
     return chunked.groupBy("chunk").applyInArrow(run, SETS)
 

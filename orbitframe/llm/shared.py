@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -38,3 +41,10 @@ def dropped(df: DataFrame) -> None:
     for path in df.inputFiles()[:1]:
         folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
         folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def released() -> None:
+    """Gives a worker's freed memory back to the system, which Arrow's pool and the C library otherwise keep for later."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
