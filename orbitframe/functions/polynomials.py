@@ -78,14 +78,6 @@ def dense(pairs: Column, order: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), order), lambda i: F.coalesce(F.try_element_at(table, i), F.lit(0.0)))
 
 
-def dense_surface(triples: Column, order_x: Column, order_y: Column) -> Column:
-    """Array of arrays from structs (exponent1, exponent2, value)."""
-    return F.transform(
-        F.sequence(F.lit(0), order_x),
-        lambda i: F.transform(F.sequence(F.lit(0), order_y), lambda j: F.coalesce(F.aggregate(F.filter(triples, lambda t: (t["exponent1"] == i) & (t["exponent2"] == j)), F.lit(None).cast("double"), lambda a, t: t["value"]), F.lit(0.0))),
-    )
-
-
 def normalize(value: Column, offset: Column, scale: Column) -> Column:
     return (value - offset) / scale
 

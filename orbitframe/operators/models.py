@@ -137,13 +137,6 @@ def ground_domain_inverse(form: Column, x: Column, y: Column, z: Column, origin:
     return pick(lon, x), pick(lat, y), pick(elev, z)
 
 
-def domain_box(vertices: Column) -> Column:
-    """Struct of the least and largest coordinates of eight vertices, and their mean height; null for another number."""
-    part = lambda n: F.transform(vertices, lambda v: v[n])
-    mean = F.aggregate(part("z"), F.lit(0.0), lambda a, v: a + v) / 8
-    return F.when(F.size(vertices) == 8, F.struct(*(f(part(n)).alias(f"{w}_{n}") for n in "xyz" for f, w in ((F.array_min, "min"), (F.array_max, "max"))), mean.alias("height")))
-
-
 def rsm_forward(x: Column, y: Column, z: Column, powers: dict[str, tuple[int, int, int]] | None = None, p=F.col) -> tuple[Column, Column]:
     """(column, row) of a ground-domain place; rn, rd, cn and cd are the row's coefficient arrays, whose powers are given or the row's rn_powers and so on."""
     n = [P.normalize(v, p(f"{a}_off"), p(f"{a}_scale")) for v, a in ((x, "x"), (y, "y"), (z, "z"))]
@@ -162,12 +155,6 @@ def section_of_place(x: Column, y: Column, z: Column, p=F.col) -> tuple[Column,
     return section_index(P.low_order(p("row_poly"), x, y, z), P.low_order(p("col_poly"), x, y, z), p)
 
 
-def missing_sections(sections: DataFrame, models: DataFrame) -> DataFrame:
-    """Sections, counted from 0, that a sectioned model announces and that have no model of their own."""
-    wanted = sections.select("image_id", "n_rows", "n_cols").withColumn("section_row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1))).withColumn("section_col", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)))
-    return wanted.join(models, ["image_id", "section_row", "section_col"], "left_anti").select("image_id", "section_row", "section_col")
-
-
 #: Of the parameters, those of the whole image and those of a section.
 RSM_POLYS = ["rn", "rd", "cn", "cd"]
 RSM_NORMS = [f"{n}_{w}" for n in ("row", "col", "x", "y", "z") for w in ("off", "scale")]

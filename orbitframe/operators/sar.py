@@ -17,6 +17,8 @@ from orbitframe.functions.projective import homography, homography_inverse
 #: Fixed tolerances: height test and steps for a constant height; on-surface test of terrain; inverse projection.
 HEIGHT_STEPS, HEIGHT_LIMIT = 3, 1.0
 ON_SURFACE, CONTOUR_STEP = 0.001, 10.0
+#: What contour_tracks adds that a point of the contour is made of.
+TRACK = [*(f"_{n}_{a}" for n in ("ctr", "rx", "ry") for a in "xyz"), "_rad", "_cb", "_step", "_n"]
 GROUND_LIMIT, GROUND_STEPS = 1e-2, 10
 RANGE = 4096  # steps of a contour that are compared in one task
 
@@ -94,6 +96,14 @@ def contour_points(df: DataFrame, r: str, rdot: str, arp: str, varp: str, low: s
 
     low and high name struct columns from on_height.  Points are evenly spaced in the cosine of the contour angle.
     """
+    df = contour_tracks(df, r, rdot, arp, varp, low, high, horizontal)
+    # a filter on the number of steps would be moved to the start of the plan, with all that it is made of
+    df = df.withColumn("step", F.explode_outer(F.when(F.col("_n") >= 0, F.sequence(F.lit(0), F.col("_n"))))).where("step is not null")
+    return _on_contour(df.withColumn("cos_angle", F.col("_cb") + F.col("step") * F.col("_step")), side)
+
+
+def contour_tracks(df: DataFrame, r: str, rdot: str, arp: str, varp: str, low: str, high: str, horizontal: float | None = None) -> DataFrame:
+    """Rows with the circle of each contour (TRACK): its centre, radius and axes, the cosine at the low point, the step and the number of steps."""
     rr, c = F.col(r), F.col
     df, at = S.spread(df, a=S.unpacked(c(arp)), v=S.unpacked(c(varp)), low=S.unpacked(c(low)), high=S.unpacked(c(high)))
     df = df.withColumn("_speed", S.norm(at["v"])).withColumn("_dca", -c(rdot) / c("_speed"))
@@ -108,10 +118,7 @@ def contour_points(df: DataFrame, r: str, rdot: str, arp: str, varp: str, low: s
     if horizontal is not None:
         step = F.least(step, F.lit(horizontal) * sin_b / c("_cb") / rad)
     df = df.withColumn("_step", -step)
-    df = df.withColumn("_n", F.floor((c("_ca") - c("_cb")) / c("_step")).cast("int") + 1)
-    # a filter on the number of steps would be moved to the start of the plan, with all that it is made of
-    df = df.withColumn("step", F.explode_outer(F.when(c("_n") >= 0, F.sequence(F.lit(0), c("_n"))))).where("step is not null")
-    return _on_contour(df.withColumn("cos_angle", c("_cb") + c("step") * c("_step")), side)
+    return df.withColumn("_n", F.floor((c("_ca") - c("_cb")) / c("_step")).cast("int") + 1)
 
 
 def _on_contour(df: DataFrame, side: Column) -> DataFrame:
@@ -241,20 +248,6 @@ def image_to_world(df: DataFrame, params: DataFrame, key: str = "image_id", x: s
     return _located(on_plane(rows, "r", "rdot", "arp", "varp", m("scp"), F.col("_up"), "_place"), kept, "_place")
 
 
-def image_to_terrain(df: DataFrame, params: DataFrame, row_key: str, sample, low: Column, high: Column, horizontal: float | None = None, key: str = "image_id", x: str = "x", y: str = "y") -> DataFrame:
-    """row_key, place, lon_deg, lat_deg and height of where each pixel's contour first meets the terrain between two heights, from below.
-
-    sample(df) adds the column terrain, the elevation at lon_deg and lat_deg; pixels that meet nothing are absent.
-    """
-    rows = contours(df, params, key, x, y).withColumn("_scp", F.col("sar.scp"))
-    side = F.col("sar.side")
-    rows = on_height(on_height(rows, "r", "rdot", "arp", "varp", "_scp", side, low, "_low"), "r", "rdot", "arp", "varp", "_scp", side, high, "_high")
-    along = contour_points(rows, "r", "rdot", "arp", "varp", "_low", "_high", side, horizontal)
-    along = with_geodetic(along, F.col("point"), ("lon_deg", "lat_deg", "_elev"))
-    met = first_terrain_point(sample(along).withColumn("delta", F.col("_elev") - F.col("terrain")), row_key, F.col("sar.side"))
-    return _located(met, [row_key], "point")
-
-
 class _Models(NamedTuple):
     """Models of the rows of a batch as arrays of one row each."""
 

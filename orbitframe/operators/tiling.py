@@ -81,11 +81,6 @@ def orthophoto(tiles: DataFrame, pixels: DataFrame, image: str, keys: list[str],
     return joined.select(*keys, "x", "y", value.alias("v")).where("v is not null")
 
 
-def chip_corner_places(left: Column, top: Column, width: Column, height: Column) -> list[tuple[Column, Column]]:
-    """Corners UL, UR, LR, LL of a chip."""
-    return [(left, top), (left + width, top), (left + width, top + height), (left, top + height)]
-
-
 def sidd_chip(left: Column, top: Column, width: Column, height: Column, old: Column | None = None) -> Column:
     """Struct of a chip's size and its corners in the original image; an earlier chip is composed.
 

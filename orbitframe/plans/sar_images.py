@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geodesy as G
-from orbitframe.functions import sar_geometry as S
-from orbitframe.operators import sar
+from orbitframe.operators import sar, terrain
 from orbitframe.plans import imagery as I
 from orbitframe.plans.relations import cut, cut_sql
 from orbitframe.sources import products
@@ -103,15 +102,29 @@ def sidd_chip_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_orderkey", *(cut(F.col("place")[a], 2).alias(a) for a in "xyz"))
 
 
+#: A plane in longitude and latitude, which posts give back between them: height at the centre, metres a degree east and north.
+SLOPE = (120.0, 800.0, -600.0)
+POSTS, SPACING = 61, 0.002
+
+
+def terrain_tiles(spark: SparkSession) -> DataFrame:
+    """Four elevation tiles that meet at the centre, whose posts rise to the east and fall to the north."""
+    first = -(POSTS - 1) * SPACING
+    k = F.col("id")
+    west, north = first * (1 - k % 2), -first * F.floor(k / 2)
+    z = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(POSTS - 1)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(POSTS - 1)), lambda c: SLOPE[0] + SLOPE[1] * (west + c * SPACING) + SLOPE[2] * (north - r * SPACING))))
+    gt = F.array(west, F.lit(SPACING), F.lit(0.0), north, F.lit(0.0), F.lit(-SPACING))
+    return spark.range(4).select(k.cast("string").alias("tile_id"), F.lit(POSTS).alias("width"), F.lit(POSTS).alias("height"), gt.alias("gt"), z.alias("z"), F.lit(-9999.0).alias("no_data"))
+
+
+def tile_of(lon: Column, lat: Column) -> Column:
+    return F.concat((F.when(lon >= 0, 1).otherwise(0) + F.when(lat > 0, 2).otherwise(0)).cast("string"))
+
+
 def sar_terrain_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels where their contour meets an even terrain at 120 m."""
-    rows = _pixels(spark, sf_dir).where("o_orderkey % 16 = 0")  # the first of the four images, thinned out by the query itself
-    got = sar.image_to_terrain(rows, _images(spark), "o_orderkey", lambda df: df.withColumn("terrain", F.lit(120.0)), F.lit(100.0), F.lit(140.0))
-    # range and range rate of the pixel, and of the place found
-    seen = sar.contours(rows, _images(spark)).select("o_orderkey", "r", "rdot", "arp", "varp")
-    d, v = S.sub(S.unpacked(F.col("arp")), S.unpacked(F.col("place"))), S.unpacked(F.col("varp"))
-    rows = got.join(seen, "o_orderkey").withColumn("_range", S.norm(d))
-    return rows.select("o_orderkey", F.round("height", 1).alias("height"), (F.abs(F.col("_range") - F.col("r")) < 0.5).alias("in_range"), (F.abs(S.dot(v, d) / F.col("_range") - F.col("rdot")) < 0.05).alias("in_rate"))
+    """Pixels of the four products where their contours meet a sloping terrain of four tiles."""
+    got = terrain.image_to_tiles(_pixels(spark, sf_dir), _images(spark), "o_orderkey", terrain_tiles(spark), tile_of, F.lit(60.0), F.lit(200.0))
+    return got.select("o_orderkey", *(cut(F.col("place")[a], 2).alias(a) for a in "xyz"), cut(F.col("height"), 2).alias("height"))
 
 
 # The ground plane through the centre point has the normal (1, 0, 0): a height of 500 km, and velocities lie in it.
@@ -145,10 +158,41 @@ _CHIP = f"(SELECT *, sign(look) * sqrt(1 - c * c) AS s FROM {_CHIP})"
 CHIP_PLACES = f"SELECT o_orderkey, 6378137.0::DOUBLE + dx - 0.8::DOUBLE * h + g * (c * ex + s * (0 - 0.6::DOUBLE * ey)) AS x, dy + g * (c * ey + s * (0.6::DOUBLE * ex - 0.8::DOUBLE * ez)) AS y, dz - 0.6::DOUBLE * h + g * (c * ez + s * (0.8::DOUBLE * ey)) AS z FROM {_CHIP}"
 _CHIP = cut_places(CHIP_PLACES)
 
+
+
+def _terrain_sql() -> str:
+    """The contour's circle around the track, and secant steps on the height above the terrain along it."""
+    a, f = "6378137.0::DOUBLE", 1 / 298.257223563
+    e2, minor = f * (2 - f), 6378137.0 * (1 - f)
+
+    def above(rows: str, angle: str, out: str) -> str:
+        """Adds the place at an angle and its height above the terrain."""
+        rows = f"SELECT *, 6878137.0::DOUBLE - rho * cos({angle}) AS {out}x, py + along * vy / v + rho * sin({angle}) * vz / v AS {out}y, pz + along * vz / v - rho * sin({angle}) * vy / v AS {out}z FROM ({rows})"
+        rows = f"SELECT *, sqrt({out}x * {out}x + {out}y * {out}y) AS {out}p, atan2({a} * {out}z, {minor!r}::DOUBLE * sqrt({out}x * {out}x + {out}y * {out}y)) AS {out}b0 FROM ({rows})"
+        for i in range(2):
+            rows = f"SELECT *, atan2({out}z + {e2 / (1 - e2) * minor!r}::DOUBLE * sin({out}b{i}) * sin({out}b{i}) * sin({out}b{i}), {out}p - {e2 * 6378137.0!r}::DOUBLE * cos({out}b{i}) * cos({out}b{i}) * cos({out}b{i})) AS {out}f{i} FROM ({rows})"
+            rows = f"SELECT *, atan2({1 - f!r}::DOUBLE * sin({out}f{i}), cos({out}f{i})) AS {out}b{i + 1} FROM ({rows})"
+        rows = f"SELECT *, {out}p * cos({out}f1) + {out}z * sin({out}f1) - {a} * sqrt(1 - {e2!r}::DOUBLE * sin({out}f1) * sin({out}f1)) AS {out}h FROM ({rows})"
+        return f"SELECT *, {out}h - ({SLOPE[0]}::DOUBLE + {SLOPE[1]}::DOUBLE * degrees(atan2({out}y, {out}x)) + ({SLOPE[2]}::DOUBLE) * degrees({out}f1)) AS {out}d FROM ({rows})"
+
+    keep = "o_orderkey, py, pz, vy, vz, v, along, rho"
+    # v . (position - place) = r rdot
+    rows = f"SELECT *, sqrt(vy * vy + vz * vz) AS v, -r * rdot / sqrt(vy * vy + vz * vz) AS along FROM ({_CONTOURS})"
+    rows = f"SELECT *, sqrt(r * r - along * along) AS rho FROM ({rows})"
+    # the circle's axes are down and across the track to the right, where the centre point lies; it is level with it at 500 km below
+    rows = f"SELECT *, sign(pz * vy - py * vz) AS look FROM ({rows})"
+    rows = f"SELECT *, look * acos((500000.0::DOUBLE - 120) / rho) AS t0, look * acos((500000.0::DOUBLE - 160) / rho) AS t1 FROM ({rows})"
+    for _ in range(4):
+        rows = above(above(f"SELECT {keep}, t0, t1 FROM ({rows})", "t0", "l"), "t1", "m")
+        rows = f"SELECT {keep}, t1 AS t0, CASE WHEN md = ld THEN t1 ELSE t1 - md * (t1 - t0) / (md - ld) END AS t1 FROM ({rows})"
+    rows = above(rows, "t1", "n")
+    return f"SELECT o_orderkey, {cut_sql('nx', 2)} AS x, {cut_sql('ny', 2)} AS y, {cut_sql('nz', 2)} AS z, {cut_sql('nh', 2)} AS height FROM ({rows})"
+
+
 QUERIES = {f.__name__: f for f in (sicd_image_to_world, sicd_world_to_image, sidd_chip_locate, sar_terrain_project)}
 ORACLES = {
     "sicd_image_to_world": _GROUND,
     "sicd_world_to_image": "SELECT o_orderkey, CAST(o_custkey * 3571 % 1600 AS BIGINT) AS x, CAST(o_orderkey * 7919 % 2000 AS BIGINT) AS y, true AS close FROM orders",
     "sidd_chip_locate": _CHIP,
-    "sar_terrain_project": "SELECT o_orderkey, 120.0::DOUBLE AS height, true AS in_range, true AS in_rate FROM orders WHERE o_orderkey % 16 = 0",
+    "sar_terrain_project": _terrain_sql(),
 }
