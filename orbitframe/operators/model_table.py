@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.functions import projections as J
 from orbitframe.functions import projective as M
+from orbitframe.lineage import cut
 from orbitframe.operators import models, sar, statistics
 from orbitframe.sources import des, products, tre
 
@@ -29,7 +30,8 @@ def build(images: DataFrame, key: str = "image_id", selected: tuple[str, ...] =
 
     Later kinds replace earlier ones: affine, control points, corner record; and rational, replacement, product.  A chip
     record holds for the corner record and the first two precise kinds, a derived product has its own chip.  Images need
-    four control points; a singular transform is no model, an unknown reference system an error.
+    four control points; a singular transform is no model, an unknown reference system an error.  The table is written to
+    the checkpoint folder, since each part of a search joins it and the records would be parsed for each.
     """
     rows = images.select(F.col(key).alias("key"), *((F.col(n) if n in images.columns else F.lit(None)).cast(t).alias(n) for n, t in IMAGE_COLUMNS.items()))
     records = rows.where("tres is not null")
@@ -63,10 +65,10 @@ def build(images: DataFrame, key: str = "image_id", selected: tuple[str, ...] =
     out = out.withColumns({"approximate": approximate, "precise": precise})
     model = F.when(c("approximate").isNotNull() & c("precise").isNotNull(), "COMPOSITE").otherwise(F.coalesce("precise", "approximate"))
     only = lambda name, kinds: F.when(c("precise").isin(*kinds), c(name)).alias(name)
-    return out.select(
+    return cut(out.select(
         c("key").alias(key), "approximate", "precise", model.alias("model"), F.when(c("approximate") == "AFFINE", c("affine")).alias("affine"), F.coalesce("record_plane", "points_plane").alias("plane"), (c("approximate") == "CSCRNA").alias("plane_chipped"),
         "chip", only("rpc", ["RPC"]), only("rsm", ["RSM"]), only("sar", ["SICD", "SIDD"]),
-    )
+    ))
 
 
 def _given(df: DataFrame, key: str, x: str | None, y: str | None, height: str | None, **more: str) -> DataFrame:
