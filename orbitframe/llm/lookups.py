@@ -87,10 +87,10 @@ def answers(asked: DataFrame, rows: DataFrame, answer: Callable[[pa.Table, np.nd
             return binary_table(names, [], [], [])
         here = here.combine_chunks()
         known = here.column("key").combine_chunks().cast(pa.large_binary()) if here.num_rows else pa.array([], pa.large_binary())
-        out = []
-        for payload in blocks.column("payload").to_pylist():
-            places = pa.compute.index_in(keys_in(payload), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-            out.append(answer(here, places.astype(np.int64)))
+        asked_for = [keys_in(payload) for payload in blocks.column("payload").to_pylist()]
+        places = pa.compute.index_in(pa.concat_arrays(asked_for), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)  # one hash table a bucket
+        ends = np.cumsum([len(keys) for keys in asked_for])
+        out = [answer(here, places[end - len(keys) : end]) for keys, end in zip(asked_for, ends, strict=True)]
         return binary_table(names, blocks.column("chunk").to_pylist(), blocks.column("bucket").to_pylist(), out)
 
     return asked.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(run, REPLIES)
