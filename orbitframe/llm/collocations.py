@@ -29,7 +29,7 @@ from orbitframe.llm.shared import dropped, released, written
 
 LEAST, TOP, COVER, UNKNOWN = 10, 2000, 50, "und"
 #: Distinct words a task keeps counts of before it sends them on, text of a chunk and of a range, least number of both.
-WORDS_KEPT, CHUNK_TEXT, RANGE_TEXT, LEAST_PARTS = 300_000, 8 << 20, 8 << 20, 64
+WORDS_KEPT, CHUNK_TEXT, RANGE_TEXT, LEAST_PARTS = 300_000, 8 << 20, 2 << 20, 64
 #: Ids have 31 bits, so that two make a positive 64-bit number.
 MOST_WORDS = 1 << 31
 #: Lower case for A-Z, a line end for each character that ends a piece, and a space for the tabulator.
@@ -201,6 +201,8 @@ def phrases(docs: DataFrame, words: DataFrame, parts: int, least: int, size: int
             high, low, n = high[keep], low[keep].astype(np.int64), n[keep]
             found.append(np.array([(high >> np.uint64(32)).astype(np.int64), (high & np.uint64(0xFFFFFFFF)).astype(np.int64), low if width == 3 else np.full(len(n), -1), n]))
         rows = np.concatenate(found, axis=1)
+        del split, found
+        released()
         return pa.table([pa.array(r) for r in rows], names=["id1", "id2", "id3", "f"])
 
     replies = L.answers(L.requests(chunked, keys_of, parts), words.where("id >= 0").select("bucket", "key", "id", "n", "below"), answer)
