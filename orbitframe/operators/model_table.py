@@ -33,7 +33,7 @@ def build(images: DataFrame, key: str = "image_id", selected: tuple[str, ...] =
     four control points; a singular transform is no model, an unknown reference system an error.  The table is written to
     the checkpoint folder, since each part of a search joins it and the records would be parsed for each.
     """
-    rows = images.select(F.col(key).alias("key"), *((F.col(n) if n in images.columns else F.lit(None)).cast(t).alias(n) for n, t in IMAGE_COLUMNS.items()))
+    rows = cut(images.select(F.col(key).alias("key"), *((F.col(n) if n in images.columns else F.lit(None)).cast(t).alias(n) for n, t in IMAGE_COLUMNS.items())))  # each kind reads it
     records = rows.where("tres is not null")
     corners = tre.chip_corners(records, "tres", "key")
     chips = statistics.fit_homography(corners.select("key", F.inline("corners")), "key", ("full_x", "full_y"), ("chip_x", "chip_y")).withColumnRenamed("h", "chip").join(corners.select("key", "full_cols", "full_rows"), "key")
