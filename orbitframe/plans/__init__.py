@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbitframe.plans import geodesy, imagery, mixed, rasters, sar_images, shapes
+from orbitframe.plans import files, geodesy, imagery, mixed, rasters, sar_images, shapes
 
-QUERIES = geodesy.QUERIES | imagery.QUERIES | sar_images.QUERIES | mixed.QUERIES | shapes.QUERIES | rasters.QUERIES
-ORACLES = geodesy.ORACLES | imagery.ORACLES | sar_images.ORACLES | mixed.ORACLES | shapes.ORACLES | rasters.ORACLES
+QUERIES = geodesy.QUERIES | imagery.QUERIES | sar_images.QUERIES | mixed.QUERIES | shapes.QUERIES | rasters.QUERIES | files.QUERIES
+ORACLES = geodesy.ORACLES | imagery.ORACLES | sar_images.ORACLES | mixed.ORACLES | shapes.ORACLES | rasters.ORACLES | files.ORACLES

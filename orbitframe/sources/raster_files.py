@@ -382,7 +382,8 @@ def chips(blocks: DataFrame, kind: str = "uint8", images: DataFrame | None = Non
     text = F.col("image").cast("string")
     name = F.concat_ws("_", F.regexp_replace(text, r"^.*/|[^A-Za-z0-9.-]", ""), F.hex(F.crc32(text.cast("binary"))), "level", "block_y", "block_x")
     bands = F.array_sort(F.collect_list(F.struct("band", "v")))
-    rows = blocks.groupBy(*keys).agg(F.first("width").alias("width"), F.first("height").alias("height"), bands.alias("_bands"))
+    same = lambda n: F.when(F.min(n) == F.max(n), F.max(n)).otherwise(F.raise_error(F.lit("bands of a block differ in size")).cast("int"))
+    rows = blocks.groupBy(*keys).agg(same("width").alias("width"), same("height").alias("height"), bands.alias("_bands"))
     gt = F.lit(None).cast("array<double>")
     if images is not None:
         rows = rows.join(images.select("image", F.col("gt").alias("_gt")), "image", "left")
