@@ -1,4 +1,4 @@
-"""Rasters written as files by the sink and read back by the data source."""
+"""Rasters written as files by the sink and read back by the data source, and polygons stored by cell."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from orbitframe.lineage import shared_folder
 from orbitframe.operators import blocks
-from orbitframe.plans.relations import PIX, pix
-from orbitframe.sources import raster_files, tre
+from orbitframe.plans.imagery import DIAMOND, HOLE, inside_sql
+from orbitframe.plans.relations import PIX, PTS, pix, pts
+from orbitframe.sources import raster_files, tre, vectors
 
 #: Pixels of a file's side, and of an image's.
 FILE, SIDE = 256, 512
@@ -57,8 +58,24 @@ def nitf_model_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.where("n > 0").join(said, "file").join(models, "file").select("suppkey", (F.col("at") % 7).alias("x"), F.floor(F.col("at") / 7).cast("int").alias("y"), F.col("n").cast("long").alias("n"), "line_off", "lat_off", "long_off", "last")
 
 
-QUERIES = {"raster_file_window": raster_file_window, "nitf_model_tiles": nitf_model_tiles}
+#: A region of places, which touches few of the stored parts.
+WEST, EAST, SOUTH, NORTH = -140, 20, -30, 60
+
+
+def stored_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a region with all stored polygons that hold them; only the parts with places are read."""
+    k, folder = F.col("s_suppkey"), shared_folder(spark)
+    x, y = k * 37 % 340 - 170, k * 53 % 150 - 75
+    ring = lambda places: F.format_string("[" + ",".join(["[%s,%s]"] * len(places)) + "]", *(v for a, b in places for v in ((x + a).cast("string"), (y + b).cast("string"))))
+    geometry = F.concat(F.lit('{"type":"Polygon","coordinates":['), ring(DIAMOND), F.lit(","), ring(HOLE), F.lit("]}"))
+    vectors.store_polygons(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("geom_id"), geometry.alias("geometry")), folder, "geom_id")
+    places = pts(spark, sf_dir).where(F.col("lon_deg").between(WEST, EAST) & F.col("lat_deg").between(SOUTH, NORTH))
+    return vectors.stored_holders(places, folder, "lon_deg", "lat_deg").select("o_orderkey", F.col("key").alias("geom_id"))
+
+
+QUERIES = {"raster_file_window": raster_file_window, "nitf_model_tiles": nitf_model_tiles, "stored_polygons": stored_polygons}
 ORACLES = {
     "raster_file_window": f"SELECT image, CAST(band AS INTEGER) AS band, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, sum(v)::DOUBLE AS v FROM ({PIX}) WHERE x BETWEEN 200 AND 300 AND y BETWEEN 40 AND 100 AND band IN (1, 2) GROUP BY ALL",
     "nitf_model_tiles": "SELECT l_suppkey AS suppkey, CAST(l_linenumber - 1 AS INTEGER) AS x, CAST(l_quantity AS INTEGER) % 3 AS y, count(*) AS n, (l_suppkey % 1000000)::DOUBLE AS line_off, l_suppkey % 80 + 0.25::DOUBLE AS lat_off, l_suppkey % 170 - 0.5::DOUBLE AS long_off, 0.000019::DOUBLE AS last FROM lineitem GROUP BY 1, 2, 3",
+    "stored_polygons": f"SELECT o_orderkey, geom_id FROM ({inside_sql()}) JOIN ({PTS}) USING (o_orderkey) WHERE lon_deg BETWEEN {WEST} AND {EAST} AND lat_deg BETWEEN {SOUTH} AND {NORTH}",
 }

@@ -188,11 +188,16 @@ def anti_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.covered(pts(spark, sf_dir), _polygons(spark, sf_dir), "lon_deg", "lat_deg", invert=True).select("o_orderkey")
 
 
-def _inside_sql() -> str:
+#: A supplier's polygon around its place, and the hole in it.
+DIAMOND = [(-3.3, 0.05), (0.05, 4.3), (3.3, 0.05), (0.05, -4.3), (-3.3, 0.05)]
+HOLE = [(-1.1, -1.1), (1.1, -1.1), (1.1, 1.1), (-1.1, 1.1), (-1.1, -1.1)]
+
+
+def inside_sql() -> str:
     cross = lambda ax, ay, bx, by: f"(({ay} > lat_deg - y) <> ({by} > lat_deg - y) AND lon_deg - x < {ax} + ({bx} - {ax}) * (lat_deg - y - {ay}) / nullif({by} - {ay}, 0))"
     sides = lambda p: " + ".join(f"CASE WHEN coalesce({cross(*(f'({v}::DOUBLE)' for v in (*a, *b)))}, false) THEN 1 ELSE 0 END" for a, b in zip(p, p[1:], strict=False))
-    outer = sides([(-3.3, 0.05), (0.05, 4.3), (3.3, 0.05), (0.05, -4.3), (-3.3, 0.05)])
-    hole = sides([(-1.1, -1.1), (1.1, -1.1), (1.1, 1.1), (-1.1, 1.1), (-1.1, -1.1)])
+    outer = sides(DIAMOND)
+    hole = sides(HOLE)
     return f"SELECT o_orderkey, geom_id FROM ({PTS}) p JOIN (SELECT s_suppkey AS geom_id, (s_suppkey * 37 % 340 - 170)::DOUBLE AS x, (s_suppkey * 53 % 150 - 75)::DOUBLE AS y FROM supplier) g ON abs(lon_deg - x) < 5 AND abs(lat_deg - y) < 5 WHERE (({outer}) % 2 + ({hole}) % 2) % 2 = 1"
 
 
@@ -452,9 +457,9 @@ ORACLES = {
     "offset_grid_flipped": _FLIPPED,
     "find_intersects": f"SELECT q.s_suppkey AS q_s_suppkey, f.c_custkey AS f_c_custkey FROM ({PROBES}) q JOIN ({BOXES}) f ON q.xmin <= f.xmax AND f.xmin <= q.xmax AND q.ymin <= f.ymax AND f.ymin <= q.ymax",
     "find_nearest_ties": f"SELECT q_s_suppkey, f_c_custkey, {cut_sql('d')} AS distance FROM (SELECT *, min(d) OVER (PARTITION BY q_s_suppkey) AS best FROM (SELECT q.s_suppkey AS q_s_suppkey, f.c_custkey AS f_c_custkey, sqrt(power(greatest(0, q.xmin - f.xmax, f.xmin - q.xmax), 2) + power(greatest(0, q.ymin - f.ymax, f.ymin - q.ymax), 2)) AS d FROM ({PROBES}) q CROSS JOIN ({BOXES}) f) WHERE d <= 80) WHERE d = best",
-    "point_in_polygon": f"SELECT p.o_orderkey, g.geom_id FROM orders p LEFT JOIN (SELECT o_orderkey, min(geom_id) AS geom_id FROM ({_inside_sql()}) GROUP BY 1) g USING (o_orderkey)",
-    "semi_intersects": f"SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM ({_inside_sql()}))",
-    "anti_intersects": f"SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({_inside_sql()}))",
+    "point_in_polygon": f"SELECT p.o_orderkey, g.geom_id FROM orders p LEFT JOIN (SELECT o_orderkey, min(geom_id) AS geom_id FROM ({inside_sql()}) GROUP BY 1) g USING (o_orderkey)",
+    "semi_intersects": f"SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM ({inside_sql()}))",
+    "anti_intersects": f"SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({inside_sql()}))",
     "ortho_resample": _ORTHO,
     "tre_field_extract": "SELECT p_partkey, p_size + 0.25::DOUBLE AS lat_off, p_partkey AS line_off, NULL::DOUBLE AS missing FROM part WHERE p_partkey % 2 = 1",
     "rpc_coeff_dense": "SELECT p_partkey, 20 AS n, (p_partkey % 7)::DOUBLE AS c0, 0.0::DOUBLE AS c1, p_size::DOUBLE AS c3, -1.5::DOUBLE AS c19 FROM part",
