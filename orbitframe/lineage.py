@@ -20,6 +20,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{(folder or tempfile.mkdtemp(prefix='shared-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly over all cores, for work that costs much more a row than a byte.
+
+    A small file is read by one task, however many rows it has, and shuffles by a key may be drawn together again by size.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame written to spark.checkpoint.dir, the folder that all executors share, and read back.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orbitframe.functions import radiometry as R
 from orbitframe.functions import sar_geometry as S
 from orbitframe.functions import text as T
+from orbitframe.lineage import dealt
 from orbitframe.operators import elevation as E
 from orbitframe.operators import features as FE
 from orbitframe.operators import sar, spatial, statistics, tiling
@@ -227,7 +228,7 @@ def _tre_xml() -> Column:
 
 
 def tre_field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", _tre_xml().alias("xml"))
+    rows = dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")).select("p_partkey", _tre_xml().alias("xml"))
     f = F.col("f")
     rows = rows.withColumn("f", tre.record(F.col("xml"), "RPC00B"))
     # the values are read before rows are left out, so that the record is parsed once
@@ -236,7 +237,7 @@ def tre_field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rpc_coeff_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", tre.coefficients(_tre_xml(), "RPC00B", "LINE_NUM_COEFF").alias("c"))
+    rows = dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")).select("p_partkey", tre.coefficients(_tre_xml(), "RPC00B", "LINE_NUM_COEFF").alias("c"))
     return rows.select("p_partkey", F.size("c").alias("n"), F.col("c")[0].alias("c0"), F.col("c")[1].alias("c1"), F.col("c")[3].alias("c3"), F.col("c")[19].alias("c19"))
 
 
@@ -245,7 +246,7 @@ def des_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = lambda n, v: F.concat(F.lit(f'<field name="{n}" value="'), v, F.lit('" />'))
     values = {n: F.lit("") for n, _ in T.DES_FIELDS} | {"DESVER": F.lit("1"), "DECLAS": F.lit("U"), "DESCODE": F.col("p_brand"), "DESCTLN": F.col("p_partkey").cast("string"), "DESSHL": F.lit("5"), "DESSHF": F.lit("abc"), "DESDATA": F.base64(F.col("p_name").cast("binary"))}
     xml = F.concat(F.lit('<?xml version="1.0"?><des_list><des name="XML_DATA_CONTENT">'), *(field(n, v) for n, v in values.items()), F.lit("</des></des_list>"))
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("image_id"), xml.alias("xml"))
+    rows = dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_name")).select(F.col("p_partkey").alias("image_id"), xml.alias("xml"))
     found = des.by_name(des.segments(rows), "XML_DATA_CONTENT")
     return found.select(F.col("image_id").alias("p_partkey"), T.des_header(F.col("fields")).alias("header"), des.data_xml(F.col("fields"), F.col("segment")).alias("data"))
 

@@ -37,13 +37,23 @@ def value_of(fields: Column, name: str, kind: str = "string", strict: bool = Fal
 
 
 def coefficients(xml: Column, tre: str, name: str) -> Column:
-    """Dense array of a repeated field: placed by the groups' index, of the size announced, zero where absent."""
-    base = f"(//tre[@name='{tre}'])[1]/repeated[@name='{name}']"
-    size = F.try_element_at(F.xpath(xml, F.lit(f"{base}/@number")), F.lit(1)).try_cast("int")
-    places = F.transform(F.xpath(xml, F.lit(f"{base}/group/@index")), lambda v: v.cast("int"))
-    values = F.transform(F.xpath(xml, F.lit(f"{base}/group/field[1]/@value")), lambda v: F.trim(v).cast("double"))
-    table = F.map_from_arrays(places, values)
-    return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at(table, i), F.lit(0.0))))
+    """Dense array of a repeated field: placed by the groups' index, of the size announced, zero where absent.
+
+    Size, indexes and values come in document order from one parse of the text, and are bound to variables: within the
+    transform by place they would be read again for each place.  Groups without index or value count as absent.
+    """
+    base = f"((//tre[@name='{tre}'])[1]/repeated[@name='{name}'])[1][@number]"
+    group = f"{base}/group[@index][field[1]/@value]"
+    found = F.xpath(xml, F.lit(f"{base}/@number | {group}/@index | {group}/field[1]/@value"))
+
+    def table(v: Column) -> Column:
+        rest = F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0)))
+        places = F.transform(F.filter(rest, lambda _, i: i % 2 == 0), lambda t: t.cast("int"))
+        values = F.transform(F.filter(rest, lambda _, i: i % 2 == 1), lambda t: F.trim(t).cast("double"))
+        return F.struct(F.get(v, F.lit(0)).try_cast("int").alias("size"), F.map_from_arrays(places, values).alias("table"))
+
+    dense = lambda t: F.when(t["size"] > 0, F.transform(F.sequence(F.lit(0), t["size"] - 1), lambda i: F.coalesce(F.try_element_at(t["table"], i), F.lit(0.0))))
+    return F.transform(F.transform(F.array(found), table), dense)[0]
 
 
 def has(xml: Column, tre: str) -> Column:
@@ -60,20 +70,25 @@ def rpc_parameters(images: DataFrame, xml: str = "xml", key: str = "image_id") -
     return rows.select(key, F.inline_outer(found)).where("line_num is not null")
 
 
+def _with_record(images: DataFrame, xml: str, tre: str, name: str = "_fields") -> DataFrame:
+    """Images that have a record of a name, with the map of its fields; texts without the name are not parsed."""
+    x = F.col(xml)
+    return images.where(x.contains(tre) & has(x, tre)).withColumn(name, record(x, tre))
+
+
 def corner_points(images: DataFrame, width: Column, height: Column, xml: str = "xml", key: str = "image_id") -> DataFrame:
     """Four ground control points per image from the CSCRNA record's corners, against the image's corners."""
-    x = F.col(xml)
     spots = [("UL", F.lit(0.0), F.lit(0.0)), ("UR", width, F.lit(0.0)), ("LR", width, height), ("LL", F.lit(0.0), height)]
-    point = lambda n, px, py: F.struct(field(x, "CSCRNA", f"{n}CNR_LONG", "double").alias("lon_deg"), field(x, "CSCRNA", f"{n}CNR_LAT", "double").alias("lat_deg"), field(x, "CSCRNA", f"{n}CNR_HT", "double").alias("z"), px.cast("double").alias("pixel"), py.cast("double").alias("line"))
-    return images.where(has(x, "CSCRNA")).select(key, F.inline(F.array(*(point(*s) for s in spots))))
+    get = lambda n: value_of(F.col("_fields"), n, "double")
+    point = lambda n, px, py: F.struct(get(f"{n}CNR_LONG").alias("lon_deg"), get(f"{n}CNR_LAT").alias("lat_deg"), get(f"{n}CNR_HT").alias("z"), px.cast("double").alias("pixel"), py.cast("double").alias("line"))
+    return _with_record(images, xml, "CSCRNA").select(key, F.inline(F.array(*(point(*s) for s in spots))))
 
 
 def chip_corners(images: DataFrame, xml: str = "xml", key: str = "image_id") -> DataFrame:
     """Four pairs of chip and full-image places from the ICHIPB record; images whose record doesn't parse are absent."""
-    x = F.col(xml)
-    get = lambda n: field(x, "ICHIPB", n, "double")
+    get = lambda n: value_of(F.col("_fields"), n, "double")
     point = lambda c: F.struct(get(f"OP_COL_{c}").alias("chip_x"), get(f"OP_ROW_{c}").alias("chip_y"), get(f"FI_COL_{c}").alias("full_x"), get(f"FI_ROW_{c}").alias("full_y"))
-    rows = images.where(has(x, "ICHIPB")).select(key, get("FI_COL").alias("full_cols"), get("FI_ROW").alias("full_rows"), F.array(*(point(c) for c in ("11", "12", "21", "22"))).alias("corners"))
+    rows = _with_record(images, xml, "ICHIPB").select(key, get("FI_COL").alias("full_cols"), get("FI_ROW").alias("full_rows"), F.array(*(point(c) for c in ("11", "12", "21", "22"))).alias("corners"))
     return rows.where(~F.exists("corners", lambda p: p["chip_x"].isNull() | p["chip_y"].isNull() | p["full_x"].isNull() | p["full_y"].isNull()))
 
 
@@ -81,9 +96,10 @@ def rsm_parameters(images: DataFrame, xml: str = "xml", key: str = "image_id") -
     """Replacement model parameters, one row per polynomial record of an image, with its ground domain; section numbers are the record's, from 1."""
     x = F.col(xml)
     records = F.regexp_extract_all(x, F.lit(r"(?s)<tre\s(?=[^>]*name=[\"']RSMPCA[\"'])[^>]*(?<!/)>.*?</tre>"), 0)  # fields of a record are read from its own text
-    rows = images.where(has(x, "RSMIDA")).withColumn("records", records).select("*", F.size("records").alias("n_records"), F.posexplode("records").alias("record", "record_xml"))
-    pca = lambda name, kind="double": field(F.col("record_xml"), "RSMPCA", name, kind)
-    ida = lambda name, kind="double": field(x, "RSMIDA", name, kind)
+    rows = _with_record(images, xml, "RSMIDA", "_ida").withColumn("records", records).select("*", F.size("records").alias("n_records"), F.posexplode("records").alias("record", "record_xml"))
+    rows = rows.withColumn("_pca", record(F.col("record_xml"), "RSMPCA"))
+    pca = lambda name, kind="double": value_of(F.col("_pca"), name, kind)
+    ida = lambda name, kind="double": value_of(F.col("_ida"), name, kind)
     point = lambda *names: F.struct(*(ida(n).alias(a) for n, a in zip(names, "xyz", strict=True)))
     norms = {"row": "R", "col": "C", "x": "X", "y": "Y", "z": "Z"}
     polys = ("rn", "rd", "cn", "cd")
@@ -97,11 +113,10 @@ def rsm_parameters(images: DataFrame, xml: str = "xml", key: str = "image_id") -
 
 def rsm_sections(images: DataFrame, xml: str = "xml", key: str = "image_id") -> DataFrame:
     """Numbers and sizes of an image's sections and the low-order polynomials that find a place's section, of the images with a section record."""
-    x = F.col(xml)
-    get = lambda name, kind="double": field(x, "RSMPIA", name, kind)
+    get = lambda name, kind="double": value_of(F.col("_fields"), name, kind)
     poly = lambda a: F.array(*(get(a + t) for t in ("0", "X", "Y", "Z", "XX", "XY", "XZ", "YY", "YZ", "ZZ")))
-    rows = images.where(has(x, "RSMIDA") & has(x, "RSMPIA"))
+    rows = _with_record(_with_record(images, xml, "RSMIDA", "_ida"), xml, "RSMPIA")
     return rows.select(
         key, get("RNIS", "int").alias("n_rows"), get("CNIS", "int").alias("n_cols"), get("RSSIZ").alias("row_size"), get("CSSIZ").alias("col_size"),
-        field(x, "RSMIDA", "MINR", "double").alias("min_row"), field(x, "RSMIDA", "MINC", "double").alias("min_col"), poly("R").alias("row_poly"), poly("C").alias("col_poly"),
+        value_of(F.col("_ida"), "MINR", "double").alias("min_row"), value_of(F.col("_ida"), "MINC", "double").alias("min_col"), poly("R").alias("row_poly"), poly("C").alias("col_poly"),
     )

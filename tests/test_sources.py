@@ -138,3 +138,19 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.n for r in spark.table("tiles").collect()) == [1, 2]
+
+
+def test_coefficients_are_read_in_one_parse(spark):
+    xml = '<tres><tre name="RPC00B"><repeated name="C" number="4"><group index="2"><field name="C" value=" +1.5 "/></group><group><field name="C" value="9"/></group><group index="0"><field name="C" value="-2"/></group></repeated><repeated name="D"/></tre></tres>'
+    rows = spark.createDataFrame([(xml,), ("<tres/>",)], "xml string")
+    got = rows.select(tre.coefficients(F.col("xml"), "RPC00B", "C").alias("c"), tre.coefficients(F.col("xml"), "RPC00B", "D").alias("d"))
+    assert [tuple(r) for r in got.collect()] == [([-2.0, 0.0, 1.5, 0.0], None), (None, None)]
+    plan = got.select("c")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xpath(") + plan.count("XPathList") == 1
+
+
+def test_segments_are_read_in_one_parse(spark):
+    xml = '<?xml version="1.0"?><l><des name="A"><field name="X" value=" a &amp; b "/><field value="1" name="Y"/></des><des name="B"></des></l>'
+    rows = des.segments(spark.createDataFrame([(1, xml)], "image_id int, xml string"))
+    assert [(r.position, r.name, r.fields) for r in rows.collect()] == [(0, "A", {"X": " a & b ", "Y": "1"}), (1, "B", {})]
+    assert "xpath" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
