@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What is read of a segment, in one parse.
+SEGMENT = "_name string, field array<struct<_name: string, _value: string>>"
+
+
 def without_prolog(xml: Column) -> Column:
     return F.regexp_replace(xml, r"<\?xml.*?\?>", "")
 
@@ -15,8 +19,9 @@ def segments(images: DataFrame, xml: str = "xml", key: str = "image_id") -> Data
     x = without_prolog(F.col(xml))
     parts = F.regexp_extract_all(x, F.lit(r"(?s)(<des\s[^>]*name=.*?</des>)"), 1)
     rows = images.select(key, F.posexplode(parts).alias("position", "segment"))
-    names, values = F.xpath("segment", F.lit("/des/field/@name")), F.xpath("segment", F.lit("/des/field/@value"))
-    return rows.select(key, F.col("position").cast("int").alias("position"), F.xpath_string("segment", F.lit("/des/@name")).alias("name"), F.map_from_arrays(names, values).alias("fields"), "segment")
+    read = F.from_xml("segment", F.lit(SEGMENT), {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"})
+    rows = rows.select("*", F.transform(F.array(read), lambda d: F.struct(d["_name"].alias("name"), F.map_from_entries(F.coalesce(F.filter(d["field"], lambda f: f["_name"].isNotNull() & f["_value"].isNotNull()), F.array().cast("array<struct<_name:string,_value:string>>"))).alias("fields")))[0].alias("d"))
+    return rows.select(key, F.col("position").cast("int").alias("position"), F.coalesce("d.name", F.lit("")).alias("name"), "d.fields", "segment")
 
 
 def by_name(rows: DataFrame, name: str) -> DataFrame:
