@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.lineage import cut
 from orbitframe.operators import geometries as N
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -62,18 +63,32 @@ def find_nearest(features: DataFrame, queries: DataFrame, query_key: str, max_di
 
 
 def polygon_covering(polygons: DataFrame, size: float = 1.0) -> DataFrame:
-    """Cells of several sizes of polygons with rings, with columns g_level, g_cell_x, g_cell_y, g_inside, g_edges and g_key."""
-    parts = polygons.select("geom_id", F.array(F.struct(F.lit(2).alias("dim"), "rings")).alias("parts"))
-    return _prefixed(N.covering(parts, "geom_id", size=size), "g_")
+    """Cells of several sizes of polygons with rings, with columns g_level, g_cell_x, g_cell_y, g_inside, g_edges, g_origin and g_key.
+
+    Rings are relative to the struct origin (x, y), if there is one.  Of polygons of the same shape and place the one with
+    the smallest id is taken, so copies cost nothing.
+    """
+    if "origin" not in polygons.columns:
+        polygons = polygons.withColumn("origin", F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+    shapes = polygons.groupBy("origin", "rings").agg(F.min("geom_id").alias("geom_id"))
+    parts = shapes.select("geom_id", "origin", F.array(F.struct(F.lit(2).alias("dim"), "rings")).alias("parts"))
+    return _prefixed(N.covering(parts, "geom_id", size=size, origin="origin"), "g_")
 
 
 def _meets_cell(x: str, y: str) -> Column:
-    return (F.col("p_cell_x") == F.col("g_cell_x")) & (F.col("p_cell_y") == F.col("g_cell_y")) & N.held(F.col(x), F.col(y), "g_edges", "g_inside")
+    return (F.col("p_cell_x") == F.col("g_cell_x")) & (F.col("p_cell_y") == F.col("g_cell_y")) & N.held(F.col(x) - F.col("g_origin.x"), F.col(y) - F.col("g_origin.y"), "g_edges", "g_inside")
+
+
+def _first_of_cells(cells: DataFrame) -> DataFrame:
+    """The rows of a covering that may hold a cell's places with the smallest id: none after the first polygon that holds the cell whole."""
+    at = ["g_level", "g_cell_x", "g_cell_y"]
+    whole = cells.where(F.size("g_edges") == 0).groupBy(*at).agg(F.min("g_key").alias("_whole"))
+    return cells.join(whole, at, "left").where(F.col("_whole").isNull() | (F.col("g_key") <= F.col("_whole"))).drop("_whole")
 
 
 def find_polygon(points: DataFrame, polygons: DataFrame, x: str, y: str, key: str, size: float = 1.0) -> DataFrame:
     """Points with the smallest id of a polygon that holds them, or null."""
-    cells, found = polygon_covering(polygons, size), []
+    cells, found = _first_of_cells(cut(polygon_covering(polygons, size))), []
     for level in N.levels(cells.select(F.col("g_level").alias("level"))):
         placed, here = N.at_level(points.select(key, x, y), x, y, level, "p_"), cells.where(F.col("g_level") == level)
         found.append(placed.join(here, _meets_cell(x, y)).select(F.col(key), F.col("g_key").alias("geom_id")))
@@ -85,7 +100,7 @@ def find_polygon(points: DataFrame, polygons: DataFrame, x: str, y: str, key: st
 def covered(points: DataFrame, polygons: DataFrame, x: str, y: str, size: float = 1.0, invert: bool = False) -> DataFrame:
     """The points inside some polygon, or those inside none."""
     found, rest, names = [], points, points.columns
-    cells = polygon_covering(polygons, size)
+    cells = _first_of_cells(cut(polygon_covering(polygons, size)))
     for level in N.levels(cells.select(F.col("g_level").alias("level"))):
         placed, here = N.at_level(rest, x, y, level, "p_"), cells.where(F.col("g_level") == level)
         found.append(placed.join(here, _meets_cell(x, y), "left_semi").select(*names))

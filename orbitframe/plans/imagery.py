@@ -169,12 +169,11 @@ def find_nearest_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A diamond with a square hole around a place of each supplier."""
+    """A diamond with a square hole around a place of each supplier, whose rings are relative to that place."""
     k = F.col("s_suppkey")
     x, y = (k * 37 % 340 - 170).cast("double"), (k * 53 % 150 - 75).cast("double")
-    ring = lambda *p: F.array(*(F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in p))
-    rings = F.array(ring((-3.3, 0.05), (0.05, 4.3), (3.3, 0.05), (0.05, -4.3), (-3.3, 0.05)), ring((-1.1, -1.1), (1.1, -1.1), (1.1, 1.1), (-1.1, 1.1), (-1.1, -1.1)))
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("geom_id"), rings.alias("rings"))
+    ring = lambda places: F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in places))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("geom_id"), F.struct(x.alias("x"), y.alias("y")).alias("origin"), F.array(ring(DIAMOND), ring(HOLE)).alias("rings"))
 
 
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:

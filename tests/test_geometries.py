@@ -137,3 +137,29 @@ def test_nothing(spark):
     none = spark.createDataFrame([], "f long, geometry string")
     some_ = spark.createDataFrame([(1, '{"type":"Point","coordinates":[1,2]}'), (2, "no geometry"), (3, "")], "q long, geometry string")
     assert N.intersecting(none, some_, "f", "q").collect() == [] and N.nearest(none, some_, "f", "q", 5.0).collect() == []
+
+
+def test_places_on_edges_of_shapes_with_an_origin(spark):
+    """Against the same test of the place less the origin, for places on the edges, wherever the shape lies; copies count once."""
+    from orbitframe.operators import spatial
+    from orbitframe.plans.imagery import DIAMOND, HOLE
+
+    places = [((k * 7919 % 360000) / 1e3 - 180, (k * 104729 % 160000) / 1e3 - 80) for k in range(3000)]
+    centres = [(-107.0, 33.0), (61.0, -42.0), (-3.0, 7.0)]
+    sides = [(a, b) for ring in (DIAMOND, HOLE) for a, b in zip(ring, ring[1:], strict=False)]
+    for x, y in centres:
+        places += [(round(x + a[0] + (b[0] - a[0]) * t / 50, 3), round(y + a[1] + (b[1] - a[1]) * t / 50, 3)) for a, b in sides for t in range(51)]
+
+    def inside(x, y):
+        return sum((a[1] > y) != (b[1] > y) and x < a[0] + (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) for a, b in sides) % 2 == 1
+
+    rings = [[{"x": a, "y": b} for a, b in ring] for ring in (DIAMOND, HOLE)]
+    shapes = [(10 * copy + i, {"x": x, "y": y}, rings) for copy in range(3) for i, (x, y) in enumerate(centres)]
+    polygons = spark.createDataFrame(shapes, "geom_id long, origin struct<x:double,y:double>, rings array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id long, x double, y double")
+    want = {i: next((k for k, (cx, cy) in enumerate(centres) if inside(px - cx, py - cy)), None) for i, (px, py) in enumerate(places)}
+    assert {r.id: r.geom_id for r in spatial.find_polygon(points, polygons, "x", "y", "id").collect()} == want
+    held = {i for i, k in want.items() if k is not None}
+    assert {r.id for r in spatial.covered(points, polygons, "x", "y").collect()} == held
+    assert {r.id for r in spatial.covered(points, polygons, "x", "y", invert=True).collect()} == set(want) - held
+    assert spatial.polygon_covering(polygons).select("g_key").distinct().count() == 3
