@@ -51,15 +51,21 @@ def find_intersects(features: DataFrame, queries: DataFrame, size: float) -> Dat
 
 
 def find_nearest(features: DataFrame, queries: DataFrame, query_key: str, max_distance: float) -> DataFrame:
-    """For each query all nearest features within a distance; ties are all kept."""
-    size = max_distance
-    left = cells(_prefixed(queries, "q_"), size, max_distance, "q_")
-    right = cells(_prefixed(features, "f_"), size, prefix="f_")
-    low = lambda axis: F.floor(F.greatest(F.col(f"q_{axis}min") - max_distance, F.col(f"f_{axis}min")) / size)
+    """For each query all nearest features within a distance; ties are all kept.
+
+    Boxes of the same place are compared once, and their rows put together at the end, so that copies multiply the
+    result alone.
+    """
+    f_box, q_box = [f"f_{n}" for n in BOX], [f"q_{n}" for n in BOX]
+    f_all, q_all = _prefixed(features, "f_"), _prefixed(queries, "q_")
+    left = cells(q_all.select(*q_box).distinct(), max_distance, max_distance, "q_")
+    right = cells(f_all.select(*f_box).distinct(), max_distance, prefix="f_")
+    low = lambda axis: F.floor(F.greatest(F.col(f"q_{axis}min") - max_distance, F.col(f"f_{axis}min")) / max_distance)
     once = (F.col("cell_x") == low("x")) & (F.col("cell_y") == low("y"))
-    pairs = left.join(right, ["cell_x", "cell_y"]).where(once).drop("cell_x", "cell_y").withColumn("distance", box_distance("q_", "f_")).where(F.col("distance") <= max_distance)
-    best = pairs.groupBy(F.col(f"q_{query_key}").alias("_q")).agg(F.min("distance").alias("_least"))  # partial sums instead of a window over a hot query
-    return pairs.join(best, (F.col(f"q_{query_key}") == F.col("_q")) & (F.col("distance") == F.col("_least"))).drop("_q", "_least")
+    pairs = left.join(right, ["cell_x", "cell_y"]).where(once).select(*q_box, F.struct(*f_box).alias("_f"), box_distance("q_", "f_").alias("distance")).where(F.col("distance") <= max_distance)
+    best = pairs.groupBy(*q_box).agg(F.min("distance").alias("distance"))  # partial sums instead of a window over a hot query
+    tied = pairs.join(best, [*q_box, "distance"]).select(*q_box, "distance", "_f.*")
+    return q_all.join(tied, q_box).join(f_all, f_box).select(*q_all.columns, *f_all.columns, "distance")
 
 
 def polygon_covering(polygons: DataFrame, size: float = 1.0) -> DataFrame:

@@ -163,3 +163,12 @@ def test_places_on_edges_of_shapes_with_an_origin(spark):
     assert {r.id for r in spatial.covered(points, polygons, "x", "y").collect()} == held
     assert {r.id for r in spatial.covered(points, polygons, "x", "y", invert=True).collect()} == set(want) - held
     assert spatial.polygon_covering(polygons).select("g_key").distinct().count() == 3
+
+
+def test_nearest_boxes_compare_copies_once(spark):
+    from orbitframe.operators import spatial
+
+    boxes = spark.createDataFrame([(i, float(i % 2 * 20), 0.0, float(i % 2 * 20 + 1), 1.0) for i in range(40)], "id int, xmin double, ymin double, xmax double, ymax double")
+    probes = spark.createDataFrame([(i, 3.0, 0.0, 4.0, 1.0) for i in range(5)], "q int, xmin double, ymin double, xmax double, ymax double")
+    got = spatial.find_nearest(boxes, probes, "q", 30.0)
+    assert sorted((r.q_q, r.f_id, r.distance) for r in got.collect()) == [(q, f, 2.0) for q in range(5) for f in range(0, 40, 2)]
