@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.lineage import shared_folder
+from orbitframe.lineage import dealt, shared_folder
 from orbitframe.operators import blocks
 from orbitframe.plans.imagery import DIAMOND, HOLE, inside_sql
 from orbitframe.plans.relations import PIX, PTS, pix, pts
@@ -50,12 +50,12 @@ def nitf_model_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         named("RPC00B", record).alias("records"), named("XML_DATA_CONTENT", F.concat(F.lit("<supplier>"), k, F.lit("</supplier>"))).alias("extensions"),
     )
     folder = shared_folder(spark)
-    raster_files.write_tiles(tiles, folder, "nitf")
-    info = _infos(spark, folder)
-    models = tre.rpc_parameters(info, key="file").select("file", "line_off", "lat_off", "long_off", F.col("samp_den")[19].alias("last"))
-    said = info.select("file", F.xpath_long(F.col("extensions")[0]["data"].cast("string"), F.lit("/supplier")).alias("suppkey"))
+    raster_files.write_tiles(dealt(tiles), folder, "nitf")
+    said = F.xpath_long(F.col("extensions")[0]["data"].cast("string"), F.lit("/supplier"))
+    info = _infos(spark, folder).select(F.struct("file", said.alias("suppkey")).alias("id"), "xml")  # one pass over the headers
+    models = tre.rpc_parameters(info, key="id").select("id.*", "line_off", "lat_off", "long_off", F.col("samp_den")[19].alias("last"))
     pixels = raster_files.read_blocks(spark, folder).select(F.substring_index("image", "/", -1).alias("file"), F.posexplode("v").alias("at", "n"))
-    return pixels.where("n > 0").join(said, "file").join(models, "file").select("suppkey", (F.col("at") % 7).alias("x"), F.floor(F.col("at") / 7).cast("int").alias("y"), F.col("n").cast("long").alias("n"), "line_off", "lat_off", "long_off", "last")
+    return pixels.where("n > 0").join(models, "file").select("suppkey", (F.col("at") % 7).alias("x"), F.floor(F.col("at") / 7).cast("int").alias("y"), F.col("n").cast("long").alias("n"), "line_off", "lat_off", "long_off", "last")
 
 
 #: A region of places, which touches few of the stored parts.

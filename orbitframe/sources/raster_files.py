@@ -31,6 +31,8 @@ INFO_COLUMNS = ["image", "kind", "segment", "level", "width", "height", "block_w
 PLACE = ["image", "segment", "band", "level", "block_y", "block_x", "top", "left", "height", "width"]
 #: Bytes of values (eight each) in a partition, and threads that read headers while a query is planned.
 PARTITION_BYTES, THREADS = 64 << 20, 16
+#: With more files than that the small ones, of this share of a partition's bytes at most, go to tasks by so many, unopened.
+MANY, SMALL, TOGETHER = 1000, 8, 500
 
 
 def file_system(path: str) -> tuple[pfs.FileSystem, str]:
@@ -40,14 +42,20 @@ def file_system(path: str) -> tuple[pfs.FileSystem, str]:
     return pfs.FileSystem.from_uri(path) if "://" in path else (pfs.LocalFileSystem(), os.path.abspath(path))
 
 
-def files(path: str) -> list[str]:
-    """The file, or the files below a folder; names that begin with _ or . are not data."""
+def sized_files(path: str) -> list[tuple[str, int]]:
+    """The file, or the files below a folder, with their bytes; names that begin with _ or . are not data."""
     fs, inner = file_system(path)
-    if fs.get_file_info(inner).type == pfs.FileType.File:
-        return [path]
+    info = fs.get_file_info(inner)
+    if info.type == pfs.FileType.File:
+        return [(path, info.size)]
     prefix = path.rstrip("/")
-    below = [i.path[len(inner.rstrip("/")) + 1 :] for i in fs.get_file_info(pfs.FileSelector(inner, recursive=True)) if i.type == pfs.FileType.File]
-    return [f"{prefix}/{b}" for b in sorted(below) if not any(p[:1] in "_." for p in b.split("/"))]
+    below = [(i.path[len(inner.rstrip("/")) + 1 :], i.size) for i in fs.get_file_info(pfs.FileSelector(inner, recursive=True)) if i.type == pfs.FileType.File]
+    return [(f"{prefix}/{b}", size) for b, size in sorted(below) if not any(p[:1] in "_." for p in b.split("/"))]
+
+
+def files(path: str) -> list[str]:
+    """The paths of sized_files."""
+    return [p for p, _ in sized_files(path)]
 
 
 def grids(path: str) -> list[R.Grid]:
@@ -91,6 +99,13 @@ class Chosen(InputPartition):
     blocks: list[tuple[int, list[int], list[R.Part]]]
 
 
+@dataclass
+class Unopened(InputPartition):
+    """Small files, whose headers are read where their blocks are."""
+
+    paths: list[str]
+
+
 def _batch(path: str, grid: R.Grid, i: int, bands: list[int], values: np.ndarray) -> pa.RecordBatch:
     rows = _places(path, grid, i, bands)
     size = values.shape[1] * values.shape[2]
@@ -100,7 +115,8 @@ def _batch(path: str, grid: R.Grid, i: int, bands: list[int], values: np.ndarray
 
 
 class BlockReader(DataSourceReader):
-    """Blocks of files.  Headers are read while the query is planned; pixels only of blocks that the filters leave."""
+    """Blocks of files.  Headers are read while the query is planned, those of many small files in tasks, several files a
+    task; pixels only of blocks that the filters leave."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.skips = options["path"], _skips(options)
@@ -116,10 +132,10 @@ class BlockReader(DataSourceReader):
             return []
         try:
             found = grids(path)
-        except ValueError:
+        except ValueError as e:
             if self.skips:
                 return []
-            raise
+            raise ValueError(f"{path}: {e}") from e
         out = []
         for grid in found:
             bare = replace(grid, parts=[], records=[], extensions=[])
@@ -140,12 +156,29 @@ class BlockReader(DataSourceReader):
         return out
 
     def partitions(self) -> list[InputPartition]:
+        found = [(path, size) for path, size in sized_files(self.path) if all(test(path) for name, test in self.tests if name == "image")]
+        small = [f for f in found if f[1] <= self.limit // SMALL] if len(found) > MANY else []
+        out: list[InputPartition] = []
+        held = 0
+        for path, size in small:
+            if not out or len(out[-1].paths) == TOGETHER or held + size > self.limit:
+                out.append(Unopened([]))
+                held = 0
+            out[-1].paths.append(path)
+            held += size
+        rest = [path for path, size in found if not small or size > self.limit // SMALL]
         with ThreadPoolExecutor(THREADS) as pool:
-            return [c for found in pool.map(self._chosen, files(self.path)) for c in found]
+            return out + [c for chosen in pool.map(self._chosen, rest) for c in chosen]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Unopened):
+            for path in partition.paths:
+                for chosen in self._chosen(path):
+                    yield from self._blocks(chosen)
+        elif isinstance(partition, Chosen):  # else no block is left
+            yield from self._blocks(partition)
 
-    def read(self, partition: Chosen) -> Iterator[pa.RecordBatch]:
-        if not isinstance(partition, Chosen):  # no block is left
-            return
+    def _blocks(self, partition: Chosen) -> Iterator[pa.RecordBatch]:
         fs, inner = file_system(partition.path)
         with fs.open_input_file(inner) as f:
             for i, bands, parts in partition.blocks:

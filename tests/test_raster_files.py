@@ -266,3 +266,20 @@ def test_chips_of_blocks(spark, tmp_path):
     for r in rows:
         x, y = round((gts[r.image][0] - 10) / 0.5), round((40 - gts[r.image][3]) / 0.5)
         assert (np.reshape(r.v, (r.height, r.width)) == values[r.band - 1, y : y + r.height, x : x + r.width]).all()
+
+
+def test_many_small_files_share_partitions(spark, tmp_path, monkeypatch):
+    image = np.arange(16 * 16).reshape(16, 16, 1).astype("u2")
+    for i in range(7):
+        put(tmp_path, f"f{i}.tif", tiled_tiff([image + i], "none"))
+    put(tmp_path, "bad.tif", b"no raster")
+    few = sorted(map(str, S.read_blocks(spark, str(tmp_path), corrupt="skip").where("top < 16").collect()))
+    monkeypatch.setattr(S, "MANY", 5)
+    monkeypatch.setattr(S, "TOGETHER", 3)
+    reader = S.BlockReader({"path": str(tmp_path), "corrupt": "skip"})
+    assert [len(p.paths) for p in reader.partitions()] == [3, 3, 2]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == len(few) == 7
+    large = S.BlockReader({"path": str(tmp_path), "corrupt": "skip", "partitionBytes": "80"})  # no file is small then
+    assert [type(p) for p in large.partitions()].count(S.Chosen) == 7
+    with pytest.raises(ValueError, match="bad.tif"):
+        [list(r.read(p)) for r in [S.BlockReader({"path": str(tmp_path)})] for p in r.partitions()]
