@@ -35,7 +35,7 @@ def build(images: DataFrame, key: str = "image_id", selected: tuple[str, ...] =
     """
     rows = cut(images.select(F.col(key).alias("key"), *((F.col(n) if n in images.columns else F.lit(None)).cast(t).alias(n) for n, t in IMAGE_COLUMNS.items())))  # each kind reads it
     records = rows.where("tres is not null")
-    corners = tre.chip_corners(records, "tres", "key")
+    corners = cut(tre.chip_corners(records, "tres", "key"))  # parsed records are written, as several joins read them
     chips = statistics.fit_homography(corners.select("key", F.inline("corners")), "key", ("full_x", "full_y"), ("chip_x", "chip_y")).withColumnRenamed("h", "chip").join(corners.select("key", "full_cols", "full_rows"), "key")
     out = rows.select("key").join(chips.select("key", "chip"), "key", "left")
     gt = F.col("geo_transform")
@@ -48,11 +48,11 @@ def build(images: DataFrame, key: str = "image_id", selected: tuple[str, ...] =
     recorded = statistics.fit_homography(record_points, "key", ("lon_deg", "lat_deg"), ("pixel", "line")).withColumnRenamed("h", "record_plane")
     rational = tre.rpc_parameters(records.where(F.lit("RPC" in selected)), "tres", "key").select("key", F.struct(*models.RPC_NORMS, *models.RPC_POLYS).alias("rpc"))
     replaced = records.where(F.lit("RSM" in selected))
-    sections = models.rsm_models(tre.rsm_parameters(replaced, "tres", "key"), tre.rsm_sections(replaced, "tres", "key"), "key")
+    sections = models.rsm_models(cut(tre.rsm_parameters(replaced, "tres", "key")), tre.rsm_sections(replaced, "tres", "key"), "key")
     replacement = sections.groupBy("key").agg(F.collect_list(F.struct(*(c for c in sections.columns if c != "key"))).alias("rsm"))  # an image's sections
     found = des.by_name(des.segments(rows.where("dess is not null"), "dess", "key"), "XML_DATA_CONTENT").withColumn("xml", des.data_xml(F.col("fields"), F.col("segment")))
     kind = F.when(F.col("xml").contains("SIDD"), "SIDD").when(F.col("xml").contains("SICD") & F.lit("SICD" in selected), "SICD")
-    first = found.withColumn("kind", kind).where("kind is not null").groupBy("key").agg(F.min_by(F.struct("kind", "xml"), "position").alias("d")).select("key", "d.*")
+    first = cut(found.withColumn("kind", kind).where("kind is not null").groupBy("key").agg(F.min_by(F.struct("kind", "xml"), "position").alias("d")).select("key", "d.*"))
     derived = products.with_chips(products.sidd(first.where("kind = 'SIDD'"), key="key"), "key")
     complex_ = products.sicd(first.where("kind = 'SICD'"), key="key").withColumn("chip_h", F.lit(None).cast("array<double>"))
     both = derived.select("key", F.lit("SIDD").alias("product"), *sar.SAR_MODEL, "chip_h").unionByName(complex_.select("key", F.lit("SICD").alias("product"), *sar.SAR_MODEL, "chip_h"))

@@ -9,37 +9,63 @@ from orbitframe.functions import sar_geometry as S
 from orbitframe.operators import statistics
 
 
-def _text(xml: Column, path: str) -> Column:
-    return F.try_element_at(F.xpath(xml, F.lit(path + "/text()")), F.lit(1))
+#: What the models read of documents, by path; each document is parsed once.
+_VECTOR = "struct<X:string,Y:string,Z:string>"
+_LINE = "struct<_order1:string,Coef:array<struct<_exponent1:string,_VALUE:string>>>"
+_SURFACE = "struct<_order1:string,_order2:string,Coef:array<struct<_exponent1:string,_exponent2:string,_VALUE:string>>>"
+_MOTION = f"struct<X:{_LINE},Y:{_LINE},Z:{_LINE}>"
+_POINT = "struct<Row:string,Col:string>"
+SICD = (
+    f"ImageFormation struct<ImageFormAlgo:string>, GeoData struct<SCP:struct<ECF:{_VECTOR}>>, ImageData struct<NumRows:string,NumCols:string,FirstRow:string,FirstCol:string,SCPPixel:{_POINT}>, "
+    f"Grid struct<Type:string,TimeCOAPoly:{_SURFACE},Row:struct<UVectECF:{_VECTOR},SS:string>,Col:struct<UVectECF:{_VECTOR},SS:string>>, Position struct<ARPPoly:{_MOTION}>, "
+    f"RMA struct<INCA:struct<R_CA_SCP:string,TimeCAPoly:{_LINE},DRateSFPoly:{_SURFACE}>>, PFA struct<FPN:{_VECTOR},PolarAngPoly:{_LINE},SpatialFreqSFPoly:{_LINE}>, RgAzComp struct<AzSF:string>, "
+    f"SCPCOA struct<ARPPos:{_VECTOR},ARPVel:{_VECTOR},SideOfTrack:string>"
+)
+SIDD = (
+    f"Measurement struct<PlaneProjection:struct<ReferencePoint:struct<ECEF:{_VECTOR},Point:{_POINT}>,ProductPlane:struct<RowUnitVector:{_VECTOR},ColUnitVector:{_VECTOR}>,SampleSpacing:{_POINT},TimeCOAPoly:{_SURFACE}>,PixelFootprint:{_POINT},ARPPoly:{_MOTION}>, "
+    f"DownstreamReprocessing struct<GeometricChip:struct<ChipSize:{_POINT},{','.join(f'Original{n}Coordinate:{_POINT}' for n in ('UpperLeft', 'UpperRight', 'LowerRight', 'LowerLeft'))}>>"
+)
 
 
-def _number(xml: Column, path: str) -> Column:
-    return _text(xml, path).try_cast("double")
+def _document(xml: Column, fields: str) -> Column:
+    """Struct of a document's fields; a text that is no XML is an error."""
+    return F.from_xml(xml, F.lit(fields), {"mode": "FAILFAST"})
 
 
-def _vector(xml: Column, path: str) -> Column:
-    return F.struct(*(_number(xml, f"{path}/{a}").alias(a.lower()) for a in "XYZ"))
+def _text(doc: Column, path: str) -> Column:
+    """The value below the root at a path such as /SICD/Grid/Type."""
+    for name in path.split("/")[2:]:
+        doc = doc[name]
+    return doc
 
 
-def _line(xml: Column, path: str) -> Column:
+def _number(doc: Column, path: str) -> Column:
+    return _text(doc, path).try_cast("double")
+
+
+def _vector(doc: Column, path: str) -> Column:
+    return F.struct(*(_number(doc, f"{path}/{a}").alias(a.lower()) for a in "XYZ"))
+
+
+def _line(doc: Column, path: str) -> Column:
     """Dense coefficients of a one-variable polynomial."""
-    order = F.try_element_at(F.xpath(xml, F.lit(f"{path}/@order1")), F.lit(1)).try_cast("int")
-    table = F.map_from_arrays(F.transform(F.xpath(xml, F.lit(f"{path}/Coef/@exponent1")), lambda v: v.cast("int")), F.transform(F.xpath(xml, F.lit(f"{path}/Coef/text()")), lambda v: v.cast("double")))
+    poly = _text(doc, path)
+    order = poly["_order1"].try_cast("int")
+    table = F.map_from_entries(F.transform(poly["Coef"], lambda c: F.struct(c["_exponent1"].cast("int"), c["_VALUE"].cast("double"))))
     return F.when(order >= 0, F.transform(F.sequence(F.lit(0), order), lambda i: F.coalesce(F.try_element_at(table, i), F.lit(0.0))))
 
 
-def _surface(xml: Column, path: str) -> Column:
+def _surface(doc: Column, path: str) -> Column:
     """Dense coefficients of a two-variable polynomial, an array per power of the first variable."""
-    order = lambda k: F.try_element_at(F.xpath(xml, F.lit(f"{path}/@order{k}")), F.lit(1)).try_cast("int")
-    power = lambda k: F.xpath(xml, F.lit(f"{path}/Coef/@exponent{k}"))
-    names = F.zip_with(power(1), power(2), lambda a, b: F.concat_ws(",", a, b))
-    table = F.map_from_arrays(names, F.transform(F.xpath(xml, F.lit(f"{path}/Coef/text()")), lambda v: v.cast("double")))
+    poly = _text(doc, path)
+    order = lambda k: poly[f"_order{k}"].try_cast("int")
+    table = F.map_from_entries(F.transform(poly["Coef"], lambda c: F.struct(F.concat_ws(",", c["_exponent1"], c["_exponent2"]), c["_VALUE"].cast("double"))))
     cell = lambda i, j: F.coalesce(F.try_element_at(table, F.concat_ws(",", i.cast("string"), j.cast("string"))), F.lit(0.0))
     return F.when(order(1) >= 0, F.transform(F.sequence(F.lit(0), order(1)), lambda i: F.transform(F.sequence(F.lit(0), order(2)), lambda j: cell(i, j))))
 
 
-def _motion(xml: Column, path: str) -> Column:
-    return F.struct(*(_line(xml, f"{path}/{a}").alias(a.lower()) for a in "XYZ"))
+def _motion(doc: Column, path: str) -> Column:
+    return F.struct(*(_line(doc, f"{path}/{a}").alias(a.lower()) for a in "XYZ"))
 
 
 def kind_and_version(xml: Column) -> tuple[Column, Column]:
@@ -50,10 +76,10 @@ def kind_and_version(xml: Column) -> tuple[Column, Column]:
 
 def sicd(docs: DataFrame, xml: str = "xml", key: str = "image_id") -> DataFrame:
     """Model parameters of complex products; the projection is named by grid type and image formation."""
-    x = F.col(xml)
+    x = F.col("_doc")
     grid, algorithm = _text(x, "/SICD/Grid/Type"), _text(x, "/SICD/ImageFormation/ImageFormAlgo")
     projection = F.when((grid == "RGAZIM") & (algorithm == "PFA"), "PFA").when((grid == "RGAZIM") & (algorithm == "RGAZCOMP"), "RGAZCOMP").when(grid == "RGZERO", "INCA").when(grid.isin("PLANE", "XCTYAT", "XRGYCR"), "PLANE")
-    rows = docs.where(kind_and_version(x)[0] == "SICD").withColumn(xml, unprefixed(x))
+    rows = docs.where(kind_and_version(F.col(xml))[0] == "SICD").withColumn("_doc", _document(unprefixed(F.col(xml)), SICD))
     return rows.select(
         key, projection.alias("projection"), grid.alias("grid"), algorithm.alias("algorithm"), _vector(x, "/SICD/GeoData/SCP/ECF").alias("scp"),
         *(_number(x, f"/SICD/ImageData/SCPPixel/{n}").alias(f"scp_{n.lower()}") for n in ("Row", "Col")), *(_number(x, f"/SICD/ImageData/{n}").alias(a) for n, a in (("FirstRow", "first_row"), ("FirstCol", "first_col"), ("NumRows", "num_rows"), ("NumCols", "num_cols"))),
@@ -76,8 +102,8 @@ def sidd(docs: DataFrame, xml: str = "xml", key: str = "image_id") -> DataFrame:
     chip is null, or a struct rows, cols and corners (array of structs col, row: UL, UR, LR, LL) in the full image.
     The side of track and the slant plane are those at the reference point's time; the ground plane is the product's.
     """
-    x, plane = F.col(xml), "/SIDD/Measurement/PlaneProjection"
-    rows = docs.where(kind_and_version(x)[0] == "SIDD").select(key, unprefixed(x).alias(xml))
+    x, plane = F.col("_doc"), "/SIDD/Measurement/PlaneProjection"
+    rows = docs.where(kind_and_version(F.col(xml))[0] == "SIDD").select(key, _document(unprefixed(F.col(xml)), SIDD).alias("_doc"))
     cut = "/SIDD/DownstreamReprocessing/GeometricChip"
     corner = lambda n: F.struct(*(_number(x, f"{cut}/Original{n}Coordinate/{a}").alias(a.lower()) for a in ("Col", "Row")))
     chip = F.struct(*(_number(x, f"{cut}/ChipSize/{a}").alias(n) for a, n in (("Row", "rows"), ("Col", "cols"))), F.array(*(corner(n) for n in ("UpperLeft", "UpperRight", "LowerRight", "LowerLeft"))).alias("corners"))

@@ -56,6 +56,32 @@ def coefficients(xml: Column, tre: str, name: str) -> Column:
     return F.transform(F.transform(F.array(found), table), dense)[0]
 
 
+#: A record as a struct.
+RECORD = "field array<struct<_name:string,_value:string>>, repeated array<struct<_name:string,_number:string,group:array<struct<_index:string,field:array<struct<_name:string,_value:string>>>>>>"
+
+
+def parsed(xml: Column, tre: str) -> Column:
+    """The first record of a name as a struct, read from its own text in one parse; null without such a record."""
+    text = F.regexp_extract(xml, rf"(?s)<tre\s(?=[^>]*name\s*=\s*[\"']{tre}[\"'])[^>]*(?<!/)>.*?</tre>", 0)
+    return F.from_xml(F.nullif(text, F.lit("")), F.lit(RECORD), {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"})
+
+
+def fields_of(read: Column) -> Column:
+    """Map of the fields of a parsed record; of several of one name the first counts."""
+    pairs = F.coalesce(F.filter(read["field"], lambda f: f["_name"].isNotNull() & f["_value"].isNotNull()), F.array().cast("array<struct<_name:string,_value:string>>"))
+    firsts = lambda v: F.filter(v, lambda f, i: F.array_position(F.transform(v, lambda g: g["_name"]), f["_name"]) == i + 1)
+    return F.transform(F.array(pairs), lambda v: F.when(F.size(F.array_distinct(F.transform(v, lambda f: f["_name"]))) == F.size(v), F.map_from_entries(v)).otherwise(F.map_from_entries(firsts(v))))[0]
+
+
+def coefficients_of(read: Column, name: str) -> Column:
+    """coefficients of a parsed record."""
+    repeated = F.get(F.filter(read["repeated"], lambda r: r["_name"] == name), F.lit(0))
+    sound = lambda r: F.filter(r["group"], lambda g: g["_index"].isNotNull() & F.get(g["field"], F.lit(0))["_value"].isNotNull())
+    table = lambda r: F.map_from_entries(F.transform(sound(r), lambda g: F.struct(g["_index"].cast("int"), F.trim(F.get(g["field"], F.lit(0))["_value"]).cast("double"))))
+    held = F.transform(F.array(repeated), lambda r: F.struct(r["_number"].try_cast("int").alias("size"), table(r).alias("table")))
+    return F.transform(held, lambda t: F.when(t["size"] > 0, F.transform(F.sequence(F.lit(0), t["size"] - 1), lambda i: F.coalesce(F.try_element_at(t["table"], i), F.lit(0.0)))))[0]
+
+
 def has(xml: Column, tre: str) -> Column:
     return F.xpath_boolean(xml, F.lit(f"boolean(//tre[@name='{tre}'])"))
 
@@ -63,17 +89,20 @@ def has(xml: Column, tre: str) -> Column:
 def rpc_parameters(images: DataFrame, xml: str = "xml", key: str = "image_id") -> DataFrame:
     """Rational model parameters of the images with a successful RPC00B record."""
     x, fields = F.col(xml), F.col("_fields")
+    read = F.col("_read")
     names = {n: n.upper() for n in ["err_bias", "err_rand", *RPC_NORMS]}
     polys = {"line_num": "LINE_NUM_COEFF", "line_den": "LINE_DEN_COEFF", "samp_num": "SAMP_NUM_COEFF", "samp_den": "SAMP_DEN_COEFF"}
-    rows = images.withColumn("_fields", record(x, "RPC00B")).withColumn("_good", value_of(fields, "SUCCESS", "int") == 1)
-    found = F.when(F.col("_good"), F.array(F.struct(*(value_of(fields, t, "double").alias(n) for n, t in names.items()), *(coefficients(x, "RPC00B", t).alias(n) for n, t in polys.items()))))
+    rows = images.where(x.contains("RPC00B")).withColumn("_read", parsed(x, "RPC00B")).withColumn("_fields", fields_of(read)).withColumn("_good", value_of(fields, "SUCCESS", "int") == 1)
+    found = F.when(F.col("_good"), F.array(F.struct(*(value_of(fields, t, "double").alias(n) for n, t in names.items()), *(coefficients_of(read, t).alias(n) for n, t in polys.items()))))
     return rows.select(key, F.inline_outer(found)).where("line_num is not null")
 
 
 def _with_record(images: DataFrame, xml: str, tre: str, name: str = "_fields") -> DataFrame:
     """Images that have a record of a name, with the map of its fields; texts without the name are not parsed."""
     x = F.col(xml)
-    return images.where(x.contains(tre) & has(x, tre)).withColumn(name, record(x, tre))
+    read = images.where(x.contains(tre)).withColumn(name, F.transform(F.array(parsed(x, tre)), lambda r: F.when(r.isNotNull(), fields_of(r)))[0])
+    # rows without the record go by a generator: a filter on the map would be moved below it and parse the text again
+    return read.withColumn("_has", F.explode(F.when(F.col(name).isNotNull(), F.array(F.lit(True))))).drop("_has")
 
 
 def corner_points(images: DataFrame, width: Column, height: Column, xml: str = "xml", key: str = "image_id") -> DataFrame:
@@ -97,7 +126,7 @@ def rsm_parameters(images: DataFrame, xml: str = "xml", key: str = "image_id") -
     x = F.col(xml)
     records = F.regexp_extract_all(x, F.lit(r"(?s)<tre\s(?=[^>]*name=[\"']RSMPCA[\"'])[^>]*(?<!/)>.*?</tre>"), 0)  # fields of a record are read from its own text
     rows = _with_record(images, xml, "RSMIDA", "_ida").withColumn("records", records).select("*", F.size("records").alias("n_records"), F.posexplode("records").alias("record", "record_xml"))
-    rows = rows.withColumn("_pca", record(F.col("record_xml"), "RSMPCA"))
+    rows = rows.withColumn("_read", parsed(F.col("record_xml"), "RSMPCA")).withColumn("_pca", fields_of(F.col("_read")))
     pca = lambda name, kind="double": value_of(F.col("_pca"), name, kind)
     ida = lambda name, kind="double": value_of(F.col("_ida"), name, kind)
     point = lambda *names: F.struct(*(ida(n).alias(a) for n, a in zip(names, "xyz", strict=True)))
@@ -107,7 +136,7 @@ def rsm_parameters(images: DataFrame, xml: str = "xml", key: str = "image_id") -
         key, "record", "n_records", pca("RSN", "int").alias("section_row"), pca("CSN", "int").alias("section_col"), F.trim(ida("GRNDD", "string")).alias("form"), F.array(*(point(*(f"V{i}{a}" for a in "XYZ")) for i in range(1, 9))).alias("vertices"),
         point("XUOR", "YUOR", "ZUOR").alias("origin"), F.array(*(F.array(*(ida(f"{b}U{a}R") for b in "XYZ")) for a in "XYZ")).alias("axes"), point("GRPX", "GRPY", "GRPZ").alias("reference_point"),
         *(pca(f"{t}NRMO").alias(f"{n}_off") for n, t in norms.items()), *(pca(f"{t}NRMSF").alias(f"{n}_scale") for n, t in norms.items()), *(ida(f).alias(f.lower()) for f in ("MINR", "MAXR", "MINC", "MAXC")),
-        *(F.array(*(pca(f"{k.upper()}PWR{a}", "int") for a in "XYZ")).alias(f"{k}_powers") for k in polys), *(coefficients(F.col("record_xml"), "RSMPCA", f"{k.upper()}PCF").alias(k) for k in polys),
+        *(F.array(*(pca(f"{k.upper()}PWR{a}", "int") for a in "XYZ")).alias(f"{k}_powers") for k in polys), *(coefficients_of(F.col("_read"), f"{k.upper()}PCF").alias(k) for k in polys),
     )
 
 

@@ -154,3 +154,12 @@ def test_segments_are_read_in_one_parse(spark):
     rows = des.segments(spark.createDataFrame([(1, xml)], "image_id int, xml string"))
     assert [(r.position, r.name, r.fields) for r in rows.collect()] == [(0, "A", {"X": " a & b ", "Y": "1"}), (1, "B", {})]
     assert "xpath" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_documents_are_read_in_one_parse(spark):
+    from orbitframe.plans import sar_images as SI
+
+    docs = spark.createDataFrame([(i, SI.sicd_xml(k)) for i, k in enumerate(SI.KINDS)] + [(9, SI.sidd_xml())], "image_id int, xml string")
+    for read, n in ((products.sicd, 4), (products.sidd, 1)):
+        rows = read(docs)
+        assert "xpath" not in rows._jdf.queryExecution().optimizedPlan().toString().lower() and rows.count() == n
