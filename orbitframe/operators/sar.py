@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -336,21 +337,30 @@ def _contour(m: _Models, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.n
     return r, rdot, p, v
 
 
-def _to_image(m: pd.DataFrame, place: pd.DataFrame) -> pd.DataFrame:
-    vector = lambda n: np.stack([[q["x"], q["y"], q["z"]] for q in m[n]]).astype(float)
-    number = lambda n: m[n].to_numpy(float)
+def _to_image(keys: pa.Array, models: pa.Array, place: pa.Array) -> pa.Array:
+    """Pixels of places; the models of a batch, told apart by their keys, are unpacked once each and not once a row."""
+    named = lambda s: dict(zip([f.name for f in s.type], s.flatten(), strict=True))
+    _, first, of = np.unique(keys.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+    m = pd.DataFrame({n: v.to_pandas() for n, v in named(models.take(pa.array(first))).items()})
+    vector = lambda n: np.stack([[q["x"], q["y"], q["z"]] for q in m[n]]).astype(float)[of]
+    number = lambda n: m[n].to_numpy(float)[of]
+    each = lambda n: np.stack([[q["x"], q["y"], q["z"]] for q in m[n]]).astype(float)
+    plain = lambda n: m[n].to_numpy(float)
     model = _Models(
-        m["projection"].to_numpy(), vector("scp"), vector("u_row"), vector("u_col"), _surfaces(m["time_coa"]), np.moveaxis(_aligned([_filled(pd.Series([q[a] for q in m["arp"]])) for a in "xyz"]), 0, 2),
-        number("r_ca_scp"), _filled(m["time_ca"]), _surfaces(m["rate"]), _filled(m["polar"]), _filled(m["factor"]), number("az_factor"),
+        m["projection"].to_numpy(), each("scp"), each("u_row"), each("u_col"), _surfaces(m["time_coa"]), np.moveaxis(_aligned([_filled(pd.Series([q[a] for q in m["arp"]])) for a in "xyz"]), 0, 2),
+        plain("r_ca_scp"), _filled(m["time_ca"]), _surfaces(m["rate"]), _filled(m["polar"]), _filled(m["factor"]), plain("az_factor"),
     )
-    s = place[["x", "y", "z"]].to_numpy(float)
+    model = _Models(*(v[of] for v in model))
+    s = np.stack([named(place)[a].to_numpy(zero_copy_only=False).astype(float) for a in "xyz"], 1)
     with np.errstate(all="ignore"):
         plane = np.cross(model.u_row, model.u_col)
         plane /= np.linalg.norm(plane, axis=1)[:, None]
         slant = np.cross(vector("scp_varp"), model.scp - vector("scp_arp"))
-        slant *= np.where(m["side"].to_numpy() == "R", -1, 1)[:, None] / np.linalg.norm(slant, axis=1)[:, None]
+        slant *= np.where(m["side"].to_numpy() == "R", -1, 1)[of][:, None] / np.linalg.norm(slant, axis=1)[:, None]
         lon, lat, _ = _geodetic(s)
-        up = np.stack([u if n is None else [n["x"], n["y"], n["z"]] for n, u in zip(m["normal"], _up(lon, lat), strict=True)]).astype(float)
+        own = np.stack([np.full(3, np.nan) if n is None else [n["x"], n["y"], n["z"]] for n in m["normal"]]).astype(float)
+        given = np.array([n is not None for n in m["normal"]])
+        up = np.where(given[of][:, None], own[of], _up(lon, lat))
         up /= np.linalg.norm(up, axis=1)[:, None]
         g, x, y, miss = s.copy(), np.full(len(s), np.nan), np.full(len(s), np.nan), np.full(len(s), np.inf)
         cos = _dot(model.u_row, model.u_col)
@@ -368,7 +378,7 @@ def _to_image(m: pd.DataFrame, place: pd.DataFrame) -> pd.DataFrame:
             miss[go] = np.linalg.norm(diff, axis=1)
         row, col = x / number("row_ss") + number("scp_row") - number("first_row"), y / number("col_ss") + number("scp_col") - number("first_col")
     good = np.isfinite(miss)
-    return pd.DataFrame({"x": np.where(good, col, np.nan), "y": np.where(good, row, np.nan), "miss": miss})
+    return pa.StructArray.from_arrays([pa.array(v) for v in (np.where(good, col, np.nan), np.where(good, row, np.nan), miss)], ["x", "y", "miss"])
 
 
 def _aligned(parts: list[np.ndarray]) -> np.ndarray:
@@ -388,8 +398,8 @@ def world_to_image(df: DataFrame, params: DataFrame, key: str = "image_id", lon_
     model = params.select(key, F.struct(*SAR_MODEL).alias("_m"), *([F.col("chip_h").alias("_chip")] if chip else []))
     kept = [n for n in df.columns if n not in ("x", "y", "miss")]
     place = S.packed(G.geodetic_to_ecef(F.radians(lon_deg), F.radians(lat_deg), F.col(height)))
-    found = F.pandas_udf(_to_image, "struct<x:double,y:double,miss:double>")
-    rows = df.join(model, key).withColumn("_at", place).withColumn("_found", found("_m", "_at"))
+    found = F.arrow_udf(_to_image, "struct<x:double,y:double,miss:double>")
+    rows = df.join(model, key).withColumn("_at", place).withColumn("_found", found(F.col(key).cast("string"), "_m", "_at"))
     rows = rows.withColumns({n: F.when(~F.isnan(F.col("_found")[n]), F.col("_found")[n]) for n in "xy"} | {"miss": F.col("_found")["miss"]})
     if chip:
         h = [F.col("_chip")[i] for i in range(8)]
