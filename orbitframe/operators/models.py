@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,18 +212,22 @@ def _geodetic_domains(images: DataFrame, key: str) -> DataFrame:
 
 
 def rsm_world_to_image(df: DataFrame, models: DataFrame, key: str = "image_id", lon_deg: str = "lon_deg", lat_deg: str = "lat_deg", height: str = "height") -> DataFrame:
-    """Rows with x and y of their places by the model of the section that the low-order polynomials find; rows of images without model are absent."""
+    """Rows with x and y of their places by the model of the section that the low-order polynomials find; rows of images without model are absent.
+
+    A pixel is null where a denominator is zero.
+    """
     kept = [n for n in df.columns if n not in ("x", "y")]
     images = models.where("section_row = 0 and section_col = 0").select(key, F.struct(*RSM_IMAGE).alias("_image"))
-    image, section = F.col("_image").getField, F.col("_section").getField
+    image = F.col("_image").getField
     domain = ground_domain(image("form"), F.radians(lon_deg), F.radians(lat_deg), F.col(height), image("origin"), image("axes"))
     rows = df.join(images, key).withColumns({f"_{n}": v for n, v in zip("xyz", domain, strict=True)})
     place = F.col("_x"), F.col("_y"), F.col("_z")
     row, col = section_of_place(*place, image)
     rows = rows.withColumns({"_row": row, "_col": col})
     rows = rows.join(models.select(key, F.col("section_row").alias("_row"), F.col("section_col").alias("_col"), F.struct(*RSM_SECTION).alias("_section")), [key, "_row", "_col"])
-    x, y = rsm_forward(*place, p=section)
-    return rows.select(*kept, x.alias("x"), y.alias("y"))
+    found = F.arrow_udf(_rsm_pixels, "struct<x:double,y:double>")
+    at = rows.withColumn("_at", found(_section_name(key), "_section", *place))
+    return at.select(*kept, F.col("_at.x").alias("x"), F.col("_at.y").alias("y"))
 
 
 def _rsm_rows(arrays: pd.Series) -> np.ndarray:
@@ -234,10 +239,60 @@ def _rsm_rows(arrays: pd.Series) -> np.ndarray:
 
 
 def _rsm_value(c: np.ndarray, powers: np.ndarray, q: np.ndarray) -> np.ndarray:
-    i, p, r = np.arange(c.shape[1])[None, :], powers[:, :1] + 1, powers[:, 1:2] + 1
-    used = i < p * r * (powers[:, 2:] + 1)
-    term = q[:, :1] ** (i % p) * q[:, 1:2] ** (i // p % r) * q[:, 2:] ** np.where(used, i // (p * r), 0)
-    return np.where(used, c * term, 0).sum(1)
+    """Polynomials c[row] with powers[row] at q[row]; rows of the same powers go together, their powers of q by products."""
+    if (powers == powers[0]).all():
+        return _rsm_sum(c, powers[0], q)
+    out = np.empty(len(q))
+    kinds, of = np.unique(powers, axis=0, return_inverse=True)
+    for k, kind in enumerate(kinds):
+        i = np.flatnonzero(of.ravel() == k)
+        out[i] = _rsm_sum(c[i], kind, q[i])
+    return out
+
+
+def _rsm_sum(c: np.ndarray, powers: np.ndarray, q: np.ndarray) -> np.ndarray:
+    total, n = np.zeros(len(q)), 0
+    up = [[None] for _ in range(3)]
+    for a in range(3):
+        for k in range(1, powers[a] + 1):
+            up[a].append(q[:, a] if k == 1 else up[a][-1] * q[:, a])
+    for z in up[2]:
+        for y in up[1]:
+            for x in up[0]:
+                term = c[:, n]
+                for factor in (x, y, z):
+                    term = term if factor is None else term * factor
+                total, n = total + term, n + 1
+    return total
+
+
+def _section_name(key: str) -> Column:
+    """A section's name among those of all images."""
+    return F.concat_ws("/", F.col(key).cast("string"), F.col("_row").cast("string"), F.col("_col").cast("string"))
+
+
+def _sections(names: pa.Array, models: pa.StructArray) -> tuple[dict[str, pd.Series], np.ndarray]:
+    """The fields of a batch's sections, which are unpacked once each and not once a row, and the section of each row."""
+    coded = names.dictionary_encode()
+    of = coded.indices.to_numpy()
+    _, first = np.unique(of, return_index=True)
+    taken = models.take(pa.array(first))
+    return {f.name: v.to_pandas() for f, v in zip(taken.type, taken.flatten(), strict=True)}, of
+
+
+def _rsm_pixels(names: pa.Array, models: pa.Array, x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+    if not len(names):
+        return pa.StructArray.from_arrays([pa.array([], pa.float64())] * 2, ["x", "y"])
+    m, of = _sections(names, models)
+    v = {n: m[n].to_numpy(float)[of] for n in RSM_NORMS}
+    with np.errstate(all="ignore"):
+        q = np.stack([(a.to_numpy(zero_copy_only=False).astype(float) - v[f"{n}_off"]) / v[f"{n}_scale"] for a, n in ((x, "x"), (y, "y"), (z, "z"))], 1)
+        powers = {n: np.stack(m[f"{n}_powers"].to_numpy()).astype(int) for n in RSM_POLYS}
+        if any(len(c) != np.prod(p + 1) for n in RSM_POLYS for c, p in zip(m[n], powers[n], strict=True)):
+            raise ValueError("wrong number of coefficients")
+        value = {n: _rsm_value(_rsm_rows(m[n])[of], powers[n][of], q) for n in RSM_POLYS}
+        pixel = [value[f"{a}n"] / value[f"{a}d"] * v[f"{w}_scale"] + v[f"{w}_off"] for a, w in (("c", "col"), ("r", "row"))]
+    return pa.StructArray.from_arrays([pa.array(np.where(np.isfinite(p), p, np.nan), from_pandas=True) for p in pixel], ["x", "y"])
 
 
 def _ecef(lon: np.ndarray, lat: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -271,21 +326,21 @@ def rsm_image_to_world(df: DataFrame, models: DataFrame, key: str = "image_id",
     model = models.select(key, F.col("section_row").alias("_row"), F.col("section_col").alias("_col"), F.struct(*RSM_SECTION, "form", F.array("origin.x", "origin.y", "origin.z").alias("origin"), F.flatten("axes").alias("axes"), "box", "start", "height").alias("_m"))
     m = F.col("_m").getField
     given = F.lit(None).cast("double") if height is None else F.col(height).cast("double")
-    rows = rows.join(model, [key, "_row", "_col"]).select(
-        *kept, F.col(x).cast("double").alias("_samp"), F.col(y).cast("double").alias("_line"), defaulted_elevation(given, m("height")).alias("_h"), *(m(n).alias(f"_{n}") for n in (*RSM_SECTION, "form", "origin", "axes", "box", "start"))
-    )
+    rows = rows.join(model, [key, "_row", "_col"]).select(*kept, _section_name(key).alias("_name"), F.col(x).cast("double").alias("_samp"), F.col(y).cast("double").alias("_line"), defaulted_elevation(given, m("height")).alias("_h"), "_m")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.select(*kept).schema.fields)}, {', '.join(f'{n} double' for n in names)}"
 
-    def solve(b: pd.DataFrame) -> np.ndarray:
-        v = {n: b[f"_{n}"].to_numpy(float) for n in RSM_NORMS}
-        c, powers = {n: _rsm_rows(b[f"_{n}"]) for n in RSM_POLYS}, {n: np.stack(b[f"_{n}_powers"].to_numpy()).astype(int) for n in RSM_POLYS}
-        form, h, box = b["_form"].to_numpy(), b["_h"].to_numpy(float), np.stack(b["_box"].to_numpy()).astype(float)
-        want = b[["_samp", "_line"]].to_numpy(float)
-        flat = form == "R"
-        origin, axes = np.zeros((len(b), 3)), np.zeros((len(b), 9))
-        if flat.any():
-            origin[flat], axes[flat] = np.stack(b["_origin"].to_numpy()[flat]).astype(float), np.stack(b["_axes"].to_numpy()[flat]).astype(float)
-        axes = axes.reshape(-1, 3, 3)
+    def solve(b: pa.RecordBatch) -> np.ndarray:
+        m, of = _sections(b.column("_name"), b.column("_m"))
+        number = lambda n: b.column(n).to_numpy(zero_copy_only=False).astype(float)
+        v = {n: m[n].to_numpy(float)[of] for n in RSM_NORMS}
+        c, powers = {n: _rsm_rows(m[n])[of] for n in RSM_POLYS}, {n: np.stack(m[f"{n}_powers"].to_numpy()).astype(int)[of] for n in RSM_POLYS}
+        form, h, box = m["form"].to_numpy()[of], number("_h"), np.stack(m["box"].to_numpy()).astype(float)[of]
+        want = np.stack([number("_samp"), number("_line")], 1)
+        flat, turned = form == "R", m["form"].to_numpy() == "R"
+        origin, axes = np.zeros((len(turned), 3)), np.zeros((len(turned), 9))
+        if turned.any():
+            origin[turned], axes[turned] = np.stack(m["origin"].to_numpy()[turned]).astype(float), np.stack(m["axes"].to_numpy()[turned]).astype(float)
+        origin, axes = origin[of], axes.reshape(-1, 3, 3)[of]
         off, scale = np.stack([v[f"{n}_off"] for n in "xyz"], 1), np.stack([v[f"{n}_scale"] for n in "xyz"], 1)
 
         def image(q: np.ndarray) -> np.ndarray:
@@ -298,7 +353,7 @@ def rsm_image_to_world(df: DataFrame, models: DataFrame, key: str = "image_id",
 
         low, high = box[:, :2], box[:, 2:]
         size = np.maximum(high - low, 1e-12)
-        q = np.clip(np.stack(b["_start"].to_numpy()).astype(float), low, high)
+        q = np.clip(np.stack(m["start"].to_numpy()).astype(float)[of], low, high)
         best, miss = q, image(q) - want
         least = np.hypot(*miss.T)
         for _ in range(RSM_STEPS):
@@ -328,13 +383,13 @@ def rsm_image_to_world(df: DataFrame, models: DataFrame, key: str = "image_id",
         lon, lat = best.T
         return np.stack([np.degrees(np.mod(lon + np.pi, 2 * np.pi) - np.pi), np.degrees(lat), h, least], 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             with np.errstate(all="ignore"):
-                found = solve(b) if len(b) else np.zeros((0, 4))
-            yield b[kept].assign(**dict(zip(names, found.T, strict=True)))
+                found = solve(b) if b.num_rows else np.zeros((0, 4))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *(pa.array(v, from_pandas=True) for v in np.ascontiguousarray(found.T))], [*kept, *names])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 # Combinations.

@@ -9,6 +9,7 @@ from orbitframe.functions import geodesy as G
 from orbitframe.functions import polynomials as P
 from orbitframe.functions import projective as M
 from orbitframe.functions import web_tiles as W
+from orbitframe.lineage import dealt
 from orbitframe.operators import elevation as E
 from orbitframe.operators import models, statistics
 from orbitframe.plans.relations import PTS, cut, cut_sql, pts
@@ -244,7 +245,7 @@ def _rsm_places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """Places in the image by the model of their section, and the models, read from the image's records."""
     images = spark.createDataFrame([(0, _rsm_xml())], "image_id int, xml string")
     models_ = models.rsm_models(tre.rsm_parameters(images), tre.rsm_sections(images)).cache()  # a row per section, used by every join
-    return models.rsm_world_to_image(pts(spark, sf_dir).withColumns({"image_id": F.lit(0), "height": F.col("elev")}), models_), models_
+    return models.rsm_world_to_image(dealt(pts(spark, sf_dir)).withColumns({"image_id": F.lit(0), "height": F.col("elev")}), models_), models_
 
 
 def rsm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:

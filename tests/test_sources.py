@@ -3,6 +3,8 @@
 import json
 import struct
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from orbitframe import sql, streaming
@@ -163,3 +165,14 @@ def test_documents_are_read_in_one_parse(spark):
     for read, n in ((products.sicd, 4), (products.sidd, 1)):
         rows = read(docs)
         assert "xpath" not in rows._jdf.queryExecution().optimizedPlan().toString().lower() and rows.count() == n
+
+
+def test_replacement_polynomials_by_batches():
+    """Sections of several powers in one batch give the sums of their terms, and each is unpacked once for all its rows."""
+    powers = np.array([[1, 2, 0], [0, 1, 1], [1, 2, 0]])
+    c = np.array([[1.0, 2, 3, 4, 5, 6], [7, 8, 9, 10, 0, 0], [6, 5, 4, 3, 2, 1]])
+    q = np.array([[0.5, 0.25, 2.0], [0.1, 0.2, 0.3], [-0.5, 3.0, 1.0]])
+    plain = [sum(v * q[n, 0] ** (i % (p + 1)) * q[n, 1] ** (i // (p + 1) % (r + 1)) * q[n, 2] ** (i // ((p + 1) * (r + 1))) for i, v in enumerate(c[n][: (p + 1) * (r + 1) * (s + 1)])) for n, (p, r, s) in enumerate(powers)]
+    assert np.allclose(models._rsm_value(c, powers, q), plain, rtol=1e-14)
+    fields, of = models._sections(pa.array(["b", "a", "b", "b"]), pa.StructArray.from_arrays([pa.array([2, 1, 2, 2])], ["x"]))
+    assert len(fields["x"]) == 2 and list(fields["x"].to_numpy()[of]) == [2, 1, 2, 2]
