@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,16 +51,24 @@ def _rpc_terms(l: np.ndarray, p: np.ndarray, h: np.ndarray) -> tuple[np.ndarray,
     return value, by_l, by_p
 
 
-def _rpc_solved(x: pd.Series, y: pd.Series, height: pd.Series, model: pd.Series, lon0: pd.Series, lat0: pd.Series) -> pd.DataFrame:
-    n = len(x)
-    m = np.full((n, len(RPC_NORMS) + 80), np.nan)
-    for i, v in enumerate(model):
-        if v is not None and len(v) == m.shape[1]:
-            m[i] = v
-    m = np.ascontiguousarray(m.T)
+def _numbers(column: pa.Array) -> np.ndarray:
+    """A column's numbers; null is not a number."""
+    return column.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _rows_of(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists as rows of one matrix; null and lists of another length are rows that are no numbers."""
+    out = np.full((len(lists), width), np.nan)
+    good = np.nan_to_num(_numbers(pc.list_value_length(lists)), nan=-1) == width
+    out[good] = _numbers(lists.filter(pa.array(good)).flatten()).reshape(-1, width)
+    return out
+
+
+def _rpc_solved(x: pa.Array, y: pa.Array, height: pa.Array, model: pa.Array, lon0: pa.Array, lat0: pa.Array) -> pa.Array:
+    m = np.ascontiguousarray(_rows_of(model, len(RPC_NORMS) + 80).T)
     v = dict(zip(RPC_NORMS, m, strict=False))
     c = {name: m[10 + 20 * k : 30 + 20 * k] for k, name in enumerate(RPC_POLYS)}
-    number = lambda s: s.to_numpy(float, na_value=np.nan)
+    number = _numbers
     with np.errstate(all="ignore"):
         want = (number(x) - v["samp_off"]) / v["samp_scale"], (number(y) - v["line_off"]) / v["line_scale"]
         h = (number(height) - v["height_off"]) / v["height_scale"]
@@ -79,7 +88,15 @@ def _rpc_solved(x: pd.Series, y: pd.Series, height: pd.Series, model: pd.Series,
             det = sl * rp - sp * rl
             l, p = l - (ds * rp - dr * sp) / det, p - (dr * sl - ds * rl) / det
         residual = np.hypot(ds * v["samp_scale"], dr * v["line_scale"])
-        return pd.DataFrame({"lon_deg": l * v["long_scale"] + v["long_off"], "lat_deg": p * v["lat_scale"] + v["lat_off"], "residual": residual})
+        return pa.StructArray.from_arrays([pa.array(a) for a in (l * v["long_scale"] + v["long_off"], p * v["lat_scale"] + v["lat_off"], residual)], ["lon_deg", "lat_deg", "residual"])
+
+
+#: A column that rpc_inverse takes for the model where rows have it: the offsets, scales and coefficients in one array.
+RPC_MODEL = "_rpc_model"
+
+
+def _rpc_model() -> Column:
+    return F.concat(F.array(*(F.col(n).cast("double") for n in RPC_NORMS)), *RPC_POLYS)
 
 
 def rpc_inverse(df: DataFrame, samp: str = "x", line: str = "y", height: str = "height", seed: tuple[str, str] | None = None) -> DataFrame:
@@ -90,9 +107,10 @@ def rpc_inverse(df: DataFrame, samp: str = "x", line: str = "y", height: str = "
     """
     names = ["lon_deg", "lat_deg", "residual"]
     kept = [n for n in df.columns if n not in names]
-    model = F.concat(F.array(*(F.col(n).cast("double") for n in RPC_NORMS)), *RPC_POLYS)
+    model = F.col(RPC_MODEL) if RPC_MODEL in df.columns else _rpc_model()
     start = [F.col(n).cast("double") for n in seed] if seed else [F.lit(None).cast("double")] * 2
-    solved = F.pandas_udf(_rpc_solved, "struct<lon_deg:double,lat_deg:double,residual:double>")
+    # said to differ from call to call, so that what is asked of its result doesn't run it again
+    solved = F.arrow_udf(_rpc_solved, "struct<lon_deg:double,lat_deg:double,residual:double>").asNondeterministic()
     rows = df.withColumn("_found", solved(*(F.col(n).cast("double") for n in (samp, line, height)), model, *start))
     found = F.col("_found")
     return rows.select(*kept, *(F.when(~F.isnan(found["residual"]), found[n]).alias(n) for n in names))
@@ -111,11 +129,11 @@ def rpc_inverse_on_terrain(df: DataFrame, sample, rounds: int = 3, samp: str = "
     sample(df) adds the column terrain; where it is null the last height stays.
     """
     names = df.columns
-    out = df.withColumn("height", F.col("height_off"))
+    out = df.withColumns({"height": F.col("height_off"), RPC_MODEL: _rpc_model()})
     for _ in range(rounds):
         found = sample(rpc_inverse(out, samp, line).drop("residual"))
-        out = found.withColumn("height", F.coalesce("terrain", "height")).select(*names, "height")
-    return rpc_inverse(out, samp, line)
+        out = found.withColumn("height", F.coalesce("terrain", "height")).select(*names, "height", RPC_MODEL)
+    return rpc_inverse(out, samp, line).drop(RPC_MODEL)
 
 
 # Replacement models.

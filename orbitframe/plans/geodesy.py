@@ -166,7 +166,7 @@ def _terrain(lon: Column, lat: Column) -> Column:
 def rpc_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of places on a terrain, back to these places without knowing their height."""
     samp, line = models.rpc_forward(F.col("lon_deg"), F.col("lat_deg"), F.col("ground"))
-    rows = with_rpc(pts(spark, sf_dir).withColumn("ground", _terrain(F.col("lon_deg"), F.col("lat_deg")))).withColumns({"x": samp, "y": line}).drop("lon_deg", "lat_deg", "ground")
+    rows = with_rpc(dealt(pts(spark, sf_dir)).withColumn("ground", _terrain(F.col("lon_deg"), F.col("lat_deg")))).withColumns({"x": samp, "y": line}).drop("lon_deg", "lat_deg", "ground")
     got = models.rpc_inverse_on_terrain(rows, lambda df: df.withColumn("terrain", _terrain(F.col("lon_deg"), F.col("lat_deg"))), rounds=6)
     return got.select("o_orderkey", cut(F.col("lon_deg"), 4).alias("lon"), cut(F.col("lat_deg"), 4).alias("lat"), cut(F.col("height"), 2).alias("height"))
 

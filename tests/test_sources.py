@@ -176,3 +176,10 @@ def test_replacement_polynomials_by_batches():
     assert np.allclose(models._rsm_value(c, powers, q), plain, rtol=1e-14)
     fields, of = models._sections(pa.array(["b", "a", "b", "b"]), pa.StructArray.from_arrays([pa.array([2, 1, 2, 2])], ["x"]))
     assert len(fields["x"]) == 2 and list(fields["x"].to_numpy()[of]) == [2, 1, 2, 2]
+
+
+def test_rational_models_by_batches():
+    """Models of a batch are read as one matrix; null and lists of another length are no model."""
+    lists = pa.array([[1.0, 2.0], None, [3.0], [4.0, None], [5.0, 6.0]], pa.list_(pa.float64()))
+    assert np.array_equal(models._rows_of(lists.slice(0), 2), [[1, 2], [np.nan] * 2, [np.nan] * 2, [4, np.nan], [5, 6]], equal_nan=True)
+    assert np.array_equal(models._rows_of(lists.slice(2), 2)[1:], [[4, np.nan], [5, 6]], equal_nan=True)
