@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,52 +151,112 @@ def _krueger(xi: Column, eta: Column, c: Column, sign: int) -> Pair:
 
 def project(df: DataFrame, lon_deg: str, lat_deg: str, system: str = "system", out: tuple[str, str] = ("east", "north")) -> DataFrame:
     """Rows with the projected coordinates of a place, in the system's units; degrees for geographic systems."""
-    s, names = F.col(system).getField, [n for n in df.columns if n not in out]
-    turn = F.radians(lon_deg) - s("lon0")
-    rows = df.withColumns({"_l": turn - 2 * math.pi * F.floor((turn + math.pi) / (2 * math.pi)), "_s": F.when(s("south") & (s("kind") == "POLAR"), -1.0).otherwise(1.0)})
-    rows = rows.withColumn("_t", _conformal(F.when(s("kind") == "SPHERE", F.radians(lat_deg)).otherwise(F.col("_s") * F.radians(lat_deg)), F.when(s("kind") == "SPHERE", 0.0).otherwise(s("e"))))
-    c, turned, t = F.cos("_l"), F.col("_l"), F.col("_t")
-    is_tm = s("kind") == "TM"
-    rows = rows.withColumns({"_xi": F.when(is_tm, F.atan2(t, c)), "_eta": F.when(is_tm, F.asinh(F.sin(turned) / F.sqrt(t * t + c * c)))})
-    xi, eta = _krueger(F.col("_xi"), F.col("_eta"), s("alpha"), 1)
-    tm = s("radius") * eta, s("radius") * (xi - s("xi0"))
-    mercator = s("axis") * turned, s("axis") * F.asinh(t)
-    rho = s("rho") * F.exp(-F.asinh(t))
-    polar = rho * F.sin(turned), -F.col("_s") * rho * c
-    arc = s("big") * F.exp(-s("cone") * F.asinh(t))
-    lcc = arc * F.sin(s("cone") * turned), s("rho0") - arc * F.cos(s("cone") * turned)
-    pick = lambda i: F.when(is_tm, tm[i]).when(s("kind").isin("MERCATOR", "SPHERE"), mercator[i]).when(s("kind") == "POLAR", polar[i]).when(s("kind") == "LCC", lcc[i])
-    flat = s("kind") == "GEOGRAPHIC"
-    return rows.select(*names, F.when(flat, F.col(lon_deg)).otherwise(pick(0) / s("unit") + s("east")).alias(out[0]), F.when(flat, F.col(lat_deg)).otherwise(pick(1) / s("unit") + s("north")).alias(out[1]))
+    names = [n for n in df.columns if n not in out]
+    found = F.arrow_udf(_projected, "struct<east:double,north:double>").asNondeterministic()
+    rows = df.withColumn("_at", found(F.col(lon_deg).cast("double"), F.col(lat_deg).cast("double"), F.col(system)))
+    return rows.select(*names, F.col("_at.east").alias(out[0]), F.col("_at.north").alias(out[1]))
+
+
+def _projected(lon: pa.Array, lat: pa.Array, system: pa.Array) -> pa.Array:
+    lon, lat = (v.to_numpy(zero_copy_only=False).astype(float) for v in (lon, lat))
+    every, east, north = _system(system), np.full(len(lon), np.nan), np.full(len(lon), np.nan)
+    with np.errstate(all="ignore"):
+        for kind in KINDS:
+            i = np.flatnonzero(every["kind"] == kind)
+            s = {n: v[i] for n, v in every.items()}
+            if kind == "GEOGRAPHIC":
+                east[i], north[i] = lon[i], lat[i]
+                continue
+            l = np.radians(lon[i]) - s["lon0"]
+            l = l - 2 * math.pi * np.floor((l + math.pi) / (2 * math.pi))
+            turn = np.where(s["south"] == 1, -1.0, 1.0) if kind == "POLAR" else 1.0
+            t, e = np.tan(turn * np.radians(lat[i])), np.zeros(len(i)) if kind == "SPHERE" else s["e"]
+            h = np.sqrt(1 + t * t)
+            g = np.sinh(e * np.arctanh(e * t / h))
+            t = t * np.sqrt(1 + g * g) - g * h
+            if kind == "TM":
+                c = np.cos(l)
+                xi, eta = _series(np.arctan2(t, c), np.arcsinh(np.sin(l) / np.sqrt(t * t + c * c)), s["alpha"], 1)
+                x, y = s["radius"] * eta, s["radius"] * (xi - s["xi0"])
+            elif kind == "POLAR":
+                rho = s["rho"] * np.exp(-np.arcsinh(t))
+                x, y = rho * np.sin(l), -turn * rho * np.cos(l)
+            elif kind == "LCC":
+                arc = s["big"] * np.exp(-s["cone"] * np.arcsinh(t))
+                x, y = arc * np.sin(s["cone"] * l), s["rho0"] - arc * np.cos(s["cone"] * l)
+            else:
+                x, y = s["axis"] * l, s["axis"] * np.arcsinh(t)
+            east[i], north[i] = x / s["unit"] + s["east"], y / s["unit"] + s["north"]
+    return pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in (east, north)], ["east", "north"])
 
 
 def unproject(df: DataFrame, east: str, north: str, system: str = "system", out: tuple[str, str] = ("lon_deg", "lat_deg")) -> DataFrame:
     """Rows with longitude and latitude in degrees of projected coordinates; the longitude lies in [-180, 180)."""
-    s, names = F.col(system).getField, [n for n in df.columns if n not in out]
-    rows = df.withColumns({"_x": (F.col(east) - s("east")) * s("unit"), "_y": (F.col(north) - s("north")) * s("unit"), "_s": F.when(s("south") & (s("kind") == "POLAR"), -1.0).otherwise(1.0)})
-    x, y, kind = F.col("_x"), F.col("_y"), s("kind")
-    is_tm = kind == "TM"
-    rows = rows.withColumns({"_xi": F.when(is_tm, y / s("radius") + s("xi0")), "_eta": F.when(is_tm, x / s("radius"))})
-    xi, eta = _krueger(F.col("_xi"), F.col("_eta"), s("beta"), -1)
-    rows = rows.withColumns({"_xi": xi, "_eta": eta})
-    sign = F.signum(s("cone"))
-    down = s("rho0") - y
-    tm = F.sin("_xi") / F.sqrt(F.sinh("_eta") * F.sinh("_eta") + F.cos("_xi") * F.cos("_xi")), F.atan2(F.sinh("_eta"), F.cos("_xi"))
-    mercator = F.sinh(y / s("axis")), x / s("axis")
-    polar = F.sinh(-F.log(F.sqrt(x * x + y * y) / s("rho"))), F.atan2(x, -F.col("_s") * y)
-    lcc = F.sinh(-F.log(sign * F.sqrt(x * x + down * down) / s("big")) / s("cone")), F.atan2(sign * x, sign * down) / s("cone")
-    pick = lambda i: F.when(is_tm, tm[i]).when(kind.isin("MERCATOR", "SPHERE"), mercator[i]).when(kind == "POLAR", polar[i]).when(kind == "LCC", lcc[i])
-    rows = rows.withColumns({"_c": pick(0), "_l": pick(1) + s("lon0"), "_e": F.when(kind == "SPHERE", 0.0).otherwise(s("e"))})
-    e2 = F.col("_e") * F.col("_e")
-    rows = rows.withColumn("_t", F.col("_c") / (1 - e2))
-    for _ in range(STEPS):
-        t = F.col("_t")
-        rows = rows.withColumn("_g", F.sinh(F.col("_e") * F.atanh(F.col("_e") * t / F.sqrt(1 + t * t))))
-        rows = rows.withColumn("_g", t * F.sqrt(1 + F.col("_g") * F.col("_g")) - F.col("_g") * F.sqrt(1 + t * t))
-        step = (F.col("_c") - F.col("_g")) / F.sqrt(1 + F.col("_g") * F.col("_g")) * (1 + (1 - e2) * t * t) / ((1 - e2) * F.sqrt(1 + t * t))
-        rows = rows.withColumn("_t", t + step)
-    pole = (kind == "POLAR") & (x == 0) & (y == 0)
-    lat = F.when(pole, 90.0).otherwise(F.degrees(F.atan("_t"))) * F.col("_s")
-    lon = F.degrees("_l")
-    flat = kind == "GEOGRAPHIC"
-    return rows.select(*names, F.when(flat, F.col(east)).otherwise(lon - 360 * F.floor((lon + 180) / 360)).alias(out[0]), F.when(flat, F.col(north)).otherwise(lat).alias(out[1]))
+    names = [n for n in df.columns if n not in out]
+    # a place asks for some hundred operations, by batches: as columns they make methods too long for the JVM to compile
+    found = F.arrow_udf(_unprojected, "struct<lon:double,lat:double>").asNondeterministic()
+    rows = df.withColumn("_at", found(F.col(east).cast("double"), F.col(north).cast("double"), F.col(system)))
+    return rows.select(*names, F.col("_at.lon").alias(out[0]), F.col("_at.lat").alias(out[1]))
+
+
+def _system(system: pa.StructArray) -> dict[str, np.ndarray]:
+    """The fields of rows' systems as arrays; series as rows of a matrix."""
+    numbers = lambda v: v.to_numpy(zero_copy_only=False).astype(float)
+    out = {}
+    for f, v in zip(system.type, system.flatten(), strict=True):
+        if pa.types.is_list(f.type):
+            out[f.name] = np.full((len(v), 6), np.nan)
+            good = v.is_valid().to_numpy(zero_copy_only=False)
+            out[f.name][good] = numbers(v.filter(pa.array(good)).flatten()).reshape(-1, 6)
+        elif f.name == "kind":
+            out[f.name] = np.array(v.to_pylist(), object)
+        else:
+            out[f.name] = numbers(v)
+    return out
+
+
+def _series(xi: np.ndarray, eta: np.ndarray, c: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+    """_krueger over arrays."""
+    for_xi, for_eta = xi, eta
+    for j in range(6):
+        k = 2.0 * (j + 1)
+        for_xi = for_xi + sign * c[:, j] * np.sin(k * xi) * np.cosh(k * eta)
+        for_eta = for_eta + sign * c[:, j] * np.cos(k * xi) * np.sinh(k * eta)
+    return for_xi, for_eta
+
+
+def _unprojected(east: pa.Array, north: pa.Array, system: pa.Array) -> pa.Array:
+    east, north = (v.to_numpy(zero_copy_only=False).astype(float) for v in (east, north))
+    every, lon, lat = _system(system), np.full(len(east), np.nan), np.full(len(east), np.nan)
+    with np.errstate(all="ignore"):
+        for kind in KINDS:
+            i = np.flatnonzero(every["kind"] == kind)
+            s = {n: v[i] for n, v in every.items()}
+            if kind == "GEOGRAPHIC":
+                lon[i], lat[i] = east[i], north[i]
+                continue
+            x, y, down = (east[i] - s["east"]) * s["unit"], (north[i] - s["north"]) * s["unit"], None
+            turn = np.where(s["south"] == 1, -1.0, 1.0) if kind == "POLAR" else 1.0
+            if kind == "TM":
+                xi, eta = _series(y / s["radius"] + s["xi0"], x / s["radius"], s["beta"], -1)
+                c, l = np.sin(xi) / np.sqrt(np.sinh(eta) ** 2 + np.cos(xi) ** 2), np.arctan2(np.sinh(eta), np.cos(xi))
+            elif kind == "POLAR":
+                c, l = np.sinh(-np.log(np.sqrt(x * x + y * y) / s["rho"])), np.arctan2(x, -turn * y)
+            elif kind == "LCC":
+                sign, down = np.sign(s["cone"]), s["rho0"] - y
+                c, l = np.sinh(-np.log(sign * np.sqrt(x * x + down * down) / s["big"]) / s["cone"]), np.arctan2(sign * x, sign * down) / s["cone"]
+            else:
+                c, l = np.sinh(y / s["axis"]), x / s["axis"]
+            e = np.zeros(len(i)) if kind == "SPHERE" else s["e"]
+            e2 = e * e
+            t = c / (1 - e2)
+            for _ in range(STEPS):
+                h = np.sqrt(1 + t * t)
+                g = np.sinh(e * np.arctanh(e * t / h))
+                g = t * np.sqrt(1 + g * g) - g * h
+                t = t + (c - g) / np.sqrt(1 + g * g) * (1 + (1 - e2) * t * t) / ((1 - e2) * h)
+            at_pole = (kind == "POLAR") & (x == 0) & (y == 0)
+            lat[i] = np.where(at_pole, 90.0, np.degrees(np.arctan(t))) * turn
+            l = np.degrees(l + s["lon0"])
+            lon[i] = l - 360 * np.floor((l + 180) / 360)
+    return pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in (lon, lat)], ["lon", "lat"])

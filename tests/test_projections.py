@@ -57,3 +57,17 @@ def test_second_version_and_poles(spark):
 def test_unknown_systems_are_errors(spark, text):
     with pytest.raises(Exception, match="unknown reference system"):
         J.constants(spark.createDataFrame([(text,)], "crs string")).collect()
+
+
+def test_projected_by_batches():
+    """Rows of all kinds, and one without a system, in one batch; what is asked of the result doesn't project again."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["kind", "e", "axis", "lon0", "east", "north", "unit", "alpha", "beta", "radius", "xi0", "south", "rho", "cone", "big", "rho0"]
+    flat = dict.fromkeys(names) | {"kind": "GEOGRAPHIC"}
+    sphere = dict.fromkeys(names) | {"kind": "SPHERE", "axis": 6378137.0, "lon0": 0.0, "east": 10.0, "north": 20.0, "unit": 1.0}
+    of = pa.struct([(n, pa.string() if n == "kind" else pa.bool_() if n == "south" else pa.list_(pa.float64()) if n in ("alpha", "beta") else pa.float64()) for n in names])
+    got = J._projected(pa.array([3.0, 90.0, 1.0]), pa.array([4.0, 0.0, 1.0]), pa.array([flat, sphere, None], of)).to_pylist()
+    assert got[0] == {"east": 3.0, "north": 4.0} and got[2] == {"east": None, "north": None}
+    assert np.isclose(got[1]["east"], 6378137.0 * np.pi / 2 + 10) and np.isclose(got[1]["north"], 20.0)
