@@ -29,6 +29,13 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame written once to a new shared folder and read back by columns, for rounds whose results several parts read."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame written to spark.checkpoint.dir, the folder that all executors share, and read back.
 

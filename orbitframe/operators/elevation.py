@@ -31,14 +31,18 @@ def tile_id(spec: str, lon: Column, lat: Column, lon_bounds: tuple[int, int] = (
     return F.when(x.between(*lon_bounds) & y.between(*lat_bounds), name)
 
 
-def cut_blocks(tiles: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Blocks (tile_id, brow, bcol, …) of tiles (tile_id, width, height, gt, z, no_data); each shares its last row and column with the next."""
+def cut_blocks(tiles: DataFrame, size: int = BLOCK, reach: int | None = None) -> DataFrame:
+    """Blocks (tile_id, brow, bcol, …) of tiles (tile_id, width, height, gt, z, no_data); each shares its last row and column with the next.
+
+    With reach, blocks still begin every size posts but go as many posts on as it says.
+    """
+    reach = size if reach is None else reach
     c = F.col
     rows = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(c("height"), F.lit(2)) - 2) / size).cast("int")))
     cols = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(c("width"), F.lit(2)) - 2) / size).cast("int")))
     cut = tiles.withColumn("brow", rows).withColumn("bcol", cols)
     r0, c0 = c("brow") * size, c("bcol") * size
-    r1, n = F.least(r0 + size, c("height") - 1), F.least(F.lit(size + 1), c("width") - c("bcol") * size)
+    r1, n = F.least(r0 + reach, c("height") - 1), F.least(F.lit(reach + 1), c("width") - c("bcol") * size)
     posts = F.flatten(F.transform(F.sequence(r0, r1), lambda r: F.slice("z", r * c("width") + c0 + 1, n)))
     return cut.select("tile_id", "brow", "bcol", "width", "height", "gt", "no_data", n.alias("block_width"), posts.alias("posts"))
 

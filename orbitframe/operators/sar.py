@@ -14,6 +14,7 @@ from orbitframe.functions import geodesy as G
 from orbitframe.functions import polynomials as P
 from orbitframe.functions import sar_geometry as S
 from orbitframe.functions.projective import homography, homography_inverse
+from orbitframe.lineage import written
 
 #: Fixed tolerances: height test and steps for a constant height; on-surface test of terrain; inverse projection.
 HEIGHT_STEPS, HEIGHT_LIMIT = 3, 1.0
@@ -30,7 +31,8 @@ def _geodetic(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     r = np.hypot(x, y)
     beta = np.arctan2(G.A * z, G.B * r)
     for _ in range(3):
-        lat = np.arctan2(z + G.EP2 * G.B * np.sin(beta) ** 3, r - G.E2 * G.A * np.cos(beta) ** 3)
+        s, c = np.sin(beta), np.cos(beta)
+        lat = np.arctan2(z + G.EP2 * G.B * (s * s * s), r - G.E2 * G.A * (c * c * c))  # powers cost more than all the rest
         beta = np.arctan2((1 - G.FLATTENING) * np.sin(lat), np.cos(lat))
     n = G.A / np.sqrt(1 - G.E2 * np.sin(lat) ** 2)
     return np.arctan2(y, x), lat, r * np.cos(lat) + z * np.sin(lat) - G.A * G.A / n
@@ -179,6 +181,15 @@ def on_plane(df: DataFrame, r: str, rdot: str, arp: str, varp: str, ref: Column,
     return df.withColumn("_point", F.when((c("_h") <= c(r)) & (F.abs(c("_cos")) <= 1), S.packed(point))).select(*(n for n in names if n != out), c("_point").alias(out))
 
 
+def _models(params: DataFrame, key: str, *more: str) -> DataFrame:
+    """key and the struct sar of each image's model, written once.
+
+    Spark then knows how large they are.  By the guess for parsed documents it took the pixels for the smaller side of
+    the join: it sent these to every task and left the work to as many tasks as there were pieces of documents.
+    """
+    return written(params.select(key, F.struct(*SAR_MODEL, *(["chip_h"] if "chip_h" in params.columns else []), *more).alias("sar")))
+
+
 def contours(df: DataFrame, params: DataFrame, key: str = "image_id", x: str = "x", y: str = "y", offsets: bool = False) -> DataFrame:
     """Rows with r, rdot and the structs arp, varp and sar (the model) of their pixels.  Images without model are absent.
 
@@ -186,7 +197,7 @@ def contours(df: DataFrame, params: DataFrame, key: str = "image_id", x: str = "
     the parameters' columns range_bias, delta_arp and delta_varp (structs) adjust the result.
     """
     chip = "chip_h" in params.columns
-    model = params.select(key, F.struct(*SAR_MODEL, *(["chip_h"] if chip else []), *(["range_bias", "delta_arp", "delta_varp"] if offsets else [])).alias("sar"))
+    model = _models(params, key, *(["range_bias", "delta_arp", "delta_varp"] if offsets else []))
     kept = [n for n in df.columns if n not in ("sar", "r", "rdot", "arp", "varp")]
     m = F.col("sar").getField
     px, py = F.col(x), F.col(y)
@@ -395,7 +406,7 @@ def world_to_image(df: DataFrame, params: DataFrame, key: str = "image_id", lon_
     models, which come in rows.  Places without solution have nulls.
     """
     chip = "chip_h" in params.columns
-    model = params.select(key, F.struct(*SAR_MODEL).alias("_m"), *([F.col("chip_h").alias("_chip")] if chip else []))
+    model = _models(params, key).select(key, F.struct(*(F.col("sar")[n].alias(n) for n in SAR_MODEL)).alias("_m"), *([F.col("sar.chip_h").alias("_chip")] if chip else []))
     kept = [n for n in df.columns if n not in ("x", "y", "miss")]
     place = S.packed(G.geodetic_to_ecef(F.radians(lon_deg), F.radians(lat_deg), F.col(height)))
     found = F.arrow_udf(_to_image, "struct<x:double,y:double,miss:double>")
