@@ -182,12 +182,14 @@ def on_plane(df: DataFrame, r: str, rdot: str, arp: str, varp: str, ref: Column,
 
 
 def _models(params: DataFrame, key: str, *more: str) -> DataFrame:
-    """key and the struct sar of each image's model, written once.
+    """key and the struct sar of each image's model, with the slopes of its polynomials, written once.
 
     Spark then knows how large they are.  By the guess for parsed documents it took the pixels for the smaller side of
     the join: it sent these to every task and left the work to as many tasks as there were pieces of documents.
     """
-    return written(params.select(key, F.struct(*SAR_MODEL, *(["chip_h"] if "chip_h" in params.columns else []), *more).alias("sar")))
+    track = F.struct(*(P.derivative(F.col("arp")[a]).alias(a) for a in "xyz")).alias("arp_rate")
+    slopes = [track, *(P.derivative(F.col(n)).alias(f"{n}_rate") for n in ("polar", "factor"))]
+    return written(params.select(key, F.struct(*SAR_MODEL, *(["chip_h"] if "chip_h" in params.columns else []), *more, *slopes).alias("sar")))
 
 
 def contours(df: DataFrame, params: DataFrame, key: str = "image_id", x: str = "x", y: str = "y", offsets: bool = False) -> DataFrame:
@@ -208,15 +210,25 @@ def contours(df: DataFrame, params: DataFrame, key: str = "image_id", x: str = "
     xr, yc = S.row_col_to_plane(py + m("first_row"), px + m("first_col"), m("scp_row"), m("scp_col"), m("row_ss"), m("col_ss"))
     rows = df.select(*kept).join(model, key).withColumns({"_xr": xr, "_yc": yc})
     rows = rows.withColumn("_t", P.surface(m("time_coa"), F.col("_xr"), F.col("_yc")))
-    track = S.unpacked(m("arp"))
-    arp, varp = S.state(track, F.col("_t"))
-    rows, at = S.spread(rows, arp=arp, varp=varp, scp=S.unpacked(m("scp")))
-    arp, varp, scp, rg, az, t = at["arp"], at["varp"], at["scp"], F.col("_xr"), F.col("_yc"), F.col("_t")
+    # what is asked for more than once is a column, and only rows of its kind work it out; slopes of polynomials come with the model
+    of = lambda k, v: F.when(m("projection") == k, v)
+    rg, az, t = F.col("_xr"), F.col("_yc"), F.col("_t")
+    track, slopes = S.unpacked(m("arp")), S.unpacked(m("arp_rate"))
+    rows, at = S.spread(rows, arp=P.vector(*track, t), varp=P.vector(*slopes, t), scp=S.unpacked(m("scp")))
+    arp, varp, scp = at["arp"], at["varp"], at["scp"]
+    rows = rows.withColumns({"_theta": of("PFA", P.horner(m("polar"), t)), "_turn": of("PFA", P.horner(m("polar_rate"), t)), "_tca": of("INCA", P.horner(m("time_ca"), az)), "_f": of("INCA", P.surface(m("rate"), rg, az))})
+    theta, f, dt = F.col("_theta"), F.col("_f"), t - F.col("_tca")
+    rows, ca = S.spread(rows.withColumns({"_k": of("PFA", P.horner(m("factor"), theta)), "_k1": of("PFA", P.horner(m("factor_rate"), theta))}), vca=tuple(of("INCA", P.horner(c, F.col("_tca"))) for c in slopes))
+    rows, sight = S.spread(rows, los=tuple(of("PLANE", v) for v in S.sub(arp, S.plane_point(rg, az, scp, S.unpacked(m("u_row")), S.unpacked(m("u_col"))))))
+    v2, r0 = S.dot(ca["vca"], ca["vca"]), S.sub(arp, scp)
+    rows = rows.withColumns({"_rlos": S.norm(sight["los"]), "_v2": v2, "_r0": S.norm(r0), "_along": rg * F.cos(theta) + az * F.sin(theta), "_across": az * F.cos(theta) - rg * F.sin(theta)})
+    rows = rows.withColumns({"_d0": S.dot(varp, r0) / F.col("_r0"), "_rca": F.sqrt((m("r_ca_scp") + rg) * (m("r_ca_scp") + rg) + f * F.col("_v2") * dt * dt)})
     made = {
-        "PFA": S.polar_format(rg, az, t, arp, varp, scp, m("polar"), m("factor")), "RGAZCOMP": S.range_azimuth_compressed(rg, az, arp, varp, scp, m("az_factor")),
-        "INCA": S.imaging_near_closest_approach(rg, az, t, track, m("r_ca_scp"), m("time_ca"), m("rate")), "PLANE": S.uniform_plane(rg, az, arp, varp, scp, S.unpacked(m("u_row")), S.unpacked(m("u_col"))),
+        "PFA": (F.col("_r0") + F.col("_k") * F.col("_along"), F.col("_d0") + (F.col("_k1") * F.col("_along") + F.col("_k") * F.col("_across")) * F.col("_turn")),
+        "RGAZCOMP": S.range_azimuth_compressed(rg, az, arp, varp, scp, m("az_factor")),
+        "INCA": (F.col("_rca"), f / F.col("_rca") * F.col("_v2") * dt), "PLANE": (F.col("_rlos"), S.dot(varp, sight["los"]) / F.col("_rlos")),
     }
-    pair = F.coalesce(*(F.when(m("projection") == k, F.struct(v[0].alias("r"), v[1].alias("rdot"))) for k, v in made.items()))
+    pair = F.coalesce(*(of(k, F.struct(v[0].alias("r"), v[1].alias("rdot"))) for k, v in made.items()))
     rows = rows.withColumn("_pair", pair).withColumns({"r": F.col("_pair.r"), "rdot": F.col("_pair.rdot"), "arp": S.packed(arp), "varp": S.packed(varp)})
     if offsets:
         r, a, v = S.adjusted(F.col("r"), arp, varp, m("range_bias"), S.unpacked(m("delta_arp")), S.unpacked(m("delta_varp")))
