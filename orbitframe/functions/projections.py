@@ -190,11 +190,14 @@ def _projected(lon: pa.Array, lat: pa.Array, system: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in (east, north)], ["east", "north"])
 
 
-def unproject(df: DataFrame, east: str, north: str, system: str = "system", out: tuple[str, str] = ("lon_deg", "lat_deg")) -> DataFrame:
-    """Rows with longitude and latitude in degrees of projected coordinates; the longitude lies in [-180, 180)."""
+def unproject(df: DataFrame, east: str, north: str, system: str = "system", out: tuple[str, str] = ("lon_deg", "lat_deg"), wrapped: bool = True) -> DataFrame:
+    """Rows with longitude and latitude in degrees of projected coordinates; the longitude lies in [-180, 180).
+
+    Not wrapped, the longitude of a projected place is counted from its system's meridian on, so it may pass 180.
+    """
     names = [n for n in df.columns if n not in out]
     # a place asks for some hundred operations, by batches: as columns they make methods too long for the JVM to compile
-    found = F.arrow_udf(_unprojected, "struct<lon:double,lat:double>").asNondeterministic()
+    found = F.arrow_udf(_unprojected if wrapped else _unprojected_on, "struct<lon:double,lat:double>").asNondeterministic()
     rows = df.withColumn("_at", found(F.col(east).cast("double"), F.col(north).cast("double"), F.col(system)))
     return rows.select(*names, F.col("_at.lon").alias(out[0]), F.col("_at.lat").alias(out[1]))
 
@@ -226,6 +229,14 @@ def _series(xi: np.ndarray, eta: np.ndarray, c: np.ndarray, sign: int) -> tuple[
 
 
 def _unprojected(east: pa.Array, north: pa.Array, system: pa.Array) -> pa.Array:
+    return _places(east, north, system, True)
+
+
+def _unprojected_on(east: pa.Array, north: pa.Array, system: pa.Array) -> pa.Array:
+    return _places(east, north, system, False)
+
+
+def _places(east: pa.Array, north: pa.Array, system: pa.Array, wrapped: bool) -> pa.Array:
     east, north = (v.to_numpy(zero_copy_only=False).astype(float) for v in (east, north))
     every, lon, lat = _system(system), np.full(len(east), np.nan), np.full(len(east), np.nan)
     with np.errstate(all="ignore"):
@@ -258,5 +269,5 @@ def _unprojected(east: pa.Array, north: pa.Array, system: pa.Array) -> pa.Array:
             at_pole = (kind == "POLAR") & (x == 0) & (y == 0)
             lat[i] = np.where(at_pole, 90.0, np.degrees(np.arctan(t))) * turn
             l = np.degrees(l + s["lon0"])
-            lon[i] = l - 360 * np.floor((l + 180) / 360)
+            lon[i] = l - 360 * np.floor((l + 180) / 360) if wrapped else l
     return pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in (lon, lat)], ["lon", "lat"])

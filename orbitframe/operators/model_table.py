@@ -96,31 +96,32 @@ def _onto_chip(x: Column, y: Column) -> tuple[Column, Column]:
     return tuple(F.when(F.col("mt_chip").isNull(), v).otherwise(c) for v, c in zip((x, y), chip, strict=True))
 
 
-def _approximately(rows: DataFrame) -> DataFrame:
+def _approximately(rows: DataFrame, wrapped: bool = True) -> DataFrame:
     """Adds _lon and _lat by the approximate model, null where there is none."""
     full = _full(rows)
     px, py = (F.when(F.col("mt_plane_chipped"), f).otherwise(F.col(n)) for n, f in zip(("mt_x", "mt_y"), full, strict=True))
     names = rows.columns
     east, north = M.affine(F.col("mt_affine.gt"), F.col("mt_x"), F.col("mt_y"))
     rows = rows.withColumns({"mt_px": px, "mt_py": py, "mt_east": east, "mt_north": north, "mt_system": F.col("mt_affine.system")})
-    rows = J.unproject(rows, "mt_east", "mt_north", "mt_system", ("mt_alon", "mt_alat"))
+    rows = J.unproject(rows, "mt_east", "mt_north", "mt_system", ("mt_alon", "mt_alat"), wrapped)
     lon, lat = M.homography_inverse(_coefficients("mt_plane"), F.col("mt_px"), F.col("mt_py"))
     flat = F.col("mt_affine").isNull()
     return rows.select(*names, F.when(flat, lon).otherwise(F.col("mt_alon")).alias("mt_lon"), F.when(flat, lat).otherwise(F.col("mt_alat")).alias("mt_lat"))
 
 
-def locate(pixels: DataFrame, table: DataFrame, key: str = "image_id", x: str = "x", y: str = "y", height: str | None = None) -> DataFrame:
+def locate(pixels: DataFrame, table: DataFrame, key: str = "image_id", x: str = "x", y: str = "y", height: str | None = None, wrapped: bool = True) -> DataFrame:
     """Pixels with model, lon_deg, lat_deg and elev of their places, by the best model of their image.
 
     height names a column with the height to solve for.  Where it is null, rational models take their height offset,
     replacement models their own height, products the plane through their centre point, others 0.  A rational model
-    starts at the approximate place, and that place stays where it finds none.
+    starts at the approximate place, and that place stays where it finds none.  Not wrapped, longitudes of projected
+    images are counted from their system's meridian on and may pass 180.
     """
     given = _given(pixels, key, x, y, height).join(_parameters(table, key, "model", "precise"), "mt_key", "left")
     part = lambda *kinds: given.where(F.col("mt_precise").isin(*kinds))
     kept = ["mt_row", "mt_key", "mt_x", "mt_y", "mt_h", "mt_model"]
     approximate = _parameters(table, key, "affine", "plane", "plane_chipped", "chip")
-    plates = _approximately(given.where("mt_precise is null").select(*kept).join(approximate, "mt_key", "left"))
+    plates = _approximately(given.where("mt_precise is null").select(*kept).join(approximate, "mt_key", "left"), wrapped)
     parts = [plates.select("mt_row", "mt_model", "mt_lon", "mt_lat", F.coalesce("mt_h", F.when(F.col("mt_lon").isNotNull(), F.lit(0.0))).alias("mt_up"))]
 
     rational = _approximately(part("RPC").select(*kept).join(approximate, "mt_key"))
